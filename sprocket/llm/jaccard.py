@@ -1,9 +1,11 @@
 """Exact n-gram Jaccard join by size-banded tiles with hashed bitmap signatures (operator 5).
 
 A text's set is its distinct word shingles, as 64-bit hashes. Texts with equal sets are
-one node. Sorted by hash, two sets that reach the similarity share one of their
-n - ceil(t n) + 1 smallest hashes, so only nodes that meet in such a list are compared;
-no list is dropped or cut.
+one node. In any one order of all hashes, two sets that reach the similarity share one
+of their n - ceil(t n) + 1 first ones, so only nodes that meet in such a list are
+compared; no list is dropped or cut. The order here is by hash, but for the hashes of
+very many texts (`common_hashes`), which come last: what a great number of texts share
+says little, and would make long lists. Any choice of them gives the same result.
 
 1. Every node meets in each of its FIRST first shared lists the list's leader (one pair a
    row). The links among these join most copies into components.
@@ -42,7 +44,9 @@ from .components import components
 WORDS = 4
 #: The similarity in hundredths.
 PERCENT = 85
-FIRST = 4
+FIRST = 2
+#: A hash in more texts than this may count as common; so many at most do, the most frequent.
+OFTEN, COMMON = 48, 1_000_000
 #: Nodes in a list up to which its pairs are made by a join, and about so many in a tile.
 SHORT, TILE = 64, 1024
 #: Needed nodes up to which their numbers (8 bytes each) are sent to all tasks; beyond, a join.
@@ -122,8 +126,8 @@ def prefix_length(n: np.ndarray | int, percent: int = PERCENT):
 
 
 def signature(s: np.ndarray) -> bytes:
-    """A bitmap of two to four bits for each element of the set; sizes of one band have one length, and longer ones fold onto shorter."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    """A bitmap of four to eight bits for each element of the set, 512 at least; sizes of one band have one length or two, and longer ones fold onto shorter."""
+    bits = max(512, 1 << int(4 * len(s) - 1).bit_length())
     out = np.zeros(bits // 8, np.uint8)
     at = (s & np.uint64(bits - 1)).astype(np.int64)
     np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
@@ -143,9 +147,55 @@ def enough(na: np.ndarray, nb: np.ndarray, both: np.ndarray, percent: int = PERC
     return 100 * both >= percent * (na + nb - both)
 
 
-def signed(df: DataFrame, text: str, doc_id: str, k: int, percent: int) -> DataFrame:
+def ordered_prefix(s: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    """The set's first hashes in the order in which common ones come last."""
+    size = int(prefix_length(len(s), percent))
+    if not len(common):
+        return s[:size]
+    last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+    return np.concatenate((s[~last][:size], s[last]))[:size]
+
+
+def _hashes(df: DataFrame, text: str, k: int, percent: int, common: np.ndarray | None) -> DataFrame:
+    """(h) for counting. First, without common hashes: half as many again as each set's prefix. Then: all hashes of the sets whose prefixes those do not fill any more."""
+    sent = df.sparkSession.sparkContext.broadcast(common)
+
+    def chosen(t: str | None) -> np.ndarray:
+        s = shingles(t, k)
+        size = int(prefix_length(len(s), percent))
+        near = s[: size + size // 2 + 4]
+        if sent.value is None:
+            return near
+        c = sent.value
+        if len(near) == len(s) or not len(c):
+            return s[:0]
+        known = int((c[np.minimum(np.searchsorted(c, near), len(c) - 1)] == near).sum())
+        return s if len(near) - known < size else s[:0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                parts = [chosen(t) for t in b.column(0).slice(at, 500).to_pylist()]
+                h, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    return df.select(text).mapInArrow(run, "h long, n long")
+
+
+def common_hashes(df: DataFrame, text: str, k: int, percent: int) -> np.ndarray:
+    """The hashes that come last, sorted: at most 2 COMMON, counted over all texts."""
+    found: np.ndarray | None = None
+    for _ in range(2):
+        counts = _hashes(df, text, k, percent, found).groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > OFTEN)
+        new = counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column(0).to_numpy().view(np.uint64)
+        found = np.unique(new if found is None else np.concatenate((found, new)))
+    return found
+
+
+def signed(df: DataFrame, text: str, doc_id: str, k: int, percent: int, common: np.ndarray) -> DataFrame:
     """(doc_id, n, node, prefix, bits): prefix as 64-bit numbers."""
     out = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
+    sent = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,7 +206,7 @@ def signed(df: DataFrame, text: str, doc_id: str, k: int, percent: int) -> DataF
                     s = shingles(t, k)
                     n.append(len(s))
                     node.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
-                    prefix.append(s[: prefix_length(len(s), percent)].view(np.int64) if len(s) else np.zeros(0, np.int64))
+                    prefix.append(ordered_prefix(s, sent.value, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
                     bits.append(signature(s) if len(s) else None)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in prefix]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
@@ -332,7 +382,7 @@ def long_lists(rows: DataFrame, nodes: DataFrame, counts: DataFrame, percent: in
 def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row for each row of df."""
     src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    t = written(signed(src, "text", "doc_id", k, percent), "signatures")
+    t = written(signed(src, "text", "doc_id", k, percent, common_hashes(src, "text", k, percent)), "signatures")
     some = t.filter("node is not null")
     nodes = some.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
 
