@@ -9,7 +9,9 @@ says little, and would make long lists. Any choice of them gives the same result
 
 1. Every node meets in each of its FIRST first shared lists the list's leader (one pair a
    row). The links among these join most copies into components.
-2. In lists where two components meet, pairs of different components remain. Short lists
+2. In lists where two components meet, pairs of different components remain. Of long
+   lists each node's most promising pair is decided first, which joins most copies that
+   are left; then all remaining pairs are. Short lists
    give pairs whose sizes and places in the order still allow the similarity. Long lists
    are dealt into tiles of about TILE nodes by a hash within a band of sizes, and pairs of
    tiles of the same or neighbouring bands are compared as numpy blocks: the bits that
@@ -318,8 +320,8 @@ def band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
 
 
-def long_lists(rows: DataFrame, nodes: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a long list and whose signatures allow the similarity."""
+def long_lists(rows: DataFrame, nodes: DataFrame, counts: DataFrame, percent: int, best: bool = False) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a long list and whose signatures allow the similarity; best: of each node's pairs in a cell only the one with the greatest bound."""
     r = rows.join(counts.filter(F.col("c") > SHORT), "h").withColumn("band", band(F.col("n")))
     tiles = r.groupBy("h", "band").agg(F.ceil(F.count("*") / TILE).alias("t"))
     here = tiles.select("h", "band", "t")
@@ -348,7 +350,10 @@ def long_lists(rows: DataFrame, nodes: DataFrame, counts: DataFrame, percent: in
             q = q[(100 * np.minimum(n[q], n[p]) >= percent * np.maximum(n[q], n[p]))]
             if len(q):
                 most = np.minimum(n[p] - np.bitwise_count(m[p] & ~m[q]).sum(1, dtype=np.int64), n[q] - np.bitwise_count(m[q] & ~m[p]).sum(1, dtype=np.int64))
-                q = q[enough(n[p], n[q], most, percent)]
+                can = enough(n[p], n[q], most, percent)
+                q, most = q[can], most[can]
+                if best and len(q):
+                    q = q[[int(np.argmax(most / (n[p] + n[q] - most)))]]
                 if len(q):
                     yield np.full(len(q), node[p]), node[q]
 
@@ -379,6 +384,14 @@ def long_lists(rows: DataFrame, nodes: DataFrame, counts: DataFrame, percent: in
     return r.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, "a long, b long").distinct()
 
 
+def open_lists(lists: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (h, node, n, i, comp, c) of lists in which two components meet, and the lists' lengths c."""
+    r = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = r.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h", "c")
+    r = written(r.join(open_, "h").select("h", "node", "n", "i", "comp", "c"), "open")
+    return r, r.groupBy("h").agg(F.first("c").alias("c"))
+
+
 def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row for each row of df."""
     src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -399,12 +412,11 @@ def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = WOR
     links = decided(src, stars, nodes, k, percent)
     comp = components(links)
 
-    # 2. what is left between components
-    r = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = r.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h", "c")
-    r = written(r.join(open_, "h"), "open")
-    counts = r.groupBy("h").agg(F.first("c").alias("c"))
-    r = r.select("h", "node", "n", "i", "comp", "c")
+    # 2. what is left between components; where many copies meet, the most promising pairs join most of them first
+    r, counts = open_lists(lists, comp)
+    links = links.unionByName(decided(src, long_lists(r.drop("c"), nodes, counts, percent, best=True), nodes, k, percent, signatures=False))
+    comp = components(links)
+    r, counts = open_lists(lists, comp)
     short = r.filter(F.col("c") <= SHORT)
     p, q = short.select("h", *(F.col(c).alias(f"{c}_p") for c in ("node", "n", "i", "comp"))), short.select("h", *(F.col(c).alias(f"{c}_q") for c in ("node", "n", "i", "comp")))
     # if h is the first that two sets share, no more than what follows it can be shared besides
