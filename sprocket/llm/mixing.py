@@ -135,7 +135,8 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     light = sized.groupBy(source, "_mix_bucket").agg(F.sum("size").alias("_mix_n"))
     before = F.coalesce(F.sum("_mix_n").over(W.partitionBy(source).orderBy("_mix_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = light.select(F.col(source).alias("_mix_s"), F.col("_mix_bucket").alias("_mix_b"), before.alias("_mix_before"))
-    own = W.partitionBy(source, "_mix_bucket").orderBy("_mix_key", doc_id, "size", text).rowsBetween(W.unboundedPreceding, 0)
+    # a digest settles ties, so that texts are not dealt out where the caller does not ask for them
+    own = W.partitionBy(source, "_mix_bucket").orderBy("_mix_key", doc_id, "size", F.md5(F.col(text).cast("binary"))).rowsBetween(W.unboundedPreceding, 0)
     placed = sized.withColumn("_mix_in", F.sum("size").over(own) - F.col("size"))
     x = placed.join(offsets, placed[source].eqNullSafe(offsets["_mix_s"]) & (placed["_mix_bucket"] == offsets["_mix_b"]), "left")
     x = x.join(plan, x[source].eqNullSafe(plan["_mix_source"]), "left").withColumn("_mix_at", F.col("_mix_in") + F.col("_mix_before"))
