@@ -11,6 +11,8 @@ from sprocket.llm.common import written
 
 #: Words in a block of the mix: whole passages, where the query's shorter blocks come nearer to the targets.
 MIX_BLOCK = 256
+#: Near-duplicates here: shingles of so many words, and the similarity in hundredths (the query op5 has its own).
+SHINGLE, SIMILAR = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +24,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document with the smallest id of each group of near-duplicates."""
     ids = docs.groupBy("doc_id").count()
     if ids.filter("doc_id is null or count > 1").isEmpty():
-        gone = jaccard.join(docs).filter("doc_id <> component_id").select("doc_id")
+        gone = jaccard.join(docs, k=SHINGLE, percent=SIMILAR).filter("doc_id <> component_id").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # ids that do not tell rows apart: number the rows first
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    gone = jaccard.join(rows, doc_id="_row").filter("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
+    gone = jaccard.join(rows, doc_id="_row", k=SHINGLE, percent=SIMILAR).filter("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
