@@ -1 +1,3 @@
-"""Package `sprocket.plans`."""
+"""Registry of plan transforms and the registered queries."""
+
+from . import queries, timeline
