@@ -32,6 +32,7 @@ Sets, and nodes, are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -315,14 +316,14 @@ def exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.mapInArrow(run, "a long, b long")
 
 
-def band(n: Column) -> Column:
-    """Bands of sizes by powers of 100 / 85: similar sizes are in the same or in neighbouring bands."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int")
+def band(n: Column, percent: int = PERCENT) -> Column:
+    """Bands of sizes by powers of 100 / percent (a little more, so that rounding never puts similar sizes two bands apart): similar sizes are in the same or in neighbouring bands."""
+    return F.floor(F.log(n.cast("double")) / math.log(max(100 / percent, 1.01) * (1 + 1e-9))).cast("int")
 
 
 def long_lists(rows: DataFrame, nodes: DataFrame, counts: DataFrame, percent: int, best: bool = False) -> DataFrame:
     """Pairs (a, b) of different components that meet in a long list and whose signatures allow the similarity; best: of each node's pairs in a cell only the one with the greatest bound."""
-    r = rows.join(counts.filter(F.col("c") > SHORT), "h").withColumn("band", band(F.col("n")))
+    r = rows.join(counts.filter(F.col("c") > SHORT), "h").withColumn("band", band(F.col("n"), percent))
     tiles = r.groupBy("h", "band").agg(F.ceil(F.count("*") / TILE).alias("t"))
     here = tiles.select("h", "band", "t")
     above = tiles.select("h", (F.col("band") - 1).alias("band"), F.col("t").alias("up"))

@@ -84,6 +84,35 @@ def test_jaccard_brute(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.join(d).collect())) == want
 
 
+def test_jaccard_sizes_at_80(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHORT", 2)
+    monkeypatch.setattr(jaccard, "TILE", 3)
+    rows, sets = [], []
+    for g, (few, many) in enumerate([(65, 81), (66, 82), (76, 95), (90, 112), (65, 78), (80, 96), (100, 118), (120, 150)] * 2):
+        base = [f"g{g}w{i}" for i in range(many + 4)]
+        texts = [base, base[: few + 4]]
+        # near the shorter text only: they make the lists long and the leaders others
+        texts += [[*base[: few - 2], *(f"g{g}v{v}x{i}" for i in range(6))] for v in range(12)]
+        for w in texts:
+            rows.append((len(rows), " ".join(w)))
+            sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                a_, b_ = sorted((find(i), find(j)))
+                root[b_] = a_
+    want = [(i, len(s), find(i)) for i, s in enumerate(sets)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.join(d, k=5, percent=80).collect())) == want
+
+
 def test_word_hashes_over_parts(monkeypatch):
     text = "alpha beta " * 60 + "y" * 400 + " gamma\tdelta\n" + "z " * 99
     whole = jaccard._word_hashes(text.encode())
