@@ -186,5 +186,6 @@ def decode_media(df: DataFrame, media: str = "media", tiles: bool = True) -> Dat
 
 
 def media_table(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), tiles: bool = True) -> DataFrame:
-    """Texts stored as images in a table of the shared folder, read again and described."""
-    return decode_media(written(encode_texts(df, text, keep), "media"), tiles=tiles)
+    """Texts stored as images in a table of the shared folder, read again and described; the descriptions with their tiles are a table there, too."""
+    described = decode_media(written(encode_texts(df, text, keep), "media"), tiles=tiles)
+    return written(described, "tiles") if tiles else described

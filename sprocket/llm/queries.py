@@ -68,7 +68,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_table(_table(spark, sf_dir, "documents"), tiles=False)
+    return media.media_table(_table(spark, sf_dir, "documents"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import io
 import re
 import zlib
 from fractions import Fraction
@@ -219,6 +220,20 @@ def test_media(spark):
     assert r[1][2:] == r[3][2:] and r[2]["payload_bytes"] == 192
 
 
+def test_media_query_writes_tiles(spark, tmp_path):
+    text = "".join(chr(33 + (i * i) % 90) for i in range(192 * 5))
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.queries()["op8_media"](spark, str(tmp_path))
+    assert out.columns[-1] == "tile" and all("/tiles-" in f for f in out.inputFiles())
+    tiles = {r["doc_id"]: np.load(io.BytesIO(r["tile"])) for r in out.collect()}
+    assert all(t.shape == (16, 16) and t.dtype == np.uint8 for t in tiles.values())
+    # by brute force: every source pixel repeated so often that both grids fit
+    x = np.frombuffer(text.encode(), np.uint8).reshape(5, 64, 3) @ np.array([299, 587, 114])
+    big = np.repeat(x, 16, axis=0).reshape(16, 5, 16, 4)
+    assert np.abs(tiles[1] - big.mean((1, 3)) / 1000).max() <= 0.5 + 1e-6
+    assert (tiles[2] == 32).all()
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
