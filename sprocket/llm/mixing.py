@@ -6,10 +6,12 @@ shared anew among the rest. Each source's words, its documents laid end to end i
 order given by a seeded hash, are cut into blocks of BLOCK words. The total of the
 targets, in blocks, is dealt to the sources as integer quotas by highest quotients
 target / (2 seats + 1); the divisor is found by bisection, so no seat is dealt one by
-one. A quota's seats go to the shards in turn, from a shard that the source's place
-decides, which gives integer quotas a shard. A source whose quota is p times its blocks
-and r more takes every block p times and r blocks once more, chosen by a seeded
-permutation of block numbers.
+one. A source whose quota is p times its blocks and r more takes every block p times and
+r blocks once more. A source's block j lies in shard j modulo SHARDS, turned by the
+source's place. The r seats go to the shards in turn, r / SHARDS to each and the rest to
+shards that a seeded permutation picks among those with a block to spare; that gives
+integer quotas a shard, and a shard's seats go to its blocks by a seeded permutation of
+its own.
 
 Only a row for each source reaches the driver. Places in a source are found in two
 levels (hash buckets, then within a bucket), so that a source with a third of all words
@@ -93,7 +95,7 @@ def apportion(shares: list[Fraction], seats: int, most: list[int]) -> list[int]:
 
 @dataclass(frozen=True)
 class Quota:
-    """What a source takes: all blocks `passes` times, `extra` of its `blocks` once more; seats start at `shard`."""
+    """What a source takes: all blocks `passes` times, `extra` of its `blocks` once more. Block j lies in shard (j + `shard`) modulo the shards; (`step`, `shift`) permute the blocks of a shard with one block more than `short`, (`short_step`, `shift`) those of the others, and (`turn`, `shift`) the `spare` shards that may get a seat more."""
 
     source: str | None
     size: int
@@ -102,10 +104,22 @@ class Quota:
     passes: int
     extra: int
     step: int
+    short_step: int
+    turn: int
+    short: int
+    spare: int
     shift: int
     shard: int
 
 
+def coprime(x: int, n: int) -> int:
+    """A step near x that meets all of n places."""
+    x = x % n if n else 0
+    while n and math.gcd(x, n) != 1:
+        x += 1
+    return x % n if n else 0
+
+
 def quotas(sizes: dict[str | None, int], block: int = BLOCK, seed: int = SEED, shards: int = SHARDS, share: Fraction = SHARE) -> list[Quota]:
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
     want = targets([sizes[s] for s in names], share=share)
@@ -114,23 +128,39 @@ def quotas(sizes: dict[str | None, int], block: int = BLOCK, seed: int = SEED, s
     out = []
     for i, s in enumerate(names):
         n = blocks[i]
-        step = (2654435761 * (seed + i + 1)) % n if n else 0
-        while n and math.gcd(step, n) != 1:
-            step += 1
         passes, extra = divmod(seats[i], n) if n else (0, 0)
-        out.append(Quota(s, sizes[s], float(want[i]), n, passes, extra, step % n if n else 0, (seed * 7919 + i * 104729) % n if n else 0, (seed + i) % shards))
+        short = n // shards
+        # where each shard's seats fill the shards of fewer blocks, only those with a block more can take the rest
+        spare = shards if extra // shards < short else n % shards
+        x = 2654435761 * (seed + i + 1)
+        out.append(Quota(s, sizes[s], float(want[i]), n, passes, extra, coprime(x, short + 1), coprime(x, short), coprime(x, spare), short, spare, seed * 7919 + i * 104729, (seed + i) % shards))
     return out
 
 
-def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", block: int = BLOCK, seed: int = SEED, share: Fraction = SHARE) -> DataFrame:
+def permuted(x: Column, step: Column, shift: Column, n: Column) -> Column:
+    """(step * x + shift) modulo n for x and step below n, in two halves of x: step * x may exceed 2 ** 63."""
+    return F.pmod(F.pmod(F.pmod(step * F.floor(x / 65536), n) * 65536, n) + step * (x % 65536) + shift, n)
+
+
+def is_extra(j: Column, shards: int) -> Column:
+    """Whether a source's block j is one of its shard's seats."""
+    blocks, extra, short, spare, shift = (F.col(f"_mix_{c}") for c in ("blocks", "extra", "short", "spare", "shift"))
+    at = j % shards
+    longer = at < blocks % shards
+    more = (at < spare) & (permuted(at, F.col("_mix_turn"), shift, F.greatest(spare, F.lit(1))) < extra % shards)
+    place = permuted(F.floor(j / shards), F.when(longer, F.col("_mix_step")).otherwise(F.col("_mix_short_step")), shift + at * 7919, F.when(longer, short + 1).otherwise(F.greatest(short, F.lit(1))))
+    return place < F.floor(extra / shards) + more.cast("long")
+
+
+def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", block: int = BLOCK, seed: int = SEED, share: Fraction = SHARE, shards: int = SHARDS) -> DataFrame:
     """df with size, source_size, target, _mix_at (the document's place in its source), passes, chosen (numbers of the extra blocks that it meets) and taken."""
     spark = df.sparkSession
     sized = df.withColumns({"size": n_words(F.col(text)), "_mix_key": F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"))})
     # one row a source
     totals = {r[0]: (int(r[1]), r[2]) for r in sized.groupBy(source).agg(F.sum("size"), F.count("*")).collect()}
-    q = quotas({s: n for s, (n, _) in totals.items()}, block, seed, share=share)
+    q = quotas({s: n for s, (n, _) in totals.items()}, block, seed, shards, share)
     buckets = max(16, max((n for _, n in totals.values()), default=0) // PER_BUCKET)
-    plan = spark.createDataFrame([(x.source, x.size, x.target, x.blocks, x.passes, x.extra, x.step, x.shift, x.shard) for x in q] or [], "_mix_source string, source_size long, target double, _mix_blocks long, passes long, _mix_extra long, _mix_step long, _mix_shift long, _mix_shard int")
+    plan = spark.createDataFrame([(x.source, x.size, x.target, x.blocks, x.passes, x.extra, x.step, x.short_step, x.turn, x.short, x.spare, x.shift) for x in q] or [], "_mix_source string, source_size long, target double, _mix_blocks long, passes long, _mix_extra long, _mix_step long, _mix_short_step long, _mix_turn long, _mix_short long, _mix_spare long, _mix_shift long")
     sized = sized.withColumn("_mix_bucket", F.pmod(F.col("_mix_key"), F.lit(buckets)))
     light = sized.groupBy(source, "_mix_bucket").agg(F.sum("size").alias("_mix_n"))
     before = F.coalesce(F.sum("_mix_n").over(W.partitionBy(source).orderBy("_mix_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -141,9 +171,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     x = placed.join(offsets, placed[source].eqNullSafe(offsets["_mix_s"]) & (placed["_mix_bucket"] == offsets["_mix_b"]), "left")
     x = x.join(plan, x[source].eqNullSafe(plan["_mix_source"]), "left").withColumn("_mix_at", F.col("_mix_in") + F.col("_mix_before"))
     first, last = F.floor(F.col("_mix_at") / block), F.floor((F.col("_mix_at") + F.col("size") - 1) / block)
-    # step * j stays far below 2**63: multiply modulo the number of blocks in two halves of j
-    place = lambda j: F.pmod(F.pmod(F.pmod(F.col("_mix_step") * F.floor(j / 65536), F.col("_mix_blocks")) * 65536, F.col("_mix_blocks")) + F.col("_mix_step") * (j % 65536) + F.col("_mix_shift"), F.col("_mix_blocks"))
-    chosen = F.when((F.col("size") > 0) & (F.col("_mix_extra") > 0), F.filter(F.sequence(first, last), lambda j: place(j) < F.col("_mix_extra"))).otherwise(F.array().cast("array<long>"))
+    chosen = F.when((F.col("size") > 0) & (F.col("_mix_extra") > 0), F.filter(F.sequence(first, last), lambda j: is_extra(j, shards))).otherwise(F.array().cast("array<long>"))
     x = x.withColumn("chosen", chosen)
     part = F.aggregate(F.col("chosen"), F.lit(0).cast("long"), lambda a, j: a + F.least((j + 1) * block, F.col("_mix_at") + F.col("size")) - F.greatest(j * block, F.col("_mix_at")))
     x = x.withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long"))
@@ -193,9 +221,11 @@ def mixed_rows(mixed: DataFrame, columns: list[str], text: str = "text", n_chars
 
 
 def shard_quotas(sizes: dict[str | None, int], block: int = BLOCK, seed: int = SEED, shards: int = SHARDS, share: Fraction = SHARE) -> list[tuple[str | None, int, int]]:
-    """(source, shard, seats): seats go to the shards in turn."""
+    """(source, shard, seats): of every block `passes` seats, and what the shard has of the extra ones."""
     out = []
     for x in quotas(sizes, block, seed, shards, share):
-        seats = x.passes * x.blocks + x.extra
-        out += [(x.source, k, seats // shards + ((k - x.shard) % shards < seats % shards)) for k in range(shards)]
+        for k in range(shards):
+            at = (k - x.shard) % shards
+            more = at < x.spare and (x.turn * at + x.shift) % x.spare < x.extra % shards
+            out.append((x.source, k, x.passes * (x.short + (at < x.blocks % shards)) + x.extra // shards + more))
     return out

@@ -192,6 +192,36 @@ def test_mix(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, m.select("doc_id", "taken").collect()))
 
 
+@pytest.mark.parametrize("shards", [64, 5])
+def test_mix_takes_each_shards_quota(spark, shards):
+    sizes = {"a": 40_000, "b": 9_000, "c": 700, None: 33, "d": 12_345, "e": 0}
+    rows = [(i, s, " ".join(["w"] * n)) for s, total in sizes.items() for i, n in enumerate([97] * (total // 97) + [total % 97])]
+    r = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), shards=shards).collect()
+    plan = {q.source: q for q in mixing.quotas(sizes, shards=shards)}
+    assert any(q.extra for q in plan.values())
+    chosen = {(x["source"], j) for x in r for j in x["chosen"]}
+    got = {}
+    for s, q in plan.items():
+        assert len([j for t, j in chosen if t == s]) == q.extra
+        for j in range(q.blocks):
+            k = (s, (j + q.shard) % shards)
+            got[k] = got.get(k, 0) + q.passes + ((s, j) in chosen)
+    quota = {(s, k): n for s, k, n in mixing.shard_quotas(sizes, shards=shards)}
+    assert quota == {k: got.get(k, 0) for k in quota}
+
+
+def test_shard_quotas_stay_within_blocks():
+    for n in range(1, 400, 7):
+        for share in (Fraction(1, 3), Fraction(9, 8), Fraction(3, 2), Fraction(2)):
+            q = mixing.quotas({"a": n, "b": 3 * n}, block=1, shards=8, share=share)
+            seats = mixing.shard_quotas({"a": n, "b": 3 * n}, block=1, shards=8, share=share)
+            for x in q:
+                own = {k: s for y, k, s in seats if y == x.source}
+                held = {k: x.short + ((k - x.shard) % 8 < x.blocks % 8) for k in own}
+                assert sum(own.values()) == x.passes * x.blocks + x.extra
+                assert all(x.passes * held[k] <= own[k] <= (x.passes + 1) * held[k] for k in own)
+
+
 def test_language(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", langid.held_out(F.col("doc_id")))
     p = langid.predict(d, langid.fit(d.filter("not held_out")), keep=("doc_id", "held_out", "lang")).filter("held_out").toPandas()
