@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-
+import hashlib
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def bounds(df: DataFrame, keys: list[str], order: list[str], length: Column) -> DataFrame:
@@ -38,10 +42,43 @@ def first_by(df: DataFrame, keys: list[str], priority: Column, order: list[str])
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def fold(df: DataFrame, keys: list[str], start: Callable[[], Any], step: Callable[[Any, list], Any], finish: Callable[[Any], tuple], result: list[T.StructField]) -> DataFrame:
+    """(keys, result): a fold over each key's rows in the order of the other columns. Sorted rows stream through; of a key only its state is held."""
+    rest = [c for c in df.columns if c not in keys]
+    schema = T.StructType([*(df.schema[k] for k in keys), *result])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for b in batches:
+            done = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != row[: len(keys)]:
+                    if key is not None:
+                        done.append((*key, *finish(state)))
+                    key, state = row[: len(keys)], start()
+                state = step(state, row[len(keys) :])
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, *finish(state)), arrow, strict=True)], schema=arrow)
+
+    return df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *rest).mapInArrow(run, schema)
+
+
 def ordered_hash(df: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
     """(keys, digest): SHA-256 of the rows in their own order, whatever order they came in."""
     row = F.concat_ws("|", *(F.coalesce(F.col(p).cast("string"), F.lit("\\N")) for p in parts))
-    return df.groupBy(*keys).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256).alias("digest"))
+
+    def step(h: Any, row: list) -> Any:
+        if h is None:
+            h = hashlib.sha256()
+        else:
+            h.update(b"\n")
+        h.update(row[0].encode("utf-8", "surrogatepass"))
+        return h
+
+    return fold(df.select(*keys, row.alias("_row")), keys, lambda: None, step, lambda h: (h.hexdigest(),), [T.StructField("digest", T.StringType())])
 
 
 def kept_in_order(ranks: list[int], weights: list[float]) -> list[bool]:
@@ -73,15 +110,20 @@ def moved(df: DataFrame, key: str, before: str, after: str, weight: str) -> Data
 
 def eta(df: DataFrame, key: str, at: str, progress: str, alpha: float = 0.3) -> DataFrame:
     """(key, rate, observations): exponentially weighted rate of progress a second; a decrease starts it anew. A fold over the key's sorted observations."""
-    x = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(progress).cast("double").alias("p")))).alias("obs"))
-    zero = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("rate"), F.lit(0).alias("n"))
-
-    def step(acc: Column, o: Column) -> Column:
-        now = (o["p"] - acc["p"]) / (o["t"] - acc["t"])
-        fresh = acc["p"].isNull() | (o["p"] < acc["p"])
-        rate = F.when(fresh, F.lit(None).cast("double")).when(o["t"] <= acc["t"], acc["rate"]).when(acc["rate"].isNull(), now).otherwise(alpha * now + (1 - alpha) * acc["rate"])
-        return F.struct(o["t"].alias("t"), o["p"].alias("p"), rate.alias("rate"), F.when(fresh, 1).otherwise(acc["n"] + 1).alias("n"))
-
-    return x.select(key, F.aggregate("obs", zero, step).alias("f")).select(key, F.col("f.rate").alias("rate"), F.col("f.n").alias("observations"))
-
-
+    x = df.select(key, F.col(at).cast("double").alias("_t"), F.col(progress).cast("double").alias("_p"))
+
+    def less(a: float | None, b: float | None) -> bool:
+        # as in SQL: null is never less, and NaN is the greatest
+        return a is not None and b is not None and (a < b or (b != b and a == a))
+
+    def step(state: tuple, row: list) -> tuple:
+        (t, p, rate, n), (t1, p1) = state, row
+        if p is None or less(p1, p):
+            return t1, p1, None, 1
+        if t is not None and t1 is not None and not less(t, t1):
+            return t1, p1, rate, n + 1
+        now = None if None in (t, t1, p1) else (p1 - p) / (t1 - t)
+        return t1, p1, now if rate is None or now is None else alpha * now + (1 - alpha) * rate, n + 1
+
+    result = [T.StructField("rate", T.DoubleType()), T.StructField("observations", T.IntegerType())]
+    return fold(x, [key], lambda: (None, None, None, 0), step, lambda s: s[2:], result)

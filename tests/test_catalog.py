@@ -119,3 +119,26 @@ def test_feed(spark, tmp_path):
         q.awaitTermination(120)
     assert [r["status"] for r in spark.table("once").collect()] == ["done"]
     assert [r["status"] for r in spark.table("state").orderBy("at").collect()] == ["queued", "running", "done"]
+
+
+def test_folds_hold_no_groups(spark):
+    import hashlib
+
+    from sprocket.operators import sequences
+
+    rows = [("a", i, i * 7 % 1000) for i in range(25_000)] + [("b", None, 2), (None, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, x long, y long").repartition(5)
+    digest, eta = sequences.ordered_hash(df, ["k"], ["x", "y"]), sequences.eta(df, "k", "x", "y")
+    for out in (digest, eta):
+        assert "collect_list" not in out._jdf.queryExecution().toString()
+    want = {k: hashlib.sha256("\n".join(sorted("|".join("\\N" if v is None else str(v) for v in r[1:]) for r in rows if r[0] == k)).encode()).hexdigest() for k in ("a", "b", None)}
+    assert {r["k"]: r["digest"] for r in digest.collect()} == want
+    rate, n, before = None, 0, None
+    for _, t, p in rows[:25_000]:
+        if before is None or p < before[1]:
+            rate, n = None, 1
+        else:
+            now = (p - before[1]) / (t - before[0])
+            rate, n = now if rate is None else 0.3 * now + (1 - 0.3) * rate, n + 1
+        before = (t, p)
+    assert {r["k"]: (r["rate"], r["observations"]) for r in eta.collect()} == {"a": (rate, n), "b": (None, 1), None: (None, 1)}
