@@ -21,6 +21,7 @@ import hashlib
 import math
 import random
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 MAX_TOKENS = 15
-#: Characters on either side of a trigger that a window takes in.
-REACH = 48
+#: Tokens before a trigger that a window takes in: the longest segment that ends with it, and two for its cue. After it come MAX_TOKENS, one more than a segment has.
+BEFORE = MAX_TOKENS + 1
 
 
 def luhn(digits: str) -> bool:
@@ -133,26 +134,25 @@ def features(s: str, before: str, after: str) -> list[int]:
 
 
 def windows(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Stretches around triggers outside the taken spans, merged where they overlap; none crosses a taken span."""
-    lo = hi = -1
-    free = [*taken, (len(text), len(text))]
-    k = 0
-    for m in TRIGGER.finditer(text):
-        at = m.start()
-        while free[k][1] <= at:
-            k += 1
-        if free[k][0] <= at:
+    """Stretches of whole tokens around triggers outside the taken spans, merged where they overlap; none crosses a taken span. Each holds all segments that its triggers can be part of."""
+    ends = [0, *(e for _, e in taken)]
+    for left, right in zip(ends, [*(s for s, _ in taken), len(text)], strict=True):
+        if not TRIGGER.search(text, left, right):
             continue
-        left = free[k - 1][1] if k else 0
-        a, b = max(left, at - REACH), min(free[k][0], at + REACH)
-        if a <= hi and left <= lo:
-            hi = max(hi, b)
-        else:
-            if hi > lo:
-                yield lo, hi
-            lo, hi = a, b
-    if hi > lo:
-        yield lo, hi
+        lo = hi = -1
+        rest, starts = 0, deque(maxlen=BEFORE + 1)
+        for m in TOKEN.finditer(text, left, right):
+            starts.append(m.start())
+            if TRIGGER.match(m[0]):
+                if starts[0] > hi:
+                    if hi > lo:
+                        yield lo, hi
+                    lo = starts[0]
+                hi, rest = m.end(), MAX_TOKENS
+            elif rest:
+                hi, rest = m.end(), rest - 1
+        if hi > lo:
+            yield lo, hi
 
 
 def lattice(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:

@@ -4,13 +4,13 @@ List events (pattern, list, action, at), action 'add' or 'remove', become validi
 intervals [from, to): an entry is active from an addition to the next removal of the
 same (list, pattern). A pattern is a host, which covers its subdomains, or a host with a
 path prefix. A capture's candidate patterns (its host and parent domains, each also with
-the path's prefixes) are bounded by the url's labels and segments; they are matched by
+the path's prefixes, as deep as the deepest pattern) are bounded by the url's labels and segments; they are matched by
 equality, after the intervals of a pattern have been gathered into one sorted array, and
 the as-of test runs inside that array. So the join adds no row whatever a host's history
 is, and a hot host's captures can be split.
 
 Defined cases: a null or empty url, or a null fetch time, matches nothing; patterns are
-compared without case and without a leading ``www.``; repeated events change nothing; a
+lower-cased and lose a leading ``www.``, a url's host too, its path keeps its case; repeated events change nothing; a
 removal at the same instant as an addition wins; captures repeated stay repeated; empty
 lists or captures give empty matches.
 """
@@ -21,8 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_SEGMENTS = 3
-
 
 def host_of(url: Column) -> Column:
     """Host in lower case without port, user and a leading www."""
@@ -30,8 +28,8 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(raw, r"^www\.|\.$", "")
 
 
-def candidates(url: Column, segments: int = MAX_SEGMENTS) -> Column:
-    """Patterns that would cover a url."""
+def candidates(url: Column, segments: int) -> Column:
+    """Patterns of at most so many path segments that would cover a url."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
@@ -56,10 +54,12 @@ def intervals(events: DataFrame) -> DataFrame:
 def match(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """captures with lists (sorted names of the lists that cover the capture at its fetch time), patterns (those that matched) and blocked."""
     history = intervals(events).groupBy("pattern").agg(F.sort_array(F.collect_set(F.struct("valid_from", "valid_to", "list"))).alias("_hist"))
+    # one number: no pattern has more path segments, so longer prefixes match nothing
+    segments = history.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
     own = captures.columns
     # a capture's match depends on its url and time alone, so equal pairs are matched once
     pairs = captures.select(F.col(url).alias("_url"), F.col(fetched).alias("_at")).filter("_url is not null and _at is not null").distinct()
-    keyed = pairs.withColumn("pattern", F.explode(candidates(F.col("_url"))))
+    keyed = pairs.withColumn("pattern", F.explode(candidates(F.col("_url"), segments)))
     hit = keyed.join(history, "pattern").withColumn("_now", F.filter("_hist", lambda x: (x["valid_from"] <= F.col("_at")) & (x["valid_to"].isNull() | (F.col("_at") < x["valid_to"]))))
     names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("_now", lambda x: x["list"])))))
     hit = hit.filter(F.size("_now") > 0).groupBy("_url", "_at").agg(names.alias("_lists"), F.array_sort(F.collect_set("pattern")).alias("_patterns"))

@@ -146,6 +146,13 @@ def test_field_adds_spans():
     assert np.mean(got) > 0.9
 
 
+@pytest.mark.parametrize("address", ["billing.department (at) international-freight-and-logistics-partners (dot) com", "x" * 60 + " (at) example (dot) org", "jane.doe (at) " + "y" * 60 + " (dot) org"])
+def test_field_reaches_whole_tokens(address):
+    w = pii.trained()
+    text = f"Please write to {address} today or tomorrow, whatever suits you"
+    assert [text[s:e] for s, _, e in pii.all_spans(text, w)] == [address]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -294,3 +301,10 @@ def test_url_lists_times(spark):
     caps = spark.createDataFrame([(i, u, t) for i, (u, t) in enumerate([("http://bad.com/", 9), ("http://a.bad.com/", 10), ("http://bad.com/x/y", 20), ("http://bad.com/", 35), (None, 15), ("", 15), ("http://notbad.com/", 15)])], "id int, url string, fetched_at long")
     got = {r["id"]: r["lists"] for r in urllists.match(caps, events).collect()}
     assert got == {0: [], 1: ["l"], 2: ["m"], 3: ["l"], 4: [], 5: [], 6: []}
+
+
+def test_url_lists_deep_paths(spark):
+    events = spark.createDataFrame([("bad.com/a/b/c/d", "l", "add", 1), ("worse.com/1/2/3/4/5/6", "m", "add", 1)], "pattern string, list string, action string, at long")
+    urls = ["http://bad.com/a/b/c/d", "http://x.bad.com/a/b/c/d/e?q", "http://bad.com/a/b/c", "http://worse.com/1/2/3/4/5/6/7", "http://worse.com/1/2/3/4/5"]
+    caps = spark.createDataFrame([(i, u, 5) for i, u in enumerate(urls)], "id int, url string, fetched_at long")
+    assert {r["id"]: r["lists"] for r in urllists.match(caps, events).collect()} == {0: ["l"], 1: ["l"], 2: [], 3: ["m"], 4: []}
