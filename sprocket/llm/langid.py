@@ -1,47 +1,52 @@
 """Language identification by prediction by partial matching (operator 6).
 
-For every language, counts of byte sequences up to four long form a context tree of
-order 3. A byte's probability is its count in the longest context known to the
-language, over that context's total plus its number of distinct followers (escape
-method C); a byte unseen there costs the escape and is looked for one order down, at the
-end in a uniform order. Statistics are frozen after fitting, and a text's score in a
-language is its exact code length in bits. The shortest code wins; the score is the
+For every language, counts of byte sequences of up to four bytes form a context tree of
+order 3. A byte's probability is its count in the longest context, over that context's
+total plus its number of distinct followers (escape method C); a byte that is no node
+there costs the context's escape and is looked for one order down, at the end in a
+uniform order over all 256 bytes. Statistics are frozen after fitting, and a text's score
+in a language is its exact code length in bits. The shortest code wins; the score is the
 winner's share under the code lengths per SCORED bytes.
 
-Bytes are first normalised (lower case, digits as one, white space as one) and the
-ALPHABET - 1 most frequent keep a symbol of their own; the rest share one. So contexts
-are numbers below ALPHABET ** 3 and all tables have a bound that no corpus exceeds.
+Bytes are first normalised (lower case, digits as one, white space as one); otherwise
+every byte is a symbol of its own, so scripts of several bytes a letter keep theirs.
 
 Counting covers every training row: each task counts the sequences of its rows, and one
-shuffle adds the counts up. The model keeps at most MAX_GRAMS four-byte sequences, the
-most frequent ones (those of no more than one occurrence may go first); all lower orders
-are complete.
+shuffle adds the counts up. Of each order every language keeps its own most frequent
+sequences as nodes, NODES at most (all of one count or none), whatever other languages
+there are; what it does not keep goes into the escape, whose mass is counted from all
+sequences. So each context's probabilities, escape included, sum to one at any size, and
+a model has a few MB a language.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; rows with
-null language are never learned from; without any training row all is ``und``; repeated
-rows each count; other columns pass through.
+null language are never learned from; without any training row all is ``und``; ties go to
+the first language by code point; repeated rows each count; kept columns named lang_pred
+or score give way to the results; an empty table gives an empty result. Texts of any
+length are read in pieces of CHUNK bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
 
-ALPHABET = 64
-BITS = 6
-MAX_GRAMS = 1_000_000
+#: Bytes in the longest sequence: three of context and the byte that is coded.
+LONGEST = 4
+#: Sequences of one order that a language keeps as nodes, at most. A bound of the model, not of what is counted.
+NODES = 1 << 16
 #: The share is taken of code lengths for so many bytes, as neighbouring bytes are not independent.
 SCORED = 64
-#: Bytes handled at once.
-CHUNK = 1 << 20
+#: Bytes handled at once, and distinct sequences that a counting task holds.
+CHUNK, HELD = 1 << 20, 1 << 21
 
 
 def _normal() -> np.ndarray:
@@ -55,192 +60,163 @@ def _normal() -> np.ndarray:
 NORMAL = _normal()
 
 
-def symbols(byte_counts: np.ndarray) -> np.ndarray:
-    """The symbol of every byte, from the counts of normalised bytes."""
-    order = [int(b) for b in np.lexsort((np.arange(256), -byte_counts)) if byte_counts[b]][: ALPHABET - 1]
-    known = np.zeros(256, np.int32)
-    known[order] = np.arange(1, len(order) + 1)
-    return known[NORMAL]
+def sequences(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, first, codes): the four-byte sequence that ends at each byte, from `first` on those of each row; three blanks come before a text. Long texts come in several pieces."""
+    rows: list[int] = []
+    parts: list[bytes] = []
+    size = 0
 
+    def done() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s = NORMAL[np.frombuffer(b"".join(parts), np.uint8)].astype(np.uint32)
+        starts = np.cumsum([0, *(len(p) for p in parts[:-1])])
+        code = (s[:-3] << 24) | (s[1:-2] << 16) | (s[2:-1] << 8) | s[3:]
+        inside = np.ones(len(code) + 3, bool)
+        for k in range(3):
+            inside[starts + k] = False
+        return np.array(rows), starts - 3 * np.arange(len(starts)), code[inside[3:]]
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, one past the last, bytes, starts): every text after three blanks, some CHUNK bytes together."""
-    first, parts, starts, size = 0, [], [], 0
     for i, t in enumerate(texts):
-        raw = (t or "").encode("utf-8", "replace")
-        starts.append(size)
-        parts.append(b"   " + raw)
-        size += 3 + len(raw)
-        if size >= CHUNK or i == len(texts) - 1:
-            yield first, i + 1, np.frombuffer(b"".join(parts), np.uint8), np.array(starts)
-            first, parts, starts, size = i + 1, [], [], 0
-
-
-def codes(data: np.ndarray, starts: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The four-symbol sequence that ends at each byte of a text; each text's first place in them; its number of bytes."""
-    s = symbol[data]
-    c = np.zeros(len(s), np.int32)
-    c[3:] = (s[:-3] << 3 * BITS) | (s[1:-2] << 2 * BITS) | (s[2:-1] << BITS) | s[3:]
-    real = np.ones(len(s), bool)
-    for k in range(3):
-        real[starts + k] = False
-    sizes = np.diff(np.append(starts, len(s))) - 3
-    return c[real], np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes
+        raw = b"   " + (t or "").encode("utf-8", "replace")
+        for at in range(3, len(raw), CHUNK):
+            parts.append(raw[at - 3 : at + CHUNK])
+            rows.append(i)
+            size += len(parts[-1])
+            if size >= CHUNK:
+                yield done()
+                rows, parts, size = [], [], 0
+    if parts:
+        yield done()
 
 
 @dataclass
-class Model:
-    langs: list[str]
-    symbol: np.ndarray
-    #: For each four-symbol sequence of some language, its row in cost.
-    keys: np.ndarray
-    cost: np.ndarray
-    #: Cost of escaping a three-symbol context, and of a sequence's last three symbols.
-    escape: np.ndarray
-    lower: np.ndarray
-
-
-def byte_counts(df: DataFrame, text: str) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for b in batches:
-            for _, _, data, _ in chunks(b.column(0).to_pylist()):
-                total += np.bincount(NORMAL[data], minlength=256)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["byte", "n"])
-
-    rows = df.select(text).mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()  # at most 256 rows
-    out = np.zeros(256, np.int64)
-    for r in rows:
-        out[r["byte"]] = r["n"]
-    return out
-
-
-def gram_counts(df: DataFrame, text: str, lang: str, symbol: np.ndarray) -> DataFrame:
+class Tree:
+    """A language's nodes: for each number of bytes (1 to LONGEST) the sequences and the costs of their last byte, and the contexts and the costs of leaving them."""
+
+    lang: str
+    nodes: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    leave: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    def bits(self, codes: np.ndarray, k: int = LONGEST) -> np.ndarray:
+        """The cost of each sequence's last byte after the k - 1 bytes before it."""
+        if not k:
+            return np.full(len(codes), 8.0)
+        codes = codes & np.uint32((1 << 8 * k) - 1)
+        out, known = _looked_up(self.nodes.get(k), codes)
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = _looked_up(self.leave.get(k), codes[new] >> np.uint32(8))[0] + self.bits(codes[new], k - 1)
+        return out
+
+
+def _looked_up(table: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys' values (0 where there is none), and whether there is one."""
+    if table is None or not len(table[0]):
+        return np.zeros(len(keys)), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    known = table[0][at] == keys
+    return np.where(known, table[1][at], 0.0), known
+
+
+def gram_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, gram, n) over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def fold(lang: str) -> tuple[np.ndarray, np.ndarray]:
+        def folded(lang: str) -> tuple[np.ndarray, np.ndarray]:
             keys, counts = (np.concatenate(x) for x in zip(*held[lang], strict=True))
             u, inv = np.unique(keys, return_inverse=True)
             held[lang] = [(u, np.bincount(inv, counts, len(u)).astype(np.int64))]
             return held[lang][0]
 
+        def let_go() -> Iterator[pa.RecordBatch]:
+            for y in held:
+                u, n = folded(y)
+                for at in range(0, len(u), 50_000):
+                    k = len(u[at : at + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array([y] * k, pa.string()), pa.array(u[at : at + k].astype(np.int64)), pa.array(n[at : at + k])], names=["lang", "gram", "n"])
+            held.clear()
+
         for b in batches:
             texts: dict[str, list] = {}
             for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 texts.setdefault(y, []).append(x)
             for y, own in texts.items():
-                for _, _, data, starts in chunks(own):
-                    held.setdefault(y, []).append(np.unique(codes(data, starts, symbol)[0], return_counts=True))
+                for _, _, codes in sequences(own):
+                    held.setdefault(y, []).append(np.unique(codes, return_counts=True))
                     if len(held[y]) > 12:
-                        fold(y)
-        for y in held:
-            u, n = fold(y)
-            for at in range(0, len(u), 50_000):
-                k = len(u[at : at + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array([y] * k, pa.string()), pa.array(u[at : at + k], pa.int32()), pa.array(n[at : at + k], pa.int64())], names=["lang", "gram", "n"])
-
-    return df.select(text, lang).mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def build(langs: list[str], symbol: np.ndarray, of: list[tuple[np.ndarray, np.ndarray]], orders: list[np.ndarray]) -> Model:
-    """of: each language's (gram, count); orders: each language's dense counts of three-symbol sequences."""
-    size, many = ALPHABET**3, len(langs)
-    keys = np.unique(np.concatenate([k for k, _ in of])) if of else np.zeros(0, np.int64)
-    cost = np.zeros((len(keys), many), np.float32)
-    escape, lower = np.zeros((size, many), np.float32), np.zeros((size, many), np.float32)
-    for j in range(many):
-        three = orders[j].astype(np.float64)
-        below = np.full(ALPHABET, np.log2(ALPHABET))
-        # orders 0, 1 and 2 one after the other: counts of 1, 2 and 3 symbols, the last being the byte coded
-        for k in (1, 2, 3):
-            n = three.reshape(-1, ALPHABET**k).sum(0).reshape(-1, ALPHABET)
-            seen, total = (n > 0).sum(1), n.sum(1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                own = -np.log2(n / (total + seen)[:, None])
-                esc = np.where(total > 0, -np.log2(seen / (total + seen)), 0.0)
-            short = np.tile(below.reshape(-1, ALPHABET), (len(n) // max(1, below.size // ALPHABET), 1))
-            below = np.where(n > 0, own, esc[:, None] + short).reshape(-1)
-        lower[:, j] = below
-        k, n = of[j]
-        ctx = k >> BITS
-        total, seen = np.bincount(ctx, n, size), np.bincount(ctx, minlength=size)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape[:, j] = np.where(total > 0, -np.log2(seen / (total + seen)), 0.0)
-        cost[:, j] = escape[keys >> BITS, j] + lower[keys & (size - 1), j]
-        cost[np.searchsorted(keys, k), j] = -np.log2(n / (total + seen)[ctx])
-    return Model(langs, symbol, keys.astype(np.int32), cost, escape, lower)
-
-
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS) -> Model:
+                        folded(y)
+            if sum(len(u) for x in held.values() for u, _ in x) > HELD:
+                yield from let_go()
+        yield from let_go()
+
+    return df.select(text, lang).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def grown(grams: DataFrame, k: int, nodes: int) -> tuple[DataFrame, DataFrame]:
+    """Of sequences of k bytes the nodes (lang, gram, bits), and the contexts (lang, gram, bits) with what leaving them costs; contexts without a node cost nothing to leave."""
+    counts = grams.groupBy("lang", (F.col("gram") % 256**k).alias("gram")).agg(F.sum("n").alias("n"))
+    # how many sequences of a language occur n times or more: a row for each count, not for each sequence
+    steps = counts.groupBy("lang", "n").agg(F.count("*").alias("m"))
+    upto = steps.withColumn("upto", F.sum("m").over(W.partitionBy("lang").orderBy(F.desc("n"))))
+    least = upto.filter(F.col("upto") <= nodes).groupBy("lang").agg(F.min("n").alias("least"))
+    marked = counts.join(F.broadcast(least), "lang", "left").select("lang", "gram", "n", F.shiftright("gram", 8).alias("ctx"), F.coalesce(F.col("n") >= F.col("least"), F.lit(False)).alias("node"))
+    of = marked.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("seen"), F.sum(F.when(F.col("node"), F.col("n")).otherwise(0)).alias("inside"))
+    of = of.filter("inside > 0").select("lang", "ctx", (F.col("total") + F.col("seen")).alias("all"), "inside")
+    kept = marked.filter("node").join(of, ["lang", "ctx"]).select("lang", "gram", F.log2(F.col("all") / F.col("n")).alias("bits"))
+    return kept, of.select("lang", F.col("ctx").alias("gram"), F.log2(F.col("all") / (F.col("all") - F.col("inside"))).alias("bits"))
+
+
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", nodes: int = NODES) -> list[Tree]:
+    """A tree for each language, in order of code point."""
     rows = train.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    symbol = symbols(byte_counts(rows, text))
-    grams = written(gram_counts(rows, text, lang, symbol), "ppm")
-    threes = grams.groupBy("lang", (F.col("gram") % ALPHABET**3).alias("gram")).agg(F.sum("n").alias("n"))
-    dense: dict[str, np.ndarray] = {}
-    for x in threes.toArrow().to_batches():  # at most ALPHABET ** 3 rows a language
-        for y in set(x.column(0).to_pylist()):
-            at = np.array(x.column(0).to_pylist()) == y
-            dense.setdefault(y, np.zeros(ALPHABET**3, np.int64))[x.column(1).to_numpy()[at]] += x.column(2).to_numpy()[at]
-    kept = grams.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
-    langs = sorted(dense)
-    names, gram, n = np.array(kept.column(0).to_pylist()), kept.column(1).to_numpy(), kept.column(2).to_numpy()
-    of = [(gram[names == y].astype(np.int64), n[names == y].astype(np.float64)) for y in langs]
-    return build(langs, symbol, of, [dense[y] for y in langs])
-
-
-class Scorer:
-    """Code lengths of texts in every language."""
-
-    def __init__(self, model: Model) -> None:
-        self.m = model
-        self.row = np.full(ALPHABET**4, -1, np.int32)
-        self.row[model.keys] = np.arange(len(model.keys), dtype=np.int32)
-
-    def bits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Code lengths (text, language), and the numbers of bytes."""
-        m, out, sizes = self.m, np.zeros((len(texts), len(self.m.langs))), np.zeros(len(texts), np.int64)
-        for a, b, data, starts in chunks(texts):
-            c, first, n = codes(data, starts, m.symbol)
-            r = self.row[c]
-            cost = m.cost[r] if len(m.cost) else np.zeros((len(c), len(m.langs)), np.float32)
-            new = np.flatnonzero(r < 0)
-            cost[new] = m.escape[c[new] >> BITS] + m.lower[c[new] & (ALPHABET**3 - 1)]
-            full = np.flatnonzero(n > 0)
-            if len(full):
-                out[a + full] = np.add.reduceat(cost, first[full], axis=0, dtype=np.float64)
-            sizes[a:b] = n
-        return out, sizes
-
-
-def predict(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    grams = written(gram_counts(rows, text, lang), "ppm")
+    trees: dict[str, Tree] = {r["lang"]: Tree(r["lang"]) for r in grams.select("lang").distinct().collect()}
+    for k in range(1, LONGEST + 1):
+        for what, rows in zip(("nodes", "leave"), grown(grams, k, nodes), strict=True):
+            x = rows.toArrow()  # at most `nodes` rows a language
+            names, gram, bits = np.array(x.column("lang").to_pylist(), object), x.column("gram").to_numpy(), x.column("bits").to_numpy()
+            for y, tree in trees.items():
+                own = np.flatnonzero(names == y)
+                own = own[np.argsort(gram[own])]
+                getattr(tree, what)[k] = gram[own].astype(np.uint32), bits[own].astype(np.float32)
+    return [trees[y] for y in sorted(trees)]
+
+
+def code_lengths(trees: list[Tree], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Code lengths (text, language), and the numbers of bytes."""
+    out, sizes = np.zeros((len(texts), len(trees))), np.zeros(len(texts), np.int64)
+    for rows, first, codes in sequences(texts):
+        distinct, of = np.unique(codes, return_inverse=True)
+        for j, tree in enumerate(trees):
+            np.add.at(out[:, j], rows, np.add.reduceat(tree.bits(distinct)[of], first))
+        np.add.at(sizes, rows, np.diff(np.append(first, len(codes))))
+    return out, sizes
+
+
+def predict(df: DataFrame, trees: list[Tree], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, lang_pred and score."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS and ALPHABET
-    held: list[Scorer] = []
+    own = [c for c in keep if c not in ("lang_pred", "score")]
+    sent = df.sparkSession.sparkContext.broadcast(trees)  # bounded: NODES sequences of each order a language
+    langs = np.array([t.lang for t in trees], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not held:
-                held.append(Scorer(sent.value))
-            texts = b.column(len(keep)).to_pylist()
-            langs = model_langs
-            letters = np.array([t is not None and any(ch.isalpha() for ch in t) for t in texts], bool)
-            pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-            if langs and len(texts):
-                bits, n = held[0].bits(texts)
-                x = -(bits - bits.min(1, keepdims=True)) * (np.minimum(n, SCORED) / np.maximum(n, 1))[:, None]
-                p = np.exp2(x)
-                best = bits.argmin(1)
-                pred = np.where(letters, np.array(langs, object)[best], "und")
-                score = np.where(letters, p[np.arange(len(texts)), best] / p.sum(1), 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(list(pred), pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
-
-    model_langs = list(model.langs)
-    fields = [df.schema[c] for c in keep]
-    return df.select(*keep, text).mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                texts = part.column(len(own)).to_pylist()
+                letters = np.array([t is not None and any(ch.isalpha() for ch in t) for t in texts], bool)
+                pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+                if len(langs):
+                    bits, n = code_lengths(sent.value, texts)
+                    p = np.exp2(-(bits - bits.min(1, keepdims=True)) * (np.minimum(n, SCORED) / np.maximum(n, 1))[:, None])
+                    best = bits.argmin(1)
+                    pred = np.where(letters, langs[best], "und")
+                    score = np.where(letters, p[np.arange(len(texts)), best] / p.sum(1), 0.0)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], pa.array(list(pred), pa.string()), pa.array(score, pa.float64())], names=[*own, "lang_pred", "score"])
+
+    fields = [df.schema[c] for c in own]
+    return df.select(*own, text).mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
