@@ -2,12 +2,13 @@
 
 The base patterns of `base_spans` are found exactly, in time linear in the text. What
 they leave is searched by the random field: around every digit, ``@`` or written-out
-"at" that no base span covers, a window of tokens is segmented. A candidate segment of
-at most MAX_TOKENS tokens is scored as a whole (digits, separators, group lengths,
-checksum, shape, cue word before it), and bounded-entity dynamic programming picks
-boundaries and kinds together. Base spans are fixed and are never changed or overlapped.
-Weights are fitted by conditional likelihood (forward-backward over segments) on
-labelled sentences made by `examples` from a fixed seed; no corpus text is used.
+"at" that no base span covers, a window of tokens is segmented. Every span of at most MAX_TOKENS tokens with such a
+trigger in it is a candidate segment, scored as a whole (digits, separators, group
+lengths, checksum, shape, cue word before it) and by the label before it, and
+bounded-entity dynamic programming picks boundaries and kinds together. Base spans are
+fixed and are never changed or overlapped. Weights are fitted by conditional likelihood
+(forward-backward over segments) on labelled sentences made by `examples` from a fixed
+seed; no corpus text is used.
 
 Defined cases: null and empty text have no spans; repeated rows each get theirs; an
 empty table gives an empty result; other columns pass through (the five output names
@@ -23,6 +24,7 @@ import random
 import re
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -95,17 +97,25 @@ DOT = r"(?:\.|\s*[(\[](?:dot|DOT)[)\]]\s*)"
 EMAILISH = re.compile(rf"[\w.+-]+{AT}[\w-]+(?:{DOT}[\w-]+)*{DOT}[A-Za-z]{{2,8}}")
 IPISH = re.compile(r"[0-9]{1,3}(?:(?:\.|\s*[(\[](?:dot|DOT)[)\]]\s*)[0-9]{1,3}){3}")
 NUMBERS = re.compile(r"[+(]?[0-9](?:[\s().·/_–-]*[0-9])*")
+AT_SIGN = re.compile(r"@|[(\[](?:at|AT)[)\]]")
+DOT_WORD = re.compile(r"[(\[](?:dot|DOT)[)\]]")
+LETTER = re.compile(r"[^\W\d_]")
 JOINED = re.compile(r"[\w.+@ ()\[\]·/–-]+")
-N_FEATURES = 24
+N_FEATURES = 26
+#: Labels of the field: the kinds, and a token outside all of them.
+OUT = len(KINDS)
 
 
-def features(s: str, before: str, after: str) -> list[int]:
-    """Indices of the features that hold for the whole span s."""
-    out = [0]
+def _digit_class(n: int) -> int:
+    return 1 if n == 0 else 2 if n < 7 else 3 if n < 9 else 4 if n < 12 else 5 if n < 16 else 6 if n < 20 else 7
+
+
+def features(s: str, before: str) -> list[int]:
+    """Indices of the features that hold for the whole span s after the word before it."""
     groups = re.findall(r"[0-9]+", s)
     digits = "".join(groups)
     n = len(digits)
-    out.append(1 if n == 0 else 2 if n < 7 else 3 if n < 9 else 4 if n < 12 else 5 if n < 16 else 6 if n < 20 else 7)
+    out = [0, _digit_class(n)]
     if EMAILISH.fullmatch(s):
         out.append(8)
     if IPISH.fullmatch(s):
@@ -125,23 +135,36 @@ def features(s: str, before: str, after: str) -> list[int]:
             out.append(17)
         if len(sizes) == 1:
             out.append(18)
+        if sizes == [3, 3, 4]:
+            out.append(25)
     elif n and n < len(re.sub(r"\W", "", s)):
         out.append(19)  # digits among letters
-    for i, cue in enumerate(CUES):
-        if before in cue:
-            out.append(20 + i)
-    return out
+    if not AT_SIGN.search(s) and LETTER.search(DOT_WORD.sub("", s)):
+        out.append(24)  # words, and nothing that makes an address of them
+    return out + _cues(before)
+
+
+def _cues(before: str) -> list[int]:
+    return [20 + i for i, cue in enumerate(CUES) if before in cue]
 
 
 def windows(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Stretches of whole tokens around triggers outside the taken spans, merged where they overlap; none crosses a taken span. Each holds all segments that its triggers can be part of."""
+    """Stretches of whole tokens around triggers outside the taken spans, merged where they overlap; none crosses a taken span or the end of a line. Each holds all segments that its triggers can be part of."""
     ends = [0, *(e for _, e in taken)]
     for left, right in zip(ends, [*(s for s, _ in taken), len(text)], strict=True):
         if not TRIGGER.search(text, left, right):
             continue
         lo = hi = -1
         rest, starts = 0, deque(maxlen=BEFORE + 1)
+        line = text.find("\n", left, right)
         for m in TOKEN.finditer(text, left, right):
+            if 0 <= line < m.start():
+                if hi > lo:
+                    yield lo, hi
+                lo = hi = -1
+                rest = 0
+                starts.clear()
+                line = text.find("\n", m.start(), right)
             starts.append(m.start())
             if TRIGGER.match(m[0]):
                 if starts[0] > hi:
@@ -155,60 +178,126 @@ def windows(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]
             yield lo, hi
 
 
-def lattice(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:
-    """Tokens of a window, and candidate segments (first token, one past the last, features)."""
-    tokens = [m.span() for m in TOKEN.finditer(text)]
-    words = [text[a:b] for a, b in tokens]
-    trig = np.cumsum([0, *(bool(TRIGGER.match(w)) for w in words)])
-    segs = []
-    for i, w in enumerate(words):
-        if not (w[0].isalnum() or w[0] in "+("):
-            continue
-        if i and tokens[i - 1][1] == tokens[i][0] and words[i - 1][0].isalnum():
-            continue  # never begins inside a run of letters and digits
-        for j in range(i, min(len(words), i + MAX_TOKENS)):
-            if trig[j + 1] == trig[i]:
-                continue
-            s = text[tokens[i][0] : tokens[j][1]]
-            if not JOINED.fullmatch(s) or s.count(" ") > 6:
+class Window:
+    """The tokens of a stretch of text, and the candidate segments that begin at each."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.tokens = [m.span() for m in TOKEN.finditer(text)]
+        self.words = [text[a:b] for a, b in self.tokens]
+        self.joined = [bool(JOINED.fullmatch(w)) for w in self.words]
+
+    def gap(self, k: int) -> str:
+        return self.text[self.tokens[k - 1][1] : self.tokens[k][0]] if k else ""
+
+    def segments(self, i: int) -> Iterator[tuple[int, list[int]]]:
+        """(one past the last token, features) of every span of at most MAX_TOKENS tokens from i on with a trigger in it that begins and ends with whole words or numbers and holds no sign that joins nothing."""
+        words, last = self.words, len(self.words)
+        w = words[i]
+        # never begins inside a run of letters and digits
+        if not (w[0].isalnum() or w[0] in "+(") or (i and words[i - 1][0].isalnum() and not self.gap(i)):
+            return
+        before = words[i - 2].lower() if i > 1 and words[i - 1] == ":" else words[i - 1].lower() if i else ""
+        hit = has_at = has_word = False
+        n = blanks = 0
+        for j in range(i, min(last, i + MAX_TOKENS)):
+            w, gap = words[j], self.gap(j) if j > i else ""
+            blanks += len(gap)
+            if not self.joined[j] or gap.strip(" ") or blanks > 6:
                 break
-            if not words[j][-1].isalnum() or (j + 1 < len(words) and tokens[j][1] == tokens[j + 1][0] and words[j + 1][0].isalnum()):
+            at = AT_SIGN.match(w) is not None
+            hit, has_at, has_word = hit or at or w[0].isdigit(), has_at or at, has_word or w[0].isalpha()
+            n += len(w) if w[0].isdigit() else 0
+            if not hit or not w[-1].isalnum() or (j + 1 < last and words[j + 1][0].isalnum() and not self.gap(j + 1)):
                 continue
-            if NUMBERS.fullmatch(s) or EMAILISH.fullmatch(s) or IPISH.fullmatch(s):
-                segs.append((i, j + 1, features(s, words[i - 2].lower() if i > 1 and words[i - 1] == ":" else words[i - 1].lower() if i else "", "")))
-    return tokens, segs
-
-
-def score(segs: list, weights: np.ndarray) -> list[np.ndarray]:
-    """A score for each kind; a token outside all segments scores 0."""
-    return [weights[:, f].sum(axis=1) for _, _, f in segs]
-
-
-def decode(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    tokens, segs = lattice(text)
-    if not segs:
-        return []
-    ends: dict[int, list[tuple[int, int, float]]] = {}
-    for (i, j, _), sc in zip(segs, score(segs, weights), strict=True):
-        y = int(sc.argmax())
-        ends.setdefault(j, []).append((i, y, float(sc[y])))
-    best, back = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1)
-    for j in range(1, len(tokens) + 1):
-        best[j] = best[j - 1]
-        for i, y, v in ends.get(j, ()):
-            if best[i] + v > best[j]:
-                best[j], back[j] = best[i] + v, (i, y)
-    out, j = [], len(tokens)
+            if has_word and not has_at:
+                # words without an at sign: no shape can hold
+                yield j + 1, [0, _digit_class(n), *([19] if n else []), 24, *_cues(before)]
+            else:
+                yield j + 1, features(self.text[self.tokens[i][0] : self.tokens[j][1]], before)
+
+
+def lattice(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:
+    """Tokens of a window, and all its candidate segments (first token, one past the last, features)."""
+    x = Window(text)
+    return x.tokens, [(i, j, f) for i in range(len(x.tokens)) for j, f in x.segments(i)]
+
+
+@dataclass
+class Weights:
+    """Of spans (kind, feature), and of a label after another (label, label); one outside after another outside weighs 0."""
+
+    span: np.ndarray
+    step: np.ndarray
+
+
+def scores(segs: list, weights: Weights) -> np.ndarray:
+    """(segment, kind)"""
+    return np.array([weights.span[:, f].sum(axis=1) for _, _, f in segs]).reshape(len(segs), len(KINDS))
+
+
+def _by(segs: list, side: int) -> dict[int, np.ndarray]:
+    out: dict[int, list[int]] = {}
+    for k, seg in enumerate(segs):
+        out.setdefault(seg[side], []).append(k)
+    return {at: np.array(ks) for at, ks in out.items()}
+
+
+def decode(text: str, weights: Weights) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the best labelling's segments; a tie goes to what is outside. Only a few numbers a token are held, so a window may be long."""
+    x = Window(text)
+    n, known, step = len(x.tokens), {}, weights.step
+    best = np.full((n + 1, OUT + 1), -np.inf)
+    best[0, OUT] = 0.0
+    first, last = np.full((n + 1, OUT + 1), -1, np.int32), np.zeros((n + 1, OUT + 1), np.int8)
+    for i in range(n):
+        here = best[i][:, None] + step
+        into = here.max(axis=0)
+        y = OUT if here[OUT, OUT] == into[OUT] else int(here[:, OUT].argmax())
+        best[i + 1, OUT], first[i + 1, OUT], last[i + 1, OUT] = into[OUT], i, y
+        for j, f in x.segments(i):
+            key = tuple(f)
+            if key not in known:
+                known[key] = weights.span[:, f].sum(axis=1)
+            got = into[:OUT] + known[key]
+            for y in np.flatnonzero(got > best[j, :OUT]):
+                best[j, y], first[j, y], last[j, y] = got[y], i, int(here[:, y].argmax())
+    y = OUT if best[n, OUT] == best[n].max() else int(best[n].argmax())
+    out, j = [], n
     while j:
-        if back[j] is None:
-            j -= 1
-        else:
-            i, y = back[j]
-            out.append((tokens[i][0], y, tokens[j - 1][1]))
-            j = i
+        i = int(first[j, y])
+        if y < OUT:
+            out.append((x.tokens[i][0], y, x.tokens[j - 1][1]))
+        j, y = i, int(last[j, y])
     return out[::-1]
 
 
+def sums(n: int, segs: list, weights: Weights) -> tuple[float, np.ndarray, np.ndarray]:
+    """Over all labellings of n tokens: the log of the sum of their weights, and the expected numbers of each (segment, kind) and of each step."""
+    sc, ends, begins, step = scores(segs, weights), _by(segs, 1), _by(segs, 0), weights.step
+    fwd, bwd = np.full((n + 1, OUT + 1), -np.inf), np.full((n + 1, OUT + 1), -np.inf)
+    fwd[0, OUT] = 0.0
+    bwd[n] = 0.0
+    first, last = np.array([s[0] for s in segs], int), np.array([s[1] for s in segs], int)
+    for j in range(1, n + 1):
+        fwd[j, OUT] = np.logaddexp.reduce(fwd[j - 1] + step[:, OUT])
+        if j in ends:
+            ks = ends[j]
+            fwd[j, :OUT] = np.logaddexp.reduce(fwd[first[ks]][:, :, None] + step[None, :, :OUT] + sc[ks][:, None, :], axis=(0, 1))
+    for i in range(n - 1, -1, -1):
+        x = (step[:, OUT] + bwd[i + 1, OUT])[:, None]
+        if i in begins:
+            ks = begins[i]
+            x = np.concatenate((x, (step[None, :, :OUT] + (sc[ks] + bwd[last[ks], :OUT])[:, None, :]).transpose(1, 0, 2).reshape(OUT + 1, -1)), axis=1)
+        bwd[i] = np.logaddexp.reduce(x, axis=1)
+    total = np.logaddexp.reduce(fwd[n])
+    each = np.exp(fwd[first][:, :, None] + step[None, :, :OUT] + (sc + bwd[last, :OUT])[:, None, :] - total) if segs else np.zeros((0, OUT + 1, OUT))
+    steps = np.zeros((OUT + 1, OUT + 1))
+    steps[:, :OUT] = each.sum(axis=0)
+    steps[:, OUT] = np.exp(fwd[:-1] + step[None, :, OUT] + bwd[1:, OUT][:, None] - total).sum(axis=0)
+    return float(total), each.sum(axis=1), steps
+
+
 def examples(seed: int = 20, n: int = 300) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Sentences with labelled spans: each kind in forms that the base patterns miss, and look-alikes without a label."""
     r = random.Random(seed)
@@ -265,47 +354,45 @@ def examples(seed: int = 20, n: int = 300) -> list[tuple[str, list[tuple[int, in
 
 
 @functools.lru_cache(maxsize=1)
-def trained(epochs: int = 25, rate: float = 0.5, decay: float = 0.002) -> np.ndarray:
-    """Weights (kind, feature) by AdaGrad on the conditional log-likelihood."""
+def trained(epochs: int = 10, rate: float = 0.5, decay: float = 0.002) -> Weights:
+    """Weights by AdaGrad on the conditional log-likelihood."""
     data = []
     for text, spans in examples():
         tokens, segs = lattice(text)
-        gold = {(s, e): y for s, y, e in spans}
-        labels = [gold.get((tokens[i][0], tokens[j - 1][1]), -1) for i, j, _ in segs]
+        kind = {(s, e): y for s, y, e in spans}
+        gold = [(k, kind[tokens[i][0], tokens[j - 1][1]]) for k, (i, j, _) in enumerate(segs) if (tokens[i][0], tokens[j - 1][1]) in kind]
         x = np.zeros((len(segs), N_FEATURES))
         for k, (_, _, f) in enumerate(segs):
             x[k, f] = 1
-        data.append((len(tokens), [(i, j) for i, j, _ in segs], x, labels))
-    weights, past = np.zeros((len(KINDS), N_FEATURES)), np.full((len(KINDS), N_FEATURES), 1e-6)
+        seen, steps, at, last = np.zeros((len(segs), OUT)), np.zeros((OUT + 1, OUT + 1)), 0, OUT
+        for k, y in sorted(gold, key=lambda g: segs[g[0]][0]):
+            seen[k, y] = 1
+            for _ in range(at, segs[k][0]):
+                steps[last, OUT] += 1
+                last = OUT
+            steps[last, y] += 1
+            at, last = segs[k][1], y
+        for _ in range(at, len(tokens)):
+            steps[last, OUT] += 1
+            last = OUT
+        data.append((len(tokens), segs, x, seen, steps))
+    w = Weights(np.zeros((OUT, N_FEATURES)), np.zeros((OUT + 1, OUT + 1)))
+    past = Weights(np.full_like(w.span, 1e-6), np.full_like(w.step, 1e-6))
     for _ in range(epochs):
-        for n, at, x, labels in data:
-            if not at:
+        for n, segs, x, seen, steps in data:
+            if not segs:
                 continue
-            sc = x @ weights.T
-            total = np.logaddexp.reduce(sc, axis=1)
-            fwd, bwd = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-            fwd[0] = bwd[n] = 0.0
-            by_end: dict[int, list[int]] = {}
-            by_start: dict[int, list[int]] = {}
-            for k, (i, j) in enumerate(at):
-                by_end.setdefault(j, []).append(k)
-                by_start.setdefault(i, []).append(k)
-            for j in range(1, n + 1):
-                fwd[j] = np.logaddexp.reduce([fwd[j - 1], *(fwd[at[k][0]] + total[k] for k in by_end.get(j, ()))])
-            for i in range(n - 1, -1, -1):
-                bwd[i] = np.logaddexp.reduce([bwd[i + 1], *(bwd[at[k][1]] + total[k] for k in by_start.get(i, ()))])
-            expect = np.exp(np.array([fwd[i] + bwd[j] for i, j in at])[:, None] + sc - fwd[n])
-            seen = np.zeros_like(expect)
-            for k, y in enumerate(labels):
-                if y >= 0:
-                    seen[k, y] = 1
-            grad = (seen - expect).T @ x - decay * weights
-            past += grad**2
-            weights += rate * grad / np.sqrt(past)
-    return weights
-
-
-def all_spans(text: str, weights: np.ndarray, base: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
+            _, expect, expect_steps = sums(n, segs, w)
+            grad, step = (seen - expect).T @ x - decay * w.span, steps - expect_steps - decay * w.step
+            step[OUT, OUT] = 0.0
+            past.span += grad**2
+            past.step += step**2
+            w.span += rate * grad / np.sqrt(past.span)
+            w.step += rate * step / np.sqrt(past.step)
+    return w
+
+
+def all_spans(text: str, weights: Weights, base: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
     base = base_spans(text) if base is None else base
     if not TRIGGER.search(text):
         return base
@@ -340,7 +427,7 @@ def _apply(df: DataFrame, text: str, fields: list[tuple[str, T.DataType, pa.Data
     return src.mapInArrow(run, out)
 
 
-def _digest(text: str, weights: np.ndarray) -> tuple:
+def _digest(text: str, weights: Weights) -> tuple:
     base = base_spans(text)
     counts = [0, 0, 0, 0]
     for _, k, _ in base:
@@ -354,7 +441,7 @@ def find(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> Da
     return _apply(df, text, fields, _digest, keep if keep is not None else [c for c in df.columns if c != text])
 
 
-def _redacted(text: str, weights: np.ndarray) -> tuple[str]:
+def _redacted(text: str, weights: Weights) -> tuple[str]:
     out, at = [], 0
     for s, k, e in all_spans(text, weights):
         if s >= at:
