@@ -12,14 +12,15 @@ everything that is not boilerplate is kept in page order.
 
 Defined cases: null or empty html gives an empty text; a page without any scored block
 gives the non-boilerplate text of its whole body; markup cut off at the end of the page
-is ignored; ``<br>`` counts as white space; repeated rows each get their text; an empty
-table gives an empty result.
+is ignored; ``<br>`` counts as white space; of equal points the outermost and first
+container wins; repeated rows each get their text; an empty table gives an empty result;
+columns named text or n_chars give way to the results.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -50,7 +51,9 @@ KEEP = frozenset("html body article main".split())
 
 MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*))")
 ATTRIBUTES = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: One attribute after the other, each with its value, so that no name is found inside a value.
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?|"[^"]*"|'[^']*'""")
+HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 
@@ -60,7 +63,7 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in KEEP or not attrs:
         return False
     for m in ATTRIBUTE.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        name, value = (m[1] or "").lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
             return True
         if name in ("class", "id") and not NAMES.isdisjoint(WORDS.findall(value)):
@@ -69,73 +72,75 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 class Page:
-    """The tree of one page: for each element its parent, tag and whether it is boilerplate; and its blocks of text."""
+    """The tree of one page: for each element its parent, tag, whether it is boilerplate and the nearest block; and its blocks of text. A tag takes a constant time at any depth."""
 
     def __init__(self, html: str) -> None:
-        self.parent, self.tag, self.off, self.article = [-1], ["#root"], [False], [False]
+        self.parent, self.tag, self.off, self.article, self.block = [-1], ["#root"], [False], [False], [0]
         #: (element that holds the block, text, characters within links)
         self.blocks: list[tuple[int, str, int]] = []
         self._run: list[str] = []
         self._links = 0
         self._stack = [0]
+        #: Places in the stack of the open elements of each tag.
+        self._open_at: dict[str, list[int]] = {}
         self._build(html)
 
+    def _last(self, tags: Iterable[str]) -> int:
+        """The highest place of an open element of these tags; 0 if none is open."""
+        return max((at[-1] for t in tags if (at := self._open_at.get(t))), default=0)
+
     def _flush(self) -> None:
         if self._run:
             text = " ".join(unescape("".join(self._run)).split())
             if text:
-                owner = self._stack[-1]
-                while owner and self.tag[owner] not in BLOCK:
-                    owner = self.parent[owner]
-                self.blocks.append((owner, text, min(self._links, len(text))))
+                self.blocks.append((self.block[self._stack[-1]], text, min(self._links, len(text))))
             self._run, self._links = [], 0
 
     def _text(self, s: str) -> None:
         if s and not self.off[self._stack[-1]]:
             self._run.append(s)
-            if any(self.tag[i] == "a" for i in self._stack[-6:]):
+            if self._open_at.get("a"):
                 self._links += len(s.strip())
 
     def _pop(self, at: int) -> None:
         if any(self.tag[i] in BLOCK for i in self._stack[at:]):
             self._flush()
+        for i in self._stack[at:]:
+            self._open_at[self.tag[i]].pop()
         del self._stack[at:]
 
     def _open(self, tag: str, attrs: str) -> None:
-        tags = [self.tag[i] for i in self._stack]
         if tag in BLOCK:
-            if "p" in tags and tag not in ("html", "body"):
-                self._pop(len(tags) - 1 - tags[::-1].index("p"))
-                tags = tags[: len(self._stack)]
-            for k in range(len(tags) - 1, 0, -1):
-                if tags[k] in SCOPE.get(tag, ()):
-                    break
-                if tags[k] in CLOSES.get(tag, ()):
-                    self._pop(k)
-                    break
+            if tag not in ("html", "body") and (at := self._last("p")):
+                self._pop(at)
+            ends = self._last(CLOSES.get(tag, ()))
+            if ends and ends > self._last(SCOPE.get(tag, ())):
+                self._pop(ends)
             self._flush()
         elif tag == "br":
             self._run.append(" ")
+        elif tag == "a" and (at := self._last("a")):
+            self._pop(at)  # links do not nest
         if tag in VOID:
             return
-        up = self._stack[-1]
+        up, k = self._stack[-1], len(self.tag)
         inside = self.article[up] or tag in ("article", "main")
         self.parent.append(up)
         self.tag.append(tag)
         self.off.append(self.off[up] or _boilerplate(tag, attrs, inside))
         self.article.append(inside)
-        self._stack.append(len(self.tag) - 1)
+        self.block.append(k if tag in BLOCK else self.block[up])
+        self._open_at.setdefault(tag, []).append(len(self._stack))
+        self._stack.append(k)
 
     def _close(self, tag: str) -> None:
-        for k in range(len(self._stack) - 1, 0, -1):
-            if self.tag[self._stack[k]] == tag:
-                self._pop(k)
-                return
-            if self.tag[self._stack[k]] in ("article", "main", "body") and tag not in BLOCK:
-                return
+        at = self._last((tag,))
+        if at and (tag in BLOCK or at > self._last(("article", "main", "body"))):
+            self._pop(at)
 
     def _build(self, html: str) -> None:
         at, n = 0, len(html)
+        endless: set[str] = set()
         while at < n:
             m = MARKUP.search(html, at)
             if not m:
@@ -164,10 +169,13 @@ class Page:
             if m[3]:
                 self._close(tag)
             elif tag == "head":
-                end = re.compile(r"</head\s*>|<body\b", re.I).search(html, at)
+                end = HEAD_END.search(html, at)
                 at = at if not end else end.start() if html[end.start() + 1] != "/" else end.end()
             elif tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(html, at)
+                # no second search for an end that the page does not have
+                end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(html, at)
+                if not end:
+                    endless.add(tag)
                 if tag not in ("svg", "math", "object", "template") or end:
                     at = n if not end else end.end()
             else:
@@ -202,7 +210,7 @@ def extract(html: str) -> str:
     best = max(range(len(got)), key=lambda i: (got[i], -i))
     if got[best] <= 0:
         best = max((i for i, t in enumerate(page.tag) if t in ("article", "main")), default=0, key=lambda i: (page.tag[i] == "article", -i))
-        return "\n".join(t for o, t, _ in page.blocks if _under(page, o, {best}))
+        return _within(page, {best})
     up, whole = best, 0
     while up > 0:
         if page.tag[up] in ("article", "main"):
@@ -223,15 +231,15 @@ def extract(html: str) -> str:
                 size, linked = links.get(i, (0, 0))
                 if got[i] >= 0.2 * got[best] or (page.tag[i] in PROSE and size and linked < 0.25 * size and (page.tag[i] in HEADING or size >= 25)):
                     kept.add(i)
-    return "\n".join(t for o, t, _ in page.blocks if _under(page, o, kept))
+    return _within(page, kept)
 
 
-def _under(page: Page, node: int, kept: set[int]) -> bool:
-    while node >= 0:
-        if node in kept:
-            return True
-        node = page.parent[node]
-    return False
+def _within(page: Page, kept: set[int]) -> str:
+    """The blocks inside the kept elements, in page order."""
+    inside = [False] * len(page.tag)
+    for i, up in enumerate(page.parent):
+        inside[i] = i in kept or (up >= 0 and inside[up])
+    return "\n".join(t for o, t, _ in page.blocks if inside[o])
 
 
 def main_text(df: DataFrame, html: str = "html") -> DataFrame:
