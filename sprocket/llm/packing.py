@@ -14,13 +14,15 @@ of equal length, which is counted in two levels (buckets, then within a bucket),
 length that a third of all documents share is dealt out over many tasks.
 
 Defined cases: a null text is empty and so one id, the closing 0; repeated rows and
-repeated ids are documents of their own; an empty table gives an empty result.
+repeated ids are documents of their own; an empty table gives an empty result; other
+columns are not carried, so none can clash.
 """
 
 from __future__ import annotations
 
 import base64
 import importlib
+import json
 import re
 import sys
 import zlib
@@ -52,18 +54,31 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
 
 
 class Tokens:
-    """Ids as little-endian unsigned 32-bit bytes. The vocabulary's pattern needs its look-ahead only where white space follows white space; other texts are split by the plain pattern, which gives the same pieces faster."""
+    """Ids as little-endian unsigned 32-bit bytes. Strings that the vocabulary adds (its special tokens) are ids of their own wherever they stand in a text. The vocabulary's pattern needs its look-ahead only where white space follows white space; other texts are split by the plain pattern, which gives the same pieces faster."""
 
     def __init__(self, name: str) -> None:
         import tiktoken
 
         with open(vocabulary(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(vocabulary(name.replace(".tiktoken", ".json")), encoding="utf-8") as f:
+            self._added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        self._split = re.compile("|".join(re.escape(x) for x in sorted(self._added, key=len, reverse=True))) if self._added else None
         pattern = importlib.import_module("public_tokenizers").PATTERN
         self._plain, self._full = (tiktoken.Encoding(k, pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for k, p in (("plain", pattern.replace(LOOK_AHEAD, "")), ("full", pattern)))
 
+    def _ids(self, text: str) -> list[int]:
+        return (self._full if DOUBLE.search(text) else self._plain)(text)
+
     def __call__(self, text: str) -> bytes:
-        ids = array("I", (self._full if DOUBLE.search(text) else self._plain)(text))
+        if self._split and self._split.search(text):
+            ids, at = array("I"), 0
+            for m in self._split.finditer(text):
+                ids.extend([*self._ids(text[at : m.start()]), self._added[m[0]]])
+                at = m.end()
+            ids.extend(self._ids(text[at:]))
+        else:
+            ids = array("I", self._ids(text))
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
