@@ -14,7 +14,9 @@ the response and the others are revisits that refer to it and carry no payload.
 Defined cases: a null payload is empty; a null url writes no WARC-Target-URI; rows that
 share the smallest key of a payload are all responses; a null key is never the smallest,
 and is a response only if no row of the payload has a key; repeated rows are records of
-their own; an empty table gives an empty archive.
+their own, which share the name of their page; an empty table gives an empty archive;
+other columns are not carried, so none can clash but those that start with ``_warc_``.
+A damaged, missing or misplaced chunk makes its record invalid and no other.
 """
 
 from __future__ import annotations
@@ -58,15 +60,20 @@ def uri(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
+def record_id(record: int, key: int | None) -> str:
+    """A record is named by its page, which a revisit of it knows, too; one without a key by its number."""
+    return f"urn:sprocket:page:{key}" if key is not None else f"urn:sprocket:record:{record}"
+
+
 def head(record: int, key: int | None, url: str | None, refers: int | None, size: int, digest: str) -> bytes:
     """The header block, and for responses the HTTP header that precedes the payload."""
     http = b"" if refers is not None else b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <urn:sprocket:record:{record}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <{record_id(record, key)}>", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {uri(url)}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:sprocket:page:{refers}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_id(record, refers)}>"]
     if key is not None:
         lines.append(f"X-Page: {key}")
     lines += [f"X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (0 if refers is not None else size)}"]
@@ -135,50 +142,61 @@ class Reading:
             http = bytes(data).index(b"\r\n\r\n", self.skip) if http < 0 else http
             self.left -= http + 4 - self.skip
             self.skip = http + 4
-        self.sha1, self.size, self.valid, self.next = hashlib.sha1(), 0, True, 0
+        self.sha1, self.size, self.valid, self.next, self.whole = hashlib.sha1(), 0, True, 0, False
 
-    def add(self, chunk: int, data: memoryview, digest: bytes) -> None:
+    def add(self, chunk: int, last: bool, data: memoryview, digest: bytes) -> None:
         body = data[self.skip : self.skip + self.left]
         self.skip = 0
         self.left -= len(body)
         self.size += len(body)
         self.sha1.update(body)
         revisit = self.headers["WARC-Type"] == "revisit"
-        self.valid = self.valid and chunk == self.next and (revisit or self.sha1.digest() == digest)
-        self.next += 1
+        self.valid = self.valid and chunk == self.next and not self.whole and (revisit or self.sha1.digest() == digest)
+        self.next, self.whole = chunk + 1, last
 
     def row(self) -> tuple:
         h = self.headers
         revisit = h["WARC-Type"] == "revisit"
         said = h["WARC-Payload-Digest"].removeprefix("sha1:")
         size = int(h["X-Payload-Length"])
-        valid = self.valid and self.left == 0 and (revisit or (self.size == size and base32(self.sha1.digest()) == said))
+        valid = self.valid and self.whole and self.left == 0 and (revisit or (self.size == size and base32(self.sha1.digest()) == said))
         refers = int(h["WARC-Refers-To"].strip("<>").rpartition(":")[2]) if revisit else None
         return int(h["X-Page"]) if "X-Page" in h else None, h["WARC-Type"], size if revisit else self.size, said if revisit else base32(self.sha1.digest()), refers, valid
 
 
 def read_chunks(chunks: DataFrame) -> DataFrame:
-    """A row for each record of an archive, from its bytes. valid: all digests and lengths agree."""
+    """A row for each record of an archive, from its bytes. valid: all chunks are there in order, and all digests and lengths agree; of a record without a readable first chunk only the key is known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Reading | None = None
-        of = -1
+        of: tuple[int, int | None] | None = None
+
+        def ended() -> tuple:
+            return now.row() if now else (of[1], None, None, None, None, False)
+
         for b in batches:
             out = []
-            for record, chunk, last, data, digest in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), _views(b.column(3)), b.column(4).to_pylist(), strict=True):
-                if chunk == 0:
-                    now, of = Reading(data), record
-                if now is None or of != record:
-                    raise ValueError(f"record {record} lacks its first chunk")
-                now.add(chunk, data, digest)
-                if last:
-                    out.append(now.row())
-                    now = None
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
-            cols = zip(*out, strict=True) if out else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "record_type", "payload_bytes", "payload_digest", "refers_to", "valid"])
-
-    rows = chunks.select("record", "chunk", "last", "data", "digest")
+            for record, key, chunk, last, data, digest in zip(*(b.column(k).to_pylist() for k in range(4)), _views(b.column(4)), b.column(5).to_pylist(), strict=True):
+                if of is None or of[0] != record:
+                    if of is not None:
+                        out.append(ended())
+                    of = record, key
+                    try:
+                        now = Reading(data) if chunk == 0 else None
+                    except (ValueError, KeyError):
+                        now = None
+                if now:
+                    now.add(chunk, last, data, digest)
+            yield made(out)
+        if of is not None:
+            yield made([ended()])
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+        cols = zip(*out, strict=True) if out else [[] for _ in kinds]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "record_type", "payload_bytes", "payload_digest", "refers_to", "valid"])
+
+    rows = chunks.select("record", "key", "chunk", "last", "data", "digest")
     alone = rows.filter("chunk = 0 and last").mapInArrow(run, RECORDS)
     longer = rows.filter("not (chunk = 0 and last)").repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(run, RECORDS)
     return alone.unionByName(longer)
