@@ -25,7 +25,8 @@ with them every result, stay the same.
 Defined cases: null text and text without words have the empty set, link with nothing
 and are components of their own; fewer words than the shingle's are one shingle;
 repeated rows and repeated ids are linked when their sets are not empty; a null id is
-never the smallest if there is another; an empty table gives an empty result.
+never the smallest if there is another; an empty table gives an empty result; other
+columns are not carried, so none can clash.
 Sets, and nodes, are told apart by 64-bit hashes.
 """
 
@@ -82,6 +83,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _long_word(word: bytes) -> np.ndarray:
+    """The same hash for a word longer than a part."""
+    total, up = 0, 1
+    for at in range(0, len(word), PART):
+        a = np.frombuffer(word, np.uint8, min(PART, len(word) - at), at)
+        total += up * int((_BYTE[a] * _UP[: len(a)]).sum(dtype=np.uint64))
+        up = up * pow(_BASE, PART, 2**64) % 2**64
+    return _mixed(np.array([(total + len(word)) % 2**64], np.uint64))
+
+
 def _word_hashes(raw: bytes) -> np.ndarray:
     """A hash for each word of lower-cased bytes: a polynomial in the words' bytes, which long texts get part by part."""
     out = []
@@ -93,8 +104,7 @@ def _word_hashes(raw: bytes) -> np.ndarray:
             if cut < 0:  # a word longer than a part
                 ends = [e for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (e := raw.find(c, end)) >= 0]
                 stop = min(ends, default=len(raw))
-                words = raw[at:stop].split()
-                out.append(np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words], np.uint64))
+                out.append(_long_word(raw[at:stop]))
                 at = stop
                 continue
             end = cut + 1
@@ -249,14 +259,15 @@ def sets_of(df: DataFrame, wanted: DataFrame, text: str, k: int) -> DataFrame:
                     nodes, hashes = [], []
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(hashes, pa.binary())], names=["node", "hashes"])
 
-    keyed = df.select(F.xxhash64("doc_id").alias("_id"), text, "doc_id")
+    # by a hash, which a null id has, too
+    keyed = df.select(F.xxhash64("doc_id").alias("_id"), text)
     if wanted.count() <= SENT:
         keys = wanted.select(F.xxhash64("doc_id").alias("k")).toArrow().column(0).to_numpy()
         sent = df.sparkSession.sparkContext.broadcast(np.unique(keys))
-        src = keyed.select("_id", text)
+        src = keyed
     else:
         sent = None
-        src = keyed.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("_id", text)
+        src = keyed.join(wanted.select(F.xxhash64("doc_id").alias("_id")).distinct(), "_id", "left_semi").select("_id", text)
     made = src.mapInArrow(run, "node long, hashes binary")
     # the same id may stand for other texts, and a node for several rows
     return written(made.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
