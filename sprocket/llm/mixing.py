@@ -19,7 +19,8 @@ is dealt out over many tasks.
 
 Defined cases: null text has size 0 and is never taken; null source is a source;
 repeated rows are documents of their own; a source without words has target 0; an empty
-table gives an empty result.
+table gives an empty result; columns with a result's name (RESULTS) give way to it, and
+names that start with ``_mix_`` are reserved.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ SHARDS = 64
 SEED = 41
 #: Rows in a bucket of a source, about.
 PER_BUCKET = 100_000
+RESULTS = ("size", "source_size", "target", "_mix_at", "passes", "chosen", "taken")
 
 
 def n_words(text: Column) -> Column:
@@ -155,6 +157,8 @@ def is_extra(j: Column, shards: int) -> Column:
 def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", block: int = BLOCK, seed: int = SEED, share: Fraction = SHARE, shards: int = SHARDS) -> DataFrame:
     """df with size, source_size, target, _mix_at (the document's place in its source), passes, chosen (numbers of the extra blocks that it meets) and taken."""
     spark = df.sparkSession
+    own_columns = [c for c in df.columns if c not in RESULTS]
+    df = df.select(*own_columns)
     sized = df.withColumns({"size": n_words(F.col(text)), "_mix_key": F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"))})
     # one row a source
     totals = {r[0]: (int(r[1]), r[2]) for r in sized.groupBy(source).agg(F.sum("size"), F.count("*")).collect()}
@@ -175,7 +179,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     x = x.withColumn("chosen", chosen)
     part = F.aggregate(F.col("chosen"), F.lit(0).cast("long"), lambda a, j: a + F.least((j + 1) * block, F.col("_mix_at") + F.col("size")) - F.greatest(j * block, F.col("_mix_at")))
     x = x.withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long"))
-    return x.select(*df.columns, "size", "source_size", "target", "_mix_at", "passes", "chosen", "taken")
+    return x.select(*own_columns, *RESULTS)
 
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
