@@ -8,7 +8,8 @@ kept as NPY bytes with the 64-bit difference hash of its 9 x 8 reduction. Images
 through Arrow one at a time; nothing larger than an image is held.
 
 Defined cases: a null text is empty, and so one row of blanks; repeated rows each get
-theirs; an empty table gives an empty result.
+theirs; an empty table gives an empty result; kept columns with the name of a result
+give way to it.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from .common import written
 #: Bytes in a row of 64 RGB pixels.
 ROW = 192
 TILE = 16
+RESULTS = ("n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile")
 
 
 def encode_ppm(pixels: np.ndarray) -> bytes:
@@ -147,6 +149,7 @@ def payload_of(text: str) -> tuple[bytes, int]:
 
 def encode_texts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, n_bytes and media: each text as the samples of an image."""
+    keep = tuple(c for c in keep if c not in RESULTS)
     fields = [df.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +169,7 @@ def encode_texts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 
 def decode_media(df: DataFrame, media: str = "media", tiles: bool = True) -> DataFrame:
     """df without media; from the image read back: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and tile (NPY bytes) if asked for."""
-    own = [f for f in df.schema.fields if f.name != media]
+    own = [f for f in df.schema.fields if f.name != media and f.name not in RESULTS[2:]]
     names = [f.name for f in own]
     new = [("payload_bytes", T.LongType(), pa.int64()), ("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()), ("media_bytes", T.LongType(), pa.int64()), ("media_sha256", T.StringType(), pa.string()), ("feature", T.StringType(), pa.string())]
     new += [("tile", T.BinaryType(), pa.binary())] if tiles else []
