@@ -12,7 +12,10 @@ FROM b JOIN f USING (d)
 """
 
 OP3 = r"""
-WITH e AS (SELECT DISTINCT regexp_replace(lower(pattern), '^www\.', '') AS pattern, list, action, since FROM (VALUES $EVENTS) v(pattern, list, action, since)),
+WITH h AS (SELECT DISTINCT regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.|\.$', '') AS host, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS k FROM pages),
+e AS (SELECT DISTINCT regexp_replace(lower(pattern), '^www\.', '') AS pattern, list, action, since FROM (VALUES $EVENTS) v(pattern, list, action, since)
+  UNION SELECT host, 'watch', 'add', epoch_ms(1704067200000 + k % 300 * 86400000) FROM h WHERE k % 3 = 0
+  UNION SELECT host, 'watch', 'remove', epoch_ms(1704067200000 + (k % 300 + 20 + k % 7) * 86400000) FROM h WHERE k % 3 = 0),
 one AS (SELECT pattern, list, since, NOT bool_or(action = 'remove') AS state FROM e GROUP BY ALL),
 prior AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY pattern, list ORDER BY since), FALSE) AS was FROM one),
 spans AS (SELECT pattern, list, state, since AS valid_from, lead(since) OVER (PARTITION BY pattern, list ORDER BY since) AS valid_to FROM prior WHERE state <> was),
@@ -28,9 +31,16 @@ SELECT c.page_id, c.url, CAST(c.fetched_s AS BIGINT) AS fetched_s, coalesce(g.li
 FROM c LEFT JOIN g USING (page_id)
 """
 
-_METRICS = (("mean_len", 40, True), ("symbol_rate", 60, False), ("dup_line_rate", 120, False), ("repeat_rate", 100, False))
+#: (metric, whether its lower fence holds, the least spread from the medians of words and lines)
+_METRICS = (
+    ("mean_len", True, "CAST(pow(2, greatest(length(bin(mean_len_q50)) - 6, 0)) AS BIGINT)"),
+    ("symbol_rate", False, "greatest(1000 // words_q50, 1)"),
+    ("dup_line_rate", False, "greatest(1000 // lines_q50, 1)"),
+    ("repeat_rate", False, "greatest(6000 // words_q50, 1)"),
+)
+_ALL = ("mean_len", "symbol_rate", "dup_line_rate", "repeat_rate", "words", "lines")
 
-_RATES = "(100 * word_chars) // greatest(n_words, 1) AS mean_len, (1000 * n_symbols) // greatest(n_words, 1) AS symbol_rate, (1000 * n_dup_lines) // greatest(n_lines, 1) AS dup_line_rate, (1000 * n_repeat_words) // greatest(n_words, 1) AS repeat_rate"
+_RATES = "(100 * word_chars) // greatest(n_words, 1) AS mean_len, (1000 * n_symbols) // greatest(n_words, 1) AS symbol_rate, (1000 * n_dup_lines) // greatest(n_lines, 1) AS dup_line_rate, (1000 * n_repeat_words) // greatest(n_words, 1) AS repeat_rate, greatest(n_words, 1) AS words, greatest(n_lines, 1) AS lines"
 
 
 def _fences(name: str, keys: str) -> str:
@@ -39,7 +49,7 @@ def _fences(name: str, keys: str) -> str:
     return f"""
 {name}_c AS (SELECT {lead}metric, value, sum(n) AS n FROM sketch GROUP BY ALL),
 {name}_r AS (SELECT *, sum(n) OVER ({by} ORDER BY value) AS upto, sum(n) OVER ({by}) AS total FROM {name}_c),
-{name}_q AS (SELECT {lead}metric, min(value) FILTER (WHERE 4 * upto >= total) AS q25, min(value) FILTER (WHERE 4 * upto >= 3 * total) AS q75, max(total) AS n FROM {name}_r GROUP BY ALL)"""
+{name}_q AS (SELECT {lead}metric, min(value) FILTER (WHERE 100 * upto >= 10 * total) AS q10, min(value) FILTER (WHERE 100 * upto >= 50 * total) AS q50, min(value) FILTER (WHERE 100 * upto >= 90 * total) AS q90, max(total) AS n FROM {name}_r GROUP BY ALL)"""
 
 
 OP10 = rf"""
@@ -52,13 +62,14 @@ m AS (SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(len
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(again.k, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines FROM d LEFT JOIN again USING (doc_id)),
 r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_RATES} FROM m),
-long AS (SELECT lang, source, metric, v FROM r UNPIVOT (v FOR metric IN (mean_len, symbol_rate, dup_line_rate, repeat_rate)) WHERE NOT base_failed),
+long AS (SELECT lang, source, metric, v FROM (SELECT lang, source, base_failed, {", ".join(f"CAST({m} AS BIGINT) AS {m}" for m in _ALL)} FROM r) UNPIVOT (v FOR metric IN ({", ".join(_ALL)})) WHERE NOT base_failed),
 sketch AS (SELECT lang, source, metric, v - v % CAST(pow(2, greatest(length(bin(v)) - 6, 0)) AS BIGINT) AS value, count(*) AS n FROM long GROUP BY ALL),
 {_fences("a", "lang, source")}, {_fences("b", "lang")}, {_fences("e", "")},
-pick AS (SELECT a_q.lang, a_q.source, a_q.metric, CASE WHEN a_q.n >= 100 THEN a_q.q25 WHEN b_q.n >= 100 THEN b_q.q25 ELSE e_q.q25 END AS q25, CASE WHEN a_q.n >= 100 THEN a_q.q75 WHEN b_q.n >= 100 THEN b_q.q75 ELSE e_q.q75 END AS q75
+pick AS (SELECT a_q.lang, a_q.source, a_q.metric, {", ".join(f"CASE WHEN a_q.n >= 100 THEN a_q.{q} WHEN b_q.n >= 100 THEN b_q.{q} ELSE e_q.{q} END AS {q}" for q in ("q10", "q50", "q90"))}
   FROM a_q LEFT JOIN b_q ON a_q.metric = b_q.metric AND a_q.lang IS NOT DISTINCT FROM b_q.lang LEFT JOIN e_q ON a_q.metric = e_q.metric),
-lim AS (SELECT lang, source, {", ".join(f"max(CASE WHEN metric = '{m}' THEN q25 - 3 * greatest(q75 - q25, {f}) END) AS lo_{m}, max(CASE WHEN metric = '{m}' THEN q75 + 3 * greatest(q75 - q25, {f}) END) AS hi_{m}" for m, f, _ in _METRICS)} FROM pick GROUP BY lang, source)
+wide AS (SELECT lang, source, {", ".join(f"max(CASE WHEN metric = '{m}' THEN {q} END) AS {m}_{q}" for m in _ALL for q in ("q10", "q50", "q90"))} FROM pick GROUP BY lang, source),
+lim AS (SELECT lang, source, {", ".join(f"{m}_q10 - 8 * greatest({m}_q50 - {m}_q10, {least}) AS lo_{m}, {m}_q90 + 8 * greatest({m}_q90 - {m}_q50, {least}) AS hi_{m}" for m, _, least in _METRICS)} FROM wide)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce({" OR ".join((f"{m} < lo_{m} OR " if low else "") + f"{m} > hi_{m}" for m, _, low in _METRICS)}, FALSE) AS kept
+  NOT base_failed AND NOT coalesce({" OR ".join((f"{m} < lo_{m} OR " if low else "") + f"{m} > hi_{m}" for m, low, _ in _METRICS)}, FALSE) AS kept
 FROM r LEFT JOIN lim ON r.lang IS NOT DISTINCT FROM lim.lang AND r.source IS NOT DISTINCT FROM lim.source
 """

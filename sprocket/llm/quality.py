@@ -5,14 +5,16 @@ sketch of each metric is built: a log-linear histogram, whose buckets hold value
 agree in their six leading bits (relative error at most 1/32). Sketches merge by adding
 counts, so a group with few rows falls back to the merged sketch of its language, and a
 language with few rows to the merged sketch of all. Fences at
-``q25 - width * spread`` and ``q75 + width * spread`` replace fixed cutoffs, where
-spread is the inter-quartile range, but never less than the metric's granularity. The
-fences are joined to the rows and a row beyond any fence is rejected.
+``q10 - width * (q50 - q10)`` and ``q90 + width * (q90 - q50)`` replace fixed cutoffs.
+Where more than half of the rows share a value the spread is no less than what a single
+symbol, line or window adds to the rate of the group's median document, which the
+sketches of the numbers of words and lines give, or than a bucket's width. The fences are
+joined to the rows and a row beyond any fence is rejected.
 
 Defined cases: null or empty text has no words and fails the base rule; null language
 and null source are groups of their own; repeated rows each get the same verdict; an
-empty table gives an empty result; other columns pass through untouched (names that
-start with ``_q_`` are reserved).
+empty table gives an empty result; other columns pass through untouched, those with the
+name of a result give way to it (names that start with ``_q_`` are reserved).
 """
 
 from __future__ import annotations
@@ -32,21 +34,24 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Metric:
-    """An integer metric. floor: the least spread; low, high: which fences hold."""
+    """An integer metric. low, high: which fences hold; once, per: a single find is worth once / (median of per), or a bucket's width if per is none."""
 
     name: str
-    floor: int
     low: bool
     high: bool
+    once: int = 0
+    per: str = ""
 
 
 METRICS = (
-    Metric("mean_len", 40, True, True),  # hundredths of a character a word
-    Metric("symbol_rate", 60, False, True),  # symbols in a thousand words
-    Metric("dup_line_rate", 120, False, True),  # repeated lines in a thousand
-    Metric("repeat_rate", 100, False, True),  # words in repeated windows, of a thousand
+    Metric("mean_len", True, True),  # hundredths of a character a word
+    Metric("symbol_rate", False, True, 1000, "words"),  # symbols in a thousand words
+    Metric("dup_line_rate", False, True, 1000, "lines"),  # repeated lines in a thousand
+    Metric("repeat_rate", False, True, 6000, "words"),  # words in repeated windows, of a thousand; the least repeat has two windows of three
+    Metric("words", False, False),
+    Metric("lines", False, False),
 )
-WIDTH = 3
+WIDTH = 8
 MIN_ROWS = 100
 #: Leading bits that a bucket keeps.
 BITS = 6
@@ -95,7 +100,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols",
         F.col("_q_of_lines.again").cast("long").alias("n_dup_lines"),
         F.col("_q_words.again").cast("long").alias("n_repeat_words"),
-        F.col("_q_of_lines.n").cast("long").alias("_q_lines"),
+        F.col("_q_of_lines.n").cast("long").alias("_q_n_lines"),
     )
 
 
@@ -104,16 +109,18 @@ def base_failed() -> Column:
 
 
 def _rates() -> list[Column]:
-    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("_q_lines"), F.lit(1))
-    of = {"mean_len": (100 * F.col("word_chars"), words), "symbol_rate": (1000 * F.col("n_symbols"), words), "dup_line_rate": (1000 * F.col("n_dup_lines"), lines), "repeat_rate": (1000 * F.col("n_repeat_words"), words)}
+    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("_q_n_lines"), F.lit(1))
+    of = {"mean_len": (100 * F.col("word_chars"), words), "symbol_rate": (1000 * F.col("n_symbols"), words), "dup_line_rate": (1000 * F.col("n_dup_lines"), lines), "repeat_rate": (1000 * F.col("n_repeat_words"), words), "words": (words, F.lit(1)), "lines": (lines, F.lit(1))}
     return [F.floor(of[m.name][0] / of[m.name][1]).cast("long").alias(f"_q_{m.name}") for m in METRICS]
 
 
+def bucket_width(v: Column) -> Column:
+    return F.pow(F.lit(2.0), F.greatest(F.length(F.bin(v)) - BITS, F.lit(0))).cast("long")
+
+
 def bucket(v: Column) -> Column:
     """The least value that shares v's bucket."""
-    drop = F.greatest(F.length(F.bin(v)) - BITS, F.lit(0))
-    unit = F.pow(F.lit(2.0), drop).cast("long")
-    return v - v % unit
+    return v - v % bucket_width(v)
 
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -130,18 +137,20 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
-    """(keys, rows, lo_m, hi_m for each metric): quartiles from the sketch, then the fences."""
+    """(keys, rows, lo_m, hi_m for each metric): quantiles from the sketch, then the fences."""
     by = W.partitionBy(*keys, "metric")
     ranked = sketch.withColumns({"upto": F.sum("n").over(by.orderBy("value")), "all": F.sum("n").over(by)})
-    quart = ranked.groupBy(*keys, "metric").agg(
-        F.min(F.when(4 * F.col("upto") >= F.col("all"), F.col("value"))).alias("q25"), F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), F.col("value"))).alias("q75"), F.max("all").alias("rows")
-    )
-    out = [F.max("rows").alias("rows")]
+    at = {q: F.min(F.when(100 * F.col("upto") >= q * F.col("all"), F.col("value"))).alias(f"q{q}") for q in (10, 50, 90)}
+    quantiles = ranked.groupBy(*keys, "metric").agg(*at.values(), F.max("all").alias("rows"))
+    wide = quantiles.groupBy(*keys) if keys else quantiles.groupBy()
+    wide = wide.agg(F.max("rows").alias("rows"), *(F.max(F.when(F.col("metric") == m.name, F.col(q))).alias(f"{m.name}_{q}") for m in METRICS for q in ("q10", "q50", "q90")))
+    out = []
     for m in METRICS:
-        mine = F.col("metric") == m.name
-        spread = F.greatest(F.col("q75") - F.col("q25"), F.lit(m.floor))
-        out += [F.max(F.when(mine, F.col("q25") - width * spread)).alias(f"lo_{m.name}"), F.max(F.when(mine, F.col("q75") + width * spread)).alias(f"hi_{m.name}")]
-    return quart.groupBy(*keys).agg(*out) if keys else quart.agg(*out)
+        q10, q50, q90 = (F.col(f"{m.name}_{q}") for q in ("q10", "q50", "q90"))
+        least = F.greatest(F.floor(F.lit(m.once) / F.col(f"{m.per}_q50")), F.lit(1)).cast("long") if m.per else bucket_width(q50)
+        if m.low or m.high:
+            out += [(q10 - width * F.greatest(q50 - q10, least)).alias(f"lo_{m.name}"), (q90 + width * F.greatest(q90 - q50, least)).alias(f"hi_{m.name}")]
+    return wide.select(*keys, "rows", *out)
 
 
 def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source", width: int = WIDTH, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -153,14 +162,14 @@ def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source",
     # `everything` is one row by construction, so this join multiplies nothing
     x = own.join(tongue, own["lang"].eqNullSafe(tongue["t_lang"]), "left").join(F.broadcast(everything), F.lit(True), "left")
     pick = lambda c: F.when(F.col("rows") >= min_rows, F.col(c)).when(F.col("t_rows") >= min_rows, F.col(f"t_{c}")).otherwise(F.col(f"e_{c}"))
-    return x.select("lang", "source", *(pick(f"{e}_{m.name}").alias(f"_q_{e}_{m.name}") for m in METRICS for e in ("lo", "hi")))
+    return x.select("lang", "source", *(pick(f"{e}_{m.name}").alias(f"_q_{e}_{m.name}") for m in METRICS if m.low or m.high for e in ("lo", "hi")))
 
 
 def judge(measured: DataFrame, fence: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """Joined filtering: adds base_failed and kept. A group without fences (all of it failed the base rule) keeps nothing more than the base rule does."""
     f = fence.select(F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"), *(c for c in fence.columns if c.startswith("_q_")))
     beyond = F.lit(False)
-    for m in METRICS:
+    for m in (m for m in METRICS if m.low or m.high):
         v = F.col(f"_q_{m.name}")
         beyond = beyond | (v < F.col(f"_q_lo_{m.name}") if m.low else F.lit(False)) | (v > F.col(f"_q_hi_{m.name}") if m.high else F.lit(False))
     joined = measured.join(f, measured[lang].eqNullSafe(f["_q_lang"]) & measured[source].eqNullSafe(f["_q_source"]), "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import html, jaccard, langid, media, mixing, packing, pii, quality, urllists, warc
 
-#: The dated list that op3 applies: (pattern, list, action, at).
+#: The dated lists that op3 applies, beside a watch list of hosts: (pattern, list, action, at).
 LIST_EVENTS = (
     ("casino-win.example.com", "gambling", "add", "2024-01-10 00:00:00"),
     ("casino-win.example.com", "gambling", "remove", "2024-05-01 00:00:00"),
@@ -46,6 +46,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     # pages carry no fetch time: one in 2024 is derived from the page's number
     captures = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 86477, F.lit(31536000))))
     events = spark.createDataFrame(list(LIST_EVENTS), "pattern string, list string, action string, at string").withColumn("at", F.to_timestamp("at"))
+    # and of every third host a watch of some weeks, so that the lists grow with the pages
+    hosts = pages.select(urllists.host_of(F.col("url")).alias("pattern")).filter("pattern <> ''").distinct()
+    hosts = hosts.withColumn("k", F.conv(F.substring(F.md5("pattern"), 1, 6), 16, 10).cast("long")).filter("k % 3 = 0")
+    day = F.col("k") % 300
+    for action, at in (("add", day), ("remove", day + 20 + F.col("k") % 7)):
+        events = events.unionByName(hosts.select("pattern", F.lit("watch").alias("list"), F.lit(action).alias("action"), F.timestamp_seconds(1704067200 + at * 86400).alias("at")))
     m = urllists.match(captures, events)
     return m.select("page_id", "url", F.unix_timestamp("fetched_at").alias("fetched_s"), F.array_join("lists", ",").alias("lists"), F.array_join("patterns", ",").alias("patterns"), "blocked")
 

@@ -9,10 +9,11 @@ equality, after the intervals of a pattern have been gathered into one sorted ar
 the as-of test runs inside that array. So the join adds no row whatever a host's history
 is, and a hot host's captures can be split.
 
-Defined cases: a null or empty url, or a null fetch time, matches nothing; patterns are
-lower-cased and lose a leading ``www.``, a url's host too, its path keeps its case; repeated events change nothing; a
-removal at the same instant as an addition wins; captures repeated stay repeated; empty
-lists or captures give empty matches.
+Defined cases: a null or empty url, or a null fetch time, matches nothing; hosts of urls
+and patterns are compared in lower case and without a leading ``www.``, paths as they
+stand; repeated events change nothing; a removal at the same instant as an addition wins;
+captures repeated stay repeated; empty lists or captures give empty matches; columns
+named lists, patterns or blocked give way to the results.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ def candidates(url: Column, segments: int) -> Column:
 
 def intervals(events: DataFrame) -> DataFrame:
     """(pattern, list, valid_from, valid_to); valid_to is null while the entry is active."""
-    e = events.select(F.regexp_replace(F.lower("pattern"), r"^www\.", "").alias("pattern"), "list", "action", "at").filter("pattern is not null and at is not null").distinct()
+    host, path = F.regexp_extract("pattern", "^[^/]*", 0), F.regexp_extract("pattern", "/.*$", 0)
+    e = events.select(F.concat(F.regexp_replace(F.lower(host), r"^www\.", ""), F.regexp_replace(path, "/+$", "")).alias("pattern"), "list", "action", "at").filter("pattern is not null and at is not null").distinct()
     # at one instant a removal wins
     one = e.groupBy("pattern", "list", "at").agg((F.sum(F.when(F.col("action") == "remove", 1).otherwise(0)) == 0).alias("on"))
     by = W.partitionBy("pattern", "list").orderBy("at")
@@ -56,7 +58,7 @@ def match(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str
     history = intervals(events).groupBy("pattern").agg(F.sort_array(F.collect_set(F.struct("valid_from", "valid_to", "list"))).alias("_hist"))
     # one number: no pattern has more path segments, so longer prefixes match nothing
     segments = history.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
-    own = captures.columns
+    own = [c for c in captures.columns if c not in ("lists", "patterns", "blocked")]
     # a capture's match depends on its url and time alone, so equal pairs are matched once
     pairs = captures.select(F.col(url).alias("_url"), F.col(fetched).alias("_at")).filter("_url is not null and _at is not null").distinct()
     keyed = pairs.withColumn("pattern", F.explode(candidates(F.col("_url"), segments)))
