@@ -25,8 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: it cuts the lineage and survives the loss of executors."""
+    """df as a Parquet table in the shared folder, read again: it cuts the lineage and survives the loss of executors. Results are read from these tables, so they stay; all of an application lie in a folder with its id, which may go when the results have been stored."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
