@@ -12,6 +12,9 @@ WORD_BREAKS = " \t\n\x0b\x0c\r"
 #: The same as a class for Java's regular expressions.
 BREAK_CLASS = "[\\x20\\x09-\\x0D]+"
 
+#: Spark's setting that shuffle files are removed at the end of a query.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests), one of our own."""
@@ -19,8 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='sprocket-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='sprocket-')}")
+        folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -28,5 +31,11 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it cuts the lineage and survives the loss of executors. Results are read from these tables, so they stay; all of an application lie in a folder with its id, which may go when the results have been stored."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    # df is not run again, so its shuffle files can go when the table is there
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
