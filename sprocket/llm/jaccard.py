@@ -4,7 +4,7 @@ A text's set is its distinct word shingles, as 64-bit hashes. Texts with equal s
 one node. In any one order of all hashes, two sets that reach the similarity share one
 of their n - ceil(t n) + 1 first ones, so only nodes that meet in such a list are
 compared; no list is dropped or cut. The order here is by hash, but for the hashes of
-very many texts (`common_hashes`), which come last: what a great number of texts share
+very many texts (`counted`), which come last: what a great number of texts share
 says little, and would make long lists. Any choice of them gives the same result.
 
 1. Every node meets in each of its FIRST first shared lists the list's leader (one pair a
@@ -195,32 +195,41 @@ def _hashes(df: DataFrame, text: str, k: int, percent: int, common: np.ndarray |
     return df.select(text).mapInArrow(run, "h long, n long")
 
 
-def common_hashes(df: DataFrame, text: str, k: int, percent: int) -> np.ndarray:
-    """The hashes that come last, sorted: at most 2 COMMON, counted over all texts."""
-    found: np.ndarray | None = None
-    for _ in range(2):
-        counts = _hashes(df, text, k, percent, found).groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > OFTEN)
-        new = counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column(0).to_numpy().view(np.uint64)
-        found = np.unique(new if found is None else np.concatenate((found, new)))
-    return found
+def counted(df: DataFrame, text: str, k: int, percent: int) -> tuple[np.ndarray, DataFrame]:
+    """The hashes that come last, sorted: at most 2 COMMON, counted over all texts; and (h), every hash that may lie in the prefixes of two texts, some twice."""
+    first = written(_hashes(df, text, k, percent, None).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "counts")
+    common = _often(first)
+    # a hash that only the second count finds may be another text's in the first, where one was not kept
+    second = written(_hashes(df, text, k, percent, common).groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    return np.unique(np.concatenate((common, _often(second)))), first.select("h").union(second.select("h"))
+
+
+def _often(counts: DataFrame) -> np.ndarray:
+    top = counts.filter(F.col("n") > OFTEN).orderBy(F.desc("n"), "h").limit(COMMON).select("h")
+    return np.unique(top.toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def signed(df: DataFrame, text: str, doc_id: str, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, node, prefix, bits): prefix as 64-bit numbers."""
+    """(doc_id, n, node, prefix, bits): prefix as 64-bit numbers. A node that a task has met before has them no second time: prefix is empty then, and bits null."""
     out = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
     sent = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 n, node, prefix, bits = [], [], [], []
                 for t in part.column(1).to_pylist():
                     s = shingles(t, k)
+                    name = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+                    new = name is not None and name not in met
+                    if new and len(met) < 1_000_000:
+                        met.add(name)
                     n.append(len(s))
-                    node.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
-                    prefix.append(ordered_prefix(s, sent.value, percent).view(np.int64) if len(s) else np.zeros(0, np.int64))
-                    bits.append(signature(s) if len(s) else None)
+                    node.append(name)
+                    prefix.append(ordered_prefix(s, sent.value, percent).view(np.int64) if new else np.zeros(0, np.int64))
+                    bits.append(signature(s) if new else None)
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in prefix]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(bits, pa.binary())], names=out.names)
@@ -407,14 +416,16 @@ def open_lists(lists: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]
 def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row for each row of df."""
     src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    t = written(signed(src, "text", "doc_id", k, percent, common_hashes(src, "text", k, percent)), "signatures")
+    common, repeated = counted(src, "text", k, percent)
+    t = written(signed(src, "text", "doc_id", k, percent, common), "signatures")
     some = t.filter("node is not null")
-    nodes = some.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
+    nodes = some.groupBy("node").agg(F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.min("doc_id").alias("doc_id"))
 
     # lists in which two nodes meet; the smallest and the largest node tell, so that no list is gathered
     rows = some.select("node", "n", F.posexplode("prefix").alias("i", "h"))
-    shared = rows.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("h")
-    lists = written(rows.join(shared, "h").groupBy("h", "node").agg(F.first("n").alias("n"), F.first("i").alias("i")), "lists")
+    met = written(rows.join(repeated, "h").groupBy("h", "node").agg(F.first("n").alias("n"), F.first("i").alias("i")), "met")
+    shared = met.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("h")
+    lists = written(met.join(shared, "h"), "lists")
     nodes = written(nodes.join(lists.select("node").distinct(), "node", "left_semi"), "nodes")
 
     # 1. leaders
