@@ -24,11 +24,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document with the smallest id of each group of near-duplicates."""
     ids = docs.groupBy("doc_id").count()
     if ids.filter("doc_id is null or count > 1").isEmpty():
-        gone = jaccard.join(docs, k=SHINGLE, percent=SIMILAR).filter("doc_id <> component_id").select("doc_id")
+        # a table, so that its size is known when the join is planned: texts are dealt out only if it is too large to send
+        gone = written(jaccard.join(docs, k=SHINGLE, percent=SIMILAR).filter("doc_id <> component_id").select("doc_id"), "gone")
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # ids that do not tell rows apart: number the rows first
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    gone = jaccard.join(rows, doc_id="_row", k=SHINGLE, percent=SIMILAR).filter("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
+    gone = written(jaccard.join(rows, doc_id="_row", k=SHINGLE, percent=SIMILAR).filter("doc_id <> component_id").select(F.col("doc_id").alias("_row")), "gone")
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
