@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Words that a title keeps in lower case unless they come first.
-SMALL_WORDS = "a an and as at av but by de del den det en ett for från för i in med of och on or på som the till to under vid över".split()
+SMALL_WORDS = "och eller men utan av på i för till från med över under vid genom mot om åt ur and or but the a an in on at to for of with by".split()
 
 
 @F.pandas_udf(StringType())
@@ -26,11 +26,11 @@ def natural_key(name: Column) -> Column:
 
 
 def rational(s: Column) -> Column:
-    """'n/d' or 'n' as a double; null if it is neither or d is 0."""
-    p = F.split(s, "/")
-    ok = s.rlike(r"^\s*-?[0-9]+(\.[0-9]+)?\s*(/\s*-?[0-9]+(\.[0-9]+)?\s*)?$")
-    den = F.coalesce(F.get(p, F.lit(1)).try_cast("double"), F.lit(1.0))
-    return F.when(ok & (den != 0), F.get(p, F.lit(0)).try_cast("double") / den)
+    """'n/d' as a double; null without a slash, if either side is no number or d is 0."""
+    num, den = F.trim(F.substring_index(s, "/", 1)), F.trim(F.substr(s, F.instr(s, "/") + 1))
+    number = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+    ok = s.contains("/") & num.rlike(number) & den.rlike(number)
+    return F.when(ok & (den.try_cast("double") != 0), num.try_cast("double") / den.try_cast("double"))
 
 
 def frame_rate(average: Column, rate: Column) -> Column:
@@ -66,15 +66,18 @@ def filmstrip(seconds: Column, most: int = 120, columns: int = 10) -> dict[str,
 
 
 def name_parts(folder: Column) -> dict[str, Column]:
-    """date, title and location of '[date - ]title[ - location]'; never an error."""
-    day = F.regexp_extract(folder, r"^(\d{4}-\d{2}-\d{2})(?: - |$)", 1)
-    date = F.to_date(F.try_to_timestamp(F.when(day != "", day), F.lit("yyyy-MM-dd")))
-    rest = F.when(date.isNotNull(), F.regexp_replace(folder, r"^\d{4}-\d{2}-\d{2}( - )?", "")).otherwise(folder)
-    parts = F.split(rest, " - ")
-    title = F.nullif(F.trim(F.get(parts, F.lit(0))), F.lit(""))
-    location = F.when(F.size(parts) > 1, F.nullif(F.trim(F.array_join(F.slice(parts, 2, 99), " - ")), F.lit("")))
-    problem = F.when((day != "") & date.isNull(), "impossible-date").when(date.isNull(), "no-date").when(title.isNull(), "no-title")
-    return {"event_date": date, "title": title, "location": location, "problem": problem}
+    """date, title and location of '[date - ]title[ - location]', and problems, in order; never an error. A year alone is no date; the last part of several is the location."""
+    f = F.trim(folder)
+    token = F.regexp_extract(f, r"^(\d{4}(?:-\d{2}-\d{2})?)(?:\s*-\s*|$)", 1)
+    date = F.to_date(F.try_to_timestamp(F.when(F.length(token) == 10, token), F.lit("yyyy-MM-dd")))
+    rest = F.btrim(F.when(token != "", F.regexp_replace(f, r"^\d{4}(-\d{2}-\d{2})?(\s*-\s*|$)", "")).otherwise(f), F.lit(" -"))
+    parts = F.split(rest, r"\s+-\s+")
+    last = F.size(parts) - 1
+    blank = lambda c: F.nullif(c, F.lit(""))
+    title = blank(title_case(F.when(last > 0, F.array_join(F.slice(parts, 1, F.greatest(last, F.lit(1))), " - ")).otherwise(rest)))
+    location = F.when(last > 0, blank(title_case(F.get(parts, last))))
+    problems = F.array_compact(F.array(F.when(token == "", "no-date").when(F.length(token) == 4, "year-only").when(date.isNull(), "impossible-date"), F.when(title.isNull(), "no-title")))
+    return {"event_date": date, "title": title, "location": location, "problems": problems}
 
 
 def safe_name(s: Column) -> Column:
@@ -82,13 +85,26 @@ def safe_name(s: Column) -> Column:
 
 
 def output_name(date: Column, title: Column, location: Column) -> Column:
-    return F.concat(F.concat_ws(" - ", date, safe_name(title), safe_name(location)), F.lit(".mp4"))
+    """'[date - ]title[ - location].mp4'; without a title it is Untitled, and a blank location adds nothing."""
+    blank = lambda c: F.nullif(c, F.lit(""))
+    return F.concat(F.concat_ws(" - ", date, F.coalesce(blank(safe_name(title)), F.lit("Untitled")), blank(safe_name(location))), F.lit(".mp4"))
+
+
+def output_path(date: Column, title: Column, location: Column) -> Column:
+    """The name below its year's folder; an undated one at the top."""
+    return F.concat_ws("/", F.date_format(date, "yyyy"), output_name(F.date_format(date, "yyyy-MM-dd"), title, location))
 
 
 def title_case(s: Column) -> Column:
+    """Words capitalised, the rest of each in lower case; small words and those that begin with a digit in lower case, but for the first."""
     small = F.array(*(F.lit(w) for w in SMALL_WORDS))
-    word = lambda w, i: F.when((i > 0) & F.array_contains(small, F.lower(w)), F.lower(w)).when(w.rlike("^[0-9]"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20)))
-    return F.array_join(F.transform(F.split(s, " "), word), " ")
+
+    def word(w: Column, i: Column) -> Column:
+        low = F.lower(w)
+        bare = F.regexp_replace(low, r"[^\p{L}\p{N}_]", "")
+        return F.when((i > 0) & (bare.rlike("^[0-9]") | F.array_contains(small, bare)), low).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substring(low, 2, 1 << 20)))
+
+    return F.array_join(F.transform(F.split(F.trim(s), r"\s+"), word), " ")
 
 
 def entity_tag(size: Column, mtime_ns: Column) -> Column:
@@ -103,17 +119,29 @@ def escape_metadata(s: Column) -> Column:
     return F.regexp_replace(s, r"([=;#\\\n])", r"\\$1")
 
 
+#: Fixed value: seconds, m:ss or h:mm:ss, then an optional fraction after a point or a comma.
+TIME = r"^(?:(\d+):([0-5]\d):([0-5]\d)|(\d+):([0-5]\d)|(\d+))(?:[.,](\d+))?$"
+
+
 def parse_time(s: Column) -> Column:
-    """'ss', 'm:ss' or 'h:mm:ss', with decimals, as milliseconds; null if unreadable."""
-    ok = s.rlike(r"^\s*(\d+:)?(\d+:)?\d+(\.\d+)?\s*$")
-    parts = F.transform(F.split(F.trim(s), ":"), lambda p: p.try_cast("decimal(18,6)"))
-    total = F.aggregate(parts, F.lit(0).cast("decimal(30,6)"), lambda a, p: (a * 60 + p).cast("decimal(30,6)"))
-    return F.when(ok, F.round(total * 1000).cast("long"))
+    """A typed time in milliseconds; null if it is refused."""
+    t = F.trim(s)
+    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(t, TIME, k), F.lit("")).cast("long"), F.lit(0))
+    seconds = (part(1) * 60 + part(2)) * 60 + part(3) + part(4) * 60 + part(5) + part(6)
+    return F.when(time_refusal(s).isNull() & s.isNotNull(), seconds * 1000 + F.rpad(F.regexp_extract(t, TIME, 7), 3, "0").cast("long"))
+
+
+def time_refusal(s: Column) -> Column:
+    """Why a typed time is refused: empty, unreadable or too-precise (more than three decimals); null if it is not."""
+    t = F.trim(s)
+    return F.when(t == "", "empty").when(~t.rlike(TIME), "unreadable").when(F.length(F.regexp_extract(t, TIME, 7)) > 3, "too-precise")
 
 
 def format_time(ms: Column) -> Column:
+    """m:ss or h:mm:ss with the fraction's digits, no zero last."""
     s = F.floor(ms / 1000)
-    return F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)).otherwise(F.format_string("%d:%02d", F.floor(s / 60), s % 60))
+    clock = F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)).otherwise(F.format_string("%d:%02d", F.floor(s / 60), s % 60))
+    return F.concat(clock, F.regexp_replace(F.concat(F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0")), r"\.?0*$", ""))
 
 
 def nearest_frame(t: Column, fps: Column) -> Column:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .joins import latest_per_key
 
 
-def state_rollup(df: DataFrame, key: str, state: str) -> DataFrame:
-    """(key, state): all current, all never, any never or stale, else failed."""
+def state_rollup(df: DataFrame, key: str, state: str, events: DataFrame | None = None) -> DataFrame:
+    """(key, state): all current, all never, any never or stale, else failed. Of events (key) those without clips are current."""
     s = F.col(state)
+    if events is not None:
+        df = events.select(key).join(df.select(key, state), key, "left").withColumn(state, F.coalesce(s, F.lit("current")))
     return df.groupBy(key).agg(F.when(F.bool_and(s == "current"), "current").when(F.bool_and(s == "never"), "never").when(F.bool_or(s.isin("never", "stale")), "stale").otherwise("failed").alias("state"))
 
 
@@ -66,8 +68,17 @@ def submit(requests: DataFrame, active: DataFrame, key: list[str]) -> DataFrame:
     return requests.dropDuplicates(key).join(active.select(*key), key, "left_anti")
 
 
-def due(events: DataFrame, jobs: DataFrame, key: str, touched: str) -> DataFrame:
-    """Events with no ended job, or touched since their newest one began."""
+def due(clips: DataFrame, jobs: DataFrame, key: str = "event") -> DataFrame:
+    """(key): events with pending clips that nothing holds back.
+
+    clips: key, pending (an analysis would read the clip), touched (when it last changed); jobs: key, id, status, created_at, started_at, finished_at. Only a newest job that failed or was cancelled holds its event back, until a clip changes after that job began.
+    """
     last = latest_per_key(jobs, [key], [F.desc("created_at"), F.desc("id")]).select(key, F.coalesce("started_at", "finished_at", "created_at").alias("_since"), F.col("status").alias("_status"))
-    x = events.join(last, key, "left")
-    return x.filter(F.col("_status").isNull() | (~F.col("_status").isin("queued", "running") & (F.col(touched) > F.col("_since")))).select(*events.columns)
+    x = clips.groupBy(key).agg(F.bool_or("pending").alias("_pending"), F.max("touched").alias("_touched")).filter("_pending").join(last, key, "left")
+    held = F.coalesce(F.col("_status").isin("failed", "cancelled"), F.lit(False)) & ~F.coalesce(F.col("_touched") > F.col("_since"), F.lit(False))
+    return x.filter(~held).select(key)
+
+
+def sweep(due_events: DataFrame, active: DataFrame, key: str, newest: str, k: int) -> DataFrame:
+    """The newest k due events without an active job."""
+    return due_events.join(active.select(key), key, "left_anti").orderBy(F.desc(newest), key).limit(k)

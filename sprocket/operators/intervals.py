@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import asof_join
+
 
 def merge_spans(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """(keys, start, end): overlapping or touching spans joined (gaps and islands: one shuffle on keys)."""
-    x = df.filter(F.col(start) < F.col(end)).select(*keys, F.col(start).alias("start"), F.col(end).alias("end"))
+    x = _islands(df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end")), keys)
+    return x.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def _islands(df: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """(keys, more, start, end, island): spans with the number of the island that they lie in."""
     by = W.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
-    x = x.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    return x.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    x = df.filter(F.col("start") < F.col("end")).select(*keys, *more, "start", "end")
+    return x.withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
 
 
 def clamp(start: Column, end: Column, low: Column, high: Column) -> tuple[Column, Column]:
@@ -22,52 +29,56 @@ def clamp(start: Column, end: Column, low: Column, high: Column) -> tuple[Column
 
 def kept_spans(cuts: DataFrame, extents: DataFrame, keys: list[str], length: str = "length") -> DataFrame:
     """(keys, start, end): what the cuts leave of [0, length). A key without cuts keeps all of it."""
-    c = cuts.join(extents.select(*keys, F.col(length).alias("len")), keys).select(*keys, F.greatest("start", F.lit(0)).alias("start"), F.least("end", "len").alias("end"))
+    zero = F.lit(0).cast(extents.schema[length].dataType)
+    c = cuts.join(extents.select(*keys, F.col(length).alias("len")), keys).select(*keys, F.greatest("start", zero).alias("start"), F.least("end", "len").alias("end"))
     m = merge_spans(c, keys)
     edges = m.select(*keys, F.col("end").alias("start"), F.lead("start").over(W.partitionBy(*keys).orderBy("start")).alias("end"))
-    first = m.groupBy(*keys).agg(F.lit(0).cast("long").alias("start"), F.min("start").alias("end"))
+    first = m.groupBy(*keys).agg(zero.alias("start"), F.min("start").alias("end"))
     gaps = edges.unionByName(first).join(extents.select(*keys, F.col(length).alias("len")), keys).select(*keys, "start", F.coalesce("end", "len").alias("end"))
-    whole = extents.join(m.select(*keys).distinct(), keys, "left_anti").select(*keys, F.lit(0).cast("long").alias("start"), F.col(length).alias("end"))
+    whole = extents.join(m.select(*keys).distinct(), keys, "left_anti").select(*keys, zero.alias("start"), F.col(length).alias("end"))
     return gaps.unionByName(whole).filter(F.col("start") < F.col("end"))
 
 
 def subtract_spans(spans: DataFrame, blockers: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
-    """(keys, keep, start, end): the parts of each span outside the union of its key's blockers, read off the sorted blockers of the key (no range join)."""
+    """(keys, keep, start, end): the parts of each span outside the union of its key's blockers.
+
+    Merged blockers are numbered in each key. Two as-of lookups give a span the numbers of the first and the last blocker that it meets, and the gaps between them are joined by number, so the work grows with the parts that come out and no key's blockers are gathered.
+    """
     keep = keep or []
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    b = merge_spans(blockers, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("blockers"))
-    x = spans.filter(F.col("start") < F.col("end")).join(b, keys, "left")
-    x = x.withColumn("inside", F.filter(F.coalesce("blockers", none), lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
-    point = lambda c: F.array(F.struct(F.col(c).alias("start"), F.col(c).alias("end")))
-    x = x.withColumn("cuts", F.concat(point("start"), "inside", point("end")))
-    gaps = F.transform(F.sequence(F.lit(0), F.size("inside")), lambda i: F.struct(F.greatest(F.col("start"), F.get(F.col("cuts"), i)["end"]).alias("start"), F.least(F.col("end"), F.get(F.col("cuts"), i + 1)["start"]).alias("end")))
-    return x.withColumn("gap", F.explode(gaps)).select(*keys, *keep, "gap.start", "gap.end").filter(F.col("start") < F.col("end"))
+    by = W.partitionBy(*keys).orderBy("start")
+    b = merge_spans(blockers, keys).withColumn("n", F.row_number().over(by))
+    gaps = b.select(*keys, F.col("n").alias("gap"), F.col("end").alias("_after"), F.lead("start").over(by).alias("_before"))
+    gaps = gaps.unionByName(b.groupBy(*keys).agg(F.lit(0).alias("gap"), F.lit(None).cast(b.schema["end"].dataType).alias("_after"), F.min("start").alias("_before")))
+    x = spans.filter(F.col("start") < F.col("end")).select(*keys, *keep, "start", "end")
+    x = asof_join(x.withColumn("_t", F.col("start")), b.select(*keys, F.col("end").alias("_t"), F.col("n").alias("_low")), keys, "_t", "_low")
+    x = asof_join(x.withColumn("_t", F.col("end")), b.select(*keys, F.col("start").alias("_t"), F.col("n").alias("_high")), keys, "_t", "_high", strict=True)
+    low, high = F.coalesce("_low", F.lit(0)), F.coalesce("_high", F.lit(0))
+    x = x.withColumn("gap", F.explode(F.sequence(low, F.greatest(low, high)))).join(gaps, [*keys, "gap"], "left")
+    # greatest and least leave out nulls
+    return x.select(*keys, *keep, F.greatest("start", "_after").alias("start"), F.least("end", "_before").alias("end")).filter(F.col("start") < F.col("end"))
 
 
 def resolve_priority(spans: DataFrame, keys: list[str], kind: str, strong: list[str]) -> DataFrame:
     """(keys, kind, start, end): strong kinds pass unmerged; others lose what strong ones cover."""
     top = spans.filter(F.col(kind).isin(strong)).select(*keys, kind, "start", "end")
     rest = spans.filter(~F.col(kind).isin(strong))
-    blockers = top.select(*keys, "start", "end")
     return top.unionByName(subtract_spans(rest, top, keys, [kind]))
 
 
 def measure(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, covered): the length of the union."""
-    return merge_spans(df, keys).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("covered"))
+    """(keys, covered): the length of the union, in the spans' own type."""
+    return merge_spans(df, keys).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
 
 
-def overlap_labels(merged: DataFrame, raw: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """merged spans with the sorted distinct labels of the raw spans that overlap them by more than an instant."""
-    r = raw.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), label)
-    hit = merged.join(r, keys).filter((F.col("s") < F.col("end")) & (F.col("e") > F.col("start")))
-    return hit.groupBy(*keys, "start", "end").agg(F.array_join(F.sort_array(F.collect_set(label)), ",").alias("labels"))
+def overlap_labels(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """(keys, start, end, labels): merged spans with the sorted distinct labels of the spans that they are made of, which are those that overlap them by more than an instant. One shuffle on keys."""
+    return _islands(df, keys, label).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.sort_array(F.collect_set(label)), ",").alias("labels")).drop("island")
 
 
 def cover_state(suggestions: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    """suggestions with state: 'cut' if a merged cut contains it, 'partly-cut' if one overlaps it, else 'pending'."""
-    m = merge_spans(cuts, keys).groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("m"))
-    x = suggestions.join(m, keys, "left").withColumn("m", F.coalesce("m", F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    inside = F.exists("m", lambda s: (s["start"] <= F.col("start")) & (s["end"] >= F.col("end")))
-    meets = F.exists("m", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return x.withColumn("state", F.when(inside, "cut").when(meets, "partly-cut").otherwise("pending")).drop("m")
+    """suggestions with state: 'cut' if a merged cut contains it, 'partly-cut' if one overlaps it, else 'pending'. Merged cuts are disjoint, so the last one that begins before a suggestion's end decides: one as-of lookup."""
+    cols = suggestions.columns
+    m = merge_spans(cuts, keys).select(*keys, F.col("start").alias("_t"), F.struct("start", "end").alias("_cut"))
+    x = asof_join(suggestions.withColumn("_t", F.col("end")), m, keys, "_t", "_cut", strict=True)
+    inside = (F.col("_cut.start") <= F.col("start")) & (F.col("_cut.end") >= F.col("end"))
+    return x.select(*cols, F.when(inside, "cut").when(F.col("_cut.end") > F.col("start"), "partly-cut").otherwise("pending").alias("state"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import fold
+
 
 def reconcile(disk: DataFrame, document: DataFrame, ignored: DataFrame, key: str) -> DataFrame:
     """(key, status): a full outer join of what lies on disk with what the document refers to. A reference outranks an ignore."""
@@ -20,11 +22,11 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_rank = 1").drop("_rank")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, first_if_none: bool = False) -> DataFrame:
-    """left with value: the latest of right at or before `at`, null (or the key's first) if there is none. Both sides go through one window on keys, so a row never meets another side's whole history."""
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, first_if_none: bool = False, strict: bool = False) -> DataFrame:
+    """left with value: the latest of right at or before `at` (strict: before it), null (or the key's first) if there is none. Both sides go through one window on keys, so a row never meets another side's whole history."""
     cols = left.columns
     both = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_side")).unionByName(right.select(*keys, at, F.col(value).alias("_v"), F.lit(0).alias("_side")), allowMissingColumns=True)
-    by = W.partitionBy(*keys).orderBy(at, "_side")
+    by = W.partitionBy(*keys).orderBy(at, F.desc("_side") if strict else F.asc("_side"))
     both = both.withColumn("_last", F.last("_v", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)))
     if first_if_none:
         both = both.withColumn("_last", F.coalesce("_last", F.first("_v", ignorenulls=True).over(by.rowsBetween(W.currentRow, W.unboundedFollowing))))
@@ -56,9 +58,19 @@ def missing(referenced: DataFrame, disk: DataFrame, key: str, excluded: Column |
     return rows.join(disk.select(key), key, "left_anti")
 
 
-def prunable(superseded: DataFrame, current: DataFrame, claimed: DataFrame, key: str) -> DataFrame:
-    """Superseded keys that are neither current nor claimed elsewhere, once each."""
-    return superseded.select(key).distinct().join(current.select(key), key, "left_anti").join(claimed.select(key), key, "left_anti")
+def prunable(history: DataFrame, on_disk: DataFrame, claimed: DataFrame, event: str = "event") -> DataFrame:
+    """(event, path): superseded movies that may go.
+
+    history: event, output, superseded (array); on_disk: path; claimed: event, path, what other events record or expect. Paths compare folded. An event whose current movie is not on disk keeps its old ones, which are still its movies; a path that is current or that another event claims stays.
+    """
+    folded = lambda c: fold(F.col(c))
+    files = on_disk.select(F.col("path").alias("path"), folded("path").alias("_k"))
+    h = history.select(event, folded("output").alias("_now"), F.explode("superseded").alias("_old")).withColumn("_k", folded("_old"))
+    h = h.join(files.select(F.col("_k").alias("_now")).distinct(), "_now", "left_semi").filter("_k <> _now").join(files, "_k")
+    other = claimed.select(F.col(event).alias("_by"), folded("path").alias("_k"))
+    mine, theirs = h.alias("m"), other.alias("o")
+    x = mine.join(theirs, (F.col("m._k") == F.col("o._k")) & (F.col(f"m.{event}") != F.col("o._by")), "left_anti")
+    return x.groupBy("_k").agg(F.min(event).alias(event), F.min("path").alias("path")).select(event, "path")
 
 
 def incremental(listing: DataFrame, done: DataFrame, key: str, signal: str) -> DataFrame:

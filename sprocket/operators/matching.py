@@ -13,39 +13,36 @@ from pyspark.sql import functions as F
 def match_spans(have: DataFrame, want: DataFrame, keys: list[str], index: str = "index") -> DataFrame:
     """(keys, want, have, rule): the old span each wanted span takes over, each old one at most once; have and rule are null where none is left.
 
-    The rules hold in turn, each among what the earlier ones left: the same span, the same start, the same end, the order. Within a rule the n-th wanted span of a value takes the n-th old one of that value, so each rule is a rank and a join on it. `index` orders the spans of a key and must be unique there.
+    The rules hold in turn, each among what the earlier ones left: the same span, the same start, the same end, the order. Within a rule the n-th wanted span of a value takes the n-th old one of that value: both sides are one table, dealt out by key once, and each rule is a rank and a look at the row of the same rank. `index` orders the spans of a key and must be unique there. Null matches null.
     """
-    h = have.select(*keys, F.col(index).alias("have"), "start", "end")
-    w = want.select(*keys, F.col(index).alias("want"), "start", "end")
-    found = []
+    side = lambda df, new: df.select(*keys, F.col(index).alias("_i"), "start", "end", F.lit(new).alias("_new"))
+    u = side(have, False).unionByName(side(want, True)).withColumns({"_other": F.lit(None).cast(have.schema[index].dataType), "rule": F.lit(None).cast("string")}).repartition(*keys)
     for rule, on in (("same", ["start", "end"]), ("start", ["start"]), ("end", ["end"]), ("order", [])):
-        # coalesced flags beside the values let nulls match each other
-        by = [*keys, *on]
-        ranked = lambda df, i: df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(i)))  # noqa: B023, E731
-        a, b = ranked(w, "want").alias("a"), ranked(h, "have").alias("b")
-        same = reduce(lambda x, y: x & y, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_n"]))
-        hit = a.join(b, same).select(*(F.col(f"a.{k}").alias(k) for k in keys), "a.want", "b.have", F.lit(rule).alias("rule"))
-        found.append(hit)
-        w = w.join(hit.select(*keys, "want"), [*keys, "want"], "left_anti")
-        h = h.join(hit.select(*keys, "have"), [*keys, "have"], "left_anti")
-    left = w.select(*keys, "want", F.lit(None).cast(have.schema[index].dataType).alias("have"), F.lit(None).cast("string").alias("rule"))
-    return reduce(DataFrame.unionByName, found).unionByName(left)
-
-
-def pair_chapters(wanted: DataFrame, existing: DataFrame, event: str = "event", chapter: str = "chapter", clips: str = "clips") -> DataFrame:
-    """(event, wanted, existing, shared): chapters paired one to one by the clips they share: equal lists first, then more shared clips, then the order of both. Chapters without a shared clip pair with nothing.
+        by = [*keys, *on, "_done"]
+        u = u.withColumn("_done", F.col("rule").isNotNull())
+        u = u.withColumn("_n", F.row_number().over(W.partitionBy(*by, "_new").orderBy("_i")))
+        pair = W.partitionBy(*by, "_n")
+        other = F.when(F.col("_new"), F.max(F.when(~F.col("_new"), F.col("_i"))).over(pair)).otherwise(F.max(F.when(F.col("_new"), F.col("_i"))).over(pair))
+        u = u.withColumn("_found", F.when(~F.col("_done"), other))
+        u = u.withColumns({"_other": F.coalesce("_other", "_found"), "rule": F.when(F.col("_found").isNotNull(), F.lit(rule)).otherwise(F.col("rule"))})
+    return u.filter("_new").select(*keys, F.col("_i").alias("want"), F.col("_other").alias("have"), "rule")
+
+
+def pair_chapters(wanted: DataFrame, existing: DataFrame, event: str = "event", chapter: str = "chapter", clips: str = "clips", order: str | None = None) -> DataFrame:
+    """(event, wanted, existing, shared): chapters paired one to one by the clips they share: equal lists first, then more shared clips, then the order of both (the column `order`, or the chapter itself). Chapters without a shared clip pair with nothing.
 
     Shared clips are counted by a join on (event, clip); the greedy choice sees an event's candidate pairs only.
     """
-    lists = lambda df, name: df.select(F.col(event).alias("event"), F.col(chapter).cast("long").alias(name), F.col(clips).alias("_all"))
+    lists = lambda df, name: df.select(F.col(event).alias("event"), F.col(chapter).alias(name), F.col(order or chapter).alias(f"_{name}"), F.col(clips).alias(f"_all_{name}"))
     w, e = lists(wanted, "wanted"), lists(existing, "existing")
-    one = lambda df, name: df.select("event", name, F.explode(F.array_distinct("_all")).alias("clip"))
+    one = lambda df, name: df.select("event", name, F.explode(F.array_distinct(f"_all_{name}")).alias("clip"))
     shared = one(w, "wanted").join(one(e, "existing"), ["event", "clip"]).groupBy("event", "wanted", "existing").agg(F.count("*").alias("shared"))
-    x = shared.join(w.withColumnRenamed("_all", "_w"), ["event", "wanted"]).join(e.withColumnRenamed("_all", "_e"), ["event", "existing"])
-    x = x.select("event", "wanted", "existing", "shared", (F.col("_w") != F.col("_e")).alias("differs"))
+    x = shared.join(w, ["event", "wanted"]).join(e, ["event", "existing"])
+    x = x.select("event", "wanted", "existing", "shared", "_wanted", "_existing", (F.col("_all_wanted") != F.col("_all_existing")).alias("_differs"))
+    extra = ["_wanted", "_existing", "_differs"]
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["differs", "shared", "wanted", "existing"], ascending=[True, False, True, True])
+        rows = rows.sort_values(["_differs", "shared", "_wanted", "_existing"], ascending=[True, False, True, True])
         seen: tuple[set, set] = (set(), set())
         keep = []
         for a, b in zip(rows["wanted"], rows["existing"], strict=True):
@@ -54,9 +51,9 @@ def pair_chapters(wanted: DataFrame, existing: DataFrame, event: str = "event",
             if free:
                 seen[0].add(a)
                 seen[1].add(b)
-        return rows[keep].drop(columns="differs")
+        return rows[keep].drop(columns=extra)
 
-    return x.groupBy("event").applyInPandas(choose, x.drop("differs").schema)
+    return x.groupBy("event").applyInPandas(choose, x.drop(*extra).schema)
 
 
 def resolve_posters(played: DataFrame, posters: DataFrame, order: list[str], event: str = "event", position: float = 0.5) -> DataFrame:

@@ -82,15 +82,24 @@ def ordered_hash(df: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
 
 
 def kept_in_order(ranks: list[int], weights: list[float]) -> list[bool]:
-    """The heaviest increasing run of ranks: those that count as not moved. Ties keep the run found first."""
-    best: list[float] = []
+    """The heaviest increasing run of ranks: those that count as not moved. Ties keep the run found first. n log n: a tree of the best run that ends at or below each rank."""
+    place = {r: i + 1 for i, r in enumerate(sorted(set(ranks)))}
+    tree: list[tuple[float, int]] = [(0.0, 1)] * (len(place) + 1)  # weight, minus the row that ends the run
     back: list[int] = []
+    top = (0.0, 1)
     for i, r in enumerate(ranks):
-        k = max((j for j in range(i) if ranks[j] < r), key=lambda j: best[j], default=-1)
-        best.append(weights[i] + (best[k] if k >= 0 else 0.0))
-        back.append(k)
+        at, best = place[r] - 1, (0.0, 1)
+        while at:
+            best = max(best, tree[at])
+            at &= at - 1
+        back.append(-best[1] if best[1] <= 0 else -1)
+        mine, at = (best[0] + weights[i], -i), place[r]
+        top = max(top, mine)
+        while at < len(tree):
+            tree[at] = max(tree[at], mine)
+            at += at & -at
     out = [False] * len(ranks)
-    at = max(range(len(best)), key=lambda i: best[i], default=-1)
+    at = -top[1] if top[1] <= 0 else -1
     while at >= 0:
         out[at] = True
         at = back[at]
@@ -108,22 +117,29 @@ def moved(df: DataFrame, key: str, before: str, after: str, weight: str) -> Data
     return df.groupBy(key).applyInPandas(mark, schema)
 
 
-def eta(df: DataFrame, key: str, at: str, progress: str, alpha: float = 0.3) -> DataFrame:
-    """(key, rate, observations): exponentially weighted rate of progress a second; a decrease starts it anew. A fold over the key's sorted observations."""
-    x = df.select(key, F.col(at).cast("double").alias("_t"), F.col(progress).cast("double").alias("_p"))
+#: The weight of the newest rate, and when an estimate is trusted.
+ALPHA, MIN_PROGRESS, MIN_OBSERVATIONS = 0.3, 0.05, 3
 
-    def less(a: float | None, b: float | None) -> bool:
-        # as in SQL: null is never less, and NaN is the greatest
-        return a is not None and b is not None and (a < b or (b != b and a == a))
 
-    def step(state: tuple, row: list) -> tuple:
-        (t, p, rate, n), (t1, p1) = state, row
-        if p is None or less(p1, p):
-            return t1, p1, None, 1
-        if t is not None and t1 is not None and not less(t, t1):
-            return t1, p1, rate, n + 1
-        now = None if None in (t, t1, p1) else (p1 - p) / (t1 - t)
-        return t1, p1, now if rate is None or now is None else alpha * now + (1 - alpha) * rate, n + 1
+def eta(df: DataFrame, key: str, at: str, progress: str) -> DataFrame:
+    """(key, rate, observations, shown): the weighted rate of progress, and the time left as it is shown, which never rises. progress is a share of 1.
 
-    result = [T.StructField("rate", T.DoubleType()), T.StructField("observations", T.IntegerType())]
-    return fold(x, [key], lambda: (None, None, None, 0), step, lambda s: s[2:], result)
+    A fold over the key's sorted observations: lower progress starts anew; equal progress, or a time that does not advance, changes nothing. shown is null until there are three observations and more than 5 % are done. Observations without a time or progress are left out.
+    """
+    x = df.select(key, F.col(at).cast("double").alias("_t"), F.col(progress).cast("double").alias("_p")).filter("_t is not null and _p is not null and not isnan(_p)")
+
+    def step(state: tuple | None, row: list) -> tuple:
+        t1, p1 = row
+        if state is None or p1 < state[1]:
+            return t1, p1, None, 1, None
+        t, p, rate, n, shown = state
+        if p1 == p or t1 <= t:
+            return state
+        now = (p1 - p) / (t1 - t)
+        rate = now if rate is None else ALPHA * now + (1 - ALPHA) * rate
+        left = (1 - p1) / rate
+        trusted = p1 > MIN_PROGRESS and n + 1 >= MIN_OBSERVATIONS
+        return t1, p1, rate, n + 1, (left if shown is None else min(shown, left)) if trusted else None
+
+    result = [T.StructField("rate", T.DoubleType()), T.StructField("observations", T.IntegerType()), T.StructField("shown", T.DoubleType())]
+    return fold(x, [key], lambda: None, step, lambda s: s[2:], result)

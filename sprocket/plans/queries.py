@@ -76,7 +76,7 @@ def covered_time(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {SPANS_SQL}, m AS ({MERGE_SQL.format(src='spans')}) SELECT m.clip, m.s AS start, m.e AS \"end\", string_agg(DISTINCT kind, ',' ORDER BY kind) AS labels FROM m JOIN spans r ON r.clip = m.clip AND r.s < m.e AND r.e > m.s GROUP BY ALL")
 def span_labels(spark: SparkSession, sf: str) -> DataFrame:
     x = spans(spark, sf)
-    return intervals.overlap_labels(intervals.merge_spans(x, ["clip"]), x, ["clip"], "kind")
+    return intervals.overlap_labels(x, ["clip"], "kind")
 
 
 @query(f"""WITH {SPANS_SQL}, c AS (SELECT * FROM spans WHERE kind = 'A'), m AS ({MERGE_SQL.format(src='c')}),
@@ -126,10 +126,15 @@ def blocking_missing(spark: SparkSession, sf: str) -> DataFrame:
     return joins.missing(table(spark, sf, "customer"), disk, "c_custkey", F.col("c_mktsegment") == "BUILDING").select("c_custkey")
 
 
-@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25) AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+@query("""WITH h AS (SELECT o_custkey AS event, max(o_orderkey) AS output, list(DISTINCT o_orderkey) AS old FROM orders GROUP BY 1), disk AS (SELECT o_orderkey AS path FROM orders WHERE o_orderkey % 5 <> 0),
+c AS (SELECT o_custkey + 1 AS event, o_orderkey AS path FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 11 = 0)
+SELECT event, CAST(path AS VARCHAR) AS path FROM (SELECT event, output, unnest(old) AS path FROM h) x WHERE output IN (SELECT path FROM disk) AND path IN (SELECT path FROM disk) AND path <> output
+AND NOT EXISTS (SELECT 1 FROM c WHERE c.path = x.path AND c.event <> x.event)""")
 def superseded_prune(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
-    return joins.prunable(li.filter("l_returnflag = 'R'"), table(spark, sf, "part").filter("p_size > 25").select(F.col("p_partkey").alias("l_partkey")), li.filter("l_quantity > 49"), "l_partkey")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("event"), F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("path"))
+    history = o.groupBy("event").agg(F.max("k").cast("string").alias("output"), F.collect_set("path").alias("superseded"))
+    claimed = o.filter("k % 7 = 0").withColumn("event", F.col("event") + 1).unionByName(o.filter("k % 11 = 0"))
+    return joins.prunable(history, o.filter("k % 5 <> 0"), claimed)
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = d.n_chars % 2)")
@@ -185,7 +190,7 @@ def moved_clips(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def progress_eta(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("user_id", F.unix_timestamp("ts").alias("at"), F.pmod(F.col("event_id"), F.lit(100)).alias("progress"))
+    e = table(spark, sf, "events").select("user_id", F.unix_timestamp("ts").alias("at"), (F.pmod(F.col("event_id"), F.lit(100)) / 100).alias("progress"))
     return sequences.eta(e, "user_id", "at", "progress")
 
 
@@ -261,7 +266,7 @@ def rational_parse(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", S.rational(text).alias("rate"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS event_date, 'order ' || o_orderkey AS title, o_orderpriority AS location, strftime(o_orderdate, '%Y-%m-%d') || ' - order ' || o_orderkey || ' - ' || o_orderpriority || '.mp4' AS output FROM orders")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS event_date, 'Order ' || o_orderkey AS title, array_to_string(list_transform(string_split(lower(o_orderpriority), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS location, strftime(o_orderdate, '%Y-%m-%d') || ' - Order ' || o_orderkey || ' - ' || array_to_string(list_transform(string_split(lower(o_orderpriority), ' '), lambda w: upper(w[1]) || w[2:]), ' ') || '.mp4' AS output FROM orders")
 def name_parse(spark: SparkSession, sf: str) -> DataFrame:
     folder = F.concat_ws(" - ", F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), "o_orderpriority")
     p = S.name_parts(folder)

@@ -15,27 +15,33 @@ def lines(log: Column) -> Column:
 
 def codecs(df: DataFrame, text: str) -> DataFrame:
     """(name): distinct names of a listing of encoders: flags, name, description."""
-    x = df.select(F.regexp_extract(lines(F.col(text)), r"^\s*[A-Z.]{6}\s+([A-Za-z0-9_]+)\s", 1).alias("name"))
+    x = df.select(lines(F.col(text)).alias("line")).select(F.regexp_extract("line", r"^\s*[A-Z.]{6}\s+(\S+)", 1).alias("name"))
     return x.filter("name <> ''").distinct()
 
 
 def filters(df: DataFrame, text: str) -> DataFrame:
     """(name): names of a listing of filters: two or three flags, name, in->out."""
-    x = df.select(F.regexp_extract(lines(F.col(text)), r"^\s*[A-Z.|]{2,3}\s+([A-Za-z0-9_]+)\s+\S+->\S+", 1).alias("name"))
+    x = df.select(lines(F.col(text)).alias("line")).select(F.regexp_extract("line", r"^\s*[A-Za-z.|]{2,3}\s+(\w+)\s+\S+->\S+", 1).alias("name"))
     return x.filter("name <> ''").distinct()
 
 
+def accelerations(df: DataFrame, text: str) -> DataFrame:
+    """(name): names of a listing of accelerations: single words below its header."""
+    x = df.select(lines(F.col(text)).alias("line")).select(F.regexp_extract("line", r"^\s*(\S+)\s*$", 1).alias("name"))
+    return x.filter("name <> '' and name not like '%:'").distinct()
+
+
 def black_spans(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, start, end) of a detector's log."""
-    a = F.regexp_extract_all(F.col(text), F.lit(r"black_start:\s*([0-9.]+)\s+black_end:\s*([0-9.]+)"), F.lit(1))
-    b = F.regexp_extract_all(F.col(text), F.lit(r"black_start:\s*([0-9.]+)\s+black_end:\s*([0-9.]+)"), F.lit(2))
+    a = F.regexp_extract_all(F.col(text), F.lit(r"black_start\s*:\s*([0-9.]+)\s+black_end\s*:\s*([0-9.]+)"), F.lit(1))
+    b = F.regexp_extract_all(F.col(text), F.lit(r"black_start\s*:\s*([0-9.]+)\s+black_end\s*:\s*([0-9.]+)"), F.lit(2))
     x = df.select(key, F.explode(F.arrays_zip(a.alias("s"), b.alias("e"))).alias("x"))
     return x.select(key, F.col("x.s").try_cast("double").alias("start"), F.col("x.e").try_cast("double").alias("end")).filter("end > start")
 
 
 def freeze_spans(df: DataFrame, key: str, text: str, length: str) -> DataFrame:
     """(key, start, end): a start pairs with the next end; a later start replaces an open one; a start open at the end closes at the clip's length, if that is known."""
-    marks = F.regexp_extract_all(F.col(text), F.lit(r"freeze_(start|end):\s*[0-9.]+"), F.lit(0))
+    marks = F.regexp_extract_all(F.col(text), F.lit(r"freeze_(start|end)\s*:\s*[0-9.]+"), F.lit(0))
     none = F.struct(F.lit(None).cast("double").alias("open"), F.array().cast("array<struct<start:double,end:double>>").alias("done"))
 
     def step(acc: Column, m: Column) -> Column:
