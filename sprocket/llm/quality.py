@@ -176,9 +176,11 @@ def judge(measured: DataFrame, fence: DataFrame, lang: str = "lang", source: str
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(beyond, F.lit(False)))
 
 
-def quality(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", width: int = WIDTH, min_rows: int = MIN_ROWS) -> DataFrame:
-    """df with COUNTS, base_failed and kept. The measured rows are written once, as they are needed twice."""
-    own = [c for c in df.columns if c not in (*COUNTS, "base_failed", "kept")]
-    m = measure(df.select(*own), text)
+def quality(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", width: int = WIDTH, min_rows: int = MIN_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """keep (default: all columns of df) with COUNTS, base_failed and kept. The measured rows are written once, as they are needed twice; what is not kept is not written, but for language and source."""
+    taken = (*COUNTS, "base_failed", "kept")
+    own = [c for c in (df.columns if keep is None else keep) if c not in taken]
+    stay = list(dict.fromkeys([*own, lang, source]))
+    m = measure(df.select(*dict.fromkeys([*stay, text])), text).drop(*([] if text in stay else [text]))
     m = written(m.select("*", *_rates()), "quality")
-    return judge(m, thresholds(m, lang, source, width, min_rows), lang, source).select(*own, *COUNTS, "base_failed", "kept")
+    return judge(m, thresholds(m, lang, source, width, min_rows), lang, source).select(*own, *taken)

@@ -82,7 +82,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+    return quality.quality(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
