@@ -1,3 +1,3 @@
 """Registry of plan transforms and the registered queries."""
 
-from . import library, queries, timeline
+from . import feeds, library, queries, timeline

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 ENDED = ("done", "failed", "cancelled")
 
 
@@ -30,7 +32,8 @@ def merged(stream: DataFrame, overlap: str = "30 seconds") -> DataFrame:
                     out.append((key[0], *new, r.at))
         if now is not None:
             state.update(now)
-        yield pd.DataFrame(out, columns=["id", "status", "progress", "at"])
+        if out:
+            yield pd.DataFrame(out, columns=["id", "status", "progress", "at"])
 
     return stream.withWatermark("at", overlap).groupBy("id").applyInPandasWithState(step, "id long, status string, progress double, at timestamp", "status string, progress double", "update", "NoTimeout")
 
@@ -39,3 +42,20 @@ def windowed(stream: DataFrame, width: str = "1 hour", late: str = "2 hours") ->
     """Counts by type in windows of event time; later rows than the watermark are dropped."""
     w = stream.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
     return w.select(F.col("window.start").alias("window_start"), "event_type", "n")
+
+
+def files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Parquet files that arrive at a path, as a stream."""
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def caught_up(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that is there now: it runs in batches to the end and its rows are read again from a table in the shared folder. Update rows are appended, too; of a complete result the last one holds."""
+    spark = stream.sparkSession
+    folder = shared_folder(spark, name)
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
