@@ -1,3 +1,3 @@
 """Registry of plan transforms and the registered queries."""
 
-from . import feeds, library, queries, timeline
+from . import edits, feeds, library, queries, timeline
