@@ -68,9 +68,14 @@ def rotation(tag: Column, matrix: Column) -> Column:
     return F.coalesce(F.pmod(-turn(tag), F.lit(360)), turn(matrix))
 
 
+#: Fixed value: the label of a place on a card.
+PLACE_LABEL = "Plats"
+
+
 def subtitle(date: Column, location: Column) -> Column:
-    """A card's default second line: the day and the place, as far as they are known."""
-    return F.concat_ws(", ", F.date_format(date, "yyyy-MM-dd"), F.nullif(F.trim(location), F.lit("")))
+    """The default text below an opening card's heading: the day and the labelled place, as far as they are known, a line each."""
+    place = F.nullif(F.trim(location), F.lit(""))
+    return F.concat_ws("\n", F.date_format(date, "yyyy-MM-dd"), F.when(place.isNotNull(), F.concat(F.lit(f"{PLACE_LABEL}: "), place)))
 
 
 def metadata_block(name: Column, start_ms: Column, end_ms: Column) -> Column:

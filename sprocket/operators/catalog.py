@@ -33,6 +33,11 @@ def verdict(df: DataFrame, recorded: dict[str, Column], current: dict[str, Colum
     return df.withColumn("reasons", F.when(~has_manifest, F.array(F.lit("no_manifest"))).otherwise(diffs)).withColumn("stale", F.size("reasons") > 0)
 
 
+def needs_render(verdicts: DataFrame) -> DataFrame:
+    """Events that the verdict calls stale; a job that ended well does not count."""
+    return verdicts.filter("stale")
+
+
 def fingerprint(parts: dict[str, Column]) -> Column:
     return F.struct(*(F.sha2(c.cast("string"), 256).alias(k) for k, c in parts.items()), F.sha2(F.concat_ws("|", *(F.sha2(c.cast("string"), 256) for c in parts.values())), 256).alias("combined"))
 

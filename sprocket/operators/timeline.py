@@ -42,11 +42,16 @@ def _clamped(cuts: DataFrame, clips: DataFrame, keys: list[str], length: str) ->
     return x.select(*keys, F.greatest("start", F.lit(0)).alias("start"), F.least("end", "len").alias("end"))
 
 
-def kept_extents(cuts: DataFrame, clips: DataFrame, keys: list[str], length: str = "length", slack: int = END_SLACK) -> DataFrame:
-    """clips with in_at and out_at: what a leading cut and a trailing one (one that ends less than slack before the end) leave; 0 and 0 if that is nothing."""
+def edge_places(cuts: DataFrame, clips: DataFrame, keys: list[str], length: str = "length", slack: int = END_SLACK) -> DataFrame:
+    """clips with lead and trail: where the leading cut ends and the trailing one (one that ends less than slack before the end) begins, 0 and the length without such cuts; also where they leave nothing."""
     m = merge_spans(_clamped(cuts, clips, keys, length), keys).join(clips.select(*keys, F.col(length).alias("len")), keys)
     ends = m.groupBy(*keys).agg(F.max(F.when(F.col("start") <= 0, F.col("end"))).alias("lead"), F.min(F.when(F.col("len") - F.col("end") < slack, F.col("start"))).alias("trail"))
-    x = clips.join(ends, keys, "left").withColumns({"lead": F.coalesce("lead", F.lit(0)), "trail": F.coalesce("trail", length)})
+    return clips.join(ends, keys, "left").withColumns({"lead": F.coalesce("lead", F.lit(0)), "trail": F.coalesce("trail", length)})
+
+
+def kept_extents(cuts: DataFrame, clips: DataFrame, keys: list[str], length: str = "length", slack: int = END_SLACK) -> DataFrame:
+    """clips with in_at and out_at: what a leading cut and a trailing one leave; 0 and 0 if that is nothing."""
+    x = edge_places(cuts, clips, keys, length, slack)
     some = F.col("trail") > F.col("lead")
     return x.select(*clips.columns, F.when(some, F.col("lead")).otherwise(0).cast("long").alias("in_at"), F.when(some, F.col("trail")).otherwise(0).cast("long").alias("out_at"))
 

@@ -496,7 +496,7 @@ def refusals(spark: SparkSession, sf: str) -> DataFrame:
     return HEADERS.df(spark).select("id", K.changed_since(F.col("modified"), F.col("header")).alias("changed"), K.chapter_refusal(F.col("typed"), others).alias("refusal"), K.encoder_class(F.col("encoder")).alias("class"))
 
 
-@query("""SELECT o_orderkey, concat_ws(', ', strftime(o_orderdate, '%Y-%m-%d'), CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END) AS subtitle, '[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || o_orderkey || chr(10) || 'END=' || (o_orderkey + 5) || chr(10) || 'title=a\\=' || o_orderstatus || chr(10) AS block FROM orders""")
+@query("""SELECT o_orderkey, concat_ws(chr(10), strftime(o_orderdate, '%Y-%m-%d'), CASE WHEN o_orderkey % 3 <> 0 THEN 'Plats: ' || o_orderpriority END) AS subtitle, '[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || o_orderkey || chr(10) || 'END=' || (o_orderkey + 5) || chr(10) || 'title=a\\=' || o_orderstatus || chr(10) AS block FROM orders""")
 def card_texts(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, sf, "orders").select("o_orderkey", K.subtitle(F.col("o_orderdate"), F.when(k % 3 != 0, F.col("o_orderpriority")).otherwise("  ")).alias("subtitle"), K.metadata_block(F.concat(F.lit("a="), "o_orderstatus"), k, k + 5).alias("block"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PROBE = "struct<streams:array<struct<codec_type:string,codec_name:string,width:int,height:int,avg_frame_rate:string,r_frame_rate:string,duration:string,tags:map<string,string>>>,format:struct<duration:string,tags:map<string,string>>>"
+#: Fixed value: how sure a detector's span is.
+CONFIDENCE = 0.5
 MANIFEST = "struct<version:int,fingerprint:string,output:string,superseded:array<string>,components:map<string,string>>"
 
 
@@ -54,6 +56,13 @@ def freeze_spans(df: DataFrame, key: str, text: str, length: str) -> DataFrame:
     return x.select(key, F.explode(last).alias("s")).select(key, "s.start", "s.end").filter("end > start")
 
 
+def first_pass(df: DataFrame, key: str, text: str, length: str, least: float) -> DataFrame:
+    """(key, kind, start, end, confidence): black and frozen spans of a log of at least so many seconds."""
+    kinds = [(black_spans(df, key, text), "black"), (freeze_spans(df, key, text, length), "freeze")]
+    black, freeze = (x.filter(F.col("end") - F.col("start") >= least).select(key, F.lit(kind).alias("kind"), "start", "end", F.lit(CONFIDENCE).alias("confidence")) for x, kind in kinds)
+    return black.unionByName(freeze)
+
+
 def probe(df: DataFrame, json: str = "json") -> DataFrame:
     """df with video (its first video stream), seconds, and problem: why the document is of no use, null if it is."""
     p = F.from_json(json, PROBE)
