@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..session import shared_folder
 
@@ -59,3 +60,10 @@ def caught_up(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
     stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def every(spark: SparkSession, step: Callable[[], DataFrame], sink: Callable[[DataFrame], None], interval: str, name: str) -> StreamingQuery:
+    """Runs a step now and then at every interval until the query is stopped; what it gives goes to the sink. A step that fails is logged by Spark and ends the query, which may be started again: its state is in the shared folder."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = ticks.writeStream.foreachBatch(lambda _, __: sink(step())).option("checkpointLocation", shared_folder(spark, name))
+    return writer.trigger(processingTime=interval).start()
