@@ -129,25 +129,26 @@ def read_documents(df: DataFrame, text: str) -> DataFrame:
     return x.select(*df.columns, F.when(F.col("problem").isNull(), doc).alias("doc"), "problem")
 
 
+# the outer forms keep Spark from testing an array's size below the reader, for which it would read every document again
 def chapters(docs: DataFrame, key: str) -> DataFrame:
     """(key, chapter, pos), from 1."""
-    x = docs.select(key, F.posexplode("doc.chapters").alias("_i", "_c"))
+    x = docs.select(key, F.posexplode_outer("doc.chapters").alias("_i", "_c")).filter("_i is not null")
     return x.select(key, F.col("_c.name").alias("chapter"), (F.col("_i") + 1).cast("long").alias("pos"))
 
 
 def references(docs: DataFrame, key: str) -> DataFrame:
     """(key, chapter, pos, clip), from 1 in each chapter."""
-    x = docs.select(key, F.explode("doc.chapters").alias("_c")).select(key, F.col("_c.name").alias("chapter"), F.posexplode("_c.clips").alias("_i", "clip"))
-    return x.select(key, "chapter", (F.col("_i") + 1).cast("long").alias("pos"), "clip")
+    x = docs.select(key, F.explode_outer("doc.chapters").alias("_c")).select(key, F.col("_c.name").alias("chapter"), F.posexplode_outer("_c.clips").alias("_i", "clip"))
+    return x.filter("_i is not null").select(key, "chapter", (F.col("_i") + 1).cast("long").alias("pos"), "clip")
 
 
 def clip_properties(docs: DataFrame, key: str) -> DataFrame:
     """(key, clip, title, rotate, exclude, trims)."""
-    return docs.select(key, F.explode("doc.clips").alias("_c")).select(key, "_c.clip", "_c.p.*")
+    return docs.select(key, F.explode_outer("doc.clips").alias("_c")).filter("_c is not null").select(key, "_c.clip", "_c.p.*")
 
 
 def ignored(docs: DataFrame, key: str) -> DataFrame:
-    return docs.select(key, F.explode("doc.ignore").alias("clip"))
+    return docs.select(key, F.explode_outer("doc.ignore").alias("clip")).filter("clip is not null")
 
 
 def with_seeds(refs: DataFrame, documents: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
@@ -158,7 +159,7 @@ def with_seeds(refs: DataFrame, documents: DataFrame, seeds: DataFrame, key: str
 
 def project_settings(df: DataFrame, text: str) -> DataFrame:
     """df with settings and problem: struct(layout, input, output, look, method, reverse) of a project's settings; no text, or a null, is none set. Parts of another type are problems."""
-    v = F.try_parse_json(F.coalesce(text, F.lit("null")))
+    v = F.col("_v")
     parts = ["look", "database", "worker", "api", "thumbnails", "proxies", "sort"]
     method = F.lower(F.coalesce(_get(v, "sort.method", "string"), F.lit("datetime")))
     rules = [
@@ -171,4 +172,5 @@ def project_settings(df: DataFrame, text: str) -> DataFrame:
     ]
     problem = F.coalesce(*(F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in rules))
     settings = F.struct(*(_get(v, p, "string").alias(p) for p in ("layout", "input", "output")), F.when(_is(v, "look", "OBJECT"), F.to_json(_get(v, "look"))).alias("look"), method.alias("method"), F.coalesce(_get(v, "sort.reverse", "boolean"), F.lit(False)).alias("reverse"))
-    return df.withColumn("problem", problem).withColumn("settings", F.when(F.col("problem").isNull(), settings))
+    x = df.withColumn("_v", F.try_parse_json(F.coalesce(text, F.lit("null"))))
+    return x.withColumn("problem", problem).withColumn("settings", F.when(F.col("problem").isNull(), settings)).drop("_v")

@@ -30,7 +30,7 @@ FACTS = {
 
 def proxy_facts(df: DataFrame, text: str, version: int) -> DataFrame:
     """df with facts: struct of a proxy's facts, null unless every field is there with its own type (1.0 is no whole number, true no number), of this version, with sizes and rate above 0 and a rotation below 360."""
-    v = F.try_parse_json(text)
+    v = F.col("_v")
     field = {p: F.try_variant_get(v, f"$.{p}", kinds[0]) for p, kinds in FACTS.items()}
     good = (field["proxy_version"] == version) & (field["duration"] < INFINITE) & (field["rotation"].isNull() | field["rotation"].between(0, 359))
     for p, kinds in FACTS.items():
@@ -38,7 +38,8 @@ def proxy_facts(df: DataFrame, text: str, version: int) -> DataFrame:
     for p in ("fps.num", "fps.den", "width", "height", "duration"):
         good = good & (field[p] > 0)
     facts = F.struct(*(c.alias(p.replace(".", "_")) for p, c in field.items()))
-    return df.withColumn("facts", F.when(F.coalesce(good, F.lit(False)), facts))
+    x = df.withColumn("_v", F.try_parse_json(text))  # parsed once a row
+    return x.withColumn("facts", F.when(F.coalesce(good, F.lit(False)), facts)).drop("_v")
 
 
 def _fraction(s: Column) -> tuple[Column, Column]:
@@ -166,7 +167,7 @@ def legacy_documents(df: DataFrame, text: str) -> DataFrame:
     """df with title, date, location, description, look, method, reverse, custom_order and unmapped: a document of the former format, and in order of their text the names of what has no place in the present one. A title 'date - rest' is split as in `dated_title`. Damaged text gives nulls."""
     from ..functions.keys import dated_title
 
-    v = F.try_parse_json(text)
+    v = F.col("_v")
     at = lambda path, kind="variant": F.try_variant_get(v, f"$.{path}", kind)
     is_map = lambda path: F.coalesce(_kind(at(path)) == "OBJECT", F.lit(False))
     there = lambda path: F.coalesce(_kind(at(path)) != "VOID", F.lit(False))
@@ -197,4 +198,5 @@ def legacy_documents(df: DataFrame, text: str) -> DataFrame:
     inner = F.filter(F.coalesce(keys("$.metadata"), none), lambda k: ~k.isin("title", "date", "location"))
     unmapped = F.array_sort(F.concat(F.array_compact(F.array(*said)), F.transform(inner, lambda k: F.concat(F.lit("metadata."), k)), F.transform(more, lambda k: F.concat(F.lit("unknown top-level key "), k))))
     look = F.when(is_map("title_card"), F.to_json(at("title_card")))
-    return df.withColumns({"title": title, "date": date, "location": at("metadata.location", "string"), "description": at("description", "string"), "look": look, "method": sorted_by, "reverse": reverse, "custom_order": order, "unmapped": F.when(v.isNotNull(), unmapped)})
+    x = df.withColumn("_v", F.try_parse_json(text))  # parsed once a row
+    return x.withColumns({"title": title, "date": date, "location": at("metadata.location", "string"), "description": at("description", "string"), "look": look, "method": sorted_by, "reverse": reverse, "custom_order": order, "unmapped": F.when(v.isNotNull(), unmapped)}).drop("_v")
