@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, jaccard, langid, media, mixing, packing, pii, quality, urllists, warc
+from . import html, jaccard, langid, media, mixing, packing, pii, quality, suffixes, urllists, warc
 
 #: The dated lists that op3 applies, beside a watch list of hosts: (pattern, list, action, at).
 LIST_EVENTS = (
@@ -85,6 +85,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1,
@@ -97,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": op8,
         "op9_main_text": op9,
         "op10_quality": op10,
+        "op13_suffixes": op13,
     }
 
 
