@@ -5,7 +5,8 @@ one node. In any one order of all hashes, two sets that reach the similarity sha
 of their n - ceil(t n) + 1 first ones, so only nodes that meet in such a list are
 compared; no list is dropped or cut. The order here is by hash, but for the hashes of
 very many texts (`counted`), which come last: what a great number of texts share
-says little, and would make long lists. Any choice of them gives the same result.
+says little, and would make long lists. Any choice of them gives the same result, as long
+as the prefixes that are counted follow the same choice as those that are compared.
 
 1. Every node meets in each of its FIRST first shared lists the list's leader (one pair a
    row). The links among these join most copies into components.
@@ -196,12 +197,12 @@ def _hashes(df: DataFrame, text: str, k: int, percent: int, common: np.ndarray |
 
 
 def counted(df: DataFrame, text: str, k: int, percent: int) -> tuple[np.ndarray, DataFrame]:
-    """The hashes that come last, sorted: at most 2 COMMON, counted over all texts; and (h), every hash that may lie in the prefixes of two texts, some twice."""
+    """The hashes that come last, sorted, at most COMMON; and (h), every hash that may lie in the prefixes of two texts, some twice. A hash of the second count may be another text's in the first, where one was not kept."""
     first = written(_hashes(df, text, k, percent, None).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "counts")
     common = _often(first)
-    # a hash that only the second count finds may be another text's in the first, where one was not kept
+    # the order is fixed here: a set that the second count leaves out has its whole prefix in the first
     second = written(_hashes(df, text, k, percent, common).groupBy("h").agg(F.sum("n").alias("n")), "counts")
-    return np.unique(np.concatenate((common, _often(second)))), first.select("h").union(second.select("h"))
+    return common, first.select("h").union(second.select("h"))
 
 
 def _often(counts: DataFrame) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, jaccard, langid, media, mixing, packing, pii, quality, suffixes, urllists, warc
+from . import html, jaccard, langid, media, mixing, negatives, packing, pii, quality, resampling, suffixes, urllists, warc
 
 #: The dated lists that op3 applies, beside a watch list of hosts: (pattern, list, action, at).
 LIST_EVENTS = (
@@ -85,6 +85,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # every seventh row is labelled wrongly on purpose
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), label)
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(_table(spark, sf_dir, "documents"))
 
@@ -101,12 +111,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media": op8,
         "op9_main_text": op9,
         "op10_quality": op10,
+        "op11_importance": op11,
+        "op12_negatives": op12,
         "op13_suffixes": op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracles import OP2, OP3, OP10
+    from .oracles import OP2, OP3, OP10, OP11, OP12
 
     values = ", ".join(f"('{p}', '{n}', '{a}', TIMESTAMP '{t}')" for p, n, a, t in LIST_EVENTS)
-    return {"op2_warc": OP2, "op3_url_lists": OP3.replace("$EVENTS", values), "op10_quality": OP10}
+    return {"op2_warc": OP2, "op3_url_lists": OP3.replace("$EVENTS", values), "op10_quality": OP10, "op11_importance": OP11, "op12_negatives": OP12}
