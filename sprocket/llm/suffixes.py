@@ -95,12 +95,25 @@ def symbols(text: np.ndarray, block: int) -> np.ndarray:
             h = words[0]
             for x in words[1:]:
                 h = _mixed(h * step + x)
-        _, first, code = np.unique(h, return_index=True, return_inverse=True)
-        if all(np.array_equal(x, x[first][code]) for x in words):
-            return code.astype(np.int64)
+        order = np.argsort(h)
+        h = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        if all(np.array_equal(*(x[order][k] for k in (np.flatnonzero(~new), np.flatnonzero(~new) - 1))) for x in words):
+            code = np.empty(len(h), np.int64)
+            code[order] = np.cumsum(new) - 1
+            return code
         step += np.uint64(2)  # two blocks had one hash
 
 
+def stable_order(key: np.ndarray, limit: int) -> np.ndarray:
+    """Stable order of keys from 0 to limit: sorted together with their places where both fit a number."""
+    bits = max(1, len(key)).bit_length()
+    if limit.bit_length() + bits <= 63:
+        return np.sort((key << bits) | np.arange(len(key))) & ((1 << bits) - 1)
+    return np.argsort(key, kind="stable")
+
+
 class Shard:
     """The sorted suffixes of some strings and their transform. A suffix is where it starts; a string of n bytes has n + 1, the last `block` of them end it without a whole block."""
 
@@ -112,16 +125,20 @@ class Shard:
         rank = np.zeros(len(at), np.int64)
         rank[whole] = code[at[whole]] + 1
         blocks, most = 1, int(sizes.max()) // block + 1
-        order = np.argsort(rank, kind="stable")
+        order = stable_order(rank, int(rank.max())) if most == 1 else rank
         while blocks < most:  # ranks by twice as many blocks, up to the end of the string, which comes first
             n = blocks * block
             next_rank = np.zeros(len(at), np.int64)
             inside = np.flatnonzero(at + n <= right)
             next_rank[inside] = rank[inside + n] + 1
-            key = rank * (int(next_rank.max(initial=0)) + 1) + next_rank
-            order = np.argsort(key, kind="stable")
+            width = int(next_rank.max()) + 1
+            key = rank * width + next_rank
+            order = stable_order(key, (int(rank.max()) + 1) * width)
             key = key[order]
-            rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+            places = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+            rank[order] = places
+            if places[-1] == len(at) - 1:
+                break  # all differ
             blocks *= 2
         self.suffixes = at[order]
         back = np.empty(len(at), np.int64)
@@ -134,16 +151,6 @@ class Shard:
         self.steps[before] = back[order[before] - block]
 
 
-def by_symbol(sym: np.ndarray) -> np.ndarray:
-    """Stable order by symbol, sixteen bits at a time, which numpy sorts by counting."""
-    order = np.argsort((sym & 0xFFFF).astype(np.uint16), kind="stable")
-    k = 16
-    while sym.size and int(sym.max()) >> k:
-        order = order[np.argsort(((sym >> k) & 0xFFFF).astype(np.uint16)[order], kind="stable")]
-        k += 16
-    return order
-
-
 def merge(shards: list[Shard], rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """After each round the suffixes, numbered through the shards, in merged order by so many blocks, and the number of the interval each is in. Intervals of one suffix are left out: what precedes them stays alone, too."""
     first = np.cumsum([0, *(len(s.bwt) for s in shards)])
@@ -156,7 +163,7 @@ def merge(shards: list[Shard], rounds: int) -> Iterator[tuple[np.ndarray, np.nda
         sym = bwt[order]
         inner = sym >= 0
         order, sym, interval = order[inner], sym[inner], interval[inner]
-        place = by_symbol(sym)
+        place = stable_order(sym, int(sym.max(initial=0)))
         order, sym, interval = steps[order[place]], sym[place], interval[place]
         parts = np.ones(len(order), bool)
         parts[1:] = (sym[1:] != sym[:-1]) | (interval[1:] != interval[:-1])
