@@ -2,7 +2,9 @@
 
 The base patterns of `base_spans` are found exactly, in time linear in the text. What
 they leave is searched by the random field: around every digit, ``@`` or written-out
-"at" that no base span covers, a window of tokens is segmented. Every span of at most MAX_TOKENS tokens with such a
+"at" that no base span covers, a window of tokens is segmented. The words beside an "at",
+with all that points, hyphens and written-out dots join to them, are one token each, however
+many they are, so an address is never cut. Every span of at most MAX_TOKENS tokens with such a
 trigger in it is a candidate segment, scored as a whole (digits, separators, group
 lengths, checksum, shape, cue word before it) and by the label before it, and
 bounded-entity dynamic programming picks boundaries and kinds together. Base spans are
@@ -46,12 +48,13 @@ MAX_TOKENS = 15
 BEFORE = MAX_TOKENS + 1
 
 
+#: Each digit doubled, the digits of the result added up.
+DOUBLED = bytes.maketrans(b"0123456789", bytes(48 + sum(map(int, str(2 * d))) for d in range(10)))
+
+
 def luhn(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = ord(c) - 48
-        total += d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d)
-    return total % 10 == 0
+    back = digits.encode()[::-1]
+    return (sum(back[::2]) + sum(back[1::2].translate(DOUBLED)) - 48 * len(back)) % 10 == 0
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -89,19 +92,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---------------------------------------------------------------- the random field
 
-TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|AT)[)\]]")
-TOKEN = re.compile(r"\((?:at|dot|AT|DOT)\)|\[(?:at|dot|AT|DOT)\]|[0-9]+|[^\W\d_]+|[^\s\w]|_")
+TRIGGER = re.compile(r"[0-9@]|[(\[](?i:at)[)\]]")
+TOKEN = re.compile(r"\((?i:at|dot)\)|\[(?i:at|dot)\]|[0-9]+|[^\W\d_]+|[^\s\w]|_")
 CUES = ({"email", "mail", "contact", "e"}, {"ip", "host", "server", "address"}, {"card", "visa", "mastercard", "amex"}, {"tel", "phone", "call", "fax", "mobile", "telefon", "tél", "teléfono"})
-AT = r"(?:@|\s*[(\[](?:at|AT)[)\]]\s*)"
-DOT = r"(?:\.|\s*[(\[](?:dot|DOT)[)\]]\s*)"
-EMAILISH = re.compile(rf"[\w.+-]+{AT}[\w-]+(?:{DOT}[\w-]+)*{DOT}[A-Za-z]{{2,8}}")
-IPISH = re.compile(r"[0-9]{1,3}(?:(?:\.|\s*[(\[](?:dot|DOT)[)\]]\s*)[0-9]{1,3}){3}")
+AT = r"(?:@|\s*[(\[](?i:at)[)\]]\s*)"
+DOT = r"(?:\.|\s*[(\[](?i:dot)[)\]]\s*)"
+EMAILISH = re.compile(rf"[\w.%+-]+(?:{DOT}[\w.%+-]+)*{AT}[\w-]+(?:{DOT}[\w-]+)*{DOT}[^\W\d_]{{2,63}}")
+IPISH = re.compile(r"[0-9]{1,3}(?:(?:\.|\s*[(\[](?i:dot)[)\]]\s*)[0-9]{1,3}){3}")
 NUMBERS = re.compile(r"[+(]?[0-9](?:[\s().·/_–-]*[0-9])*")
-AT_SIGN = re.compile(r"@|[(\[](?:at|AT)[)\]]")
-DOT_WORD = re.compile(r"[(\[](?:dot|DOT)[)\]]")
+AT_SIGN = re.compile(r"@|[(\[](?i:at)[)\]]")
+DOT_WORD = re.compile(r"[(\[](?i:dot)[)\]]")
 LETTER = re.compile(r"[^\W\d_]")
-JOINED = re.compile(r"[\w.+@ ()\[\]·/–-]+")
-N_FEATURES = 26
+JOINED = re.compile(r"[\w.%+@ ()\[\]·/–-]+")
+#: What joins the words on either side of an "at", and the groups of a number.
+IN_NAME, IN_NUMBER = frozenset("._%+-"), frozenset("().·/_–-")
+#: Blanks within a number, and between the words of no address.
+GAP = 3
+N_FEATURES = 28
 #: Labels of the field: the kinds, and a token outside all of them.
 OUT = len(KINDS)
 
@@ -113,41 +120,102 @@ def _digit_class(n: int) -> int:
 def features(s: str, before: str) -> list[int]:
     """Indices of the features that hold for the whole span s after the word before it."""
     groups = re.findall(r"[0-9]+", s)
-    digits = "".join(groups)
-    n = len(digits)
+    sizes = [len(g) for g in groups]
+    n = sum(sizes)
     out = [0, _digit_class(n)]
     if EMAILISH.fullmatch(s):
         out.append(8)
-    if IPISH.fullmatch(s):
-        out.append(9 if all(int(g) <= 255 for g in groups) else 10)
-    if NUMBERS.fullmatch(s):
-        out.append(11)
-        sizes = [len(g) for g in groups]
-        if 12 <= n <= 19 and luhn(digits):
-            out.append(12 if len(sizes) > 1 else 13)
-        if len(sizes) >= 3 and 2 <= sizes[-1] <= 4 and all(2 <= x <= 4 for x in sizes[1:]):
-            out.append(14)
-        if len(sizes) == 4 and all(x == 4 for x in sizes):
-            out.append(15)
-        if len(sizes) == 3 and sizes[0] == 4 and sizes[1] == sizes[2] == 2:
-            out.append(16)  # a date
-        if s[0] in "+(" or "(" in s:
-            out.append(17)
-        if len(sizes) == 1:
-            out.append(18)
-        if sizes == [3, 3, 4]:
-            out.append(25)
-    elif n and n < len(re.sub(r"\W", "", s)):
+    out += _number(s, groups, NUMBERS.fullmatch(s) is not None, before)
+    if 11 not in out and n and n < len(re.sub(r"\W", "", DOT_WORD.sub("", s))):
         out.append(19)  # digits among letters
     if not AT_SIGN.search(s) and LETTER.search(DOT_WORD.sub("", s)):
         out.append(24)  # words, and nothing that makes an address of them
     return out + _cues(before)
 
 
+def _number(s: str, groups: list[str], whole: bool, before: str) -> list[int]:
+    """The features of a span of groups of digits; whole: nothing but a number's signs are between them."""
+    sizes = tuple(map(len, groups))
+    n = sum(sizes)
+    out = []
+    if len(sizes) == 4 and n <= 12 and IPISH.fullmatch(s):
+        out.append(9 if all(int(g) <= 255 for g in groups) else 10)
+    if whole:
+        out += _shape(sizes, s[0] in "+(" or "(" in s, before in CUES[3])
+        if 12 <= n <= 19:
+            out.append(26 if not luhn("".join(groups)) else 12 if len(sizes) > 1 else 13)
+    return out
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _shape(sizes: tuple[int, ...], opened: bool, said: bool) -> tuple[int, ...]:
+    """The features of a number that follow from the sizes of its groups."""
+    n = sum(sizes)
+    out = [11]
+    if len(sizes) >= 3 and 2 <= sizes[-1] <= 4 and all(2 <= x <= 4 for x in sizes[1:]):
+        out.append(14)
+    if sizes == (4, 4, 4, 4):
+        out.append(15)
+    if sizes == (4, 2, 2):
+        out.append(16)  # a date
+    if opened:
+        out.append(17)
+    if len(sizes) == 1:
+        out.append(18)
+    if sizes == (3, 3, 4):
+        out.append(25)
+    if 7 <= n <= 15 and said:
+        out.append(27)
+    return tuple(out)
+
+
 def _cues(before: str) -> list[int]:
     return [20 + i for i, cue in enumerate(CUES) if before in cue]
 
 
+def tokens(text: str, left: int = 0, right: int | None = None) -> list[tuple[int, int]]:
+    """Words, numbers and signs of a stretch; what is joined to either side of an "at" is one token there."""
+    right = len(text) if right is None else right
+    raw = [m.span() for m in TOKEN.finditer(text, left, right)]
+    ats = [k for k, (a, b) in enumerate(raw) if (b - a == 1 or b - a == 4) and AT_SIGN.match(text, a)]
+    if not ats:
+        return raw
+    word = lambda k: text[raw[k][0]].isalnum()
+    inner = lambda k: word(k) or text[raw[k][0]] in IN_NAME
+    dot = lambda k: DOT_WORD.match(text, raw[k][0]) is not None
+    near = lambda k: text[raw[k - 1][1] : raw[k][0]].strip(" ") == ""
+    glued = bytearray(len(raw))  # whether a token goes on from the one before it
+    done = 0
+    for at in ats:
+        written_out = text[raw[at][0]] != "@"
+        # back from the "at": words and signs without blanks, and written-out dots with or without
+        k = at - 1
+        if k >= done and word(k) and (raw[k][1] == raw[at][0] or (written_out and near(at))):
+            first = k
+            while k > done and ((raw[k - 1][1] == raw[k][0] and inner(k - 1)) or (near(k) and (dot(k - 1) or (dot(k) and inner(k - 1))))):
+                k -= 1
+                if word(k):
+                    first = k
+            glued[first + 1 : at] = b"\1" * (at - first - 1)
+        done = at + 1
+        k = at + 1
+        if k < len(raw) and word(k) and (raw[k][0] == raw[at][1] or (written_out and near(k))):
+            last = k
+            while k + 1 < len(raw) and ((raw[k + 1][0] == raw[k][1] and inner(k + 1)) or (near(k + 1) and (dot(k + 1) or (dot(k) and inner(k + 1))))):
+                k += 1
+                if word(k):
+                    last = k
+            glued[at + 2 : last + 1] = b"\1" * (last - at - 1)
+            done = last + 1
+    out: list[tuple[int, int]] = []
+    for (a, b), on in zip(raw, glued, strict=True):
+        if on:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def windows(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Stretches of whole tokens around triggers outside the taken spans, merged where they overlap; none crosses a taken span or the end of a line. Each holds all segments that its triggers can be part of."""
     ends = [0, *(e for _, e in taken)]
@@ -157,70 +225,100 @@ def windows(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]
         lo = hi = -1
         rest, starts = 0, deque(maxlen=BEFORE + 1)
         line = text.find("\n", left, right)
-        for m in TOKEN.finditer(text, left, right):
-            if 0 <= line < m.start():
+        for a, b in tokens(text, left, right):
+            if 0 <= line < a:
                 if hi > lo:
                     yield lo, hi
                 lo = hi = -1
                 rest = 0
                 starts.clear()
-                line = text.find("\n", m.start(), right)
-            starts.append(m.start())
-            if TRIGGER.match(m[0]):
+                line = text.find("\n", a, right)
+            starts.append(a)
+            if TRIGGER.match(text, a) or (b - a > 1 and TRIGGER.search(text, a, b)):
                 if starts[0] > hi:
                     if hi > lo:
                         yield lo, hi
                     lo = starts[0]
-                hi, rest = m.end(), MAX_TOKENS
+                hi, rest = b, MAX_TOKENS
             elif rest:
-                hi, rest = m.end(), rest - 1
+                hi, rest = b, rest - 1
         if hi > lo:
             yield lo, hi
 
 
+#: What a token is: a group of digits, an "at", a word, another sign.
+GROUP, AT_WORD, WORD, SIGN = range(4)
+#: Digits that a span has at least, unless it has an "at" or four groups: fewer make no number of any kind.
+LEAST_DIGITS = 7
+
+
 class Window:
     """The tokens of a stretch of text, and the candidate segments that begin at each."""
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.tokens = [m.span() for m in TOKEN.finditer(text)]
-        self.words = [text[a:b] for a, b in self.tokens]
-        self.joined = [bool(JOINED.fullmatch(w)) for w in self.words]
-
-    def gap(self, k: int) -> str:
-        return self.text[self.tokens[k - 1][1] : self.tokens[k][0]] if k else ""
-
-    def segments(self, i: int) -> Iterator[tuple[int, list[int]]]:
-        """(one past the last token, features) of every span of at most MAX_TOKENS tokens from i on with a trigger in it that begins and ends with whole words or numbers and holds no sign that joins nothing."""
-        words, last = self.words, len(self.words)
-        w = words[i]
-        # never begins inside a run of letters and digits
-        if not (w[0].isalnum() or w[0] in "+(") or (i and words[i - 1][0].isalnum() and not self.gap(i)):
+        self.tokens = tokens(text)
+        words = self.words = [text[a:b] for a, b in self.tokens]
+        n = len(words)
+        self.kind = [GROUP if w.isdecimal() else AT_WORD if AT_SIGN.fullmatch(w) else WORD if w[0].isalnum() else SIGN for w in words]
+        name = [k == AT_WORD or (k == SIGN and len(w) > 1 and DOT_WORD.fullmatch(w) is not None) for k, w in zip(self.kind, words, strict=True)]
+        gaps = ["", *(text[a:b] for (_, a), (b, _) in zip(self.tokens, self.tokens[1:], strict=False))]
+        #: whether a span may go on to a token from the one before it
+        self.joined = [JOINED.fullmatch(w) is not None and not g.strip(" ") and (len(g) <= GAP or name[k] or name[k - 1]) for k, (w, g) in enumerate(zip(words, gaps, strict=True))]
+        self.begins = [(k in (GROUP, WORD) or w in "+(") and JOINED.fullmatch(w) is not None for k, w in zip(self.kind, words, strict=True)]
+        self.close = [not g for g in gaps]
+        #: whether a token and the one before it are parts of one name or word: a span that ends between them would cut it
+        self.goes_on = [False] * (n + 1)
+        for k in range(1, n):
+            signs = [w for w, sign in ((words[k - 1], name[k - 1]), (words[k], name[k])) if sign]
+            self.goes_on[k] = (words[k - 1][-1].isalnum() and words[k][0].isalnum() and not gaps[k]) or any(w != "@" or not gaps[k] for w in signs)
+
+    def segments(self, i: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """(one past the last token, features) of every span of at most MAX_TOKENS tokens from i on with a trigger in it that begins and ends with whole words, numbers or names and holds no sign that joins nothing."""
+        words, kind, joined, goes_on = self.words, self.kind, self.joined, self.goes_on
+        if not self.begins[i] or goes_on[i]:
             return
         before = words[i - 2].lower() if i > 1 and words[i - 1] == ":" else words[i - 1].lower() if i else ""
-        hit = has_at = has_word = False
-        n = blanks = 0
-        for j in range(i, min(last, i + MAX_TOKENS)):
-            w, gap = words[j], self.gap(j) if j > i else ""
-            blanks += len(gap)
-            if not self.joined[j] or gap.strip(" ") or blanks > 6:
+        cues = tuple(_cues(before))
+        begin = self.tokens[i][0]
+        has_at = has_word = scored = False
+        # a number goes on while only its signs are between its groups; the first may follow a plus or a bracket at once
+        number, groups, n = True, [], 0
+        for j in range(i, min(len(words), i + MAX_TOKENS)):
+            if j > i and not joined[j]:
                 break
-            at = AT_SIGN.match(w) is not None
-            hit, has_at, has_word = hit or at or w[0].isdigit(), has_at or at, has_word or w[0].isalpha()
-            n += len(w) if w[0].isdigit() else 0
-            if not hit or not w[-1].isalnum() or (j + 1 < last and words[j + 1][0].isalnum() and not self.gap(j + 1)):
+            w, k = words[j], kind[j]
+            if k == GROUP:
+                groups.append(w)
+                n += len(w)
+                if len(groups) == 1 and j > i and not (j == i + 1 and self.close[j] and kind[i] == SIGN):
+                    number = False
+            elif k == AT_WORD:
+                has_at, number = True, False
+            elif k == WORD:
+                has_word, number = True, False
+                n += len(DIGIT.findall(w))
+            else:
+                number = number and (w in IN_NUMBER if groups else j == i)
+                scored = scored or w == "_"
+                continue
+            if goes_on[j + 1] or k == AT_WORD:
+                continue
+            if has_at:
+                yield j + 1, tuple(features(self.text[begin : self.tokens[j][1]], before))
+            elif n < LEAST_DIGITS and len(groups) != 4:
                 continue
-            if has_word and not has_at:
+            elif has_word:
                 # words without an at sign: no shape can hold
-                yield j + 1, [0, _digit_class(n), *([19] if n else []), 24, *_cues(before)]
+                yield j + 1, (0, _digit_class(n), *((19,) if n else ()), 24, *cues)
             else:
-                yield j + 1, features(self.text[self.tokens[i][0] : self.tokens[j][1]], before)
+                yield j + 1, (0, _digit_class(n), *_number(self.text[begin : self.tokens[j][1]], groups, number, before), *((19,) if scored and not number else ()), *cues)
 
 
 def lattice(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:
     """Tokens of a window, and all its candidate segments (first token, one past the last, features)."""
     x = Window(text)
-    return x.tokens, [(i, j, f) for i in range(len(x.tokens)) for j, f in x.segments(i)]
+    return x.tokens, [(i, j, list(f)) for i in range(len(x.tokens)) for j, f in x.segments(i)]
 
 
 @dataclass
@@ -246,23 +344,33 @@ def _by(segs: list, side: int) -> dict[int, np.ndarray]:
 def decode(text: str, weights: Weights) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the best labelling's segments; a tie goes to what is outside. Only a few numbers a token are held, so a window may be long."""
     x = Window(text)
-    n, known, step = len(x.tokens), {}, weights.step
-    best = np.full((n + 1, OUT + 1), -np.inf)
-    best[0, OUT] = 0.0
+    n, step = len(x.tokens), weights.step.tolist()
+    # the most that a label can gain over "outside" by the steps into and out of it
+    gain = (weights.step[:, :OUT] - weights.step[:, OUT:]).max(axis=0) + np.maximum(0, (weights.step[:OUT] - weights.step[OUT]).max(axis=1))
+    #: by features, the labels that can be better than outside, whatever is around them
+    known: dict[tuple[int, ...], list[tuple[int, float]]] = {}
+    labels = range(OUT + 1)
+    best = [[-math.inf] * (OUT + 1) for _ in range(n + 1)]
+    best[0][OUT] = 0.0
     first, last = np.full((n + 1, OUT + 1), -1, np.int32), np.zeros((n + 1, OUT + 1), np.int8)
     for i in range(n):
-        here = best[i][:, None] + step
-        into = here.max(axis=0)
-        y = OUT if here[OUT, OUT] == into[OUT] else int(here[:, OUT].argmax())
-        best[i + 1, OUT], first[i + 1, OUT], last[i + 1, OUT] = into[OUT], i, y
+        here = best[i]
+        reached = [y for y in labels if here[y] > -math.inf]
+        top = max(reached, key=lambda y: (here[y] + step[y][OUT], y == OUT))
+        best[i + 1][OUT], first[i + 1, OUT], last[i + 1, OUT] = here[top] + step[top][OUT], i, top
+        into: dict[int, tuple[float, int]] = {}
         for j, f in x.segments(i):
-            key = tuple(f)
-            if key not in known:
-                known[key] = weights.span[:, f].sum(axis=1)
-            got = into[:OUT] + known[key]
-            for y in np.flatnonzero(got > best[j, :OUT]):
-                best[j, y], first[j, y], last[j, y] = got[y], i, int(here[:, y].argmax())
-    y = OUT if best[n, OUT] == best[n].max() else int(best[n].argmax())
+            if f not in known:
+                score = weights.span[:, list(f)].sum(axis=1)
+                known[f] = [(y, float(score[y])) for y in range(OUT) if score[y] + gain[y] > 0]
+            for y, score in known[f]:
+                if y not in into:
+                    into[y] = max((here[z] + step[z][y], -z) for z in reached)
+                got = into[y][0] + score
+                if got > best[j][y]:
+                    best[j][y], first[j, y], last[j, y] = got, i, -into[y][1]
+        best[i] = []
+    y = max(labels, key=lambda y: (best[n][y], y == OUT))
     out, j = [], n
     while j:
         i = int(first[j, y])
@@ -310,7 +418,7 @@ def examples(seed: int = 20, n: int = 300) -> list[tuple[str, list[tuple[int, in
         return sep.join(full[i : i + 4] for i in range(0, 16, 4))
 
     def one() -> tuple[str, int]:
-        k = r.randrange(14)
+        k = r.randrange(18)
         if k == 0:
             return f"{w()}.{w()} (at) {w()} (dot) {r.choice(['com', 'org', 'de'])}", 0
         if k == 1:
@@ -337,15 +445,26 @@ def examples(seed: int = 20, n: int = 300) -> list[tuple[str, list[tuple[int, in
             return f"{d(2)}{w()}{d(3)}{w()}", -1
         if k == 12:
             return " ".join(d(r.randint(1, 3)) for _ in range(r.randint(2, 6))), -1
-        return f"{300 + r.randrange(600)}.{d(3)}.{d(2)}.{d(3)}", -1
+        if k == 13:
+            return f"{300 + r.randrange(600)}.{d(3)}.{d(2)}.{d(3)}", -1
+        if k == 14:  # like a card, but for its checksum
+            body = r.choice("3456") + d(14)
+            full = body + next(c for c in r.sample("0123456789", 10) if not luhn(body + c))
+            sep = r.choice([".", "/", "_", " - "])
+            return sep.join(full[i : i + 4] for i in range(0, 16, 4)), -1
+        if k == 15:
+            return f"{w()}-{w()}.{w()} ({r.choice(['at', 'At', 'AT'])}) {w()}-{w()} ({r.choice(['dot', 'Dot'])}) {r.choice(['co', 'ac'])} (dot) {r.choice(['uk', 'photography'])}", 0
+        # numbers of a telephone's length, which are one behind a word that says so
+        return r.choice([d(10), d(11), f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(6)}", f"0{d(3)}/{d(6)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}"]), 4
 
     out = []
     for _ in range(n):
         text, spans = " ".join(w() for _ in range(r.randint(1, 4))), []
         for _ in range(r.randint(1, 2)):
             s, y = one()
-            if y >= 0 and r.random() < 0.3:
-                text += " " + r.choice(sorted(CUES[y]))
+            y, said = (3, 1.0) if y == 4 and r.random() < 0.5 else (-1, 0.0) if y == 4 else (y, 0.3)
+            if y >= 0 and r.random() < said:
+                text += " " + r.choice(sorted(CUES[y])) + r.choice(["", ":"])
             if y >= 0:
                 spans.append((len(text) + 1, y, len(text) + 1 + len(s)))
             text += f" {s}{r.choice(['', ',', '.'])} " + " ".join(w() for _ in range(r.randint(2, 4)))

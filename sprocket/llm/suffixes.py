@@ -118,6 +118,7 @@ class Shard:
     """The sorted suffixes of some strings and their transform. A suffix is where it starts; a string of n bytes has n + 1, the last `block` of them end it without a whole block."""
 
     def __init__(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int):
+        self.block = block
         sizes = ends - starts + 1
         at = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
         left, right = np.repeat(starts, sizes), np.repeat(ends, sizes)
@@ -143,7 +144,9 @@ class Shard:
         self.suffixes = at[order]
         back = np.empty(len(at), np.int64)
         back[order] = np.arange(len(at))
-        before = self.suffixes - block >= left[order]
+        #: how far each suffix begins from the head of its string
+        self.offsets = self.suffixes - left[order]
+        before = self.offsets >= block
         #: the symbol before each suffix in sorted order, -1 at the head of a string, and where the suffix that starts there is
         self.bwt = np.full(len(at), -1, np.int64)
         self.bwt[before] = code[self.suffixes[before] - block]
@@ -152,29 +155,29 @@ class Shard:
 
 
 def merge(shards: list[Shard], rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """After each round the suffixes, numbered through the shards, in merged order by so many blocks, and the number of the interval each is in. Intervals of one suffix are left out: what precedes them stays alone, too."""
+    """After each round the suffixes, numbered through the shards, in merged order by so many blocks, and the number of the interval each is in. Left out are suffixes from which the last round is not reached: those too near to the head of their string, and intervals of one suffix, as what precedes them stays alone, too."""
     first = np.cumsum([0, *(len(s.bwt) for s in shards)])
     bwt = np.concatenate([s.bwt for s in shards])
     steps = np.concatenate([s.steps + n for s, n in zip(shards, first[:-1], strict=True)])
     # the interleave before the first round: shard after shard, one interval
-    order = np.arange(len(bwt))
-    interval = np.zeros(len(bwt), np.int64)
+    order = np.flatnonzero(np.concatenate([s.offsets for s in shards]) >= rounds * shards[0].block)
+    interval = np.zeros(len(order), np.int64)
     for _ in range(rounds):
         sym = bwt[order]
-        inner = sym >= 0
-        order, sym, interval = order[inner], sym[inner], interval[inner]
         place = stable_order(sym, int(sym.max(initial=0)))
         order, sym, interval = steps[order[place]], sym[place], interval[place]
         parts = np.ones(len(order), bool)
         parts[1:] = (sym[1:] != sym[:-1]) | (interval[1:] != interval[:-1])
-        interval = np.cumsum(parts) - 1
-        shared = np.bincount(interval)[interval] > 1 if len(interval) else parts
-        order, interval = order[shared], interval[shared]
+        # a suffix is alone if an interval begins with it and with the next
+        alone = parts.copy()
+        alone[:-1] &= parts[1:]
+        interval = np.cumsum(parts)
+        order, interval = order[~alone], interval[~alone]
         yield order, interval
 
 
-def common_prefixes(texts: list[bytes], length: int, block: int = BLOCK, shard: int = SHARD) -> list[np.ndarray]:
-    """For each text and each byte of it, how many bytes, in whole blocks up to length, the string from there shares with one that starts anywhere else in the texts."""
+def repeated(texts: list[bytes], length: int, block: int = BLOCK, shard: int = SHARD) -> list[np.ndarray]:
+    """For each text and each window of it, whether its bytes start anywhere else in the texts."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -184,10 +187,10 @@ def common_prefixes(texts: list[bytes], length: int, block: int = BLOCK, shard:
     cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(texts)]
     shards = [Shard(code, starts[i:j], ends[i:j], block) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i]
     suffixes = np.concatenate([s.suffixes for s in shards])
-    out = np.zeros(len(joined) + 1, np.int32)
-    for n, (order, _) in enumerate(merge(shards, length // block), 1):
-        out[suffixes[order]] = n * block
-    return [out[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    *_, (order, _) = merge(shards, length // block)
+    out = np.zeros(len(joined), bool)
+    out[suffixes[order]] = True
+    return [out[s : max(s, e - length + 1)] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def runs(hit: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -203,8 +206,7 @@ def _bucket(length: int):
     def bucket(group: pa.Table) -> pa.Table:
         texts, many = group.column("bytes").to_pylist(), group.column("n").to_pylist()
         spans = []
-        for shared, n in zip(common_prefixes(texts, length), many, strict=True):
-            hit = shared[: len(shared) - length + 1] >= length
+        for hit, n in zip(repeated(texts, length), many, strict=True):
             spans.append([{"lo": lo, "hi": hi + length - 1} for lo, hi in runs(hit | (n > 1))])
         out = pa.table({"m": group.column("m"), "digest": group.column("digest"), "spans": pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))})
         return out.filter(pa.array([bool(s) for s in spans], pa.bool_()))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from sprocket.llm import suffixes
-from sprocket.llm.suffixes import BLOCK, Shard, common_prefixes, dedup, merge, strings_of, symbols
+from sprocket.llm.suffixes import BLOCK, Shard, dedup, merge, repeated, strings_of, symbols
 
 
 def brute(texts: list[bytes], length: int) -> list[np.ndarray]:
@@ -43,15 +43,13 @@ def expected(rows: list[tuple], length: int) -> list[tuple]:
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_common_prefixes_are_those_of_all_pairs(seed):
+def test_repeated_windows_are_those_of_all_pairs(seed):
     texts = [t.encode() for t in corpus(seed, 25) if t]
-    got = common_prefixes(texts, 3 * BLOCK, shard=700)
     for n in (1, 2, 3):
-        seen = Counter(t[i : i + n * BLOCK] for t in texts for i in range(len(t) - n * BLOCK + 1))
-        for t, g in zip(texts, got, strict=True):
-            for i in range(len(t)):
-                there = i + n * BLOCK <= len(t) and seen[t[i : i + n * BLOCK]] > 1
-                assert (g[i] >= n * BLOCK) == there
+        length = n * BLOCK
+        seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+        want = [[seen[t[i : i + length]] > 1 for i in range(len(t) - length + 1)] for t in texts]
+        assert [x.tolist() for x in repeated(texts, length, shard=700)] == want
 
 
 def test_the_interleave_keeps_the_order_of_every_shard_and_sorts_the_whole():
