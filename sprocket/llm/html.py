@@ -5,10 +5,13 @@ their ancestors: one, one for each comma and up to three for length, all times o
 the block's link density; the parent gets all, its parent half, further ones a third,
 a fourth and so on up to five levels. Boilerplate elements (menus, headers and footers
 of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments) are
-set aside first by tag, role, class and id. The best container is taken; if it lies in an
-``article`` or ``main`` element, that whole element; else also those of its siblings
-whose points reach a fifth of its own, and sibling headings and prose paragraphs. Inside,
-everything that is not boilerplate is kept in page order.
+set aside first by tag and role. A class or id only weighs: a name all of whose parts are
+words of boilerplate sets its element aside unless it holds half of the page's text or
+more and no article with text stands elsewhere; a name with such a word among others halves the points of what is inside, and its
+element is set aside if it holds mostly links or no text to score. The best container is
+taken; if it lies in an ``article`` or ``main`` element, that whole element; else also
+those of its siblings whose points reach a fifth of its own, and sibling headings and
+prose paragraphs. Inside, everything that is not boilerplate is kept in page order.
 
 Defined cases: null or empty html gives an empty text; a page without any scored block
 gives the non-boilerplate text of its whole body; markup cut off at the end of the page
@@ -41,13 +44,20 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 ALWAYS = frozenset("nav aside form dialog menu footer".split())
 OUTSIDE = frozenset(["header"])
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-#: Words of a class or id that mark boilerplate.
+#: Words of a class or id that speak for boilerplate.
 NAMES = frozenset(
     """ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert
     popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead comment comments commentlist disqus reply replies respond
     share sharing social related recommended newsletter subscribe signup login pager pagination toolbar widget skip legal copyright""".split()
 )
+#: Words that say nothing beside those, and words that turn a name round: an element without a sidebar, or one that has one.
+BESIDE = frozenset("site page top bottom left right box wrap wrapper container list area section block item items inner outer bar link links main left col column header body text title logo button buttons tools unit slot primary secondary js id widget".split())
+TURNED = frozenset("no has with without hide hidden disable disabled non".split())
 KEEP = frozenset("html body article main".split())
+#: How an element is marked: not at all, by a word of a name, by a whole name, by tag, role or attribute.
+CLEAR, WORD, NAME, OFF = range(4)
+#: What a marked element's text is worth, and the length from which a block is scored.
+LESS, SCORED = 0.5, 25
 
 MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*))")
 ATTRIBUTES = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
@@ -57,25 +67,30 @@ HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 WORDS = re.compile(r"[a-z]+")
 
 
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+def _marked(tag: str, attrs: str, in_article: bool) -> int:
     if tag in ALWAYS or (tag in OUTSIDE and not in_article):
-        return True
+        return OFF
     if tag in KEEP or not attrs:
-        return False
+        return CLEAR
+    mark = CLEAR
     for m in ATTRIBUTE.finditer(attrs):
         name, value = (m[1] or "").lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
-            return True
-        if name in ("class", "id") and not NAMES.isdisjoint(WORDS.findall(value)):
-            return True
-    return False
+            return OFF
+        if name in ("class", "id"):
+            for whole in value.split():
+                words = WORDS.findall(whole)
+                if NAMES.isdisjoint(words) or not TURNED.isdisjoint(words):
+                    continue
+                mark = max(mark, NAME if all(w in NAMES or w in BESIDE for w in words) else WORD)
+    return mark
 
 
 class Page:
-    """The tree of one page: for each element its parent, tag, whether it is boilerplate and the nearest block; and its blocks of text. A tag takes a constant time at any depth."""
+    """The tree of one page: for each element its parent, tag, mark, whether it is boilerplate and the nearest block; and its blocks of text. A tag takes a constant time at any depth."""
 
     def __init__(self, html: str) -> None:
-        self.parent, self.tag, self.off, self.article, self.block = [-1], ["#root"], [False], [False], [0]
+        self.parent, self.tag, self.mark, self.off, self.article, self.block = [-1], ["#root"], [CLEAR], [False], [False], [0]
         #: (element that holds the block, text, characters within links)
         self.blocks: list[tuple[int, str, int]] = []
         self._run: list[str] = []
@@ -84,6 +99,7 @@ class Page:
         #: Places in the stack of the open elements of each tag.
         self._open_at: dict[str, list[int]] = {}
         self._build(html)
+        self._settle()
 
     def _last(self, tags: Iterable[str]) -> int:
         """The highest place of an open element of these tags; 0 if none is open."""
@@ -127,7 +143,10 @@ class Page:
         inside = self.article[up] or tag in ("article", "main")
         self.parent.append(up)
         self.tag.append(tag)
-        self.off.append(self.off[up] or _boilerplate(tag, attrs, inside))
+        # an inline element's text cannot be told from its block's afterwards, so a whole name decides there at once
+        mark = _marked(tag, attrs, inside)
+        self.mark.append(mark)
+        self.off.append(self.off[up] or mark == OFF or (mark == NAME and tag not in BLOCK))
         self.article.append(inside)
         self.block.append(k if tag in BLOCK else self.block[up])
         self._open_at.setdefault(tag, []).append(len(self._stack))
@@ -185,13 +204,42 @@ class Page:
         self._flush()
 
 
+    def _settle(self) -> None:
+        """Decide about the elements that names have marked, by the text below them, and leave out the blocks of what is set aside."""
+        n = len(self.tag)
+        size, linked, scored, framed = [0] * n, [0] * n, [False] * n, [False] * n
+        for owner, text, links in self.blocks:
+            size[owner] += len(text)
+            linked[owner] += links
+            scored[owner] = scored[owner] or (len(text) >= SCORED and self.tag[owner] not in HEADING and 2 * links < len(text))
+        for i in range(n - 1, 0, -1):  # children come after their parents
+            up = self.parent[i]
+            size[up] += size[i]
+            linked[up] += linked[i]
+            scored[up] = scored[up] or scored[i]
+            framed[i] = framed[i] or (self.tag[i] in ("article", "main") and size[i] > 0)
+            framed[up] = framed[up] or framed[i]
+        #: whether an element or one around it is marked but kept
+        self.less = [False] * n
+        for i in range(1, n):
+            up = self.parent[i]
+            if self.off[up]:
+                self.off[i] = True
+            elif self.mark[i] == NAME and not self.off[i]:
+                self.off[i] = 2 * size[i] < size[0] or (framed[0] and not framed[i] and not self.article[i])
+            elif self.mark[i] == WORD and not self.off[i]:
+                self.off[i] = 2 * linked[i] >= size[i] or not scored[i]
+            self.less[i] = self.less[up] or self.mark[i] in (WORD, NAME)
+        self.blocks = [b for b in self.blocks if not self.off[b[0]]]
+
+
 def points(page: Page) -> list[float]:
     """The points of each element."""
     out = [0.0] * len(page.tag)
     for owner, text, links in page.blocks:
-        if len(text) < 25 or page.tag[owner] in HEADING:
+        if len(text) < SCORED or page.tag[owner] in HEADING:
             continue
-        worth = (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - links / len(text))
+        worth = (1 + text.count(",") + min(3.0, len(text) / 100)) * (1 - links / len(text)) * (LESS if page.less[owner] else 1)
         up, level = (page.parent[owner] if page.tag[owner] in PROSE else owner), 1
         while up > 0 and level <= 5:
             out[up] += worth / level
@@ -229,7 +277,7 @@ def extract(html: str) -> str:
         for i in range(1, len(page.tag)):
             if page.parent[i] == page.parent[best] and i != best and page.parent[best] > 0:
                 size, linked = links.get(i, (0, 0))
-                if got[i] >= 0.2 * got[best] or (page.tag[i] in PROSE and size and linked < 0.25 * size and (page.tag[i] in HEADING or size >= 25)):
+                if got[i] >= 0.2 * got[best] or (page.tag[i] in PROSE and size and linked < 0.25 * size and (page.tag[i] in HEADING or size >= SCORED)):
                     kept.add(i)
     return _within(page, kept)
 

@@ -262,7 +262,7 @@ class Window:
         n = len(words)
         self.kind = [GROUP if w.isdecimal() else AT_WORD if AT_SIGN.fullmatch(w) else WORD if w[0].isalnum() else SIGN for w in words]
         name = [k == AT_WORD or (k == SIGN and len(w) > 1 and DOT_WORD.fullmatch(w) is not None) for k, w in zip(self.kind, words, strict=True)]
-        gaps = ["", *(text[a:b] for (_, a), (b, _) in zip(self.tokens, self.tokens[1:], strict=False))]
+        gaps = ["", *(text[a:b] for (_, a), (b, _) in zip(self.tokens, self.tokens[1:], strict=False))][:n]
         #: whether a span may go on to a token from the one before it
         self.joined = [JOINED.fullmatch(w) is not None and not g.strip(" ") and (len(g) <= GAP or name[k] or name[k - 1]) for k, (w, g) in enumerate(zip(words, gaps, strict=True))]
         self.begins = [(k in (GROUP, WORD) or w in "+(") and JOINED.fullmatch(w) is not None for k, w in zip(self.kind, words, strict=True)]
