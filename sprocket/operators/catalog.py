@@ -47,6 +47,33 @@ def superseded(previous: Column, history: Column, new: Column) -> Column:
     return F.array_remove(F.array_distinct(F.when(previous.isNull(), history).otherwise(F.array_append(history, previous))), new)
 
 
+def carried(manifests: DataFrame, new: DataFrame, key: str = "event") -> DataFrame:
+    """(key, output, superseded): the manifests after some renders. manifests: key, output, superseded; new: key, output, at most a row for each event. A new manifest carries the former outputs, without its own; events without a render keep theirs."""
+    x = manifests.select(key, F.col("output").alias("_was"), "superseded").join(new.select(key, F.col("output").alias("_now")), key, "full_outer")
+    history = F.coalesce("superseded", F.array().cast("array<string>"))
+    return x.select(key, F.coalesce("_now", "_was").alias("output"), F.when(F.col("_now").isNull(), history).otherwise(superseded(F.col("_was"), history, F.col("_now"))).alias("superseded"))
+
+
+#: What a job may become: a worker ends a running one, a queued one is claimed or cancelled, a lost one is queued again.
+STEPS = {"queued": ["running", "cancelled"], "running": ["done", "failed", "cancelled", "queued"]}
+
+
+def transitions(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, status, outcome) of every job: compare and set. wanted: id, expected, status, n (their order); a job moves only if it is in the expected state and may go to the next. Of several requests to one job each sees what the one before has left. outcome: moved, stale (another state than expected), illegal (no such step) or unknown (no such job, status null); null for jobs without a request, and that of the last request else.
+    """
+    requests = wanted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "expected", "status"))).alias("_w"))
+    may = F.create_map(*(x for k, v in STEPS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+
+    def step(acc: Column, w: Column) -> Column:
+        fits, legal = acc["status"].eqNullSafe(w["expected"]), F.coalesce(F.array_contains(F.try_element_at(may, acc["status"]), w["status"]), F.lit(False))
+        outcome = F.when(acc["status"].isNull(), "unknown").when(~fits, "stale").when(~legal, "illegal").otherwise("moved")
+        return F.struct(F.when(outcome == "moved", w["status"]).otherwise(acc["status"]).alias("status"), outcome.alias("outcome"))
+
+    x = jobs.select("id", "status").join(requests, "id", "full_outer")
+    end = F.aggregate(F.coalesce("_w", F.array().cast(requests.schema["_w"].dataType)), F.struct(F.col("status"), F.lit(None).cast("string").alias("outcome")), step)
+    return x.withColumn("_e", end).select("id", "_e.status", "_e.outcome")
+
+
 def claimable(jobs: DataFrame, kinds: list[str], devices: list[str], k: int = 1) -> DataFrame:
     """The next k queued jobs: first kind first, priority high to low, oldest first. One writer owns claims; Spark has no row locks."""
     rank = F.lit(len(kinds))
