@@ -108,6 +108,19 @@ def canonical_hash(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+@F.pandas_udf(StringType())
+def canonical_text(text: pd.Series) -> pd.Series:
+    """A JSON document in canonical spelling: keys in order, all but ASCII escaped; null for what is no JSON. Values of a known type need no Python: see `functions.canonical`."""
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(json.loads(t), sort_keys=True)
+        except (ValueError, RecursionError):
+            return None
+
+    return text.map(one)
+
+
 #: What a proxy is made to, in the order of their names.
 PROXY_SPEC = '{"audio_bitrate": "128k", "audio_channels": 2, "audio_encoder": "aac", "bframes": 0, "crf": 26, "gop_seconds": 0.5, "preset": "veryfast", "short_side": 540}'
 
