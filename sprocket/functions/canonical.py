@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,33 +28,55 @@ def quoted(s: Column) -> Column:
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def number(x: Column) -> Column:
     """A double as Python writes it: the shortest digits that give it back, an exponent from 1e16 on and below 1e-4. Beyond 1e20 the last of 17 digits is Java's, which errs for one in some ten thousand."""
-    x = x.cast("double")
-    spelled = x.cast("string")
-    # Java spells some doubles with digits too many: the fewest that give the same number are the right ones
-    for form in ("%.15e", "%.16e"):
-        shorter = F.format_string(form, x)
-        spelled = F.when((F.length(F.regexp_replace(spelled, r"[eE].*|\D", "")) > int(form[2:4]) + 1) & (shorter.cast("double") == x), shorter).otherwise(spelled)
-    for form in ("%.1e", "%.0e"):  # the least of all
-        spelled = F.when((F.abs(x) < 1e-320) & (F.format_string(form, x).cast("double") == x), F.format_string(form, x)).otherwise(spelled)
-    exact = F.when((F.abs(x) >= 1e17) & (F.abs(x) < 9e18), x.cast("long").cast("decimal(38,0)"))
-    for digits in (17, 16):  # large whole numbers are rounded from their own digits, not from Java's
-        near = F.when(F.abs(x) < 1e18, F.bround(exact, digits - 18)).otherwise(F.bround(exact, digits - 19)).cast("decimal(38,0)")
-        spelled = F.when(near.cast("double") == x, near.cast("string")).otherwise(spelled)
-    parts = lambda k: F.regexp_extract(spelled, r"^(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([-+]?[0-9]+))?$", k)
-    whole, fraction, power = parts(2), parts(3), F.coalesce(F.nullif(F.regexp_replace(parts(4), r"^\+", ""), F.lit("")).cast("int"), F.lit(0))
-    digits = F.regexp_replace(F.regexp_replace(F.concat(whole, fraction), "^0+", ""), "0+$", "")
-    # the place of the point before the first digit that is not 0
-    lead = F.length(F.regexp_extract(F.concat(whole, fraction), "^(0*)", 1))
-    place = F.length(whole) - lead + power
-    few = F.concat(F.when(place <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -place), digits)).when(place >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), place - F.length(digits)), F.lit(".0"))).otherwise(F.concat(F.substr(digits, F.lit(1), place), F.lit("."), F.substr(digits, place + 1))))
-    rest = F.substr(digits, F.lit(2))
-    e = place - 1
-    long = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
-    size = F.when(digits == "", "0.0").when((e >= 16) | (e < -4), long).otherwise(few)
-    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
-    return F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("Infinity"))).otherwise(F.concat(sign, size))
+    return _let(x.cast("double"), lambda v: F.when(F.isnan(v), "NaN").when(F.abs(v) == float("inf"), F.when(v > 0, "Infinity").otherwise("-Infinity")).otherwise(_let(_digits(v), _placed)))
+
+
+def _digits(x: Column) -> Column:
+    """A spelling of a double with the fewest digits that give it back; Java's has too many at times."""
+
+    def shorter(spelled: Column, form: str) -> Column:
+        tried = F.format_string(form, x)
+        many = F.length(F.regexp_replace(spelled, r"[eE].*|\D", "")) > int(form[2:-1]) + 1
+        return F.when(many & (tried.cast("double") == x), tried).otherwise(spelled)
+
+    plain = x.cast("string")
+    usual = _let(plain, lambda s: _let(F.when(F.length(s) < 17, s).otherwise(shorter(s, "%.15e")), lambda t: F.when(F.length(t) < 18, t).otherwise(shorter(t, "%.16e"))))
+    # the least numbers of all
+    least = F.when(F.format_string("%.0e", x).cast("double") == x, F.format_string("%.0e", x)).when(F.format_string("%.1e", x).cast("double") == x, F.format_string("%.1e", x)).otherwise(plain)
+
+    def large(n: Column) -> Column:
+        """Whole numbers of 18 or 19 digits are rounded from their own digits."""
+        near = lambda d: F.when(F.abs(x) < 1e18, F.bround(n, d - 18)).otherwise(F.bround(n, d - 19)).cast("decimal(38,0)")
+        return F.when(near(16).cast("double") == x, near(16).cast("string")).when(near(17).cast("double") == x, near(17).cast("string")).otherwise(n.cast("string"))
+
+    return F.when((F.abs(x) >= 1e17) & (F.abs(x) < 9e18), _let(x.cast("long").cast("decimal(38,0)"), large)).when(F.abs(x) < 1e-320, least).otherwise(usual)
+
+
+def _placed(spelled: Column) -> Column:
+    """A number's digits with the point, or the exponent, where Python puts it."""
+    part = lambda k: F.regexp_extract(spelled, r"^(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([-+]?[0-9]+))?$", k)
+    power = F.coalesce(F.nullif(F.regexp_replace(part(4), r"^\+", ""), F.lit("")).cast("int"), F.lit(0))
+    both = F.concat(part(2), part(3))
+    digits = F.regexp_replace(F.regexp_replace(both, "^0+", ""), "0+$", "")
+    # the place of the point, counted from the first digit that is not 0
+    place = F.length(part(2)) - F.length(F.regexp_extract(both, "^(0*)", 1)) + power
+    sign = F.when(spelled.startswith("-"), "-").otherwise("")
+
+    def put(p: Column) -> Column:
+        d, at = p["digits"], p["place"]
+        few = F.when(at <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), d)).when(at >= F.length(d), F.concat(d, F.repeat(F.lit("0"), at - F.length(d)), F.lit(".0"))).otherwise(F.concat(F.substr(d, F.lit(1), at), F.lit("."), F.substr(d, at + 1)))
+        rest, e = F.substr(d, F.lit(2)), F.abs(at - 1).cast("string")
+        long = F.concat(F.substr(d, F.lit(1), F.lit(1)), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), F.when(at < 1, "e-").otherwise("e+"), F.when(F.length(e) < 2, F.concat(F.lit("0"), e)).otherwise(e))
+        return F.concat(p["sign"], F.when(d == "", "0.0").when((at > 16) | (at < -3), long).otherwise(few))
+
+    return _let(F.struct(sign.alias("sign"), digits.alias("digits"), place.alias("place")), put)
 
 
 def text(value: Column, kind: T.DataType | str, unset: tuple[str, ...] = (), raw: tuple[str, ...] = ()) -> Column:
