@@ -52,11 +52,11 @@ def _digits(x: Column) -> Column:
     least = F.when(F.format_string("%.0e", x).cast("double") == x, F.format_string("%.0e", x)).when(F.format_string("%.1e", x).cast("double") == x, F.format_string("%.1e", x)).otherwise(plain)
 
     def large(n: Column) -> Column:
-        """Whole numbers of 18 or 19 digits are rounded from their own digits."""
-        near = lambda d: F.when(F.abs(x) < 1e18, F.bround(n, d - 18)).otherwise(F.bround(n, d - 19)).cast("decimal(38,0)")
-        return F.when(near(16).cast("double") == x, near(16).cast("string")).when(near(17).cast("double") == x, near(17).cast("string")).otherwise(n.cast("string"))
+        """Whole numbers of 17 to 19 digits are rounded from their own digits."""
+        near = lambda d: F.when(F.abs(x) < 1e17, F.bround(n, d - 17)).when(F.abs(x) < 1e18, F.bround(n, d - 18)).otherwise(F.bround(n, d - 19)).cast("decimal(38,0)")
+        return F.when(near(15).cast("double") == x, near(15).cast("string")).when(near(16).cast("double") == x, near(16).cast("string")).when(near(17).cast("double") == x, near(17).cast("string")).otherwise(n.cast("string"))
 
-    return F.when((F.abs(x) >= 1e17) & (F.abs(x) < 9e18), _let(x.cast("long").cast("decimal(38,0)"), large)).when(F.abs(x) < 1e-320, least).otherwise(usual)
+    return F.when((F.abs(x) >= 1e16) & (F.abs(x) < 9e18), _let(x.cast("long").cast("decimal(38,0)"), large)).when(F.abs(x) < 1e-320, least).otherwise(usual)
 
 
 def _placed(spelled: Column) -> Column:

@@ -20,9 +20,11 @@ def fold(s: pd.Series) -> pd.Series:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts digit runs as numbers and before text, text by lower case. An array of structs compares as wanted."""
+    """Sorts digit runs as numbers, of any length, and before text, text by lower case. An array of structs compares as wanted."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+|[^0-9]+)"))
-    return F.transform(parts, lambda p: F.struct(F.when(p.rlike("^[0-9]"), 0).otherwise(1).alias("tag"), F.when(p.rlike("^[0-9]"), p.cast("decimal(38,0)")).alias("number"), F.when(p.rlike("^[^0-9]"), p).alias("text")))
+    number = lambda p: F.when(p.rlike("^[0-9]"), F.regexp_replace(p, "^0+(?=[0-9])", ""))
+    # of two numbers the one with more digits is greater
+    return F.transform(parts, lambda p: F.struct(F.when(p.rlike("^[0-9]"), 0).otherwise(1).alias("tag"), F.length(number(p)).alias("digits"), number(p).alias("number"), F.when(p.rlike("^[^0-9]"), p).alias("text")))
 
 
 def rational(s: Column) -> Column:
@@ -126,22 +128,22 @@ TIME = r"^(?:(\d+):([0-5]\d):([0-5]\d)|(\d+):([0-5]\d)|(\d+))(?:[.,](\d+))?$"
 def parse_time(s: Column) -> Column:
     """A typed time in milliseconds; null if it is refused."""
     t = F.trim(s)
-    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(t, TIME, k), F.lit("")).cast("long"), F.lit(0))
+    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(t, TIME, k), F.lit("")).try_cast("long"), F.lit(0))
     seconds = (part(1) * 60 + part(2)) * 60 + part(3) + part(4) * 60 + part(5) + part(6)
     return F.when(time_refusal(s).isNull() & s.isNotNull(), seconds * 1000 + F.rpad(F.regexp_extract(t, TIME, 7), 3, "0").cast("long"))
 
 
 def time_refusal(s: Column) -> Column:
-    """Why a typed time is refused: empty, unreadable or too-precise (more than three decimals); null if it is not."""
+    """Why a typed time is refused: empty, unreadable (more than twelve digits of hours, minutes or seconds among it) or too-precise (more than three decimals); null if it is not."""
     t = F.trim(s)
-    return F.when(t == "", "empty").when(~t.rlike(TIME), "unreadable").when(F.length(F.regexp_extract(t, TIME, 7)) > 3, "too-precise")
+    return F.when(t == "", "empty").when(~t.rlike(TIME) | t.rlike(r"^\d{13}"), "unreadable").when(F.length(F.regexp_extract(t, TIME, 7)) > 3, "too-precise")
 
 
 def format_time(ms: Column) -> Column:
-    """m:ss or h:mm:ss with the fraction's digits, no zero last."""
+    """m:ss or h:mm:ss with the fraction's digits, no zero last; null for a time before 0."""
     s = F.floor(ms / 1000)
     clock = F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)).otherwise(F.format_string("%d:%02d", F.floor(s / 60), s % 60))
-    return F.concat(clock, F.regexp_replace(F.concat(F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0")), r"\.?0*$", ""))
+    return F.when(ms >= 0, F.concat(clock, F.regexp_replace(F.concat(F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0")), r"\.?0*$", "")))
 
 
 def nearest_frame(t: Column, fps: Column) -> Column:
@@ -166,9 +168,9 @@ def pixel_format(fmt: Column) -> dict[str, Column]:
 
 
 def etag_matches(header: Column, tag: Column) -> Column:
-    """Weak comparison over a comma list; '*' matches anything."""
+    """Weak comparison over a comma list; '*' matches anything, no header nothing."""
     tags = F.transform(F.split(header, ","), lambda t: F.regexp_replace(F.trim(t), r'^W/|"', ""))
-    return F.array_contains(tags, "*") | F.array_contains(tags, F.regexp_replace(tag, r'^W/|"', ""))
+    return F.coalesce(F.array_contains(tags, "*") | F.array_contains(tags, F.regexp_replace(tag, r'^W/|"', "")), F.lit(False))
 
 
 def progress(micros: Column, seconds: Column, ended: Column) -> Column:

@@ -16,9 +16,11 @@ def jobs_by_status(jobs: DataFrame, status: str, project: str | None = None, kin
     return x if kind is None else x.filter(F.col("kind") == kind)
 
 
-def add_clips(refs: DataFrame, added: DataFrame) -> DataFrame:
-    """(event, chapter, pos, clip, problem): refs with the added clips (event, chapter, clip, n) at the end of their chapters, in order of n. A clip that is there already, or in a chapter that is not, is refused: its pos is null and problem says why."""
+def add_clips(refs: DataFrame, added: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """(event, chapter, pos, clip, problem): refs with the added clips (event, chapter, clip, n) at the end of their chapters, in order of n. chapters: event, chapter, all that there are, those without clips among them; without it a chapter is there if it has clips. A clip that is there already, or in a chapter that is not, is refused: its pos is null and problem says why."""
     ends = refs.groupBy("event", "chapter").agg(F.max("pos").alias("_end"))
+    if chapters is not None:
+        ends = chapters.select("event", "chapter").distinct().join(ends, ["event", "chapter"], "left").withColumn("_end", F.coalesce("_end", F.lit(0)))
     known = refs.select("event", "clip", F.lit(True).alias("_known")).distinct()
     x = added.join(ends, ["event", "chapter"], "left").join(known, ["event", "clip"], "left")
     x = x.withColumn("_again", F.row_number().over(W.partitionBy("event", "clip").orderBy("n")) > 1)
@@ -55,8 +57,8 @@ def restore_conflicts(cuts: DataFrame, restored: DataFrame, keys: list[str]) ->
 
 
 def tiles_at(points: DataFrame, strips: DataFrame, key: str) -> DataFrame:
-    """points (key, at) with tile: the tile of the strip (key, interval, tiles) that shows the time, the last one beyond its end."""
-    return points.join(strips, key).select(*points.columns, F.least(F.floor(F.col("at") / F.col("interval")), F.col("tiles") - 1).cast("long").alias("tile"))
+    """points (key, at) with tile: the tile of the strip (key, interval, tiles) that shows the time, the first one before its begin and the last one beyond its end."""
+    return points.join(strips, key).select(*points.columns, F.greatest(F.lit(0), F.least(F.floor(F.col("at") / F.col("interval")), F.col("tiles") - 1)).cast("long").alias("tile"))
 
 
 def repeats(ordinals: DataFrame, keys: list[str], ordinal: str) -> DataFrame:

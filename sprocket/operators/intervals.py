@@ -1,4 +1,4 @@
-"""Interval algebra on half-open spans [start, end), per key, as window queries. Empty and reversed spans are dropped; null bounds count as empty."""
+"""Interval algebra on half-open spans [start, end), per key, as window queries. Empty and reversed spans are dropped; null bounds count as empty; a null key is a key like any other. A key's spans are ordered in one task: a key is a clip, or what else has no more spans than a task can sort."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import asof_join
+from .joins import asof_join, null_safe
 
 
 def merge_spans(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -30,12 +30,13 @@ def clamp(start: Column, end: Column, low: Column, high: Column) -> tuple[Column
 def kept_spans(cuts: DataFrame, extents: DataFrame, keys: list[str], length: str = "length") -> DataFrame:
     """(keys, start, end): what the cuts leave of [0, length). A key without cuts keeps all of it."""
     zero = F.lit(0).cast(extents.schema[length].dataType)
-    c = cuts.join(extents.select(*keys, F.col(length).alias("len")), keys).select(*keys, F.greatest("start", zero).alias("start"), F.least("end", "len").alias("end"))
+    lengths = extents.select(*keys, F.col(length).alias("len"))
+    c = null_safe(cuts, lengths, keys).select(*keys, F.greatest("start", zero).alias("start"), F.least("end", "len").alias("end"))
     m = merge_spans(c, keys)
     edges = m.select(*keys, F.col("end").alias("start"), F.lead("start").over(W.partitionBy(*keys).orderBy("start")).alias("end"))
     first = m.groupBy(*keys).agg(zero.alias("start"), F.min("start").alias("end"))
-    gaps = edges.unionByName(first).join(extents.select(*keys, F.col(length).alias("len")), keys).select(*keys, "start", F.coalesce("end", "len").alias("end"))
-    whole = extents.join(m.select(*keys).distinct(), keys, "left_anti").select(*keys, zero.alias("start"), F.col(length).alias("end"))
+    gaps = null_safe(edges.unionByName(first), lengths, keys).select(*keys, "start", F.coalesce("end", "len").alias("end"))
+    whole = null_safe(extents, m.select(*keys).distinct(), keys, "left_anti").select(*keys, zero.alias("start"), F.col(length).alias("end"))
     return gaps.unionByName(whole).filter(F.col("start") < F.col("end"))
 
 
@@ -53,7 +54,8 @@ def subtract_spans(spans: DataFrame, blockers: DataFrame, keys: list[str], keep:
     x = asof_join(x.withColumn("_t", F.col("start")), b.select(*keys, F.col("end").alias("_t"), F.col("n").alias("_low")), keys, "_t", "_low")
     x = asof_join(x.withColumn("_t", F.col("end")), b.select(*keys, F.col("start").alias("_t"), F.col("n").alias("_high")), keys, "_t", "_high", strict=True)
     low, high = F.coalesce("_low", F.lit(0)), F.coalesce("_high", F.lit(0))
-    x = x.withColumn("gap", F.explode(F.sequence(low, F.greatest(low, high)))).join(gaps, [*keys, "gap"], "left")
+    x = x.withColumn("gap", F.explode(F.sequence(low, F.greatest(low, high))))
+    x = null_safe(x, gaps, [*keys, "gap"], "left")
     # greatest and least leave out nulls
     return x.select(*keys, *keep, F.greatest("start", "_after").alias("start"), F.least("end", "_before").alias("end")).filter(F.col("start") < F.col("end"))
 

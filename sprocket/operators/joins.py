@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 from ..functions.scalars import fold
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys in which null is equal to null; the keys come once, from the left side."""
+    r = right.select(*(F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    x = left.join(r, on, how)
+    return x if how in ("left_anti", "left_semi") else x.drop(*(f"_r_{k}" for k in keys))
+
+
 def reconcile(disk: DataFrame, document: DataFrame, ignored: DataFrame, key: str) -> DataFrame:
     """(key, status): a full outer join of what lies on disk with what the document refers to. A reference outranks an ignore."""
     d, r, i = disk.select(key).distinct().withColumn("on_disk", F.lit(True)), document.select(key).distinct().withColumn("referenced", F.lit(True)), ignored.select(key).distinct().withColumn("ignored", F.lit(True))

@@ -35,7 +35,8 @@ def pair_chapters(wanted: DataFrame, existing: DataFrame, event: str = "event",
     """
     lists = lambda df, name: df.select(F.col(event).alias("event"), F.col(chapter).alias(name), F.col(order or chapter).alias(f"_{name}"), F.col(clips).alias(f"_all_{name}"))
     w, e = lists(wanted, "wanted"), lists(existing, "existing")
-    one = lambda df, name: df.select("event", name, F.explode(F.array_distinct(f"_all_{name}")).alias("clip"))
+    # a chapter that stands there twice has its clips once
+    one = lambda df, name: df.select("event", name, F.explode(F.array_distinct(f"_all_{name}")).alias("clip")).distinct()
     shared = one(w, "wanted").join(one(e, "existing"), ["event", "clip"]).groupBy("event", "wanted", "existing").agg(F.count("*").alias("shared"))
     x = shared.join(w, ["event", "wanted"]).join(e, ["event", "existing"])
     x = x.select("event", "wanted", "existing", "shared", "_wanted", "_existing", (F.col("_all_wanted") != F.col("_all_existing")).alias("_differs"))
