@@ -14,11 +14,17 @@ SMALL_WORDS = "och eller men utan av på i för till från med över under vid g
 
 
 @F.pandas_udf(StringType())
-def fold(s: pd.Series) -> pd.Series:
-    """NFC, then full case folding; null stays null."""
+def _fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x).casefold())
 
 
+def fold(s: Column | str) -> Column:
+    """NFC, then full case folding; null stays null. Only texts that are not ASCII are looked at in Python."""
+    c = F.col(s) if isinstance(s, str) else s
+    plain = c.rlike(r"\A[\x00-\x7F]*\z")
+    return F.coalesce(F.when(plain, F.lower(c)), _fold(F.when(~plain, c)))
+
+
 def natural_key(name: Column) -> Column:
     """Sorts digit runs as numbers, of any length, and before text, text by lower case. An array of structs compares as wanted."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+|[^0-9]+)"))

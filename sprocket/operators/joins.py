@@ -73,11 +73,11 @@ def prunable(history: DataFrame, on_disk: DataFrame, claimed: DataFrame, event:
 
     history: event, output, superseded (array); on_disk: path; claimed: event, path, what other events record or expect. Paths compare folded. An event whose current movie is not on disk keeps its old ones, which are still its movies; a path that is current or that another event claims stays.
     """
-    folded = lambda c: fold(F.col(c))
-    files = on_disk.select(F.col("path").alias("path"), folded("path").alias("_k"))
-    h = history.select(event, folded("output").alias("_now"), F.explode("superseded").alias("_old")).withColumn("_k", folded("_old"))
+    files = on_disk.select(F.col("path").alias("path"), fold("path").alias("_k"))
+    # the current name is folded before the old ones are taken apart
+    h = history.select(event, fold("output").alias("_now"), "superseded").select(event, "_now", F.explode("superseded").alias("_old")).withColumn("_k", fold("_old"))
     h = h.join(files.select(F.col("_k").alias("_now")).distinct(), "_now", "left_semi").filter("_k <> _now").join(files, "_k")
-    other = claimed.select(F.col(event).alias("_by"), folded("path").alias("_k"))
+    other = claimed.select(F.col(event).alias("_by"), fold("path").alias("_k"))
     mine, theirs = h.alias("m"), other.alias("o")
     x = mine.join(theirs, (F.col("m._k") == F.col("o._k")) & (F.col(f"m.{event}") != F.col("o._by")), "left_anti")
     return x.groupBy("_k").agg(F.min(event).alias(event), F.min("path").alias("path")).select(event, "path")
