@@ -117,6 +117,16 @@ def moved(df: DataFrame, key: str, before: str, after: str, weight: str) -> Data
     return df.groupBy(key).applyInPandas(mark, schema)
 
 
+def moved_by_hand(df: DataFrame, key: str, clip: str, before: str, after: str, last: DataFrame | None = None) -> DataFrame:
+    """df with moved: false for a largest set of a key's rows whose order did not change; of several such sets one with the most rows in their old places, and of those one without the row moved last. last: key, clip. The three wishes are digits of one weight, to the base of the key's number of rows."""
+    place = lambda c: F.row_number().over(W.partitionBy(key).orderBy(c))
+    x = df if last is None else df.join(last.select(key, clip, F.lit(True).alias("_last")).distinct(), [key, clip], "left")
+    base = F.count("*").over(W.partitionBy(key)) + 1
+    latest = F.lit(False) if last is None else F.coalesce("_last", F.lit(False))
+    x = x.withColumn("_weight", base * base + F.when(place(before) == place(after), base).otherwise(0) + F.when(latest, 0).otherwise(1))
+    return moved(x, key, before, after, "_weight").select(*df.columns, "moved")
+
+
 #: The weight of the newest rate, and when an estimate is trusted.
 ALPHA, MIN_PROGRESS, MIN_OBSERVATIONS = 0.3, 0.05, 3
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..sources import documents as D
-from .library import Cases
+from .library import Cases, each
 from .queries import query
 
 
@@ -37,12 +37,12 @@ _WANTED = Cases("id int, problem string", *((i, problem) for i, (_, problem) in
 
 @query(f"SELECT id, problem, problem IS NULL AS read FROM {_WANTED.sql}")
 def read_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return D.read_documents(DOCUMENTS.df(spark), "json").select("id", "problem", F.col("doc").isNotNull().alias("read"))
+    return D.read_documents(DOCUMENTS.df(spark, sf), "json").select("id", "problem", F.col("doc").isNotNull().alias("read"))
 
 
-@query("SELECT * FROM (VALUES (0, '', 1, 'k1.mp4', NULL, NULL, NULL), (0, '', 2, 'sub/k2.mp4', -90, TRUE, 1), (0, 'Dock', 1, 'd.mp4', NULL, FALSE, 0)) v(id, chapter, pos, clip, rotate, exclude, trims)")
+@query(each("SELECT * FROM (VALUES (0, '', 1, 'k1.mp4', NULL, NULL, NULL), (0, '', 2, 'sub/k2.mp4', -90, TRUE, 1), (0, 'Dock', 1, 'd.mp4', NULL, FALSE, 0)) v(id, chapter, pos, clip, rotate, exclude, trims)", id="int"))
 def document_references(spark: SparkSession, sf: str) -> DataFrame:
-    docs = D.read_documents(DOCUMENTS.df(spark), "json")
+    docs = D.read_documents(DOCUMENTS.df(spark, sf), "json")
     props = D.clip_properties(docs, "id").select("id", "clip", "rotate", "exclude", F.size("trims").alias("trims"))
     return D.references(docs, "id").join(props, ["id", "clip"], "left")
 
@@ -62,15 +62,15 @@ def parsed_references(spark: SparkSession, sf: str) -> DataFrame:
 SEEDS = Cases("id int, chapter string, pos long, clip string", (0, "", 1, "s"), (1, "", 1, "s"), (90, "", 1, "s"), (90, "Dock", 1, "t"))
 
 
-@query("SELECT * FROM (VALUES (0, '', 1, 'k1.mp4', FALSE), (0, '', 2, 'sub/k2.mp4', FALSE), (0, 'Dock', 1, 'd.mp4', FALSE), (90, '', 1, 's', TRUE), (90, 'Dock', 1, 't', TRUE)) v(id, chapter, pos, clip, seeded)")
+@query(each("SELECT * FROM (VALUES (0, '', 1, 'k1.mp4', FALSE), (0, '', 2, 'sub/k2.mp4', FALSE), (0, 'Dock', 1, 'd.mp4', FALSE), (90, '', 1, 's', TRUE), (90, 'Dock', 1, 't', TRUE)) v(id, chapter, pos, clip, seeded)", id="int"))
 def loaded_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = D.read_documents(DOCUMENTS.df(spark), "json").filter("problem is null")
-    return D.with_seeds(D.references(docs, "id"), docs, SEEDS.df(spark), "id")
+    docs = D.read_documents(DOCUMENTS.df(spark, sf), "json").filter("problem is null")
+    return D.with_seeds(D.references(docs, "id"), docs, SEEDS.df(spark, sf), "id")
 
 
 SETTINGS = Cases("id int, json string", (1, None), (2, '{"layout": "flat", "output": "/o", "look": {"a": 1}, "sort": {"method": "Filename", "reverse": true}}'), (3, "[]"), (4, "x"), (5, '{"look": 3}'), (6, '{"database": {"url": 1}}'), (7, '{"sort": {"method": "size"}}'), (8, "{}"), (9, '{"input": 4}'), (10, '{"sort": {"reverse": 1}}'))
 
 
-@query("SELECT * FROM (VALUES (1, NULL, NULL, 'datetime', FALSE, NULL), (2, 'flat', '/o', 'filename', TRUE, NULL), (3, NULL, NULL, NULL, NULL, 'not a mapping'), (4, NULL, NULL, NULL, NULL, 'unreadable'), (5, NULL, NULL, NULL, NULL, 'look'), (6, NULL, NULL, NULL, NULL, 'database.url'), (7, NULL, NULL, NULL, NULL, 'sort.method'), (8, NULL, NULL, 'datetime', FALSE, NULL), (9, NULL, NULL, NULL, NULL, 'input'), (10, NULL, NULL, NULL, NULL, 'sort.reverse')) v(id, layout, output, method, reverse, problem)")
+@query(each("SELECT * FROM (VALUES (1, NULL, NULL, 'datetime', FALSE, NULL), (2, 'flat', '/o', 'filename', TRUE, NULL), (3, NULL, NULL, NULL, NULL, 'not a mapping'), (4, NULL, NULL, NULL, NULL, 'unreadable'), (5, NULL, NULL, NULL, NULL, 'look'), (6, NULL, NULL, NULL, NULL, 'database.url'), (7, NULL, NULL, NULL, NULL, 'sort.method'), (8, NULL, NULL, 'datetime', FALSE, NULL), (9, NULL, NULL, NULL, NULL, 'input'), (10, NULL, NULL, NULL, NULL, 'sort.reverse')) v(id, layout, output, method, reverse, problem)", id="int"))
 def project_settings(spark: SparkSession, sf: str) -> DataFrame:
-    return D.project_settings(SETTINGS.df(spark), "json").select("id", "settings.layout", "settings.output", "settings.method", "settings.reverse", "problem")
+    return D.project_settings(SETTINGS.df(spark, sf), "json").select("id", "settings.layout", "settings.output", "settings.method", "settings.reverse", "problem")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import edits as E
 from ..operators import movie as M
 from ..session import table
-from .library import Cases
+from .library import Cases, each
 from .queries import query
 
 
@@ -22,9 +22,12 @@ REFS = Cases("event string, chapter string, pos long, clip string", ("a", "", 1,
 ADDED = Cases("event string, chapter string, clip string, n int", ("a", "", "s", 1), ("a", "", "p", 2), ("a", "", "t", 3), ("a", "Dock", "s", 4), ("a", "Yard", "u", 5), ("b", "", "p", 6), ("a", "Dock", "v", 7))
 
 
-@query(f"SELECT event, chapter, pos, clip, NULL::VARCHAR AS problem FROM {REFS.sql} UNION ALL SELECT * FROM (VALUES ('a', '', 3, 's', NULL), ('a', '', NULL, 'p', 'already there'), ('a', '', 4, 't', NULL), ('a', 'Dock', NULL, 's', 'already there'), ('a', 'Yard', NULL, 'u', 'no such chapter'), ('b', '', NULL, 'p', 'no such chapter'), ('a', 'Dock', 2, 'v', NULL)) v(event, chapter, pos, clip, problem)")
+_NEW = each("SELECT * FROM (VALUES ('a', '', 3, 's', NULL), ('a', '', NULL, 'p', 'already there'), ('a', '', 4, 't', NULL), ('a', 'Dock', NULL, 's', 'already there'), ('a', 'Yard', NULL, 'u', 'no such chapter'), ('b', '', NULL, 'p', 'no such chapter'), ('a', 'Dock', 2, 'v', NULL)) v(event, chapter, pos, clip, problem)", event="string")
+
+
+@query(f"SELECT event, chapter, pos, clip, NULL::VARCHAR AS problem FROM {REFS.sql} UNION ALL {_NEW}")
 def added_clips(spark: SparkSession, sf: str) -> DataFrame:
-    return E.add_clips(REFS.df(spark), ADDED.df(spark))
+    return E.add_clips(REFS.df(spark, sf), ADDED.df(spark, sf))
 
 
 @query("SELECT i AS id, CASE o_orderstatus WHEN 'F' THEN 'ended' WHEN 'O' THEN 'cancelled' WHEN 'P' THEN 'asked' ELSE 'unknown' END AS outcome FROM (SELECT unnest(range(1, 300, 7)) AS i) LEFT JOIN orders ON o_orderkey = i")
@@ -38,9 +41,9 @@ RUNNING = Cases("id int, status string, progress double", (1, "running", 0.2), (
 REPORTS = Cases("id int, progress double", (1, 0.4), (1, 0.3), (2, 0.5), (3, 0.1), (4, 0.7), (5, 1.7), (9, 0.5))
 
 
-@query("SELECT * FROM (VALUES (1, 0.4::DOUBLE), (2, 0.9), (3, 1.0), (4, 0.0), (5, 1.0)) v(id, progress)")
+@query(each("SELECT * FROM (VALUES (1, 0.4::DOUBLE), (2, 0.9), (3, 1.0), (4, 0.0), (5, 1.0)) v(id, progress)", id="int"))
 def progressed_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    return E.progressed(RUNNING.df(spark), REPORTS.df(spark))
+    return E.progressed(RUNNING.df(spark, sf), REPORTS.df(spark, sf))
 
 
 _CUTS = "x AS (SELECT l_suppkey AS clip, l_orderkey * 10 + l_linenumber AS id, min(l_partkey * 10) AS s, min(l_partkey * 10) + max(CAST(l_quantity AS BIGINT)) * 3 AS e, min(l_tax) > 0.03 AS read, max(l_discount) > 0.08 AS back FROM lineitem GROUP BY 1, 2)"
@@ -68,10 +71,10 @@ def frame_repeats(spark: SparkSession, sf: str) -> DataFrame:
 RECORDED = Cases("id int, json string", (1, '[{"name": "x", "start_ms": 0, "end_ms": 5}, {"name": "y", "start_ms": 5, "end_ms": 5}]'), (2, '[{"name": "x", "start_ms": 0, "end_ms": 5}, {"start_ms": 5, "end_ms": 9}]'), (3, "[]"), (4, '[{"name": "x", "start_ms": 7, "end_ms": 5}]'), (5, "junk"), (6, None))
 
 
-@query("SELECT * FROM (VALUES (1, 2), (2, NULL), (3, 0), (4, NULL), (5, NULL), (6, NULL)) v(id, n)")
+@query(each("SELECT * FROM (VALUES (1, 2), (2, NULL), (3, 0), (4, NULL), (5, NULL), (6, NULL)) v(id, n)", id="int"))
 def recorded_chapters(spark: SparkSession, sf: str) -> DataFrame:
     times = E.whole_list(F.from_json("json", "array<struct<name:string,start_ms:bigint,end_ms:bigint>>"))
-    return RECORDED.df(spark).withColumn("t", times).select("id", F.when(F.col("t").isNotNull(), F.size("t")).alias("n"))
+    return RECORDED.df(spark, sf).withColumn("t", times).select("id", F.when(F.col("t").isNotNull(), F.size("t")).alias("n"))
 
 
 @query("SELECT conv_id AS event, role AS chapter, CAST(turn AS DOUBLE) AS pos, 'source' AS kind FROM conversations UNION ALL SELECT conv_id, role, max(turn) + 0.5, 'end' FROM conversations GROUP BY 1, 2")

@@ -1,4 +1,4 @@
-"""Registered queries of events, sidecars and the sweep: small tables whose rows the SQL states, and given tables for size. Each stands beside its DuckDB SQL."""
+"""Registered queries of events, sidecars and the sweep: odd cases for each of the given suppliers, and given tables as they are. Each stands beside its DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from ..operators import timeline as T
 from ..session import table
 from ..sources import listings
 from ..sources import sidecars as D
-from .library import Cases
+from .library import Cases, each
 from .queries import MERGE_SQL, query
 
 # ------------------------------------------------------------------ documents and disk
@@ -26,28 +26,31 @@ DISK = Cases(
     ("a", "Dock", "Dock/k1", 1), ("a", "", "k2", 2), ("a", "dock", "dock/k4", 3), ("a", "Pier", "Pier/k5", 5), ("a", "", "k3", 4), ("a", "", "k6", 6), ("b", "yard", "yard/m2", 2), ("b", "", "m3", 1), ("c", "", "n1", 2), ("c", "Inn", "Inn/n2", 1), ("c", "Bay", "Bay/n3", 3),
 )
 CLIP_FACTS = Cases("event string, clip string, status string, excluded boolean, duration double, proxy string", ("a", "Dock/k1", "active", True, 4.0, "ready"), ("a", "k2", "active", None, 5.5, "absent"), ("a", "k6", "ignored", False, None, None), ("b", "Yard/m1", "missing", True, None, None), ("b", "m3", "new", False, 1.0, "stale"))
-_DETAIL = """(SELECT * FROM (VALUES ('a', 1, 'Dock', 1, 'Dock/k1', 'active', TRUE, 4.0::DOUBLE, 'ready'), ('a', 1, 'Dock', 2, 'dock/k4', 'new', FALSE, NULL, NULL), ('a', 2, '', 1, 'k2', 'active', FALSE, 5.5, 'absent'), ('a', 2, '', 2, 'k9', 'missing', FALSE, NULL, NULL),
-('a', 2, '', 3, 'k3', 'new', FALSE, NULL, NULL), ('a', 2, '', 4, 'Pier/k5', 'new', FALSE, NULL, NULL), ('a', 2, '', 5, 'k6', 'ignored', FALSE, NULL, NULL), ('b', 1, 'Yard', 1, 'Yard/m1', 'missing', TRUE, NULL, NULL), ('b', 1, 'Yard', 2, 'yard/m2', 'new', FALSE, NULL, NULL),
-('b', 2, '', 1, 'm3', 'new', FALSE, 1.0, 'stale'), ('c', 1, '', 1, 'n1', 'new', FALSE, NULL, NULL), ('c', 2, 'Bay', 1, 'Bay/n3', 'new', FALSE, NULL, NULL), ('c', 3, 'Inn', 1, 'Inn/n2', 'new', FALSE, NULL, NULL)) v(event, chapter_pos, chapter, pos, clip, status, excluded, duration, proxy))"""
+_PLACED = "CASE WHEN d.event NOT IN (SELECT event FROM ch) THEN folder ELSE coalesce((SELECT max(chapter) FROM ch WHERE ch.event = d.event AND chapter = folder), (SELECT arg_min(chapter, pos) FROM ch WHERE ch.event = d.event AND lower(chapter) = lower(folder)), '') END AS chapter"
+_END = "coalesce((SELECT max(pos) FROM n WHERE n.event = p.event AND n.chapter = p.chapter), 0) + row_number() OVER (PARTITION BY event, chapter ORDER BY place, clip)"
+_DETAIL = f"""(WITH ch AS {CHAPTERS.sql}, n AS {NAMED.sql}, d AS {DISK.sql}, f AS {CLIP_FACTS.sql}, p AS (SELECT d.*, {_PLACED} FROM d WHERE (event, clip) NOT IN (SELECT event, clip FROM n)),
+r AS (SELECT event, chapter, pos, clip, 'missing' AS s FROM n UNION ALL SELECT event, chapter, {_END}, clip, 'new' FROM p)
+SELECT r.event, dense_rank() OVER (PARTITION BY r.event ORDER BY ch.pos IS NULL, ch.pos, r.chapter) AS chapter_pos, r.chapter, CAST(r.pos AS BIGINT) AS pos, r.clip, coalesce(f.status, s) AS status, coalesce(excluded, FALSE) AS excluded, duration, proxy
+FROM r LEFT JOIN ch ON ch.event = r.event AND ch.chapter = r.chapter LEFT JOIN f ON f.event = r.event AND f.clip = r.clip)"""
 
 
-def detail(spark: SparkSession) -> DataFrame:
-    return E.event_detail(CHAPTERS.df(spark), NAMED.df(spark), DISK.df(spark), CLIP_FACTS.df(spark))
+def detail(spark: SparkSession, sf: str) -> DataFrame:
+    return E.event_detail(CHAPTERS.df(spark, sf), NAMED.df(spark, sf), DISK.df(spark, sf), CLIP_FACTS.df(spark, sf))
 
 
 @query(f"SELECT * FROM {_DETAIL}")
 def event_details(spark: SparkSession, sf: str) -> DataFrame:
-    return detail(spark)
+    return detail(spark, sf)
 
 
 @query(f"SELECT event, clip FROM {_DETAIL} WHERE status NOT IN ('ignored', 'missing') AND NOT excluded")
 def shown_clips(spark: SparkSession, sf: str) -> DataFrame:
-    return E.shown_clips(detail(spark)).select("event", "clip")
+    return E.shown_clips(detail(spark, sf)).select("event", "clip")
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 1), ('b', 0, 1), ('c', 0, 0)) v(event, missing, excluded)")
+@query(f"SELECT event, count(*) FILTER (status = 'missing' AND NOT excluded) AS missing, count(*) FILTER (status <> 'ignored' AND excluded) AS excluded FROM {_DETAIL} GROUP BY event")
 def omitted_clips(spark: SparkSession, sf: str) -> DataFrame:
-    return E.omitted_counts(detail(spark))
+    return E.omitted_counts(detail(spark, sf))
 
 
 @query("SELECT doc_id FROM documents WHERE lang IN ('de', 'en') AND n_chars % 5 > 0")
@@ -58,23 +61,24 @@ def played_clips(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT event, regexp_extract(clip, '^(.*)/[^/]*$', 1) AS folder FROM {_DETAIL} WHERE status <> 'missing'")
 def disk_folders(spark: SparkSession, sf: str) -> DataFrame:
-    return E.disk_folders(detail(spark))
+    return E.disk_folders(detail(spark, sf))
 
 
 SKIPPED = Cases("event string, clip string", ("a", "k6"), ("a", "k3"), ("c", "n1"))
 
 
-@query(f"""SELECT event, chapter, pos, clip, FALSE AS entered FROM {NAMED.sql} UNION ALL SELECT * FROM (VALUES ('a', 'Dock', 2, 'dock/k4', TRUE), ('a', '', 3, 'Pier/k5', TRUE), ('b', 'Yard', 2, 'yard/m2', TRUE), ('b', '', 1, 'm3', TRUE), ('c', 'Bay', 1, 'Bay/n3', TRUE), ('c', 'Inn', 1, 'Inn/n2', TRUE)) v""")
+@query(f"""WITH ch AS {CHAPTERS.sql}, n AS {NAMED.sql}, d AS {DISK.sql}, p AS (SELECT d.*, {_PLACED} FROM d WHERE (event, clip) NOT IN (SELECT event, clip FROM n) AND (event, clip) NOT IN (SELECT event, clip FROM {SKIPPED.sql}))
+SELECT event, chapter, pos, clip, FALSE AS entered FROM n UNION ALL SELECT event, chapter, {_END}, clip, TRUE FROM p""")
 def adopted_clips(spark: SparkSession, sf: str) -> DataFrame:
-    return E.adopted(CHAPTERS.df(spark), NAMED.df(spark), DISK.df(spark), SKIPPED.df(spark))
+    return E.adopted(CHAPTERS.df(spark, sf), NAMED.df(spark, sf), DISK.df(spark, sf), SKIPPED.df(spark, sf))
 
 
 TO_IGNORE = Cases("event string, clip string", ("a", "k6"), ("a", "k2"), ("a", "new"), ("a", "new"), ("z", "k2"))
 
 
-@query(f"SELECT event, clip, NULL::VARCHAR AS problem FROM {SKIPPED.sql} UNION ALL SELECT * FROM (VALUES ('a', 'k2', 'in a chapter'), ('a', 'new', NULL), ('z', 'k2', NULL)) v")
+@query(f"SELECT event, clip, NULL::VARCHAR AS problem FROM {SKIPPED.sql} UNION ALL SELECT DISTINCT event, clip, CASE WHEN (event, clip) IN (SELECT event, clip FROM {NAMED.sql}) THEN 'in a chapter' END FROM {TO_IGNORE.sql} WHERE (event, clip) NOT IN (SELECT event, clip FROM {SKIPPED.sql})")
 def newly_ignored(spark: SparkSession, sf: str) -> DataFrame:
-    return E.ignored_after(SKIPPED.df(spark), NAMED.df(spark), TO_IGNORE.df(spark))
+    return E.ignored_after(SKIPPED.df(spark, sf), NAMED.df(spark, sf), TO_IGNORE.df(spark, sf))
 
 
 @query("SELECT l_orderkey AS chapter, clip, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS pos FROM (SELECT l_orderkey, l_partkey AS clip, min(l_linenumber * 100000 + l_partkey) AS pos FROM lineitem GROUP BY 1, 2) x WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = clip AND p_size > 20)")
@@ -136,27 +140,27 @@ CARD_CUTS = Cases("event string, clip string, start long, end long", ("a", "p",
 CARDS = Cases("event string, chapter string, seconds double, background string, error string, decorators string", ("a", "x", 4.0, "video", None, "on"), ("a", "y", 5.0, "black", None, "off"), ("a", "z", 3.0, "black", None, "on"), ("a", "w", None, None, "no such font", "on"), ("a", "v", 0.0004, "black", None, "on"), ("b", "x", 1.0, "video", None, "invalid"), ("b", "u", 2.0, "white", None, "invalid"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'x', 'anchored', 2, 1000, 2000, TRUE), ('a', 'y', 'off', 3, 0, 5000, FALSE), ('a', 'z', 'no-footage', NULL, NULL, NULL, NULL), ('a', 'w', 'unresolved', NULL, NULL, NULL, NULL), ('a', 'v', 'unreadable', NULL, NULL, NULL, NULL), ('b', 'u', 'unreadable', NULL, NULL, NULL, NULL)) v(event, chapter, kind, index, \"at\", width, clamped)")
+@query(each("SELECT * FROM (VALUES ('a', 'x', 'anchored', 2, 1000, 2000, TRUE), ('a', 'y', 'off', 3, 0, 5000, FALSE), ('a', 'z', 'no-footage', NULL, NULL, NULL, NULL), ('a', 'w', 'unresolved', NULL, NULL, NULL, NULL), ('a', 'v', 'unreadable', NULL, NULL, NULL, NULL), ('b', 'u', 'unreadable', NULL, NULL, NULL, NULL)) v(event, chapter, kind, index, \"at\", width, clamped)", event="string"))
 def card_placements(spark: SparkSession, sf: str) -> DataFrame:
-    clips = CARD_CLIPS.df(spark)
-    first = clips.join(E.first_kept(CARD_CUTS.df(spark), clips, ["event", "clip"]), ["event", "clip"])
-    return E.card_placements(CARDS.df(spark), first)
+    clips = CARD_CLIPS.df(spark, sf)
+    first = clips.join(E.first_kept(CARD_CUTS.df(spark, sf), clips, ["event", "clip"]), ["event", "clip"])
+    return E.card_placements(CARDS.df(spark, sf), first)
 
 
 CARD_TEXTS = Cases("id int, name string, ct string, cs string, title string, d date, location string", (1, "", None, None, "Trip", "2024-05-01", " Oslo "), (2, "Dock", None, None, "Trip", "2024-05-01", "Oslo"), (3, "", "Own", "", "Trip", "2024-05-01", "Oslo"), (4, "", "", None, None, None, " "), (5, "Dock", "", "below", None, None, None), (6, "", None, None, "  ", None, "Oslo"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Trip', '2024-05-01' || chr(10) || 'Plats: Oslo', NULL), (2, 'Dock', '', NULL), (3, 'Own', '', NULL), (4, '', '', 'no heading'), (5, 'Dock', 'below', NULL), (6, '  ', 'Plats: Oslo', 'no heading')) v(id, heading, subtitle, problem)")
+@query(each("SELECT * FROM (VALUES (1, 'Trip', '2024-05-01' || chr(10) || 'Plats: Oslo', NULL), (2, 'Dock', '', NULL), (3, 'Own', '', NULL), (4, '', '', 'no heading'), (5, 'Dock', 'below', NULL), (6, '  ', 'Plats: Oslo', 'no heading')) v(id, heading, subtitle, problem)", id="int"))
 def card_contents(spark: SparkSession, sf: str) -> DataFrame:
-    return CARD_TEXTS.df(spark).select("id", E.card_text(*map(F.col, ("name", "ct", "cs", "title", "d", "location"))).alias("t")).select("id", "t.*")
+    return CARD_TEXTS.df(spark, sf).select("id", E.card_text(*map(F.col, ("name", "ct", "cs", "title", "d", "location"))).alias("t")).select("id", "t.*")
 
 
 LOOKS = Cases("id int, event string, project string", (1, None, None), (2, "title,logo", "none"), (3, "none", "title"), (4, None, "logo"), (5, "", "title"))
 
 
-@query("SELECT * FROM (VALUES (1, TRUE, 'default'), (2, TRUE, 'event'), (3, FALSE, 'event'), (4, FALSE, 'project'), (5, FALSE, 'event')) v(id, enabled, source)")
+@query(each("SELECT * FROM (VALUES (1, TRUE, 'default'), (2, TRUE, 'event'), (3, FALSE, 'event'), (4, FALSE, 'project'), (5, FALSE, 'event')) v(id, enabled, source)", id="int"))
 def title_card_states(spark: SparkSession, sf: str) -> DataFrame:
-    return LOOKS.df(spark).select("id", E.title_cards(F.split("event", ","), F.split("project", ",")).alias("s")).select("id", "s.*")
+    return LOOKS.df(spark, sf).select("id", E.title_cards(F.split("event", ","), F.split("project", ",")).alias("s")).select("id", "s.*")
 
 
 # ------------------------------------------------------------------ sidecars
@@ -166,17 +170,20 @@ _CHANGES: list[dict[str, object]] = [{}, {"duration": 3}, {"width": 10.0}, {"vfr
 PROXIES = Cases("id int, json string", *((i, json.dumps(_PROXY | c)) for i, c in enumerate(_CHANGES)), (20, "junk"), (21, None), (22, "[1]"), (23, json.dumps({k: v for k, v in _PROXY.items() if k != "vfr"})))
 
 
-@query(f"SELECT p.id, v.duration FROM {PROXIES.sql} p LEFT JOIN (VALUES (0, 2.5::DOUBLE), (1, 3.0), (5, 2.5), (10, 1e300)) v(id, duration) USING (id)")
+_GOOD = each("SELECT * FROM (VALUES (0, 2.5::DOUBLE), (1, 3.0), (5, 2.5), (10, 1e300)) v(id, duration)", id="int")
+
+
+@query(f"SELECT p.id, v.duration FROM {PROXIES.sql} p LEFT JOIN ({_GOOD}) v USING (id)")
 def proxy_sidecars(spark: SparkSession, sf: str) -> DataFrame:
-    return D.proxy_facts(PROXIES.df(spark), "json", 1).select("id", "facts.duration")
+    return D.proxy_facts(PROXIES.df(spark, sf), "json", 1).select("id", "facts.duration")
 
 
 RATES = Cases("id int, base string, average string, frames string, seconds string", (1, "30000/1001", "30000/1001", "5", "2.0"), (2, "50/2", "0/0", "N/A", "N/A"), (3, "0/0", "48/2", "-1", "inf"), (4, None, "x", None, None), (5, "100/1", "101/1", "1", "0"), (6, "100/1", "1011/10", " 1 ", "1e2"))
 
 
-@query("SELECT * FROM (VALUES (1, 30000, 1001, FALSE, 5, 2.0::DOUBLE, NULL), (2, 25, 1, NULL, NULL, NULL, NULL), (3, 24, 1, FALSE, NULL, NULL, NULL), (4, NULL, NULL, NULL, NULL, NULL, 'no usable rate'), (5, 100, 1, FALSE, 1, NULL, NULL), (6, 100, 1, TRUE, 1, 100.0, NULL)) v(id, fps_num, fps_den, vfr, declared_frames, video_seconds, problem)")
+@query(each("SELECT * FROM (VALUES (1, 30000, 1001, FALSE, 5, 2.0::DOUBLE, NULL), (2, 25, 1, NULL, NULL, NULL, NULL), (3, 24, 1, FALSE, NULL, NULL, NULL), (4, NULL, NULL, NULL, NULL, NULL, 'no usable rate'), (5, 100, 1, FALSE, 1, NULL, NULL), (6, 100, 1, TRUE, 1, 100.0, NULL)) v(id, fps_num, fps_den, vfr, declared_frames, video_seconds, problem)", id="int"))
 def source_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return D.source_facts(RATES.df(spark), "base", "average", "frames", "seconds").drop("base", "average", "frames", "seconds")
+    return D.source_facts(RATES.df(spark, sf), "base", "average", "frames", "seconds").drop("base", "average", "frames", "seconds")
 
 
 MARKERS = Cases(
@@ -187,19 +194,23 @@ MARKERS = Cases(
 )
 
 
-@query(f"SELECT m.id, v.cause FROM {MARKERS.sql} m LEFT JOIN (VALUES (1, 'could not read: Invalid data in ''k.mp4'''), (2, 'no space in'), (8, 'rate 0/0 of'), (9, 'probe'), (10, 'k.mp4 of k.mp4')) v(id, cause) USING (id)")
+@query(each("SELECT * FROM (VALUES (1, 'could not read: Invalid data in ''k.mp4'''), (2, 'no space in'), (3, NULL), (4, NULL), (5, NULL), (6, NULL), (7, NULL), (8, 'rate 0/0 of'), (9, 'probe'), (10, 'k.mp4 of k.mp4')) v(id, cause)", id="int"))
 def failure_causes(spark: SparkSession, sf: str) -> DataFrame:
-    return MARKERS.df(spark).select("id", D.failure_cause("json", "path").alias("cause"))
+    return MARKERS.df(spark, sf).select("id", D.failure_cause("json", "path").alias("cause"))
 
 
 HELD = Cases("event string, clip string, json string", ("a", "k", "old"), ("a", "m", "old"), ("b", "k", "old"))
 
 
-@query("""SELECT * FROM (VALUES ('a', 'k', '{"version":1,"identity":"k","signal":{"size":1,"mtime_ns":2},"segments":[{"start":0.0,"end":1.5,"kind":"black"}]}'), ('a', 'm', '{"version":1,"identity":"m","signal":{"size":3,"mtime_ns":4},"failure":"broken"}'), ('a', 'n', '{"version":1,"identity":"n","signal":{"size":5,"mtime_ns":6},"segments":[]}'), ('b', 'k', 'old')) v(event, clip, json)""")
+RESULTS = Cases("event string, clip string, size long, mtime_ns long, segments string", ("a", "k", 1, 2, '[{"start": 0, "end": 1.5, "kind": "black"}]'), ("a", "n", 5, 6, "[]"))
+FAILURES = Cases("event string, clip string, size long, mtime_ns long, reason string", ("a", "m", 3, 4, "broken"), ("a", "n", 5, 6, "late"))
+
+
+@query(each("""SELECT * FROM (VALUES ('a', 'k', '{"version":1,"identity":"k","signal":{"size":1,"mtime_ns":2},"segments":[{"start":0.0,"end":1.5,"kind":"black"}]}'), ('a', 'm', '{"version":1,"identity":"m","signal":{"size":3,"mtime_ns":4},"failure":"broken"}'), ('a', 'n', '{"version":1,"identity":"n","signal":{"size":5,"mtime_ns":6},"segments":[]}'), ('b', 'k', 'old')) v(event, clip, json)""", event="string"))
 def written_sidecars(spark: SparkSession, sf: str) -> DataFrame:
-    results = spark.createDataFrame([("a", "k", 1, 2, [(0.0, 1.5, "black")]), ("a", "n", 5, 6, [])], "event string, clip string, size long, mtime_ns long, segments array<struct<start:double,end:double,kind:string>>")
-    failures = spark.createDataFrame([("a", "m", 3, 4, "broken"), ("a", "n", 5, 6, "late")], "event string, clip string, size long, mtime_ns long, reason string")
-    return D.written_entries(HELD.df(spark), results, failures)
+    results = RESULTS.df(spark, sf).withColumn("segments", F.from_json("segments", "array<struct<start:double,end:double,kind:string>>"))
+    failures = FAILURES.df(spark, sf)
+    return D.written_entries(HELD.df(spark, sf), results, failures)
 
 
 @query("SELECT p_partkey AS key, CASE WHEN p_size % 4 = 0 THEN 'there' ELSE 'b' || n END AS json, p_size % 4 <> 0 AS generated FROM part JOIN (SELECT l_partkey, min(l_orderkey * 10 + l_linenumber) AS n FROM lineitem GROUP BY 1) ON l_partkey = p_partkey UNION ALL SELECT p_partkey, 'there', FALSE FROM part WHERE p_size % 4 = 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
@@ -212,9 +223,9 @@ def published_proxies(spark: SparkSession, sf: str) -> DataFrame:
 TREES = Cases("id int, json string", (1, '{"b": [1, 2.5, "x"], "a": {"d": null, "c": true}}'), (2, '{ "a":{"c":true,"d":null},"b":[1,2.5,"x"]}'), (3, "[]"), (4, "{"), (5, None), (6, '{"å": "é"}'))
 
 
-@query("""SELECT * FROM (VALUES (1, sha256('{"a": {"c": true, "d": null}, "b": [1, 2.5, "x"]}')), (2, sha256('{"a": {"c": true, "d": null}, "b": [1, 2.5, "x"]}')), (3, sha256('[]')), (4, NULL), (5, NULL), (6, sha256('{"\\u00e5": "\\u00e9"}'))) v(id, hash)""")
+@query(each("""SELECT * FROM (VALUES (1, sha256('{"a": {"c": true, "d": null}, "b": [1, 2.5, "x"]}')), (2, sha256('{"a": {"c": true, "d": null}, "b": [1, 2.5, "x"]}')), (3, sha256('[]')), (4, NULL), (5, NULL), (6, sha256('{"\\u00e5": "\\u00e9"}'))) v(id, hash)""", id="int"))
 def document_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    return TREES.df(spark).select("id", D.canonical_hash("json").alias("hash"))
+    return TREES.df(spark, sf).select("id", D.canonical_hash("json").alias("hash"))
 
 
 @query(f"SELECT r_regionkey, sha256('{D.PROXY_SPEC}') AS digest FROM region")
@@ -225,15 +236,21 @@ def spec_digests(spark: SparkSession, sf: str) -> DataFrame:
 STAMPS = Cases("id int, said string", (1, "2024-05-01T10:00:00Z"), (2, " 2024-05-01 10:00:00.5+02:00"), (3, "2024-05-01"), (4, "2024-02-30T10:00:00"), (5, "x"), (6, None), (7, "2024-05-01T10:00:00,25-0130"), (8, "2024-05-01T10:00"), (9, "2024-05-01Z"), (10, "2024-05-01T10:00:00+25:00"))
 
 
-@query("SELECT * FROM (VALUES (1, '2024-05-01 10:00:00', 0), (2, '2024-05-01 10:00:00.5', 7200), (3, '2024-05-01 00:00:00', NULL), (4, NULL, NULL), (5, NULL, NULL), (6, NULL, NULL), (7, '2024-05-01 10:00:00.25', -5400), (8, '2024-05-01 10:00:00', NULL), (9, NULL, NULL), (10, NULL, NULL)) v(id, local, zone)")
+@query(each("SELECT * FROM (VALUES (1, '2024-05-01 10:00:00', 0), (2, '2024-05-01 10:00:00.5', 7200), (3, '2024-05-01 00:00:00', NULL), (4, NULL, NULL), (5, NULL, NULL), (6, NULL, NULL), (7, '2024-05-01 10:00:00.25', -5400), (8, '2024-05-01 10:00:00', NULL), (9, NULL, NULL), (10, NULL, NULL)) v(id, local, zone)", id="int"))
 def recorded_times(spark: SparkSession, sf: str) -> DataFrame:
-    return STAMPS.df(spark).select("id", D.recorded_at(F.col("said")).alias("t")).select("id", F.col("t.local").cast("string").alias("local"), F.col("t.offset").alias("zone"))
+    return STAMPS.df(spark, sf).select("id", D.recorded_at(F.col("said")).alias("t")).select("id", F.col("t.local").cast("string").alias("local"), F.col("t.offset").alias("zone"))
+
+
+MANIFESTS = Cases(
+    "id int, json string",
+    (1, '{"written_at": "2024-05-01T10:00:00+02:00", "fingerprint": "0123456789abcdef", "chapters": [{"name": "x", "start_ms": 0}, {"name": "y", "start_ms": 2500}]}'), (2, '{"written_at": "2024-05-01T10:00:00", "fingerprint": "ab", "chapters": []}'),
+    (3, None), (4, '{"written_at": "2024-05-01T10:00:00Z", "fingerprint": "ab"}'),
+)
 
 
-@query("SELECT * FROM (VALUES (1, '2024-05-01 08:00:00', '0123456789ab', '0.0,2.5'), (2, NULL, NULL, NULL), (3, NULL, NULL, NULL), (4, '2024-05-01 10:00:00', 'ab', NULL)) v(id, \"at\", fingerprint, starts)")
+@query(each("SELECT * FROM (VALUES (1, '2024-05-01 08:00:00', '0123456789ab', '0.0,2.5'), (2, NULL, NULL, NULL), (3, NULL, NULL, NULL), (4, '2024-05-01 10:00:00', 'ab', NULL)) v(id, \"at\", fingerprint, starts)", id="int"))
 def movie_facts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, ("2024-05-01T10:00:00+02:00", "0123456789abcdef", [("x", 0), ("y", 2500)])), (2, ("2024-05-01T10:00:00", "ab", [])), (3, None), (4, ("2024-05-01T10:00:00Z", "ab", None))]
-    x = D.movie_facts(spark.createDataFrame(rows, "id int, manifest struct<written_at:string,fingerprint:string,chapters:array<struct<name:string,start_ms:bigint>>>"))
+    x = D.movie_facts(MANIFESTS.df(spark, sf).withColumn("manifest", F.from_json("json", "struct<written_at:string,fingerprint:string,chapters:array<struct<name:string,start_ms:bigint>>>")))
     return x.select("id", F.col("movie.recorded_at").cast("string").alias("at"), "movie.fingerprint", F.when(F.col("movie.chapters").isNotNull(), F.array_join(F.transform("movie.chapters", lambda c: c["start"].cast("string")), ",")).alias("starts"))
 
 
@@ -244,30 +261,30 @@ LEGACY = Cases(
 )
 
 
-@query("""SELECT * FROM (VALUES (1, 'Trip', '2024-05-01', 'Oslo', 'd', '{"font":"x"}', 'custom', TRUE, 'metadata.mood,unknown top-level key extra'), (2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'metadata (not a mapping),sort.method (unknown sort method),title_card (not a mapping)'),
-(3, 'T', '2024-05-02', NULL, NULL, NULL, 'datetime', NULL, 'sort.custom_order (ignored without method ''custom''),sort.reverse (not a boolean)'), (4, '2024-05-01 - Trip', '2024-05-02', NULL, NULL, NULL, NULL, NULL, 'sort (not a mapping)'), (5, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (6, NULL, NULL, NULL, NULL, NULL, 'custom', NULL, 'sort.custom_order (not a mapping of file name to integer position)')) v(id, title, date, location, description, look, method, reverse, unmapped)""")
+@query(each("""SELECT * FROM (VALUES (1, 'Trip', '2024-05-01', 'Oslo', 'd', '{"font":"x"}', 'custom', TRUE, 'extra,metadata.mood'), (2, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'metadata:type,sort.method:unknown,title_card:type'),
+(3, 'T', '2024-05-02', NULL, NULL, NULL, 'datetime', NULL, 'sort.custom_order:unused,sort.reverse:type'), (4, '2024-05-01 - Trip', '2024-05-02', NULL, NULL, NULL, NULL, NULL, 'sort:type'), (5, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (6, NULL, NULL, NULL, NULL, NULL, 'custom', NULL, 'sort.custom_order:type')) v(id, title, date, location, description, look, method, reverse, unmapped)""", id="int"))
 def legacy_documents(spark: SparkSession, sf: str) -> DataFrame:
-    x = D.legacy_documents(LEGACY.df(spark), "json")
+    x = D.legacy_documents(LEGACY.df(spark, sf), "json")
     return x.withColumns({"unmapped": F.array_join("unmapped", ","), "date": F.col("date").cast("string")}).drop("json", "custom_order")
 
 
-@query("SELECT * FROM (VALUES ('a', 'black', 0.0::DOUBLE, 3.0::DOUBLE, 0.5::DOUBLE), ('a', 'freeze', 2.0, 4.0, 0.5), ('a', 'freeze', 8.0, 10.0, 0.5)) v(id, kind, start, \"end\", confidence)")
+@query(each("SELECT * FROM (VALUES ('a', 'black', 0.0::DOUBLE, 3.0::DOUBLE, 0.5::DOUBLE), ('a', 'freeze', 2.0, 4.0, 0.5), ('a', 'freeze', 8.0, 10.0, 0.5)) v(id, kind, start, \"end\", confidence)", id="string"))
 def first_pass(spark: SparkSession, sf: str) -> DataFrame:
     from .library import LOGS
 
-    return listings.first_pass(LOGS.df(spark), "id", "log", "len", 0.5)
+    return listings.first_pass(LOGS.df(spark, sf), "id", "log", "len", 0.5)
 
 
 # ------------------------------------------------------------------ jobs
 
 PROJECTS = Cases("project string, output_dir string, readable boolean", ("/p", None, True), ("/q", "out", True), ("/r", "/abs", True), ("/s", None, False))
-WRITERS = Cases("id int, project string, event string", (1, "/p", "e"), (2, "/q", "e"), (3, "/r", "e"), (4, "/s", "e"), (5, "/p", "f"), (6, None, "e"))
+WRITERS = Cases("id int, project string, event string", (1, "/p", "e"), (2, "/q", "e"), (3, "/r", "e"), (4, "/s", "e"), (5, "/p", "f"), (6, None, "e"), keys=("id", "project"))
 CLAIMS = Cases("project string, event string, relpath string", *((p, "e", "2024/x.mp4") for p in ("/p", "/q", "/r", "/s")), ("/p", "f", None))
 
 
-@query("SELECT * FROM (VALUES (1, '/p-output/2024/x.mp4'), (2, '/q/out/2024/x.mp4'), (3, '/abs/2024/x.mp4'), (4, NULL), (5, NULL), (6, NULL)) v(id, output)")
+@query("SELECT id + 1000 * s_suppkey AS id, CASE id WHEN 1 THEN '/p~' || s_suppkey || '-output/2024/x.mp4' WHEN 2 THEN '/q~' || s_suppkey || '/out/2024/x.mp4' WHEN 3 THEN '/abs/2024/x.mp4' END AS output FROM range(1, 7) r(id), supplier")
 def job_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    return E.job_outputs(WRITERS.df(spark), PROJECTS.df(spark), CLAIMS.df(spark))
+    return E.job_outputs(WRITERS.df(spark, sf), PROJECTS.df(spark, sf), CLAIMS.df(spark, sf))
 
 
 @query("SELECT o_orderpriority AS project, count(DISTINCT CASE WHEN o_orderstatus IN ('O', 'P') AND o_orderkey % 2 = 0 THEN o_custkey END) AS events FROM orders GROUP BY 1")
@@ -277,17 +294,17 @@ def analysing_events(spark: SparkSession, sf: str) -> DataFrame:
     return E.analysing(jobs, "project")
 
 
-SWEPT = Cases("project string, event string, pending boolean, touched timestamp, newest int", *(("p", f"p/{i}", i != 2, "2024-01-01 00:00:00", i) for i in range(1, 7)), ("q", "q/1", True, "2024-01-01 00:00:00", 1), ("r", "r/1", True, "2024-01-05 00:00:00", 1), ("r", "r/2", True, "2024-01-01 00:00:00", 2), ("s", "s/1", True, "2024-01-01 00:00:00", 1))
+SWEPT = Cases("project string, event string, pending boolean, touched timestamp, newest int", *(("p", f"p/{i}", i != 2, "2024-01-01 00:00:00", i) for i in range(1, 7)), ("q", "q/1", True, "2024-01-01 00:00:00", 1), ("r", "r/1", True, "2024-01-05 00:00:00", 1), ("r", "r/2", True, "2024-01-01 00:00:00", 2), ("s", "s/1", True, "2024-01-01 00:00:00", 1), keys=("project", "event"))
 SWEEP_JOBS = Cases(
     "id int, project string, event string, kind string, status string, created_at timestamp, started_at timestamp, finished_at timestamp",
     (1, "p", "p/6", "analysis", "running", "2024-01-02 00:00:00", "2024-01-02 00:00:00", None), (2, "q", "q/9", "proxy", "running", "2024-01-02 00:00:00", None, None), (3, "r", "r/1", "analysis", "failed", "2024-01-02 00:00:00", "2024-01-02 00:00:00", None),
-    (4, "r", "r/2", "analysis", "cancelled", "2024-01-02 00:00:00", None, None), (5, "s", "s/7", "render", "queued", "2024-01-02 00:00:00", None, None), (6, "p", "p/3", "analysis", "done", "2024-01-02 00:00:00", None, None),
+    (4, "r", "r/2", "analysis", "cancelled", "2024-01-02 00:00:00", None, None), (5, "s", "s/7", "render", "queued", "2024-01-02 00:00:00", None, None), (6, "p", "p/3", "analysis", "done", "2024-01-02 00:00:00", None, None), keys=("id", "project", "event"),
 )
 
 
-@query("SELECT * FROM (VALUES ('p', 'p/5'), ('p', 'p/4'), ('p', 'p/3'), ('r', 'r/1')) v(project, event)")
+@query(each("SELECT * FROM (VALUES ('p', 'p/5'), ('p', 'p/4'), ('p', 'p/3'), ('r', 'r/1')) v(project, event)", project="string", event="string"))
 def swept_events(spark: SparkSession, sf: str) -> DataFrame:
-    return E.sweep_step(SWEEP_JOBS.df(spark), SWEPT.df(spark), 3)
+    return E.sweep_step(SWEEP_JOBS.df(spark, sf), SWEPT.df(spark, sf), 3)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")

@@ -1,4 +1,4 @@
-"""Registered queries of the library, movie and key operators: small tables that hold their ties, nulls and refusals, and given tables for size. Each stands beside its DuckDB SQL."""
+"""Registered queries of the library, movie and key operators: rows that hold their ties, nulls and refusals for each of the given suppliers, and given tables as they are. Each stands beside its DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -16,17 +16,25 @@ from .queries import query
 
 
 class Cases:
-    """A small table, for Spark and as SQL."""
+    """Rows of odd cases for each of the given suppliers, whose number is a part of the keys: for Spark and as SQL. With keys=() the rows stand alone, as a small dimension."""
 
-    def __init__(self, schema: str, *rows: tuple) -> None:
+    def __init__(self, schema: str, *rows: tuple, keys: tuple[str, ...] | None = None) -> None:
         self.schema, self.rows = schema, rows
         self.columns = [c.strip().split(" ", 1) for c in schema.split(",")]
+        self.keys = (self.columns[0][0],) if keys is None else keys
 
-    def df(self, spark: SparkSession) -> DataFrame:
+    def df(self, spark: SparkSession, sf: str) -> DataFrame:
         times = [c for c, t in self.columns if t in ("timestamp", "date")]
-        plain = ", ".join(f"{c} {'string' if c in times else t}" for c, t in self.columns)
-        x = spark.createDataFrame(list(self.rows), plain)
-        return x.select(*(F.col(c).cast(t).alias(c) for c, t in self.columns))
+        plain = [(c, "string" if c in times else t) for c, t in self.columns]
+        if not self.keys:
+            x = spark.createDataFrame(list(self.rows), ", ".join(f"{c} {t}" for c, t in plain))
+        else:
+            case = F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for v, (c, t) in zip(r, plain, strict=True))) for r in self.rows))
+            x = table(spark, sf, "supplier").select("s_suppkey", F.explode(case).alias("c")).select("s_suppkey", "c.*")
+            for c, t in plain:
+                if c in self.keys:
+                    x = x.withColumn(c, F.concat(c, F.lit("~"), "s_suppkey") if t == "string" else F.col(c) + 1000 * F.col("s_suppkey"))
+        return x.select(*(F.col(c) if c in self.keys else F.col(c).cast(t).alias(c) for c, t in self.columns))
 
     @property
     def sql(self) -> str:
@@ -42,7 +50,14 @@ class Cases:
         values = ", ".join("(" + ", ".join(text(v) for v in r) + ")" for r in self.rows)
         names = ", ".join(f'"{c}"' for c, _ in self.columns)
         casts = ", ".join(f'CAST("{c}" AS {kinds[t]}) AS "{c}"' for c, t in self.columns)
-        return f"(SELECT {casts} FROM (VALUES {values}) v({names}))"
+        alone = f"SELECT {casts} FROM (VALUES {values}) v({names})"
+        return f"({each(alone, **{c: t for c, t in self.columns if c in self.keys})})" if self.keys else f"({alone})"
+
+
+def each(sql: str, **keys: str) -> str:
+    """The rows that a query gives, for each supplier: keys are its key columns and their types."""
+    new = ", ".join(f"{c} || '~' || s_suppkey AS {c}" if t == "string" else f"{c} + 1000 * s_suppkey AS {c}" for c, t in keys.items())
+    return f"SELECT q.* REPLACE ({new}) FROM ({sql}) q, supplier"
 
 
 # ------------------------------------------------------------------ folders and clips
@@ -57,7 +72,7 @@ FOLDERS = Cases(
 
 @query(f"SELECT root, path FROM (SELECT *, row_number() OVER (PARTITION BY root, real ORDER BY CASE WHEN linked THEN 1 ELSE 0 END, pos) AS n FROM {FOLDERS.sql} f WHERE marked IS NOT TRUE) WHERE n = 1 AND year IN ('2020', '2021')")
 def listed_events(spark: SparkSession, sf: str) -> DataFrame:
-    return L.list_events(FOLDERS.df(spark), ["2020", "2021"]).select("root", "path")
+    return L.list_events(FOLDERS.df(spark, sf), ["2020", "2021"]).select("root", "path")
 
 
 FILES = Cases(
@@ -70,7 +85,7 @@ MARKED = Cases("event string, chapter string", ("a", "skip"), ("c", "x"))
 @query(f"""WITH f AS (SELECT event, path, string_split(path, '/') AS p FROM {FILES.sql}) SELECT event, CASE WHEN len(p) = 2 THEN p[1] ELSE '' END AS chapter, path AS clip FROM f
 WHERE len(p) <= 2 AND regexp_matches(path, '[^/]\\.(mp4|mov|m4v|avi|mkv|mts|m2ts|mpg|mpeg|wmv|3gp|flv|webm)$', 'i') AND NOT (len(p) = 2 AND (lower(p[1]) = 'original' OR EXISTS (SELECT 1 FROM {MARKED.sql} m WHERE m.event = f.event AND m.chapter = p[1])))""")
 def listed_videos(spark: SparkSession, sf: str) -> DataFrame:
-    return L.list_videos(FILES.df(spark), MARKED.df(spark))
+    return L.list_videos(FILES.df(spark, sf), MARKED.df(spark, sf))
 
 
 CLIPS = Cases(
@@ -86,7 +101,7 @@ FROM {CLIPS.sql} c LEFT JOIN {ORDERS.sql} o USING (event) LEFT JOIN {CUSTOM.sql}
 n AS (SELECT *, row_number() OVER (PARTITION BY event, chapter ORDER BY t, place IS NULL, place, regexp_matches(name, '^[a-z]'), regexp_extract(name, '^[a-z]*'), coalesce(TRY_CAST(regexp_extract(name, '[0-9]+') AS BIGINT), 1000), clip) AS n, count(*) OVER (PARTITION BY event, chapter) AS k FROM x)
 SELECT event, chapter, clip, CASE WHEN rev THEN k + 1 - n ELSE n END AS pos FROM n""")
 def ordered_clips(spark: SparkSession, sf: str) -> DataFrame:
-    return L.order_clips(CLIPS.df(spark), ORDERS.df(spark), CUSTOM.df(spark)).drop("mtime")
+    return L.order_clips(CLIPS.df(spark, sf), ORDERS.df(spark, sf), CUSTOM.df(spark, sf)).drop("mtime")
 
 
 @query("SELECT source AS event, lang AS chapter, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS clips FROM documents GROUP BY 1, 2")
@@ -116,13 +131,13 @@ k AS (SELECT event, clip, CASE WHEN json IS NULL THEN 'absent' WHEN NOT mine THE
 
 @query(f"WITH {_KINDS} SELECT event, clip, kind, CASE WHEN kind = 'result' THEN CAST(n AS BIGINT) END AS n, CASE WHEN kind = 'failure' THEN cause END AS failure FROM k")
 def sidecar_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    x = L.sidecar_kinds(LISTING.df(spark), SIDECARS.df(spark))
+    x = L.sidecar_kinds(LISTING.df(spark, sf), SIDECARS.df(spark, sf))
     return x.select("event", "clip", "kind", F.when(F.col("segments").isNotNull(), F.size("segments").cast("long")).alias("n"), "failure")
 
 
 @query(f"WITH {_KINDS} SELECT event, clip FROM k WHERE kind IN ('absent', 'other')")
 def pending_clips(spark: SparkSession, sf: str) -> DataFrame:
-    return L.pending_clips(L.sidecar_kinds(LISTING.df(spark), SIDECARS.df(spark))).select("event", "clip")
+    return L.pending_clips(L.sidecar_kinds(LISTING.df(spark, sf), SIDECARS.df(spark, sf))).select("event", "clip")
 
 
 # ------------------------------------------------------------------ documents
@@ -143,7 +158,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY event, chapter ORDER BY CASE WHE
 
 @query(f"WITH {_PLAYED} SELECT event, chapter, pos, clip, rotate, n = 1 AND title IS DISTINCT FROM FALSE AS is_title, CASE WHEN f.duration IS NULL THEN 'no facts' END AS problem FROM g LEFT JOIN {FACTS.sql} f USING (event, clip)")
 def resolved_clips(spark: SparkSession, sf: str) -> DataFrame:
-    return L.resolve_clips(REFS.df(spark), PROPS.df(spark), FACTS.df(spark))
+    return L.resolve_clips(REFS.df(spark, sf), PROPS.df(spark, sf), FACTS.df(spark, sf))
 
 
 @query("""WITH c AS (SELECT l_suppkey AS event, l_returnflag AS chapter, l_orderkey AS pos, l_linenumber AS clip FROM lineitem WHERE l_suppkey % 5 = 0 GROUP BY ALL),
@@ -161,14 +176,14 @@ POSTERS = Cases("event string, clip string", ("a", "p"), ("a", "q"), ("b", "zz")
 @query(f"""WITH {_PLAYED} SELECT event, clip, CASE WHEN (event, clip) IN (SELECT event, clip FROM {IGNORED.sql}) THEN 'ignored' WHEN (event, clip) IN (SELECT event, clip FROM {PROPS.sql} WHERE exclude) THEN 'excluded' ELSE 'missing' END AS reason
 FROM {POSTERS.sql} WHERE (event, clip) NOT IN (SELECT event, clip FROM g)""")
 def unplayed_posters(spark: SparkSession, sf: str) -> DataFrame:
-    played = L.resolve_clips(REFS.df(spark), PROPS.df(spark), FACTS.df(spark))
-    return L.unplayed_posters(POSTERS.df(spark), played, IGNORED.df(spark), PROPS.df(spark))
+    played = L.resolve_clips(REFS.df(spark, sf), PROPS.df(spark, sf), FACTS.df(spark, sf))
+    return L.unplayed_posters(POSTERS.df(spark, sf), played, IGNORED.df(spark, sf), PROPS.df(spark, sf))
 
 
 @query(f"""SELECT event, clip, 'duplicate' AS problem FROM {REFS.sql} GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT event, clip, 'dangling' FROM {PROPS.sql} WHERE (event, clip) NOT IN (SELECT event, clip FROM {REFS.sql})
 UNION ALL SELECT event, clip, 'ignored and used' FROM {IGNORED.sql} WHERE (event, clip) IN (SELECT event, clip FROM {REFS.sql})""")
 def document_problems(spark: SparkSession, sf: str) -> DataFrame:
-    return L.document_problems(REFS.df(spark), PROPS.df(spark), IGNORED.df(spark))
+    return L.document_problems(REFS.df(spark, sf), PROPS.df(spark, sf), IGNORED.df(spark, sf))
 
 
 @query("SELECT c_nationkey, lower(c_mktsegment) AS folded, string_agg(n, ',' ORDER BY n) AS names FROM (SELECT c_nationkey, c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE lower(c_mktsegment) END AS n FROM customer WHERE c_custkey % 40 = 1 OR c_custkey % 40 = 8) GROUP BY 1, 2 HAVING count(*) > 1")
@@ -191,7 +206,7 @@ CHAPTERS = Cases("event string, chapter string, pos int", ("a", "", 1), ("a", "D
 
 @query(f"""SELECT n.*, coalesce((SELECT max(chapter) FROM {CHAPTERS.sql} c WHERE c.event = n.event AND c.chapter = n.folder), (SELECT arg_min(chapter, pos) FROM {CHAPTERS.sql} c WHERE c.event = n.event AND lower(c.chapter) = lower(n.folder)), '') AS chapter FROM {NEW.sql} n""")
 def placed_clips(spark: SparkSession, sf: str) -> DataFrame:
-    return L.place_clips(NEW.df(spark), CHAPTERS.df(spark))
+    return L.place_clips(NEW.df(spark, sf), CHAPTERS.df(spark, sf))
 
 
 META = Cases("id int, date date, title string", (1, "2024-05-01", "Lake"), (2, None, "Lake"), (3, "2024-05-01", "  "), (4, "2024-05-02", None), (5, "2024-06-02", "Lake"), (6, None, None))
@@ -199,7 +214,7 @@ META = Cases("id int, date date, title string", (1, "2024-05-01", "Lake"), (2, N
 
 @query(f"SELECT id, CASE WHEN date IS NULL THEN 'no date' WHEN coalesce(trim(title), '') = '' THEN 'no title' WHEN date > DATE '2024-06-01' THEN 'in the future' END AS reason FROM {META.sql}")
 def processable_events(spark: SparkSession, sf: str) -> DataFrame:
-    return L.processable(META.df(spark), F.lit("2024-06-01").cast("date")).select("id", "reason")
+    return L.processable(META.df(spark, sf), F.lit("2024-06-01").cast("date")).select("id", "reason")
 
 
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS n_click, count(*) FILTER (WHERE event_type = 'view') AS n_view FROM events GROUP BY 1")
@@ -215,7 +230,7 @@ EVENTS = Cases("event string", ("a",), ("b",), ("c",), ("d",), ("e",), ("empty",
 
 @query(f"""SELECT event, CASE WHEN count(state) = 0 OR bool_and(state = 'current') THEN 'current' WHEN bool_and(state = 'never') THEN 'never' WHEN bool_or(state IN ('never', 'stale')) THEN 'stale' ELSE 'failed' END AS state FROM {EVENTS.sql} e LEFT JOIN {STATES.sql} s USING (event) GROUP BY event""")
 def states_of_all_events(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.state_rollup(STATES.df(spark), "event", "state", EVENTS.df(spark))
+    return catalog.state_rollup(STATES.df(spark, sf), "event", "state", EVENTS.df(spark, sf))
 
 
 JOBS = Cases(
@@ -233,13 +248,7 @@ d AS (SELECT t.event, t.touched FROM t LEFT JOIN j USING (event) WHERE j.id IS N
 
 @query(f"WITH {_DUE} SELECT event FROM d")
 def due_events(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.due(TOUCHED.df(spark), JOBS.df(spark))
-
-
-@query(f"WITH {_DUE} SELECT event FROM d WHERE event NOT IN (SELECT event FROM {JOBS.sql} WHERE status IN ('queued', 'running')) ORDER BY touched DESC, event LIMIT 3")
-def swept_events(spark: SparkSession, sf: str) -> DataFrame:
-    newest = TOUCHED.df(spark).groupBy("event").agg(F.max("touched").alias("touched"))
-    return catalog.sweep(catalog.due(TOUCHED.df(spark), JOBS.df(spark)).join(newest, "event"), JOBS.df(spark).filter("status in ('queued', 'running')"), "event", "touched", 3).select("event")
+    return catalog.due(TOUCHED.df(spark, sf), JOBS.df(spark, sf))
 
 
 SAMPLES = Cases("job string, t double, p double", ("a", 0.0, 0.0), ("a", 10.0, 0.1), ("a", 20.0, 0.1), ("a", 30.0, 0.4), ("a", 30.0, 0.5), ("a", 40.0, 0.45), ("b", 0.0, 0.5), ("b", 5.0, 0.2), ("b", 6.0, 0.25), ("b", 9.0, 0.26), ("b", 10.0, 0.5), ("c", 1.0, 0.9), ("d", 0.0, 0.0), ("d", 1.0, 0.01), ("d", 2.0, 0.02))
@@ -253,7 +262,7 @@ UNION ALL SELECT job, i, CASE WHEN same THEN t0 ELSE t END, CASE WHEN same THEN
     CASE WHEN f.rate IS NULL THEN (s.p - f.p) / nullif(s.t - f.t, 0) ELSE 0.3 * ((s.p - f.p) / nullif(s.t - f.t, 0)) + 0.7 * f.rate END AS r FROM f JOIN s ON s.job = f.job AND s.i = f.i + 1))
 SELECT job, round(rate, 9) AS rate, CAST(n AS INTEGER) AS observations, round(shown, 9) AS shown FROM f QUALIFY row_number() OVER (PARTITION BY job ORDER BY i DESC) = 1""")
 def shown_times(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.eta(SAMPLES.df(spark), "job", "t", "p").select("job", F.round("rate", 9).alias("rate"), "observations", F.round("shown", 9).alias("shown"))
+    return sequences.eta(SAMPLES.df(spark, sf), "job", "t", "p").select("job", F.round("rate", 9).alias("rate"), "observations", F.round("shown", 9).alias("shown"))
 
 
 # ------------------------------------------------------------------ movies
@@ -264,8 +273,8 @@ RATES = Cases("event string, fps double", ("a", 25.0), ("a", 50.0), ("b", 30.0),
 
 @query(f"SELECT event, CASE WHEN w > 0 AND h > 0 THEN w ELSE 1920 END::BIGINT AS width, CASE WHEN w > 0 AND h > 0 THEN h ELSE 1080 END::BIGINT AS height, coalesce(max(l.fps), max(r.fps)) AS fps FROM {RATES.sql} r LEFT JOIN {LOOKS.sql} l USING (event) GROUP BY event, w, h")
 def movie_targets(spark: SparkSession, sf: str) -> DataFrame:
-    looks = LOOKS.df(spark).select("event", F.when(F.col("w").isNotNull(), F.array("w", "h")).alias("size"), "fps")
-    return M.targets(RATES.df(spark), looks)
+    looks = LOOKS.df(spark, sf).select("event", F.when(F.col("w").isNotNull(), F.array("w", "h")).alias("size"), "fps")
+    return M.targets(RATES.df(spark, sf), looks)
 
 
 TARGET = {"width": 1920, "height": 1080, "sar": "1:1", "pix_fmt": "yuv420p", "video_codec": "h264", "fps": 50.0, "audio_codec": "aac", "sample_rate": 48000, "channels": 2}
@@ -274,12 +283,13 @@ PROBED = Cases(
     "clip string, width int, height int, sar string, pix_fmt string, video_codec string, fps double, audio_codec string, sample_rate int, channels int, rotation int, hdr boolean",
     ("ok", 1920, 1080, "0:1", "yuv420p", "h264", 50.0005, "aac", 48000, 2, 0, False), ("sar", 1920, 1080, "4:3", "yuv420p", "h264", 50.0, "aac", 48000, 2, None, None), ("slow", 1920, 1080, "1:1", "yuv420p", "h264", 25.0, "aac", 48000, 2, None, False),
     ("tall", 1920, 1080, None, "yuv420p", "h264", 50.0, "aac", 48000, 2, 90, False), ("hdr", 1920, 1080, "", "yuv420p", "h264", 50.0, "aac", 48000, 2, 0, True), ("mute", 1920, 1080, "1:1", "yuv420p", "h264", 50.0, None, None, None, 0, False),
+    keys=(),
 )
 
 
 @query(f"SELECT id, coalesce(whole AND overlays = 0 AND coalesce(s.rotate, 0) % 360 = 0 AND clip = 'ok', FALSE) AS copy FROM {SEGMENTS.sql} s")
 def copied_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return M.copy_eligible(SEGMENTS.df(spark), PROBED.df(spark), TARGET).select("id", "copy")
+    return M.copy_eligible(SEGMENTS.df(spark, sf), PROBED.df(spark, sf), TARGET).select("id", "copy")
 
 
 @query("SELECT s_nationkey, count(DISTINCT CAST(s_suppkey % 3 AS VARCHAR)) <= 1 AS uniform FROM supplier GROUP BY 1")
@@ -299,7 +309,7 @@ t AS (SELECT id, d, CASE WHEN abs(coalesce(rotation, 0)) % 180 = 90 THEN h * d E
 q AS (SELECT id, CASE WHEN least(a, b) > 540 * d THEN a * 540 ELSE a END AS ta, CASE WHEN least(a, b) > 540 * d THEN b * 540 ELSE b END AS tb, CASE WHEN least(a, b) > 540 * d THEN least(a, b) ELSE d END AS u FROM t)
 SELECT s.id, CASE WHEN u IS NOT NULL THEN CAST(greatest(2, 2 * ((ta + u) // (2 * u))) AS BIGINT) END AS width, CASE WHEN u IS NOT NULL THEN CAST(greatest(2, 2 * ((tb + u) // (2 * u))) AS BIGINT) END AS height FROM {SIZES.sql} s LEFT JOIN q USING (id)""")
 def proxy_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    x = SIZES.df(spark).withColumn("p", M.proxy_size(F.col("w"), F.col("h"), F.col("ratio"), F.col("rotation")))
+    x = SIZES.df(spark, sf).withColumn("p", M.proxy_size(F.col("w"), F.col("h"), F.col("ratio"), F.col("rotation")))
     return x.select("id", F.when(F.col("p").isNotNull(), F.col("p.width")).alias("width"), F.when(F.col("p").isNotNull(), F.col("p.height")).alias("height"))
 
 
@@ -327,7 +337,7 @@ g AS (SELECT event, chapter, min(pos) AS pos, CAST(round_even(sum(d) * 1000, 0)
 e AS (SELECT *, CAST(sum(ms) OVER (PARTITION BY event ORDER BY pos) AS BIGINT) AS end_ms FROM g)
 SELECT event, chapter, end_ms - ms AS start_ms, end_ms, CASE WHEN k = 1 THEN end_ms - ms + a END AS card_start_ms, CASE WHEN k = 1 THEN end_ms - ms + b END AS card_end_ms, CASE WHEN k > 1 THEN 'two cards' END AS problem FROM e""")
 def chapter_times(spark: SparkSession, sf: str) -> DataFrame:
-    return M.chapter_times(PARTS.df(spark))
+    return M.chapter_times(PARTS.df(spark, sf))
 
 
 MARKS = Cases("event string, pos int, name string, start double", ("a", 1, "x", 0.0), ("a", 2, "y", 1.5), ("b", 1, "x", 0.0), ("b", 2, "y", 0.0), ("c", 1, None, 0.0), ("d", 1, "x", -1.0), ("e", 1, "x", 3.0), ("f", 1, "x", None), ("f", 2, "y", 2.0))
@@ -335,7 +345,7 @@ MARKS = Cases("event string, pos int, name string, start double", ("a", 1, "x",
 
 @query(f"SELECT event, bool_and(coalesce(start >= 0 AND name IS NOT NULL AND (pos = 1 OR start > before), FALSE)) AS usable FROM (SELECT *, lag(start) OVER (PARTITION BY event ORDER BY pos) AS before FROM {MARKS.sql}) GROUP BY 1")
 def usable_chapters(spark: SparkSession, sf: str) -> DataFrame:
-    return M.usable_chapters(MARKS.df(spark))
+    return M.usable_chapters(MARKS.df(spark, sf))
 
 
 @query("""WITH b AS (SELECT l_partkey AS clip, l_orderkey * 10 + l_linenumber AS key, min(l_suppkey) AS s FROM lineitem WHERE l_quantity > 10 GROUP BY 1, 2), a AS (SELECT l_partkey AS clip, l_orderkey * 10 + l_linenumber AS key, min(l_suppkey + CASE WHEN l_tax > 0.06 THEN 1 ELSE 0 END) AS s FROM lineitem WHERE l_quantity < 45 GROUP BY 1, 2)
@@ -354,7 +364,7 @@ NOW = Cases("event string, key int, pos int, name string", ("a", 2, 1, "y"), ("a
 k AS (SELECT *, bp IS NOT NULL AND ap IS NOT NULL AS kept FROM x), r AS (SELECT *, kept AND row_number() OVER (PARTITION BY event, kept ORDER BY bp) <> row_number() OVER (PARTITION BY event, kept ORDER BY ap) AS moved FROM k)
 SELECT event, count(*) FILTER (WHERE bp IS NULL) AS added, count(*) FILTER (WHERE kept AND an IS DISTINCT FROM bn) AS renamed, count(*) FILTER (WHERE ap IS NULL) AS deleted, bool_or(moved) AS reordered FROM r GROUP BY 1""")
 def chapter_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return M.chapter_changes(WAS.df(spark), NOW.df(spark))
+    return M.chapter_changes(WAS.df(spark, sf), NOW.df(spark, sf))
 
 
 @query("SELECT o_custkey AS event, o_orderkey AS clip FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 <> 0 UNION SELECT o_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 = 1 AND o_orderstatus <> 'P'")
@@ -402,7 +412,7 @@ NAMES = Cases("id int, name string", (1, "2024-05-01 - Lake.mp4"), (2, "Lake.mp4
 
 @query(f"SELECT id, CASE WHEN name IN ('', '.', '..') OR contains(name, '/') THEN NULL WHEN regexp_matches(name, '^\\d{{4}}-\\d\\d-\\d\\d - ') THEN left(name, 4) || '/' || name ELSE name END AS path FROM {NAMES.sql}")
 def recorded_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    return NAMES.df(spark).select("id", K.recorded_output(F.col("name")).alias("path"))
+    return NAMES.df(spark, sf).select("id", K.recorded_output(F.col("name")).alias("path"))
 
 
 DATED = Cases("id int, title string, date date", (1, "2024-05-01 - Lake", None), (2, "2024-05-01 - Lake", "2024-05-01"), (3, "2024-05-01 - Lake", "2024-05-02"), (4, "2024-02-30 - Lake", None), (5, "Lake", None), (6, None, "2024-05-01"), (7, "2024-05-01 - ", None))
@@ -412,7 +422,7 @@ DATED = Cases("id int, title string, date date", (1, "2024-05-01 - Lake", None),
 SELECT id, CASE WHEN p IS NOT NULL AND (date IS NULL OR date = p) THEN rest ELSE title END AS title, CAST(CASE WHEN p IS NOT NULL AND date IS NULL THEN p ELSE date END AS VARCHAR) AS date FROM d""")
 def dated_titles(spark: SparkSession, sf: str) -> DataFrame:
     t = K.dated_title(F.col("title"), F.col("date"))
-    return DATED.df(spark).select("id", t["title"].alias("title"), t["date"].cast("string").alias("date"))
+    return DATED.df(spark, sf).select("id", t["title"].alias("title"), t["date"].cast("string").alias("date"))
 
 
 LINES = Cases("id int, line string", (1, "out_time_us=1500000"), (2, "out_time_ms=7"), (3, "out_time=00:01"), (4, "ffmpeg version n7.1.3 built"), (5, "ffmpeg version 6.0-static"), (6, "version x"), (7, None), (8, "out_time_us=N/A"))
@@ -421,7 +431,7 @@ LINES = Cases("id int, line string", (1, "out_time_us=1500000"), (2, "out_time_m
 @query(f"""SELECT id, TRY_CAST(nullif(regexp_extract(line, '^out_time_(us|ms)=(-?\\d+)\\s*$', 2), '') AS BIGINT) AS micros, CASE WHEN regexp_matches(line, 'version n?\\d+\\.\\d+') THEN regexp_extract(line, 'version n?(\\d+\\.\\d+)', 1) END AS version FROM {LINES.sql}""")
 def tool_lines(spark: SparkSession, sf: str) -> DataFrame:
     v = K.tool_version(F.col("line"))
-    return LINES.df(spark).select("id", K.out_time(F.col("line")).alias("micros"), F.when(v.isNotNull(), F.concat_ws(".", v["major"], v["minor"])).alias("version"))
+    return LINES.df(spark, sf).select("id", K.out_time(F.col("line")).alias("micros"), F.when(v.isNotNull(), F.concat_ws(".", v["major"], v["minor"])).alias("version"))
 
 
 TURNS = Cases("id int, tag string, matrix string, r int, t double", (1, "90", None, 90, 1.5), (2, None, "-90.0", 45, -1.0), (3, "x", "450", 0, 0.0), (4, None, None, None, None), (5, "-0.6", "10", -180, 1e300), (6, "270", "270", 360, 2.0))
@@ -429,7 +439,7 @@ TURNS = Cases("id int, tag string, matrix string, r int, t double", (1, "90", No
 
 @query(f"""SELECT id, coalesce(((-CAST(round_even(TRY_CAST(tag AS DOUBLE), 0) AS BIGINT)) % 360 + 360) % 360, (CAST(round_even(TRY_CAST(matrix AS DOUBLE), 0) AS BIGINT) % 360 + 360) % 360) AS rotation, CASE WHEN r % 90 = 0 THEN r END AS rotate, CASE WHEN t >= 0 THEN t END AS seconds FROM {TURNS.sql}""")
 def coerced_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return TURNS.df(spark).select("id", K.rotation(F.col("tag"), F.col("matrix")).alias("rotation"), K.quarter_turns(F.col("r")).alias("rotate"), K.seconds(F.col("t")).alias("seconds"))
+    return TURNS.df(spark, sf).select("id", K.rotation(F.col("tag"), F.col("matrix")).alias("rotation"), K.quarter_turns(F.col("r")).alias("rotate"), K.seconds(F.col("t")).alias("seconds"))
 
 
 TYPED = Cases("id int, typed string", (1, "58.1"), (2, "0:58,125"), (3, "1:02:03.5"), (4, "0:99"), (5, "1.2345"), (6, " "), (7, "abc"), (8, None), (9, "61:00"), (10, "7"), (11, "0:99:99.12345"))
@@ -439,7 +449,7 @@ TYPED = Cases("id int, typed string", (1, "58.1"), (2, "0:58,125"), (3, "1:02:03
 SELECT id, CASE WHEN ok AND length(f) <= 3 THEN list_reduce(list_transform(list_filter(p, lambda v: v <> ''), lambda v: CAST(v AS BIGINT)), lambda a, v: a * 60 + v) * 1000 + CAST(rpad(f, 3, '0') AS BIGINT) END AS ms,
 CASE WHEN t = '' THEN 'empty' WHEN NOT ok THEN 'unreadable' WHEN length(f) > 3 THEN 'too-precise' END AS refusal FROM m""")
 def typed_times(spark: SparkSession, sf: str) -> DataFrame:
-    return TYPED.df(spark).select("id", S.parse_time(F.col("typed")).alias("ms"), S.time_refusal(F.col("typed")).alias("refusal"))
+    return TYPED.df(spark, sf).select("id", S.parse_time(F.col("typed")).alias("ms"), S.time_refusal(F.col("typed")).alias("refusal"))
 
 
 @query("""SELECT doc_id, CASE WHEN n_chars >= 3600000 THEN (n_chars // 3600000) || ':' || lpad(CAST(n_chars // 60000 % 60 AS VARCHAR), 2, '0') || ':' ELSE (n_chars // 60000) || ':' END || lpad(CAST(n_chars // 1000 % 60 AS VARCHAR), 2, '0') || CASE WHEN n_chars % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(n_chars % 1000 AS VARCHAR), 3, '0'), '0') END AS clock FROM documents""")
@@ -454,7 +464,7 @@ _EXPECTED = Cases("id int, date string, title string, location string, problems
 @query(f"SELECT id, date, title, location, problems, output FROM {_EXPECTED.sql}")
 def folder_names(spark: SparkSession, sf: str) -> DataFrame:
     p = S.name_parts(F.col("folder"))
-    x = FOLDER_NAMES.df(spark).select("id", p["event_date"].alias("d"), p["title"].alias("title"), p["location"].alias("location"), F.array_join(p["problems"], ",").alias("problems"))
+    x = FOLDER_NAMES.df(spark, sf).select("id", p["event_date"].alias("d"), p["title"].alias("title"), p["location"].alias("location"), F.array_join(p["problems"], ",").alias("problems"))
     return x.select("id", F.col("d").cast("string").alias("date"), "title", "location", "problems", S.output_path(F.col("d"), F.col("title"), F.col("location")).alias("output"))
 
 
@@ -463,15 +473,15 @@ RATIONALS = Cases("id int, r string", (1, "30000/1001"), (2, "25"), (3, "1e3/10"
 
 @query(f"SELECT id, CASE WHEN contains(r, '/') THEN TRY_CAST(trim(split_part(r, '/', 1)) AS DOUBLE) / nullif(TRY_CAST(trim(substr(r, instr(r, '/') + 1)) AS DOUBLE), 0) END AS rate FROM {RATIONALS.sql}")
 def rational_cases(spark: SparkSession, sf: str) -> DataFrame:
-    return RATIONALS.df(spark).select("id", S.rational(F.col("r")).alias("rate"))
+    return RATIONALS.df(spark, sf).select("id", S.rational(F.col("r")).alias("rate"))
 
 
 LOGS = Cases("id string, log string, len double", ("a", "x black_start:0 black_end:3 y\nblack_start : 5.5  black_end : 5.75\nfreezedetect.freeze_start: 1\nfreezedetect.freeze_start: 2\nfreezedetect.freeze_end: 4\nfreezedetect.freeze_start: 8", 10.0), ("b", "freezedetect.freeze_end: 4\nfreezedetect.freeze_start: 8", None), ("c", "", 1.0))
 
 
-@query("SELECT * FROM (VALUES ('a', 'black', 0.0::DOUBLE, 3.0::DOUBLE), ('a', 'freeze', 2.0, 4.0), ('a', 'freeze', 8.0, 10.0)) v(id, kind, start, \"end\")")
+@query(each("SELECT * FROM (VALUES ('a', 'black', 0.0::DOUBLE, 3.0::DOUBLE), ('a', 'freeze', 2.0, 4.0), ('a', 'freeze', 8.0, 10.0)) v(id, kind, start, \"end\")", id="string"))
 def detected_spans(spark: SparkSession, sf: str) -> DataFrame:
-    x = LOGS.df(spark)
+    x = LOGS.df(spark, sf)
     both = listings.black_spans(x, "id", "log").withColumn("kind", F.lit("black")).unionByName(listings.freeze_spans(x, "id", "log", "len").withColumn("kind", F.lit("freeze")))
     return M.long_enough(both, 0.5).select("id", "kind", "start", "end")
 
@@ -481,7 +491,7 @@ TOOLS = Cases("id int, text string", (1, " V..... h264_x            encoder one\
 
 @query("SELECT * FROM (VALUES ('codec', 'h264_x'), ('codec', 'libx264-rgb'), ('codec', 'aac'), ('filter', 'scale'), ('filter', 'acopy'), ('filter', 'low'), ('acceleration', 'vdpau'), ('acceleration', 'cuda')) v(what, name)")
 def tool_listings(spark: SparkSession, sf: str) -> DataFrame:
-    x = TOOLS.df(spark)
+    x = TOOLS.df(spark, sf)
     parts = [(listings.codecs(x.filter("id = 1"), "text"), "codec"), (listings.filters(x.filter("id = 2"), "text"), "filter"), (listings.accelerations(x.filter("id = 3"), "text"), "acceleration")]
     a, b, c = (df.select(F.lit(what).alias("what"), "name") for df, what in parts)
     return a.unionByName(b).unionByName(c)
@@ -493,7 +503,7 @@ HEADERS = Cases("id int, modified timestamp, header string, typed string, encode
 @query(f"SELECT id, coalesce(date_trunc('second', modified) > try_strptime(header, '%a, %d %b %Y %H:%M:%S GMT'), TRUE) AS changed, CASE WHEN trim(typed) = '' THEN 'empty' WHEN lower(trim(typed)) IN ('dock', 'pier') THEN 'taken' WHEN lower(trim(typed)) = 'original' THEN 'reserved' END AS refusal, CASE WHEN encoder IN ('libx264', 'libx265') THEN 'cpu' ELSE 'gpu' END AS class FROM {HEADERS.sql}")
 def refusals(spark: SparkSession, sf: str) -> DataFrame:
     others = F.array(F.lit("DOCK"), F.lit("Pier"))
-    return HEADERS.df(spark).select("id", K.changed_since(F.col("modified"), F.col("header")).alias("changed"), K.chapter_refusal(F.col("typed"), others).alias("refusal"), K.encoder_class(F.col("encoder")).alias("class"))
+    return HEADERS.df(spark, sf).select("id", K.changed_since(F.col("modified"), F.col("header")).alias("changed"), K.chapter_refusal(F.col("typed"), others).alias("refusal"), K.encoder_class(F.col("encoder")).alias("class"))
 
 
 @query("""SELECT o_orderkey, concat_ws(chr(10), strftime(o_orderdate, '%Y-%m-%d'), CASE WHEN o_orderkey % 3 <> 0 THEN 'Plats: ' || o_orderpriority END) AS subtitle, '[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || o_orderkey || chr(10) || 'END=' || (o_orderkey + 5) || chr(10) || 'title=a\\=' || o_orderstatus || chr(10) AS block FROM orders""")

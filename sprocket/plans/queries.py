@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -182,13 +183,37 @@ def clip_set_hash(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.ordered_hash(table(spark, sf, "documents"), ["source"], ["doc_id", "n_chars"])
 
 
-@query()
+# every run that rises is tried: a conversation has few turns
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn AS before, (turn * 7 + conv_id) % 11 AS after, CAST(length(text) AS DOUBLE) AS weight FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY after, before) AS k FROM c),
+r AS (SELECT conv_id, k, before, weight AS total, [k] AS kept FROM n UNION ALL SELECT r.conv_id, n.k, n.before, r.total + n.weight, list_append(r.kept, n.k) FROM r JOIN n ON n.conv_id = r.conv_id AND n.k > r.k AND n.before > r.before),
+best AS (SELECT conv_id, arg_max(kept, total) AS kept FROM r GROUP BY conv_id)
+SELECT n.conv_id, before, after, weight, NOT list_contains(kept, k) AS moved FROM n JOIN best ON best.conv_id = n.conv_id""")
 def moved_clips(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("before"), F.pmod(F.col("turn") * 7 + F.col("conv_id"), F.lit(11)).alias("after"), F.length("text").cast("double").alias("weight"))
     return sequences.moved(c, "conv_id", "before", "after", "weight")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT conv_id, turn AS before, (turn * 5 + conv_id) % 8 AS after, turn = conv_id % 3 AS last FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY after) AS k, row_number() OVER (PARTITION BY conv_id ORDER BY before) AS was, count(*) OVER (PARTITION BY conv_id) + 1 AS base FROM c),
+w AS (SELECT *, CAST(base * base + CASE WHEN was = k THEN base ELSE 0 END + CASE WHEN last THEN 0 ELSE 1 END AS BIGINT) AS weight FROM n),
+r AS (SELECT conv_id, k, was, base, weight AS total FROM w UNION ALL SELECT r.conv_id, w.k, w.was, w.base, r.total + w.weight FROM r JOIN w ON w.conv_id = r.conv_id AND w.k > r.k AND w.was > r.was)
+SELECT conv_id, CAST(max(total) // (max(base) * max(base)) AS BIGINT) AS kept, CAST(max(total) % (max(base) * max(base)) // max(base) AS BIGINT) AS in_place, max(base) - 1 AS n FROM r GROUP BY conv_id""")
+def moved_by_hand(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of a conversation's turns count as kept, and how many of those stand where they stood."""
+    c = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("before"), ((F.col("turn") * 5 + F.col("conv_id")) % 8).alias("after"), F.col("turn").alias("clip")).distinct()
+    last = c.filter("clip = conv_id % 3").select("conv_id", "clip")
+    m = sequences.moved_by_hand(c, "conv_id", "clip", "before", "after", last)
+    place = lambda col: F.row_number().over(W.partitionBy("conv_id").orderBy(col))
+    m = m.withColumn("same", place("before") == place("after"))
+    return m.groupBy("conv_id").agg(F.count_if(~F.col("moved")).alias("kept"), F.count_if(~F.col("moved") & F.col("same")).alias("in_place"), F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, CAST(floor(epoch(ts)) AS DOUBLE) AS t, (event_id % 100) / 100::DOUBLE AS p FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, p) AS k FROM e),
+s AS (SELECT user_id, k, t, p, NULL::DOUBLE AS rate, 1 AS observations, NULL::DOUBLE AS shown FROM n WHERE k = 1
+UNION ALL SELECT x.user_id, x.k, CASE WHEN same THEN old_t ELSE t END, CASE WHEN same THEN old_p ELSE p END, new_rate, new_n, CASE WHEN same THEN old_shown WHEN back OR p <= 0.05 OR new_n < 3 THEN NULL ELSE least(coalesce(old_shown, (1 - p) / new_rate), (1 - p) / new_rate) END
+FROM (SELECT *, CASE WHEN same THEN old_rate WHEN back THEN NULL WHEN old_rate IS NULL THEN now ELSE 0.3::DOUBLE * now + (1 - 0.3::DOUBLE) * old_rate END AS new_rate, CASE WHEN same THEN old_n WHEN back THEN 1 ELSE old_n + 1 END AS new_n
+FROM (SELECT n.*, s.t AS old_t, s.p AS old_p, s.rate AS old_rate, s.observations AS old_n, s.shown AS old_shown, n.p < s.p AS back, n.p >= s.p AND (n.p = s.p OR n.t <= s.t) AS same, (n.p - s.p) / (n.t - s.t) AS now FROM s JOIN n ON n.user_id = s.user_id AND n.k = s.k + 1) y) x)
+SELECT user_id, rate, observations, shown FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""")
 def progress_eta(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("user_id", F.unix_timestamp("ts").alias("at"), (F.pmod(F.col("event_id"), F.lit(100)) / 100).alias("progress"))
     return sequences.eta(e, "user_id", "at", "progress")
@@ -283,8 +308,6 @@ def keys_and_times(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT source, CAST(row_number() OVER (ORDER BY CAST(substr(source, 4) AS BIGINT)) AS BIGINT) AS place FROM (SELECT DISTINCT source FROM documents)")
 def natural_order(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     s = table(spark, sf, "documents").select("source").distinct()  # a handful of rows: one task orders them
     return s.select("source", F.row_number().over(W.orderBy(S.natural_key(F.col("source")))).cast("long").alias("place"))
 

@@ -110,7 +110,14 @@ def span_matching(spark: SparkSession, sf: str) -> DataFrame:
     return matching.match_spans(x.filter("old"), x.filter("not old"), ["clip"])
 
 
-@query()
+# the greedy choice as a fold over an event's candidates, best first
+@query("""WITH RECURSIVE x AS (SELECT l_suppkey AS event, l_linenumber AS chapter, l_returnflag AS flag, list_sort(list(DISTINCT l_partkey % 50)) AS clips FROM lineitem GROUP BY 1, 2, 3),
+p AS (SELECT w.event, w.chapter AS wanted, e.chapter AS existing, len(list_intersect(w.clips, e.clips)) AS shared, w.clips <> e.clips AS differs FROM x w JOIN x e ON w.event = e.event AND w.flag = 'R' AND e.flag = 'A'),
+n AS (SELECT *, row_number() OVER (PARTITION BY event ORDER BY differs, shared DESC, wanted, existing) AS k FROM p WHERE shared > 0),
+f AS (SELECT event, k, [wanted] AS w, [existing] AS e, TRUE AS kept FROM n WHERE k = 1
+UNION ALL SELECT n.event, n.k, CASE WHEN free THEN list_append(w, wanted) ELSE w END, CASE WHEN free THEN list_append(e, existing) ELSE e END, free
+FROM (SELECT n.*, f.w, f.e, NOT list_contains(f.w, n.wanted) AND NOT list_contains(f.e, n.existing) AS free FROM f JOIN n ON n.event = f.event AND n.k = f.k + 1) n)
+SELECT n.event, n.wanted, n.existing, CAST(n.shared AS BIGINT) AS shared FROM n JOIN f ON f.event = n.event AND f.k = n.k WHERE f.kept""")
 def chapter_pairing(spark: SparkSession, sf: str) -> DataFrame:
     x = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("event"), F.col("l_linenumber").alias("chapter"), "l_returnflag").agg(F.sort_array(F.collect_set(F.col("l_partkey") % 50)).alias("clips"))
     return matching.pair_chapters(x.filter("l_returnflag = 'R'"), x.filter("l_returnflag = 'A'"))

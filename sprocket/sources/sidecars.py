@@ -152,24 +152,38 @@ def movie_facts(df: DataFrame, manifest: str = "manifest") -> DataFrame:
     return df.withColumn("movie", F.when(at["offset"].isNotNull(), movie))
 
 
-#: Fixed values, patterns: a failed command in a reason, the tags before a line of its log, and where an absolute path begins.
-FAILED = r": Command exited -?\d+: "
-TAGS = r"^(?:\[[^\]]*\]\s*)+"
-PATH = r"(?s)[ :'\"(\[=]*(?:^|(?<=[\s'\"(\[=]))/(?=[^\s/]).*$"
+#: Fixed value: what the library writes between a failed command's cause and its exit code.
+EXITED = ": Command exited "
+
+
+def _untagged(line: Column) -> Column:
+    """A log's line without the groups in square brackets that lead it: the parts up to a closing bracket go as long as each begins with an opening one."""
+    parts = F.split(line, "]", -1)
+    first = F.array_position(F.transform(parts, lambda p: F.trim(p).startswith("[")), False)
+    return F.trim(F.array_join(F.slice(parts, F.greatest(first.cast("int"), F.lit(1)), F.size(parts)), "]"))
+
+
+def _before_paths(text: Column) -> Column:
+    """A text up to the first word that is an absolute path, in quotes or brackets or not; signs that lead to it go, too."""
+    words = F.split(text, r"\s", -1)
+    bare = F.transform(words, lambda w: F.ltrim(w, F.lit("'\"([=")))
+    at = F.array_position(F.transform(bare, lambda w: w.startswith("/") & (F.length(w) > 1) & ~w.startswith("//")), True)
+    kept = F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(0), (at - 1).cast("int"))), " ")
+    return F.when(at > 0, F.rtrim(kept, F.lit(" :'\"(["))).otherwise(text)
 
 
 def failure_cause(text: str, path: str) -> Column:
-    """The cause in a failure marker, in one line and without paths of the server; null for what is no JSON object with a reason. Of a failed command what stands before it, and the last line of its log, the clip's path shortened to its name."""
+    """The cause in a failure marker, in one line and without paths of the server; null for what is no JSON object with a reason. Of a failed command what stands before its exit code, and the last line of its log that says anything, with the clip's path shortened to its name."""
     v = F.try_parse_json(text)
     reason = F.when(_kind(F.try_variant_get(v, "$.reason", "variant")) == "STRING", F.try_variant_get(v, "$.reason", "string"))
-    name = F.substring_index(F.col(path), "/", -1)
-    plain = lambda c: F.regexp_replace(F.replace(F.replace(c, F.concat(path, F.lit(": ")), F.lit("")), F.col(path), name), PATH, "")
-    head = F.substring_index(F.substring_index(reason, "\nstderr:\n", 1), "\n", 1)
-    log = F.when(reason.contains("\nstderr:\n"), F.substr(reason, F.instr(reason, "\nstderr:\n") + 9))
-    lines = F.filter(F.transform(F.split(log, r"\r?\n"), F.trim), lambda x: x != "")
-    gist = plain(F.regexp_replace(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")), TAGS, ""))
-    before = F.regexp_replace(F.regexp_replace(head, rf"{FAILED}.*$", ""), PATH, "")
-    cause = F.when(head.rlike(FAILED), F.when(gist != "", F.concat_ws(": ", before, gist)).otherwise(before)).otherwise(plain(head))
+    halves = F.split(reason, "\nstderr:\n", 2)
+    said, log = F.get(halves, F.lit(0)), F.get(halves, F.lit(1))
+    first = F.get(F.split(said, "\n", 2), F.lit(0))
+    named = lambda c: _before_paths(F.replace(F.replace(c, F.concat(path, F.lit(": ")), F.lit("")), F.col(path), F.substring_index(F.col(path), "/", -1)))
+    lines = F.filter(F.transform(F.split(log, "\n"), lambda x: F.trim(F.rtrim(x, F.lit("\r")))), lambda x: x != "")
+    gist = named(_untagged(F.try_element_at(lines, F.lit(-1))))
+    failed = F.concat_ws(": ", _before_paths(F.substring_index(first, EXITED, 1)), F.nullif(gist, F.lit("")))
+    cause = F.when(first.contains(EXITED), failed).otherwise(named(first))
     return F.when(F.trim(reason) != "", F.nullif(cause, F.lit("")))
 
 
@@ -177,7 +191,7 @@ SORTS = ["datetime", "filename", "custom"]
 
 
 def legacy_documents(df: DataFrame, text: str) -> DataFrame:
-    """df with title, date, location, description, look, method, reverse, custom_order and unmapped: a document of the former format, and in order of their text the names of what has no place in the present one. A title 'date - rest' is split as in `dated_title`. Damaged text gives nulls."""
+    """df with title, date, location, description, look, method, reverse, custom_order and unmapped: a document of the former format, and in order the paths of what has no place in the present one; a path with :type, :unknown or :unused has a value that cannot be taken. A title 'date - rest' is split as in `dated_title`. Damaged text gives nulls."""
     from ..functions.keys import dated_title
 
     v = F.col("_v")
@@ -198,18 +212,16 @@ def legacy_documents(df: DataFrame, text: str) -> DataFrame:
     good_places = F.forall(F.map_entries(places), lambda e: (F.trim(e["key"]) != "") & (_kind(e["value"]) == "BIGINT"))
     order = F.when(good_places, F.transform_values(places, lambda _, p: F.try_variant_get(p, "$", "long")))
     said = [
-        F.when(unlike("metadata"), "metadata (not a mapping)"),
-        F.when(unlike("title_card"), "title_card (not a mapping)"),
-        F.when(unlike("sort"), "sort (not a mapping)"),
-        F.when(is_map("sort") & ~method.isin(*SORTS), "sort.method (unknown sort method)"),
-        F.when(sorted_by.isNotNull() & there("sort.reverse") & reverse.isNull(), "sort.reverse (not a boolean)"),
-        F.when((sorted_by != "custom") & there("sort.custom_order"), "sort.custom_order (ignored without method 'custom')"),
-        F.when((sorted_by == "custom") & there("sort.custom_order") & order.isNull(), "sort.custom_order (not a mapping of file name to integer position)"),
+        *(F.when(unlike(p), f"{p}:type") for p in ("metadata", "title_card", "sort")),
+        F.when(is_map("sort") & ~method.isin(*SORTS), "sort.method:unknown"),
+        F.when(sorted_by.isNotNull() & there("sort.reverse") & reverse.isNull(), "sort.reverse:type"),
+        F.when((sorted_by != "custom") & there("sort.custom_order"), "sort.custom_order:unused"),
+        F.when((sorted_by == "custom") & there("sort.custom_order") & order.isNull(), "sort.custom_order:type"),
     ]
     none = F.array().cast("array<string>")
     more = F.filter(F.coalesce(keys("$"), none), lambda k: ~k.isin("metadata", "title", "description", "sort", "title_card"))
     inner = F.filter(F.coalesce(keys("$.metadata"), none), lambda k: ~k.isin("title", "date", "location"))
-    unmapped = F.array_sort(F.concat(F.array_compact(F.array(*said)), F.transform(inner, lambda k: F.concat(F.lit("metadata."), k)), F.transform(more, lambda k: F.concat(F.lit("unknown top-level key "), k))))
+    unmapped = F.array_sort(F.concat(F.array_compact(F.array(*said)), F.transform(inner, lambda k: F.concat(F.lit("metadata."), k)), more))
     look = F.when(is_map("title_card"), F.to_json(at("title_card")))
     x = df.withColumn("_v", F.try_parse_json(text))  # parsed once a row
     return x.withColumns({"title": title, "date": date, "location": at("metadata.location", "string"), "description": at("description", "string"), "look": look, "method": sorted_by, "reverse": reverse, "custom_order": order, "unmapped": F.when(v.isNotNull(), unmapped)}).drop("_v")
