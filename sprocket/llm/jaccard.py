@@ -197,11 +197,15 @@ def _hashes(df: DataFrame, text: str, k: int, percent: int, common: np.ndarray |
 
 
 def counted(df: DataFrame, text: str, k: int, percent: int) -> tuple[np.ndarray, DataFrame]:
-    """The hashes that come last, sorted, at most COMMON; and (h), every hash that may lie in the prefixes of two texts, some twice. A hash of the second count may be another text's in the first, where one was not kept."""
+    """The hashes that come last, sorted, at most 2 COMMON; and (h), every hash that may lie in the prefixes of two texts, some twice. A hash of the second count may be another text's in the first, where one was not kept."""
     first = written(_hashes(df, text, k, percent, None).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "counts")
     common = _often(first)
-    # the order is fixed here: a set that the second count leaves out has its whole prefix in the first
     second = written(_hashes(df, text, k, percent, common).groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    more = np.union1d(common, _often(second))
+    if len(more) > len(common):
+        # the sets are judged again under the order that will hold: one that is left out has its whole prefix in the first count
+        common = more
+        second = written(_hashes(df, text, k, percent, common).groupBy("h").agg(F.sum("n").alias("n")), "counts")
     return common, first.select("h").union(second.select("h"))
 
 
