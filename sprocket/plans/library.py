@@ -104,9 +104,10 @@ def ordered_clips(spark: SparkSession, sf: str) -> DataFrame:
     return L.order_clips(CLIPS.df(spark, sf), ORDERS.df(spark, sf), CUSTOM.df(spark, sf)).drop("mtime")
 
 
-@query("SELECT source AS event, lang AS chapter, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS clips FROM documents GROUP BY 1, 2")
+@query("SELECT conv_id AS event, role AS chapter, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS clips FROM (SELECT DISTINCT conv_id, role, turn FROM conversations) GROUP BY 1, 2")
 def seeded_documents(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.col("source").alias("event"), F.col("lang").alias("chapter"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("clip"))
+    """A chapter's clips are one list, as its document's are; here a conversation's turns by role."""
+    d = table(spark, sf, "conversations").select(F.col("conv_id").alias("event"), F.col("role").alias("chapter"), F.col("turn").alias("pos"), F.col("turn").cast("string").alias("clip")).distinct()
     return L.seed_documents(d).withColumn("clips", F.array_join("clips", ","))
 
 

@@ -178,9 +178,10 @@ def title_clip(spark: SparkSession, sf: str) -> DataFrame:
     return sequences.first_by(table(spark, sf, "events"), ["user_id"], rank, ["ts"]).select("user_id", "event_id")
 
 
-@query("SELECT source, sha256(string_agg(k, chr(10) ORDER BY k)) AS digest FROM (SELECT source, concat_ws('|', doc_id, n_chars) AS k FROM documents) GROUP BY source")
+@query("SELECT l_orderkey, sha256(string_agg(k, chr(10) ORDER BY k)) AS digest FROM (SELECT l_orderkey, concat_ws('|', l_partkey, l_suppkey, l_linenumber) AS k FROM lineitem) GROUP BY l_orderkey")
 def clip_set_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.ordered_hash(table(spark, sf, "documents"), ["source"], ["doc_id", "n_chars"])
+    """An event's clips are hashed in their order by one task, so a key is an event: here an order with its lines."""
+    return sequences.ordered_hash(table(spark, sf, "lineitem"), ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber"])
 
 
 # every run that rises is tried: a conversation has few turns
