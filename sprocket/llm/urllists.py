@@ -10,8 +10,9 @@ the as-of test runs inside that array. So the join adds no row whatever a host's
 is, and a hot host's captures can be split.
 
 Defined cases: a null or empty url, or a null fetch time, matches nothing; hosts of urls
-and patterns are compared in lower case and without a leading ``www.``, paths as they
-stand; repeated events change nothing; a removal at the same instant as an addition wins;
+and patterns are compared in lower case and without a leading ``www.``, a dot last, user
+and port, patterns without scheme, query and fragment, paths as they stand; a pattern
+without a host is none; repeated events change nothing; a removal at the same instant as an addition wins;
 captures repeated stay repeated; empty lists or captures give empty matches; columns
 named lists, patterns or blocked give way to the results.
 """
@@ -41,10 +42,17 @@ def candidates(url: Column, segments: int) -> Column:
     return F.when(url.isNull() | (host == ""), F.array().cast("array<string>")).otherwise(F.array_distinct(both))
 
 
+def plain_pattern(pattern: Column) -> Column:
+    """A pattern as captures are compared with it: its host as `host_of` gives it, its path without query, fragment and slashes last; null if no host is left."""
+    rest = F.regexp_replace(F.trim(pattern), r"^(?i:[a-z][a-z0-9+.-]*:)?//", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(rest, "^[^/?#]*", 0)), "^[^@]*@", ""), r":[0-9]*$", "")
+    path = F.regexp_replace(F.regexp_extract(rest, "^[^/?#]*(/[^?#]*)", 1), "/+", "/")
+    return F.concat(F.nullif(F.regexp_replace(host, r"^www\.|\.$", ""), F.lit("")), F.regexp_replace(path, "/$", ""))
+
+
 def intervals(events: DataFrame) -> DataFrame:
     """(pattern, list, valid_from, valid_to); valid_to is null while the entry is active."""
-    host, path = F.regexp_extract("pattern", "^[^/]*", 0), F.regexp_extract("pattern", "/.*$", 0)
-    e = events.select(F.concat(F.regexp_replace(F.lower(host), r"^www\.", ""), F.regexp_replace(path, "/+$", "")).alias("pattern"), "list", "action", "at").filter("pattern is not null and at is not null").distinct()
+    e = events.select(plain_pattern(F.col("pattern")).alias("pattern"), "list", "action", "at").filter("pattern is not null and at is not null").distinct()
     # at one instant a removal wins
     one = e.groupBy("pattern", "list", "at").agg((F.sum(F.when(F.col("action") == "remove", 1).otherwise(0)) == 0).alias("on"))
     by = W.partitionBy("pattern", "list").orderBy("at")
