@@ -196,17 +196,12 @@ def _hashes(df: DataFrame, text: str, k: int, percent: int, common: np.ndarray |
     return df.select(text).mapInArrow(run, "h long, n long")
 
 
-def counted(df: DataFrame, text: str, k: int, percent: int) -> tuple[np.ndarray, DataFrame]:
-    """The hashes that come last, sorted, at most 2 COMMON; and (h), every hash that may lie in the prefixes of two texts, some twice. A hash of the second count may be another text's in the first, where one was not kept."""
+def counted(df: DataFrame, text: str, k: int, percent: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """The hashes of which the first count says that they are common; all that come last, at most 2 COMMON, with those that only the second count finds, sorted; and (h), every hash that may lie in the prefixes of two texts, some twice. A hash of the second count may be another text's in the first, where one was not kept."""
     first = written(_hashes(df, text, k, percent, None).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "counts")
-    common = _often(first)
-    second = written(_hashes(df, text, k, percent, common).groupBy("h").agg(F.sum("n").alias("n")), "counts")
-    more = np.union1d(common, _often(second))
-    if len(more) > len(common):
-        # the sets are judged again under the order that will hold: one that is left out has its whole prefix in the first count
-        common = more
-        second = written(_hashes(df, text, k, percent, common).groupBy("h").agg(F.sum("n").alias("n")), "counts")
-    return common, first.select("h").union(second.select("h"))
+    early = _often(first)
+    second = written(_hashes(df, text, k, percent, early).groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    return early, np.union1d(early, _often(second)), first.select("h").union(second.select("h"))
 
 
 def _often(counts: DataFrame) -> np.ndarray:
@@ -214,17 +209,29 @@ def _often(counts: DataFrame) -> np.ndarray:
     return np.unique(top.toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def signed(df: DataFrame, text: str, doc_id: str, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, node, prefix, bits): prefix as 64-bit numbers. A node that a task has met before has them no second time: prefix is empty then, and bits null."""
-    out = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
+def beyond_count(s: np.ndarray, early: np.ndarray, common: np.ndarray, percent: int) -> bool:
+    """Whether a set's prefix leaves the part of it that has been counted: the second count left the set out, as enough of the part was rare, and of that too much is common now."""
+    size = int(prefix_length(len(s), percent))
+    near = s[: size + size // 2 + 4]
+    if len(near) == len(s):
+        return False
+    rare = lambda c: len(near) - int((c[np.minimum(np.searchsorted(c, near), len(c) - 1)] == near).sum()) if len(c) else len(near)
+    return rare(early) >= size > rare(common)
+
+
+def signed(df: DataFrame, text: str, doc_id: str, k: int, percent: int, common: np.ndarray, early: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, n, node, prefix, bits, beyond): prefix as 64-bit numbers; beyond: whether it holds hashes that have not been counted. A node that a task has met before has them no second time: prefix is empty then, and bits null."""
+    out = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType()), T.StructField("beyond", T.BooleanType())])
     sent = df.sparkSession.sparkContext.broadcast(common)
+    # nothing is beyond the count if the second one has found nothing new
+    before = df.sparkSession.sparkContext.broadcast(early if early is not None and len(early) < len(common) else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                n, node, prefix, bits = [], [], [], []
+                n, node, prefix, bits, beyond = [], [], [], [], []
                 for t in part.column(1).to_pylist():
                     s = shingles(t, k)
                     name = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
@@ -235,9 +242,10 @@ def signed(df: DataFrame, text: str, doc_id: str, k: int, percent: int, common:
                     node.append(name)
                     prefix.append(ordered_prefix(s, sent.value, percent).view(np.int64) if new else np.zeros(0, np.int64))
                     bits.append(signature(s) if new else None)
+                    beyond.append(new and before.value is not None and beyond_count(s, before.value, sent.value, percent))
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in prefix]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(bits, pa.binary())], names=out.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists, pa.array(bits, pa.binary()), pa.array(beyond, pa.bool_())], names=out.names)
 
     return df.select(doc_id, text).mapInArrow(run, out)
 
@@ -421,8 +429,10 @@ def open_lists(lists: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]
 def join(df: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row for each row of df."""
     src = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    common, repeated = counted(src, "text", k, percent)
-    t = written(signed(src, "text", "doc_id", k, percent, common), "signatures")
+    early, common, repeated = counted(src, "text", k, percent)
+    t = written(signed(src, "text", "doc_id", k, percent, common, early), "signatures")
+    # what a prefix holds beyond the count may lie in others' prefixes, too
+    repeated = repeated.union(t.filter("beyond").select(F.explode("prefix").alias("h")))
     some = t.filter("node is not null")
     nodes = some.groupBy("node").agg(F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"), F.min("doc_id").alias("doc_id"))
 

@@ -81,3 +81,16 @@ def test_prefixes_share_a_hash_in_any_order():
         if 100 * both >= 80 * (len(a) + len(b) - both):
             common = np.unique(r.integers(0, 60, 25).astype(np.uint64))
             assert len(np.intersect1d(jaccard.ordered_prefix(a, common, 80), jaccard.ordered_prefix(b, common, 80)))
+
+
+def test_what_is_beyond_the_count_is_told():
+    s = np.arange(100, dtype=np.uint64)
+    size = int(jaccard.prefix_length(100, 85))
+    near = size + size // 2 + 4
+    some = lambda n: np.arange(n, dtype=np.uint64)
+    assert not jaccard.beyond_count(s, some(0), some(near - size), 85)
+    assert jaccard.beyond_count(s, some(0), some(near - size + 1), 85)
+    assert jaccard.beyond_count(s, some(near - size), some(near - size + 1), 85)
+    # counted as a whole by the second count
+    assert not jaccard.beyond_count(s, some(near - size + 1), some(near), 85)
+    assert not jaccard.beyond_count(s[:near], some(0), some(near), 85) or int(jaccard.prefix_length(near, 85)) < size
