@@ -378,7 +378,9 @@ def ignored_clips(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH c AS (SELECT user_id, epoch(ts)::BIGINT AS t, event_id FROM events), m AS (SELECT user_id, t // 86400 * 86400 + 20000 AS s, t // 86400 * 86400 + 50000 AS e FROM c GROUP BY ALL)
 SELECT c.event_id, m.e AS "to" FROM c LEFT JOIN m ON m.user_id = c.user_id AND m.s <= c.t + 40 AND m.e > c.t + 40""")
 def skipped_positions(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "events").select("user_id", F.unix_timestamp("ts").alias("at"), "event_id")
+    # the nearest second, of two the even one
+    at = F.bround(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long")
+    c = table(spark, sf, "events").select("user_id", at.alias("at"), "event_id")
     day = F.floor(F.col("at") / 86400) * 86400
     return M.skips(c, c.select("user_id", (day + 20000).alias("start"), (day + 50000).alias("end")).distinct(), ["user_id"], 40).select("event_id", "to")
 
