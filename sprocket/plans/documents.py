@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import stored, table
 from ..sources import documents as D
 from .library import Cases, each
 from .queries import query
@@ -64,7 +64,7 @@ SEEDS = Cases("id int, chapter string, pos long, clip string", (0, "", 1, "s"),
 
 @query(each("SELECT * FROM (VALUES (0, '', 1, 'k1.mp4', FALSE), (0, '', 2, 'sub/k2.mp4', FALSE), (0, 'Dock', 1, 'd.mp4', FALSE), (90, '', 1, 's', TRUE), (90, 'Dock', 1, 't', TRUE)) v(id, chapter, pos, clip, seeded)", id="int"))
 def loaded_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = D.read_documents(DOCUMENTS.df(spark, sf), "json").filter("problem is null")
+    docs = stored(D.read_documents(DOCUMENTS.df(spark, sf), "json").select("id", "doc", "problem"), "documents").filter("problem is null")
     return D.with_seeds(D.references(docs, "id"), docs, SEEDS.df(spark, sf), "id")
 
 

@@ -10,7 +10,7 @@ from ..functions import scalars as S
 from ..operators import library as L
 from ..operators import movie as M
 from ..operators import catalog, sequences
-from ..session import table
+from ..session import spread, table
 from ..sources import listings
 from .queries import query
 
@@ -30,7 +30,7 @@ class Cases:
             x = spark.createDataFrame(list(self.rows), ", ".join(f"{c} {t}" for c, t in plain))
         else:
             case = F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for v, (c, t) in zip(r, plain, strict=True))) for r in self.rows))
-            x = table(spark, sf, "supplier").select("s_suppkey", F.explode(case).alias("c")).select("s_suppkey", "c.*")
+            x = spread(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", F.explode(case).alias("c")).select("s_suppkey", "c.*")
             for c, t in plain:
                 if c in self.keys:
                     x = x.withColumn(c, F.concat(c, F.lit("~"), "s_suppkey") if t == "string" else F.col(c) + 1000 * F.col("s_suppkey"))

@@ -29,6 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by key over as many tasks as a shuffle has. A small file is read by one task, where all that is made of its rows would stay; as the number is given, small parts are not merged again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions") or 200), key)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: what is costly to make and needed twice is made once. The table stays as long as results may be read from it."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder of our own below spark.checkpoint.dir, which driver and executors share; only on a local master without that setting, below a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
