@@ -42,7 +42,7 @@ def read_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(each("SELECT * FROM (VALUES (0, '', 1, 'k1.mp4', NULL, NULL, NULL), (0, '', 2, 'sub/k2.mp4', -90, TRUE, 1), (0, 'Dock', 1, 'd.mp4', NULL, FALSE, 0)) v(id, chapter, pos, clip, rotate, exclude, trims)", id="int"))
 def document_references(spark: SparkSession, sf: str) -> DataFrame:
-    docs = D.read_documents(DOCUMENTS.df(spark, sf), "json")
+    docs = stored(D.read_documents(DOCUMENTS.df(spark, sf), "json").select("id", "doc"), "documents")
     props = D.clip_properties(docs, "id").select("id", "clip", "rotate", "exclude", F.size("trims").alias("trims"))
     return D.references(docs, "id").join(props, ["id", "clip"], "left")
 

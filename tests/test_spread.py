@@ -21,7 +21,7 @@ def test_rows_are_the_same(spark):
     assert sorted(spread(x, "c_custkey").collect()) == sorted(x.collect())
 
 
-@pytest.mark.parametrize("name", ["loaded_documents"])
+@pytest.mark.parametrize("name", ["loaded_documents", "document_references"])
 def test_documents_are_read_once(spark, name):
     plan = getattr(documents, name)(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "parse_json" not in plan
