@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import library
-from ..session import shared_folder, table
+from ..session import shared_folder, spread, table
 from ..sources import folders
 from .queries import query
 
@@ -29,7 +29,7 @@ def _tree(spark: SparkSession, sf: str) -> str:
     files = F.array_compact(F.array(*(F.when(when, F.struct(F.concat(event, F.lit(name)).alias("path"), content.alias("content"))) for when, name, content in kinds)))
     # an alias of every nineteenth event, in a year after all others
     alias = F.when(k % 19 == 0, F.struct(F.concat(F.lit("2099/again "), k).alias("path"), F.concat(F.lit("-> ../"), event).alias("content")))
-    rows = table(spark, sf, "customer").select(F.explode(F.array_compact(F.concat(files, F.array(alias)))).alias("f")).select("f.*")
+    rows = spread(table(spark, sf, "customer"), "c_custkey").select(F.explode(F.array_compact(F.concat(files, F.array(alias)))).alias("f")).select("f.*")
     root = shared_folder(spark, "library")
     folders.write_tree(rows, root).agg(F.sum("n")).collect()  # a number
     folders.register(spark)

@@ -3,8 +3,9 @@
 import pytest
 
 from oracle import SF
-from sprocket.plans import documents, library
+from sprocket.plans import documents, library, walks
 from sprocket.session import spread, table
+from sprocket.sources import folders
 
 
 def tasks(df):
@@ -25,3 +26,11 @@ def test_rows_are_the_same(spark):
 def test_documents_are_read_once(spark, name):
     plan = getattr(documents, name)(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "parse_json" not in plan
+
+
+def test_trees_are_written_by_all_tasks(spark, monkeypatch):
+    seen = []
+    write = folders.write_tree
+    monkeypatch.setattr(folders, "write_tree", lambda rows, root: seen.append(tasks(rows)) or write(rows, root))
+    walks.walked_events(spark, SF)
+    assert seen == [4]
