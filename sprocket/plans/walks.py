@@ -61,6 +61,6 @@ CASE WHEN name = 'a1.MP4' OR (name = 'notes.txt' AND k % 6 = 0) THEN TRUE WHEN n
 def strict_stats(spark: SparkSession, sf: str) -> DataFrame:
     """What a look at single paths says: there, or nothing there (no entry, a parent that is a file, a link to nothing)."""
     root = _tree(spark, sf).removeprefix("file://")
-    events = table(spark, sf, "customer").select(F.concat(F.lit(1990) + F.col("c_nationkey"), F.lit("/event "), F.col("c_custkey")).alias("event"))
+    events = spread(table(spark, sf, "customer"), "c_custkey").select(F.concat(F.lit(1990) + F.col("c_nationkey"), F.lit("/event "), F.col("c_custkey")).alias("event"))
     paths = events.select("event", F.explode(F.array(*map(F.lit, ("a1.MP4", "gone.avi", "Evening", "a1.MP4/below", "notes.txt")))).alias("name")).withColumn("path", F.concat_ws("/", F.lit(root), "event", "name"))
     return folders.stats(paths).select("event", "name", "status", "is_file")

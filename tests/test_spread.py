@@ -34,3 +34,11 @@ def test_trees_are_written_by_all_tasks(spark, monkeypatch):
     monkeypatch.setattr(folders, "write_tree", lambda rows, root: seen.append(tasks(rows)) or write(rows, root))
     walks.walked_events(spark, SF)
     assert seen == [4]
+
+
+def test_single_paths_are_looked_at_by_all_tasks(spark, monkeypatch):
+    seen = []
+    look = folders.stats
+    monkeypatch.setattr(folders, "stats", lambda df: seen.append(tasks(df)) or look(df))
+    walks.strict_stats(spark, SF)
+    assert seen == [4]
