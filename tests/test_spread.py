@@ -28,11 +28,12 @@ def test_documents_are_read_once(spark, name):
     assert "parse_json" not in plan
 
 
-def test_trees_are_written_by_all_tasks(spark, monkeypatch):
+@pytest.mark.parametrize("name", ["walked_events", "walked_clips"])
+def test_trees_are_written_by_all_tasks(spark, monkeypatch, name):
     seen = []
     write = folders.write_tree
     monkeypatch.setattr(folders, "write_tree", lambda rows, root: seen.append(tasks(rows)) or write(rows, root))
-    walks.walked_events(spark, SF)
+    getattr(walks, name)(spark, SF)
     assert seen == [4]
 
 
