@@ -2,30 +2,54 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .sequences import fold
 
 
 def match_spans(have: DataFrame, want: DataFrame, keys: list[str], index: str = "index") -> DataFrame:
     """(keys, want, have, rule): the old span each wanted span takes over, each old one at most once; have and rule are null where none is left.
 
-    The rules hold in turn, each among what the earlier ones left: the same span, the same start, the same end, the order. Within a rule the n-th wanted span of a value takes the n-th old one of that value: both sides are one table, dealt out by key once, and each rule is a rank and a look at the row of the same rank. `index` orders the spans of a key and must be unique there. Null matches null.
+    The rules hold in turn, each among what the earlier ones left: the same span, the same start, the same end, the order. Within a rule the n-th wanted span of a value takes the n-th old one of that value. Both sides are one table, dealt out by key and sorted once; of a key, a clip, its spans are held, and all rules are decided there. `index` orders the spans of a key and must be unique there. Null matches null.
     """
-    side = lambda df, new: df.select(*keys, F.col(index).alias("_i"), "start", "end", F.lit(new).alias("_new"))
-    u = side(have, False).unionByName(side(want, True)).withColumns({"_other": F.lit(None).cast(have.schema[index].dataType), "rule": F.lit(None).cast("string")}).repartition(*keys)
-    for rule, on in (("same", ["start", "end"]), ("start", ["start"]), ("end", ["end"]), ("order", [])):
-        by = [*keys, *on, "_done"]
-        u = u.withColumn("_done", F.col("rule").isNotNull())
-        u = u.withColumn("_n", F.row_number().over(W.partitionBy(*by, "_new").orderBy("_i")))
-        pair = W.partitionBy(*by, "_n")
-        other = F.when(F.col("_new"), F.max(F.when(~F.col("_new"), F.col("_i"))).over(pair)).otherwise(F.max(F.when(F.col("_new"), F.col("_i"))).over(pair))
-        u = u.withColumn("_found", F.when(~F.col("_done"), other))
-        u = u.withColumns({"_other": F.coalesce("_other", "_found"), "rule": F.when(F.col("_found").isNotNull(), F.lit(rule)).otherwise(F.col("rule"))})
-    return u.filter("_new").select(*keys, F.col("_i").alias("want"), F.col("_other").alias("have"), "rule")
+    side = lambda df, new: df.select(*keys, F.lit(new).alias("_new"), F.col(index).alias("_i"), "start", "end")
+    same = lambda v: "NaN" if v != v else v
+    rules: list[tuple[str, Callable[[tuple], tuple]]] = [("same", lambda s: s[1:]), ("start", lambda s: s[1:2]), ("end", lambda s: s[2:]), ("order", lambda s: ())]
+
+    def step(state: tuple[list, list], row: list) -> tuple[list, list]:
+        new, i, start, end = row
+        state[new].append((i, same(start), same(end)))
+        return state
+
+    def finish(state: tuple[list, list]) -> tuple[list]:
+        old, wanted = state
+        out = []
+        for rule, value in rules:
+            free: dict[tuple, deque] = {}
+            for s in old:
+                free.setdefault(value(s), deque()).append(s)
+            rest = []
+            for s in wanted:
+                first = free.get(value(s))
+                if first:
+                    out.append((s[0], first.popleft()[0], rule))
+                else:
+                    rest.append(s)
+            if len(rest) < len(wanted):
+                left = {s[0] for spans in free.values() for s in spans}
+                old, wanted = [s for s in old if s[0] in left], rest
+        return ([*out, *((s[0], None, None) for s in wanted)],)
+
+    both = side(have, False).unionByName(side(want, True))
+    match = T.StructType([T.StructField("want", want.schema[index].dataType), T.StructField("have", have.schema[index].dataType), T.StructField("rule", T.StringType())])
+    x = fold(both, keys, lambda: ([], []), step, finish, [T.StructField("_m", T.ArrayType(match))])
+    return x.select(*keys, F.inline("_m"))
 
 
 def pair_chapters(wanted: DataFrame, existing: DataFrame, event: str = "event", chapter: str = "chapter", clips: str = "clips", order: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 
 from oracle import connection, rows
+from sprocket.operators import matching
 from sprocket.plans import library
 from sprocket.plans.queries import SQL
 
@@ -16,3 +17,12 @@ def test_times_are_rounded_to_the_nearest_second(spark, tmp_path):
     c.sql("create or replace view events as select * from (values " + ", ".join(f"({i}, TIMESTAMP '{at(t)}', 1)" for i, t in enumerate(times)) + ") v(event_id, ts, user_id)")
     c.sql(f"copy (select event_id::bigint as event_id, ts, user_id::bigint as user_id from events) to '{tmp_path}/events.parquet' (format parquet)")
     assert rows(library.skipped_positions(spark, str(tmp_path)).toPandas()) == rows(c.sql(SQL["skipped_positions"]).df())
+
+
+def test_spans_are_matched_in_one_sort(spark):
+    kind = "clip string, index int, start double, end double"
+    have = spark.createDataFrame([(None, 1, float("nan"), 2.0), (None, 2, 0.0, None), ("a", 1, 0.0, 1.0), ("a", 2, 5.0, 6.0)], kind)
+    want = spark.createDataFrame([(None, 1, -0.0, None), (None, 2, float("nan"), 2.0), (None, 3, 7.0, 8.0), ("a", 1, 5.0, 7.0), ("a", 2, 0.5, 1.0), ("b", 1, 0.0, 1.0)], kind)
+    got = matching.match_spans(have, want, ["clip"])
+    assert set(map(tuple, got.collect())) == {(None, 1, 2, "same"), (None, 2, 1, "same"), (None, 3, None, None), ("a", 1, 2, "start"), ("a", 2, 1, "end"), ("b", 1, None, None)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Sort") == 1 and "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
