@@ -81,9 +81,9 @@ def disk_folders(detail: DataFrame) -> DataFrame:
 
 
 def kept_order(original: DataFrame, order: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, clip, pos): the original order (keys, clip, pos) of what the present one (keys, clip) still holds, from 1."""
+    """(keys, clip, pos): the original order (keys, clip, pos) of what the present one (keys, clip) still holds, from 1. Of equal places the smaller clip comes first."""
     x = original.join(order.select(*keys, "clip"), [*keys, "clip"], "left_semi")
-    return x.select(*keys, "clip", F.row_number().over(W.partitionBy(*keys).orderBy("pos")).cast("long").alias("pos"))
+    return x.select(*keys, "clip", F.row_number().over(W.partitionBy(*keys).orderBy("pos", "clip")).cast("long").alias("pos"))
 
 
 # ------------------------------------------------------------------ time and cards

@@ -3,7 +3,7 @@
 import datetime as dt
 
 from oracle import connection, rows
-from sprocket.operators import matching
+from sprocket.operators import events, matching
 from sprocket.plans import library
 from sprocket.plans.queries import SQL
 
@@ -26,3 +26,9 @@ def test_spans_are_matched_in_one_sort(spark):
     got = matching.match_spans(have, want, ["clip"])
     assert set(map(tuple, got.collect())) == {(None, 1, 2, "same"), (None, 2, 1, "same"), (None, 3, None, None), ("a", 1, 2, "start"), ("a", 2, 1, "end"), ("b", 1, None, None)}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Sort") == 1 and "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_places_are_ordered_by_clip(spark):
+    rows = [("e", f"c{(i * 7) % 20:02}", 1) for i in range(20)]
+    x = spark.createDataFrame(rows, "event string, clip string, pos long")
+    assert [r["clip"] for r in events.kept_order(x, x, ["event"]).orderBy("pos").collect()] == [f"c{i:02}" for i in range(20)]
