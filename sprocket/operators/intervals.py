@@ -4,23 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import spread, stored
 from .joins import asof_join, null_safe
 
 
 def merge_spans(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """(keys, start, end): overlapping or touching spans joined (gaps and islands: one shuffle on keys)."""
-    x = _islands(df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end")), keys)
-    return x.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    """(keys, start, end): overlapping or touching spans joined (gaps and islands: one shuffle and one sort on keys)."""
+    return _merged(df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end")), keys).select(*keys, "start", "end")
+
+
+def _merged(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, start, end, next): merged spans, numbered in each key from 1, and where the next one begins. The last span of an island stands for it, so nothing is grouped."""
+    by = _by(keys)
+    x = _islands(df, keys).withColumn("_far", F.max("end").over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("next", F.lead("start").over(by))
+    x = x.withColumn("_first", F.last(F.when(F.col("_new") == 1, F.col("start")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    return x.filter(F.col("next").isNull() | (F.col("next") > F.col("_far"))).select(*keys, F.col("island").alias("n"), F.col("_first").alias("start"), F.col("_far").alias("end"), "next")
+
+
+def _by(keys: list[str]) -> WindowSpec:
+    return W.partitionBy(*keys).orderBy("start", "end")
 
 
 def _islands(df: DataFrame, keys: list[str], *more: str) -> DataFrame:
-    """(keys, more, start, end, island): spans with the number of the island that they lie in."""
-    by = W.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
-    x = df.filter(F.col("start") < F.col("end")).select(*keys, *more, "start", "end")
-    return x.withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    """(keys, more, start, end, _new, island): spans with the number of the island that they lie in. They are dealt out over as many tasks as a shuffle has: merged to a few tasks, as small shuffles are, each would sort a large share."""
+    reach = F.max("end").over(_by(keys).rowsBetween(W.unboundedPreceding, -1))
+    x = spread(df.filter(F.col("start") < F.col("end")).select(*keys, *more, "start", "end"), *keys)
+    return x.withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("_new").over(_by(keys).rowsBetween(W.unboundedPreceding, 0)))
 
 
 def clamp(start: Column, end: Column, low: Column, high: Column) -> tuple[Column, Column]:
@@ -43,21 +55,23 @@ def kept_spans(cuts: DataFrame, extents: DataFrame, keys: list[str], length: str
 def subtract_spans(spans: DataFrame, blockers: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
     """(keys, keep, start, end): the parts of each span outside the union of its key's blockers.
 
-    Merged blockers are numbered in each key. Two as-of lookups give a span the numbers of the first and the last blocker that it meets, and the gaps between them are joined by number, so the work grows with the parts that come out and no key's blockers are gathered.
+    Merged blockers are numbered in each key, once, as a table; the gap behind a blocker has its number, the one before all others 0. Two windows over both sides give a span the numbers of the first and the last gap that it may reach, and the gaps between them are looked up by number, so the work grows with the parts that come out and no key's blockers are gathered.
     """
     keep = keep or []
-    by = W.partitionBy(*keys).orderBy("start")
-    b = merge_spans(blockers, keys).withColumn("n", F.row_number().over(by))
-    gaps = b.select(*keys, F.col("n").alias("gap"), F.col("end").alias("_after"), F.lead("start").over(by).alias("_before"))
-    gaps = gaps.unionByName(b.groupBy(*keys).agg(F.lit(0).alias("gap"), F.lit(None).cast(b.schema["end"].dataType).alias("_after"), F.min("start").alias("_before")))
+    b = stored(_merged(blockers, keys), "blockers")
+    none = F.lit(None).cast(b.schema["end"].dataType)
+    gap = lambda n, after, before: (F.lit(0).alias("_t"), n.cast("int").alias("gap"), F.struct(after.alias("after"), before.alias("before")).alias("_gap"))
+    gaps = b.select(*keys, *gap(F.col("n"), F.col("end"), F.col("next"))).unionByName(b.filter("n = 1").select(*keys, *gap(F.lit(0), none, F.col("start"))))
     x = spans.filter(F.col("start") < F.col("end")).select(*keys, *keep, "start", "end")
-    x = asof_join(x.withColumn("_t", F.col("start")), b.select(*keys, F.col("end").alias("_t"), F.col("n").alias("_low")), keys, "_t", "_low")
-    x = asof_join(x.withColumn("_t", F.col("end")), b.select(*keys, F.col("start").alias("_t"), F.col("n").alias("_high")), keys, "_t", "_high", strict=True)
+    ends = lambda at, until, n, side: (F.col(at).alias("_at"), F.col(until).alias("_until"), n.cast("int").alias("_n"), F.lit(side).alias("_side"))
+    both = x.select("*", *ends("start", "end", F.lit(None), 1)).unionByName(b.select(*keys, *ends("start", "start", F.col("n"), 0)), allowMissingColumns=True)
+    begun = lambda *order: F.last("_n", ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    x = spread(both, *keys).withColumn("_low", begun("_at", "_side")).withColumn("_high", begun("_until", F.desc("_side"))).filter("_side = 1")
     low, high = F.coalesce("_low", F.lit(0)), F.coalesce("_high", F.lit(0))
-    x = x.withColumn("gap", F.explode(F.sequence(low, F.greatest(low, high))))
-    x = null_safe(x, gaps, [*keys, "gap"], "left")
+    x = x.select(*keys, *keep, "start", "end", F.lit(0).alias("_t"), F.explode(F.sequence(low, F.greatest(low, high))).alias("gap"))
+    x = asof_join(x, gaps, [*keys, "gap"], "_t", "_gap")
     # greatest and least leave out nulls
-    return x.select(*keys, *keep, F.greatest("start", "_after").alias("start"), F.least("end", "_before").alias("end")).filter(F.col("start") < F.col("end"))
+    return x.select(*keys, *keep, F.greatest("start", "_gap.after").alias("start"), F.least("end", "_gap.before").alias("end")).filter(F.col("start") < F.col("end"))
 
 
 def resolve_priority(spans: DataFrame, keys: list[str], kind: str, strong: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fold
+from ..session import spread
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -33,9 +34,10 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, first_if_none: bool = False, strict: bool = False) -> DataFrame:
-    """left with value: the latest of right at or before `at` (strict: before it), null (or the key's first) if there is none. Both sides go through one window on keys, so a row never meets another side's whole history."""
+    """left with value: the latest of right at or before `at` (strict: before it), null (or the key's first) if there is none. Both sides go through one window on keys, dealt out over as many tasks as a shuffle has, so a row never meets another side's whole history."""
     cols = left.columns
     both = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_side")).unionByName(right.select(*keys, at, F.col(value).alias("_v"), F.lit(0).alias("_side")), allowMissingColumns=True)
+    both = spread(both, *keys)
     by = W.partitionBy(*keys).orderBy(at, F.desc("_side") if strict else F.asc("_side"))
     both = both.withColumn("_last", F.last("_v", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)))
     if first_if_none:

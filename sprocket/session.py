@@ -29,9 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """df dealt out by key over as many tasks as a shuffle has. A small file is read by one task, where all that is made of its rows would stay; as the number is given, small parts are not merged again."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions") or 200), key)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys over as many tasks as a shuffle has. A small file is read by one task, where all that is made of its rows would stay; as the number is given, small parts are not merged again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions") or 200), *keys)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

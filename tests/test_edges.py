@@ -77,3 +77,11 @@ def test_scalars_without_a_query(spark):
     assert one(S.frame_rate(text("0/0"), text("25/1")), S.frame_rate(text("30000/1001"), text("25/1")), S.frame_rate(text("2000/1"), text("x"))) == (25.0, 30000 / 1001, None)
     assert one(S.duration(text("N/A"), text("3.5")), S.duration(text("2"), text("3.5")), S.duration(F.lit(None).cast("string"), text(""))) == (3.5, 2.0, 0.0)
     assert one(S.progress(F.lit(5e6), F.lit(10.0), F.lit(False)), S.progress(F.lit(5e6), F.lit(10.0), F.lit(True)), S.progress(F.lit(5e7), F.lit(10.0), F.lit(False)), S.progress(F.lit(1.0), F.lit(0.0), F.lit(False))) == (0.5, 1.0, 1.0, None)
+
+
+def test_gaps_between_blockers_are_met_by_number(spark):
+    kind = "clip string, start long, end long"
+    spans = spark.createDataFrame([("a", 0, 100), ("a", 12, 18), ("a", 20, 30), ("a", 15, 25), ("a", 60, 90), (None, 0, 5), ("b", 1, 2), ("a", 5, 5)], kind)
+    blockers = spark.createDataFrame([("a", 10, 15), ("a", 14, 20), ("a", 30, 40), ("a", 90, 95), ("a", 7, 6), (None, 2, 3)], kind)
+    got = sorted(map(tuple, intervals.subtract_spans(spans, blockers, ["clip"]).collect()), key=str)
+    assert got == sorted([("a", 0, 10), ("a", 20, 30), ("a", 40, 90), ("a", 95, 100), ("a", 20, 30), ("a", 20, 25), ("a", 60, 90), (None, 0, 2), (None, 3, 5), ("b", 1, 2)], key=str)

@@ -3,7 +3,7 @@
 import pytest
 
 from oracle import SF
-from sprocket.plans import documents, library, walks
+from sprocket.plans import documents, library, queries, walks
 from sprocket.session import spread, table
 from sprocket.sources import folders
 
@@ -43,3 +43,9 @@ def test_single_paths_are_looked_at_by_all_tasks(spark, monkeypatch):
     monkeypatch.setattr(folders, "stats", lambda df: seen.append(tasks(df)) or look(df))
     walks.strict_stats(spark, SF)
     assert seen == [4]
+
+
+@pytest.mark.parametrize("name", ["merged_spans", "span_labels", "subtract_spans", "priority_overlap", "suggestion_states"])
+def test_spans_are_sorted_by_all_tasks(spark, name):
+    # a shuffle of so few rows is merged to one task, unless they are dealt out; strong spans are no part of the sorts
+    assert tasks(queries.QUERIES[name](spark, SF)) >= 4
