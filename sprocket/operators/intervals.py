@@ -8,7 +8,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..session import spread, stored
-from .joins import asof_join, null_safe
+from .joins import asof_join
 
 
 def merge_spans(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -40,16 +40,21 @@ def clamp(start: Column, end: Column, low: Column, high: Column) -> tuple[Column
 
 
 def kept_spans(cuts: DataFrame, extents: DataFrame, keys: list[str], length: str = "length") -> DataFrame:
-    """(keys, start, end): what the cuts leave of [0, length). A key without cuts keeps all of it."""
+    """(keys, start, end): what the cuts leave of [0, length). A key without cuts keeps all of it.
+
+    An empty span at 0 carries a key's lengths. So one sort of cuts and lengths on keys tells what is left behind each run of cuts, the part before the first cut and keys without cuts among it. A cut without an end goes on to the key's.
+    """
     zero = F.lit(0).cast(extents.schema[length].dataType)
-    lengths = extents.select(*keys, F.col(length).alias("len"))
-    c = null_safe(cuts, lengths, keys).select(*keys, F.greatest("start", zero).alias("start"), F.least("end", "len").alias("end"))
-    m = merge_spans(c, keys)
-    edges = m.select(*keys, F.col("end").alias("start"), F.lead("start").over(W.partitionBy(*keys).orderBy("start")).alias("end"))
-    first = m.groupBy(*keys).agg(zero.alias("start"), F.min("start").alias("end"))
-    gaps = null_safe(edges.unionByName(first), lengths, keys).select(*keys, "start", F.coalesce("end", "len").alias("end"))
-    whole = null_safe(extents, m.select(*keys).distinct(), keys, "left_anti").select(*keys, zero.alias("start"), F.col(length).alias("end"))
-    return gaps.unionByName(whole).filter(F.col("start") < F.col("end"))
+    c = cuts.select(*keys, F.greatest("start", zero).alias("start"), "end").filter(F.coalesce(F.col("start") < F.col("end"), F.lit(True)))
+    heads = extents.groupBy(*keys).agg(F.collect_list(F.struct(F.col(length).alias("len"))).alias("_lengths"))
+    at = [F.lit(0).cast(c.schema[f].dataType).alias(f) for f in ("start", "end")]
+    both = spread(c.unionByName(heads.select(*keys, *at, "_lengths"), allowMissingColumns=True), *keys)
+    by = W.partitionBy(*keys).orderBy("start", F.asc_nulls_last("end"))
+    so_far = by.rowsBetween(W.unboundedPreceding, 0)
+    both = both.select(*keys, F.max("end").over(so_far).alias("start"), F.lead("start").over(by).alias("_next"), F.max(F.col("end").isNull()).over(so_far).alias("_open"), F.last("_lengths", ignorenulls=True).over(so_far).alias("_lengths"))
+    left = both.filter(~F.col("_open") & F.coalesce(F.col("_next") > F.col("start"), F.lit(True))).select(*keys, "start", "_next", F.explode("_lengths").alias("l"))
+    # least leaves out nulls
+    return left.select(*keys, "start", F.least("_next", "l.len").alias("end")).filter(F.col("start") < F.col("end"))
 
 
 def subtract_spans(spans: DataFrame, blockers: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:

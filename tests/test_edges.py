@@ -79,6 +79,14 @@ def test_scalars_without_a_query(spark):
     assert one(S.progress(F.lit(5e6), F.lit(10.0), F.lit(False)), S.progress(F.lit(5e6), F.lit(10.0), F.lit(True)), S.progress(F.lit(5e7), F.lit(10.0), F.lit(False)), S.progress(F.lit(1.0), F.lit(0.0), F.lit(False))) == (0.5, 1.0, 1.0, None)
 
 
+def test_cuts_without_bounds_and_extents_in_one_sort(spark):
+    # a cut without a start begins at 0, one without an end goes on to the key's; a null key is a key; a key of two lengths has both
+    cuts = spark.createDataFrame([("a", None, 5), ("a", 90, None), ("b", 10, 20), ("b", 20, 30), ("b", 50, 200), (None, 3, 4), (None, 9, 7), ("gone", 0, 1)], "clip string, start long, end long")
+    extents = spark.createDataFrame([("a", 100), ("b", 100), ("b", 40), (None, 10), ("whole", 7), ("none", None), ("zero", 0)], "clip string, length long")
+    got = sorted(map(tuple, intervals.kept_spans(cuts, extents, ["clip"]).collect()), key=str)
+    assert got == sorted([("a", 5, 90), ("b", 0, 10), ("b", 30, 50), ("b", 0, 10), ("b", 30, 40), (None, 0, 3), (None, 4, 10), ("whole", 0, 7)], key=str)
+
+
 def test_gaps_between_blockers_are_met_by_number(spark):
     kind = "clip string, start long, end long"
     spans = spark.createDataFrame([("a", 0, 100), ("a", 12, 18), ("a", 20, 30), ("a", 15, 25), ("a", 60, 90), (None, 0, 5), ("b", 1, 2), ("a", 5, 5)], kind)

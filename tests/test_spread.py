@@ -45,7 +45,7 @@ def test_single_paths_are_looked_at_by_all_tasks(spark, monkeypatch):
     assert seen == [4]
 
 
-@pytest.mark.parametrize("name", ["merged_spans", "span_labels", "subtract_spans", "priority_overlap", "suggestion_states"])
+@pytest.mark.parametrize("name", ["kept_spans", "merged_spans", "span_labels", "subtract_spans", "priority_overlap", "suggestion_states"])
 def test_spans_are_sorted_by_all_tasks(spark, name):
     # a shuffle of so few rows is merged to one task, unless they are dealt out; strong spans are no part of the sorts
     assert tasks(queries.QUERIES[name](spark, SF)) >= 4
