@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical
 from ..operators import chains, checks, listing
-from ..session import table
+from ..session import spread, table
 from ..sources import documents as D
 from ..sources import probes, sidecars, yaml_text
 from . import yamls
@@ -33,7 +33,7 @@ def _probes(spark: SparkSession, sf: str) -> DataFrame:
     streams = F.array_join(F.array_compact(F.array(F.when(k % 2 == 0, audio), F.when(k % 10 != 2, video))), ", ")
     whole = text('{"streams": [', streams, '], "format": {"duration": ', F.when(k % 8 == 0, '"N/A"').otherwise(text('"', n, '.25"')), ', "bit_rate": "', k * 1000, '"', when(k % 3 == 1, ', "tags": {"creation_time": "2024-01-05T10:00:00.500000Z"}'), "}}")
     json = F.when(k % 10 == 1, F.substring(whole, 1, 40)).otherwise(whole)
-    return table(spark, sf, "part").select(k.alias("k"), json.alias("json"), F.when(k % 10 == 5, 0).when(k % 10 != 6, k + 1).cast("long").alias("size"))
+    return spread(table(spark, sf, "part"), "p_partkey").select(k.alias("k"), json.alias("json"), F.when(k % 10 == 5, 0).when(k % 10 != 6, k + 1).cast("long").alias("size"))
 
 
 _PROBLEM = "CASE p_partkey % 10 WHEN 6 THEN 'absent' WHEN 5 THEN 'empty' WHEN 1 THEN 'unreadable' WHEN 2 THEN 'no video' WHEN 3 THEN 'no size' WHEN 4 THEN 'no rate' END"

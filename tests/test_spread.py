@@ -3,9 +3,9 @@
 import pytest
 
 from oracle import SF
-from sprocket.plans import documents, library, queries, walks
+from sprocket.plans import documents, library, probing, queries, walks
 from sprocket.session import spread, table
-from sprocket.sources import folders
+from sprocket.sources import folders, probes
 
 
 def tasks(df):
@@ -49,3 +49,12 @@ def test_single_paths_are_looked_at_by_all_tasks(spark, monkeypatch):
 def test_spans_are_sorted_by_all_tasks(spark, name):
     # a shuffle of so few rows is merged to one task, unless they are dealt out; strong spans are no part of the sorts
     assert tasks(queries.QUERIES[name](spark, SF)) >= 4
+
+
+@pytest.mark.parametrize("name", ["probed_clips", "probe_faults"])
+def test_probes_are_read_by_all_tasks(spark, monkeypatch, name):
+    seen = []
+    probed = probes.probed
+    monkeypatch.setattr(probes, "probed", lambda df, *more: seen.append(tasks(df)) or probed(df, *more))
+    getattr(probing, name)(spark, SF)
+    assert seen == [4]
