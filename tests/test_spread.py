@@ -58,3 +58,7 @@ def test_probes_are_read_by_all_tasks(spark, monkeypatch, name):
     monkeypatch.setattr(probes, "probed", lambda df, *more: seen.append(tasks(df)) or probed(df, *more))
     getattr(probing, name)(spark, SF)
     assert seen == [4]
+
+
+def test_groups_of_claims_are_dealt_out(spark):
+    assert tasks(queries.output_collisions(spark, SF)) == 4
