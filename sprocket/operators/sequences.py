@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -81,38 +82,47 @@ def ordered_hash(df: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
     return fold(df.select(*keys, row.alias("_row")), keys, lambda: None, step, lambda h: (h.hexdigest(),), [T.StructField("digest", T.StringType())])
 
 
-def kept_in_order(ranks: list[int], weights: list[float]) -> list[bool]:
-    """The heaviest increasing run of ranks: those that count as not moved. Ties keep the run found first. n log n: a tree of the best run that ends at or below each rank."""
+def kept_in_order(ranks: list[int], weights: list[float], late: bool = False) -> list[bool]:
+    """The heaviest increasing run of ranks: those that count as not moved. Ties keep the run found first; if late, the one of fewest rows, and of those the one whose last row comes latest, then the row before it and so on, but the first row earliest. Rows without a weight (NaN) are in no run. n log n: a tree of the best run that ends at or below each rank."""
     place = {r: i + 1 for i, r in enumerate(sorted(set(ranks)))}
-    tree: list[tuple[float, int]] = [(0.0, 1)] * (len(place) + 1)  # weight, minus the row that ends the run
+    none = (0.0, 1, 0, -1)
+    tree: list[tuple[float, int, int, int]] = [none] * (len(place) + 1)  # weight, minus the rows if they matter, order, the row that ends the run
     back: list[int] = []
-    top = (0.0, 1)
+    size: list[int] = []
+    top = (-math.inf, 0, 0, -1)
     for i, r in enumerate(ranks):
-        at, best = place[r] - 1, (0.0, 1)
+        if math.isnan(weights[i]):
+            back.append(-1)
+            size.append(0)
+            continue
+        at, best = place[r] - 1, none
         while at:
             best = max(best, tree[at])
             at &= at - 1
-        back.append(-best[1] if best[1] <= 0 else -1)
-        mine, at = (best[0] + weights[i], -i), place[r]
+        back.append(best[3])
+        size.append(1 if best[3] < 0 else size[best[3]] + 1)
+        mine, at = (best[0] + weights[i], -size[i] if late else 0, i if late and size[i] > 1 else -i, i), place[r]
         top = max(top, mine)
         while at < len(tree):
             tree[at] = max(tree[at], mine)
             at += at & -at
     out = [False] * len(ranks)
-    at = -top[1] if top[1] <= 0 else -1
+    at = top[3]
     while at >= 0:
         out[at] = True
         at = back[at]
     return out
 
 
-def moved(df: DataFrame, key: str, before: str, after: str, weight: str) -> DataFrame:
-    """df with moved: false for the heaviest set of rows of a key whose order did not change. One key's rows, an event's clips, go to one call."""
+def moved(df: DataFrame, key: str, before: str, after: str, weight: str, late: bool = False) -> DataFrame:
+    """df with moved: false for the heaviest set of rows of a key whose order did not change (late: see `kept_in_order`); null for a key none of whose rows has a weight. One key's rows, an event's clips, go to one call."""
     schema = T.StructType([*df.schema.fields, T.StructField("moved", T.BooleanType())])
 
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([after, before], kind="stable")
-        return rows.assign(moved=[not k for k in kept_in_order(rows[before].tolist(), rows[weight].tolist())])
+        if rows[weight].isna().all():
+            return rows.assign(moved=None)
+        return rows.assign(moved=[not k for k in kept_in_order(rows[before].tolist(), rows[weight].tolist(), late)])
 
     return df.groupBy(key).applyInPandas(mark, schema)
 

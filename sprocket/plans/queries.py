@@ -191,7 +191,8 @@ best AS (SELECT conv_id, arg_max(kept, total) AS kept FROM r GROUP BY conv_id)
 SELECT n.conv_id, before, after, weight, NOT list_contains(kept, k) AS moved FROM n JOIN best ON best.conv_id = n.conv_id""")
 def moved_clips(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("before"), F.pmod(F.col("turn") * 7 + F.col("conv_id"), F.lit(11)).alias("after"), F.length("text").cast("double").alias("weight"))
-    return sequences.moved(c, "conv_id", "before", "after", "weight")
+    # the SQL takes the first of several heaviest runs, and it makes short runs before long ones, those of late rows before those of early ones
+    return sequences.moved(c, "conv_id", "before", "after", "weight", late=True)
 
 
 @query("""WITH RECURSIVE c AS (SELECT DISTINCT conv_id, turn AS before, (turn * 5 + conv_id) % 8 AS after, turn = conv_id % 3 AS last FROM conversations),
