@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import library
-from ..session import shared_folder, spread, table
+from ..session import shared_folder, spread, stored, table
 from ..sources import folders
 from .queries import query
 
 
+#: Tasks that walk a year where few years are read, however many events they have.
+PARTS = 8
+
+
 def _tree(spark: SparkSession, sf: str) -> str:
     """A library of a folder for each customer, below years by nation: clips in the folder, in a chapter, among originals and in a chapter to be ignored, files that are none, folders to be ignored, links to events and to nothing. Returns its path."""
     k = F.col("c_custkey")
@@ -42,8 +46,8 @@ _CUSTOMERS = "c AS (SELECT c_custkey AS k, CAST(1990 + c_nationkey AS VARCHAR) A
 @query(f"""WITH {_CUSTOMERS} SELECT year, event, '' AS chapter, 'a1.MP4' AS clip, k % 7 AS size FROM c WHERE year IN ('1995', '2001') AND k % 11 <> 0
 UNION ALL SELECT year, event, 'Evening', 'Evening/b.mov', 2 FROM c WHERE year IN ('1995', '2001') AND k % 11 <> 0 AND k % 3 = 0""")
 def walked_clips(spark: SparkSession, sf: str) -> DataFrame:
-    """The clips of two years' events: the filter on the year reaches the source, whose other years stay unread."""
-    rows = spark.read.format(folders.NAME).load(_tree(spark, sf)).filter(F.col("year").isin("1995", "2001"))
+    """The clips of two years' events: the filter on the year reaches the source, whose other years stay unread. One walk serves events and clips."""
+    rows = stored(spark.read.format(folders.NAME).option("parts", PARTS).load(_tree(spark, sf)).filter(F.col("year").isin("1995", "2001")), "walk")
     events = library.list_events(folders.events(rows)).select(F.col("path").alias("event"))
     return folders.clips(rows).join(events, "event", "left_semi").select("year", "event", "chapter", "clip", "size")
 

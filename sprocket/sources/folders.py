@@ -4,7 +4,7 @@
     rows = spark.read.format("library_folders").option("layout", "year").load("/mnt/library")
     events = library.list_events(folders.events(rows), ["2019"])
 
-The folder has to be mounted at one path on the driver and on all executors. Each year (or, in a flat library, each run of folders) is a partition, so a filter on `year` leaves the other years unread.
+The folder has to be mounted at one path on the driver and on all executors. Each year (or, in a flat library, each run of folders) is a partition, so a filter on `year` leaves the other years unread; with the option `parts` a year is dealt out over so many partitions by the names of its events.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import errno
 import os
 import stat
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,16 +81,17 @@ def _row(kind: str, year: str | None, event: str | None, **more: object) -> tupl
 
 @dataclass
 class Part(InputPartition):
-    """Some events of a library: all below a year, or a run of a flat library's folders."""
+    """Some events of a library: those below a year whose names fall to a part of it, or a run of a flat library's folders."""
 
     year: str | None
     first: int
     names: list[str] | None
+    part: int = 0
 
 
 class Reader(DataSourceReader):
-    def __init__(self, root: str, layout: str, suffixes: list[str]):
-        self.root, self.layout, self.suffixes = root, layout, suffixes
+    def __init__(self, root: str, layout: str, suffixes: list[str], parts: int = 1):
+        self.root, self.layout, self.suffixes, self.parts = root, layout, suffixes, parts
         self.years: set[str] | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -110,7 +112,7 @@ class Reader(DataSourceReader):
             raise OSError(f"{self.root}: {reason}")
         if self.layout == "flat":
             return [Part(None, at, names[at : at + RUN]) for at in range(0, len(names), RUN)]
-        return [Part(name, at, None) for at, name in enumerate(names) if self.years is None or name in self.years]
+        return [Part(name, at, None, part) for at, name in enumerate(names) if self.years is None or name in self.years for part in range(self.parts)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         assert isinstance(partition, Part)
@@ -119,15 +121,17 @@ class Reader(DataSourceReader):
                 yield from self._event(None, name, partition.first + k)
             return
         status, reason, s = looked_at(os.path.join(self.root, partition.year or ""))
-        if status == "fault":
+        if status == "fault" and not partition.part:
             yield _row("year", partition.year, None, status=status, reason=reason)
         if s is None or not stat.S_ISDIR(s.st_mode):
             return
         names, reason = _listed(os.path.join(self.root, partition.year or ""))
-        if reason:
+        if reason and not partition.part:
             yield _row("year", partition.year, None, status="fault", reason=reason)
         for k, name in enumerate(names):
-            yield from self._event(partition.year, f"{partition.year}/{name}", (partition.first << 32) + k)
+            # by its name, not its place, which another task may see differently
+            if zlib.crc32(os.fsencode(name)) % self.parts == partition.part:
+                yield from self._event(partition.year, f"{partition.year}/{name}", (partition.first << 32) + k)
 
     def _event(self, year: str | None, event: str, pos: int) -> Iterator[tuple]:
         path = os.path.join(self.root, event)
@@ -168,7 +172,7 @@ class Reader(DataSourceReader):
 
 
 class FolderSource(DataSource):
-    """Options: path, the library's folder; layout, `year` (folders of years hold events) or `flat`; suffixes, of clips, separated by commas."""
+    """Options: path, the library's folder; layout, `year` (folders of years hold events) or `flat`; suffixes, of clips, separated by commas; parts, the partitions of a year (1), each of which lists the year and looks at its own events."""
 
     @classmethod
     def name(cls) -> str:
@@ -184,8 +188,11 @@ class FolderSource(DataSource):
         root = self.options.get("path")
         if not root:
             raise ValueError("a path is needed")
+        parts = int(self.options.get("parts", "1"))
+        if parts < 1:
+            raise ValueError(f"{parts} parts are too few")
         suffixes = self.options.get("suffixes")
-        return Reader(root.removeprefix("file://"), layout, suffixes.split(",") if suffixes else VIDEOS)
+        return Reader(root.removeprefix("file://"), layout, suffixes.split(",") if suffixes else VIDEOS, parts)
 
 
 def register(spark: SparkSession) -> None:

@@ -106,7 +106,30 @@ def test_a_flat_library_of_ten_thousand_folders(spark, tmp_path):
     assert rows.filter("year = '2020'").count() == 0
 
 
+def test_a_year_is_walked_in_parts(spark, tmp_path, monkeypatch):
+    put(tmp_path, *(f"{y}/event {k}/a.mp4" for y in (2019, 2020) for k in range(20)), "2020/event 3/Part/b.mp4", "2020/loose.mp4", "2021/")
+    one, four = load(spark, tmp_path), load(spark, tmp_path, parts=4)
+    assert (one.rdd.getNumPartitions(), four.rdd.getNumPartitions()) == (3, 12)
+    assert sorted(four.collect(), key=repr) == sorted(one.collect(), key=repr)
+    last = four.filter("year = '2020'")
+    assert last.rdd.getNumPartitions() == 4 and all(n > 0 for n in last.rdd.glom().map(len).collect())
+    # a year that cannot be listed is one row, however many parts it has
+    real = os.listdir
+
+    def listdir(path):
+        if str(path).endswith("2020"):
+            raise PermissionError(13, "no")
+        return real(path)
+
+    monkeypatch.setattr(os, "listdir", listdir)
+    reader = folders.Reader(str(tmp_path), "year", [".mp4"], 4)
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[:2] for r in rows if r[-2] == "fault"] == [("year", "2020")]
+
+
 def test_bad_options(spark, tmp_path):
+    with pytest.raises(Exception, match="0 parts are too few"):
+        load(spark, tmp_path, parts=0).collect()
     with pytest.raises(Exception, match="neither year nor flat"):
         load(spark, tmp_path, layout="round").collect()
 

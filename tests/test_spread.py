@@ -37,6 +37,14 @@ def test_trees_are_written_by_all_tasks(spark, monkeypatch, name):
     assert seen == [4]
 
 
+def test_two_years_are_walked_once_by_more_than_two_tasks(spark, monkeypatch):
+    seen = []
+    keep = walks.stored
+    monkeypatch.setattr(walks, "stored", lambda rows, name: seen.append(tasks(rows)) or keep(rows, name))
+    clips = walks.walked_clips(spark, SF)
+    assert seen == [2 * walks.PARTS] and "BatchScan library_folders" not in clips._jdf.queryExecution().executedPlan().toString()
+
+
 def test_single_paths_are_looked_at_by_all_tasks(spark, monkeypatch):
     seen = []
     look = folders.stats
