@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from sprocket.llm import suffixes
-from sprocket.llm.suffixes import BLOCK, Shard, dedup, merge, repeated, strings_of, symbols
+from sprocket.llm.suffixes import BLOCK, Shard, dedup, digests, merge, repeated, strings_of, symbols, without_repeats
 
 
 def brute(texts: list[bytes], length: int) -> list[np.ndarray]:
@@ -101,3 +101,17 @@ def test_the_length_of_the_query_and_an_empty_table(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(x) for x in dedup(df).collect()), key=repr) == expected(rows, 400)
     assert dedup(df.limit(0)).collect() == []
+
+
+def test_the_operator_returns_the_bytes_that_are_left_and_the_runs_that_are_not(spark):
+    rows = list(enumerate([*corpus(6, 40), "é" * 150, "a" + "é" * 150]))  # runs that begin within a character, too
+    done = without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=80, gram=16, bucket=3000)
+    got = {r.doc_id: r for r in done.collect()}
+    raw = [(t or "").encode() for _, t in rows]
+    assert len(got) == len(rows)
+    for (i, _), b, gone in zip(rows, raw, brute(raw, 80), strict=True):
+        assert [tuple(s) for s in got[i].spans] == list(suffixes.runs(gone))
+        assert bytes(got[i].kept) == bytes(np.frombuffer(b, np.uint8)[~gone])
+    texts = {r.doc_id: r.spans for r in digests(done).collect()}
+    assert all(texts[i] == ",".join(f"{lo}:{hi}" for lo, hi in got[i].spans) for i in got)
+    assert any(len(r.spans) > 1 and r.kept for r in got.values())
