@@ -16,7 +16,7 @@ PARTS = 8
 
 
 def _tree(spark: SparkSession, sf: str) -> str:
-    """A library of a folder for each customer, below years by nation: clips in the folder, in a chapter, among originals and in a chapter to be ignored, files that are none, folders to be ignored, links to events and to nothing. Returns its path."""
+    """A library of a folder for each customer, below years by nation: clips in the folder, in a chapter, among originals and in a chapter to be ignored, files that are none, folders to be ignored, links to events and to nothing. Equal files are one with many names, as a file system may have fewer inodes than a large library has files. Returns its path."""
     k = F.col("c_custkey")
     event = F.concat(F.lit(1990) + F.col("c_nationkey"), F.lit("/event "), k)
     kinds = [
@@ -33,7 +33,7 @@ def _tree(spark: SparkSession, sf: str) -> str:
     files = F.array_compact(F.array(*(F.when(when, F.struct(F.concat(event, F.lit(name)).alias("path"), content.alias("content"))) for when, name, content in kinds)))
     # an alias of every nineteenth event, in a year after all others
     alias = F.when(k % 19 == 0, F.struct(F.concat(F.lit("2099/again "), k).alias("path"), F.concat(F.lit("-> ../"), event).alias("content")))
-    rows = spread(table(spark, sf, "customer"), "c_custkey").select(F.explode(F.array_compact(F.concat(files, F.array(alias)))).alias("f")).select("f.*")
+    rows = spread(table(spark, sf, "customer"), "c_custkey").select(F.explode(F.array_compact(F.concat(files, F.array(alias)))).alias("f")).select("f.*", F.lit(True).alias("shared"))
     root = shared_folder(spark, "library")
     folders.write_tree(rows, root).agg(F.sum("n")).collect()  # a number
     folders.register(spark)

@@ -217,13 +217,17 @@ def faults(rows: DataFrame) -> DataFrame:
 
 
 def write_tree(files: DataFrame, root: str) -> DataFrame:
-    """Writes files (path, content; a path that ends in a slash is a folder, content that begins with '-> ' a link) below a folder that all tasks see, and returns how many each task wrote. A task that runs again writes the same."""
+    """Writes files (path, content; a path that ends in a slash is a folder, content that begins with '-> ' a link) below a folder that all tasks see, and returns how many each task wrote. A task that runs again writes the same.
+
+    With a column `shared`, files so marked that a task writes with equal content are names of one file (hard links), so a large tree takes inodes and blocks for its folders only: for trees in which no file is changed later. Where a file can have no more names, another one is written.
+    """
     base = root.removeprefix("file://")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
+        held: dict[str, str] = {}
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, content, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 full = os.path.join(base, path)
                 os.makedirs(full if path.endswith("/") else os.path.dirname(full), exist_ok=True)
                 if path.endswith("/"):
@@ -231,10 +235,22 @@ def write_tree(files: DataFrame, root: str) -> DataFrame:
                 if content.startswith("-> "):
                     if not os.path.lexists(full):
                         os.symlink(content[3:], full)
-                else:
+                elif not shared or content not in held or not _named(held[content], full):
                     with open(full, "w", encoding="utf-8") as f:
                         f.write(content)
+                    if shared:
+                        held[content] = full
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    return files.select("path", "content").mapInArrow(run, "n long")
+    shared = F.col("shared") if "shared" in files.columns else F.lit(False)
+    return files.select("path", "content", shared.alias("shared")).mapInArrow(run, "n long")
+
+
+def _named(file: str, name: str) -> bool:
+    """Gives a file another name, unless there are too many, the file system has no such links, or the name is there from a task's first run."""
+    try:
+        os.link(file, name)
+    except OSError:
+        return False
+    return True

@@ -1,6 +1,7 @@
 """The folder source over written trees."""
 
 import os
+import stat
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from oracle import SF, same
 from sprocket.operators import library
 from sprocket.plans import queries as Q
-from sprocket.plans import walks  # noqa: F401
+from sprocket.plans import walks
 from sprocket.sources import folders
 
 
@@ -106,6 +107,26 @@ def test_a_flat_library_of_ten_thousand_folders(spark, tmp_path):
     assert rows.filter("year = '2020'").count() == 0
 
 
+def test_equal_files_of_a_tree_are_one(spark, tmp_path):
+    kind = "path string, content string, shared boolean"
+    rows = [(f"{y}/e{k}/{n}", c, s) for y in (2019, 2020) for k in range(20) for n, c, s in (("a.mp4", "x", True), ("b.mp4", "", True), ("c.mp4", "yy", True), ("own.mp4", "x", False))]
+    files = spark.createDataFrame(rows, kind).coalesce(1)
+    for _ in range(2):  # a task may run again
+        assert folders.write_tree(files, str(tmp_path)).agg(F.sum("n")).first()[0] == 160
+        assert all((tmp_path / path).read_text() == content for path, content, _ in rows)
+        assert [len({(tmp_path / p).stat().st_ino for p, *_ in rows if p.endswith(n)}) for n in ("/a.mp4", "/b.mp4", "/c.mp4", "own.mp4")] == [1, 1, 1, 40]
+    (tmp_path / "more").write_text("z")
+    assert not folders._named(str(tmp_path / "more"), str(tmp_path / "2019/e0/a.mp4")) and not folders._named(str(tmp_path / "none"), str(tmp_path / "other"))
+
+
+def test_a_library_takes_few_inodes(spark):
+    root = walks._tree(spark, SF).removeprefix("file://")
+    seen = [os.lstat(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names]
+    plain = [s for s in seen if stat.S_ISREG(s.st_mode)]
+    # 12 contents at most in each of 4 tasks
+    assert len({s.st_ino for s in plain}) <= 48 < len(plain)
+
+
 def test_a_year_is_walked_in_parts(spark, tmp_path, monkeypatch):
     put(tmp_path, *(f"{y}/event {k}/a.mp4" for y in (2019, 2020) for k in range(20)), "2020/event 3/Part/b.mp4", "2020/loose.mp4", "2021/")
     one, four = load(spark, tmp_path), load(spark, tmp_path, parts=4)
