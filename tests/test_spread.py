@@ -1,8 +1,10 @@
 """What is made of a small file's rows does not stay in the one task that reads it."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from oracle import SF
+from sprocket.operators import joins
 from sprocket.plans import documents, library, probing, queries, walks
 from sprocket.session import spread, table
 from sprocket.sources import folders, probes
@@ -70,3 +72,11 @@ def test_probes_are_read_by_all_tasks(spark, monkeypatch, name):
 
 def test_groups_of_claims_are_dealt_out(spark):
     assert tasks(queries.output_collisions(spark, SF)) == 4
+
+
+def test_a_large_group_of_claims_is_dealt_out(spark):
+    n = 2 * joins.PIECE + 1
+    rows = [(k, "one") for k in range(n)] + [(n + k, "two") for k in range(joins.PIECE)] + [(3 * n, "alone")]
+    got = joins.collisions(spark.createDataFrame(rows, "claim long, path string"), "claim", F.col("path"))
+    assert {r["claim"]: r["others"] for r in got.collect()} == {k: ",".join(str(o) for o, f in rows if f == path and o != k) for k, path in rows[:-1]}
+    assert len([p for p in got.filter("folded = 'one'").rdd.glom().map(len).collect() if p]) > 1
